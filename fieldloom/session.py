@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,22 @@ def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
             _STORED[full] = (path, df.schema)
         path, schema = _STORED[full]
     return spark.read.schema(schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for functions that run in tasks."""
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        if app in _SHIPPED:
+            return
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="fieldloom-zip-")) / "fieldloom.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, str(source.relative_to(package.parent)))
+        # The driver only hands the archive to Spark, which serves it.
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(app)
