@@ -156,6 +156,7 @@ def fit(
     activation: str = "leaky-relu",
     penalty: float = 0.0,
     loss_parts: int = 1,
+    summed: bool = False,
     evaluate_every: int = 10,
     stop: str = "never",
     run: str = "fit",
@@ -164,7 +165,8 @@ def fit(
     """Shared loop: gradient, clip, update; evaluate and keep the best state.
 
     ``evaluate(network) -> (loss, accuracy)``.  The state kept is the one whose
-    evaluation accuracy strictly improved last.
+    evaluation accuracy strictly improved last.  ``summed`` fits the sum of the
+    row losses instead of their mean.
     """
     data = step_groups(train, groups, seed)
     rule = Optimizer(optimizer, learning_rate)
@@ -173,6 +175,8 @@ def fit(
     for step in range(steps):
         rows = data.where(F.col("step_group") == step % groups)
         n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation)
+        if summed:
+            loss, grad = loss * n, grad * n
         flat = flatten(network)
         if penalty:
             weight_only = flatten([(w, np.zeros_like(b)) for w, b in network])
@@ -239,7 +243,7 @@ def fit_binary(train: DataFrame, evaluation: DataFrame, inputs, target: str, hid
 
     return fit(
         train, initial_network(sizes, seed), LogisticObjective(), inputs, target, evaluate,
-        activation=activation, seed=seed, **options,
+        activation=activation, summed=True, seed=seed, **options,
     )
 
 

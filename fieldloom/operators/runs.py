@@ -90,10 +90,6 @@ def stop_stagnation(steps: DataFrame, min_log: int = MIN_LOG, checkpoints=CHECKP
     return above.where("stagnant").groupBy(run).agg(F.min("step").alias("stop_step"))
 
 
-def elapsed_seconds(ts, start):
-    return F.unix_micros(ts) / 1e6 - F.unix_micros(start) / 1e6
-
-
 def stop_elapsed(steps: DataFrame, seconds: float, run: str = "run", ts: str = "ts") -> DataFrame:
     """First step at least ``seconds`` after the run's first row."""
     starts = steps.groupBy(run).agg(F.min(ts).alias("_start")).withColumnRenamed(run, "_run")

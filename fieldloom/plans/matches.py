@@ -123,7 +123,7 @@ def build_records(spark: SparkSession, sf_dir: str, limit: int = GROUP_LIMIT) ->
     def team_price(t: int):
         team = F.slice("s", t * TEAM + 1, TEAM)
         total = F.aggregate(team, F.lit(0.0), lambda acc, x: acc + x["price"])
-        return F.when(F.size(team) > 0, total)
+        return F.when(F.size(team) > 0, F.round(total, 2))
 
     priced = grouped.select(
         (F.col("l_suppkey") * F.lit(RECORD_STRIDE) + F.col("block")).alias("rec_id"),
