@@ -65,8 +65,9 @@ def drop_short_encoded(
 ) -> DataFrame:
     """The same filter on an encoded corpus, through the frozen statistics."""
     span = next(s for s in dictionary.portion_spans(OUTCOME) if s.field.path == path)
-    cutoff = (above - span.field.mean) / span.field.sd
-    return df.where(F.get(F.col(column), F.lit(span.start)).cast("double") > F.lit(cutoff))
+    # Rounded to the corpus' float width, so that the threshold itself stays out.
+    cutoff = F.lit((above - span.field.mean) / span.field.sd).cast("float")
+    return df.where(F.get(F.col(column), F.lit(span.start)) > cutoff)
 
 
 def decode_records(

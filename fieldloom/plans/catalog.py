@@ -1,4 +1,11 @@
 """Every registered query."""
 
-from fieldloom.plans import catalog_runs, catalog_sampling, catalog_schema  # noqa: F401
+from fieldloom.plans import (  # noqa: F401
+    catalog_metrics,
+    catalog_records,
+    catalog_runs,
+    catalog_sampling,
+    catalog_schema,
+    catalog_scoring,
+)
 from fieldloom.plans.registry import ORACLES, QUERIES  # noqa: F401

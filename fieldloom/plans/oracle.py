@@ -26,7 +26,11 @@ def weight(i: str, j: str, scale: float) -> str:
 
 
 def bias(j: str, scale: float) -> str:
-    return f"((({j}) * 7) % 5 - 2) / {scale}::double + (({j}) % 7 + 1) * 0.000001::double"
+    return f"((({j}) * 7) % 5 - 2) / {scale}::double"
+
+
+def last_bias(j: str, scale: float) -> str:
+    return f"{bias(j, scale)} + (({j}) % 7 + 1) * 0.000001::double"
 
 
 def draw(*parts: str) -> str:
@@ -131,7 +135,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "outw": (
         (),
-        f"""select j, list({weight('k', 'j', 10.0)} order by k) as w, {bias('j', 10.0)} as b
+        f"""select j, list({weight('k', 'j', 10.0)} order by k) as w, {last_bias('j', 10.0)} as b
         from range(563) t(j) cross join range(8) u(k) group by j""",
     ),
     "logits": (
@@ -267,7 +271,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "win_logits": (
         ("win_in",),
-        f"""select rec_id, {bias('0', 100.0)} + sum(({leaky('v')}) * {weight('k', '0', 100.0)}) as z
+        f"""select rec_id, {last_bias('0', 100.0)} + sum(({leaky('v')}) * {weight('k', '0', 100.0)}) as z
         from (select rec_id, k, v + {bias('k', 100.0)} as v from win_in) q group by rec_id""",
     ),
     "win_in_raw": (
@@ -282,7 +286,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "win_logits_raw": (
         ("win_in_raw",),
-        f"""select rec_id, {bias('0', 100.0)} + sum(({leaky('v')}) * {weight('k', '0', 100.0)}) as z
+        f"""select rec_id, {last_bias('0', 100.0)} + sum(({leaky('v')}) * {weight('k', '0', 100.0)}) as z
         from (select rec_id, k, v + {bias('k', 100.0)} as v from win_in_raw) q group by rec_id""",
     ),
     "placed": (
