@@ -34,8 +34,8 @@ from fieldloom.operators.metrics import (
 )
 from fieldloom.operators.runs import CriteriaSpec
 from fieldloom.operators.scoring import score_dense
-from fieldloom.schema import OUTCOME, Dictionary
-from fieldloom.session import new_folder, ship_package
+from fieldloom.schema import KNOWN, OUTCOME, Dictionary
+from fieldloom.session import materialize, new_folder, ship_package
 from fieldloom.sources.models import check_network, network_frame
 
 BLOCK = 1 << 16
@@ -215,10 +215,13 @@ def fit_network(
     """Fit the generator (known -> unknown) on encoded records."""
     spark = train.sparkSession
     objective = mixed_objective(dictionary, ignored, extra_losses=1 if penalty else 0)
-    sizes = [dictionary.width(1), *hidden, dictionary.width(OUTCOME)]
+    sizes = [dictionary.width(KNOWN), *hidden, dictionary.width(OUTCOME)]
+    held = materialize(evaluation.select("known", "unknown"), "evaluation")
 
     def evaluate(network):
-        scored = score_dense(evaluation, network, out="z", activation=activation, drop=("known",))
+        # Kept once per evaluation: every part of the loss reads it.
+        scored = score_dense(held, network, out="z", activation=activation, drop=("known",))
+        scored = materialize(scored, "scored")
         model = network_frame(spark, network) if penalty else None
         parts = eval_parts(scored.withColumnRenamed("unknown", "y"), dictionary, model, penalty, ignored)
         row = combine(parts).first()
@@ -235,9 +238,10 @@ def fit_binary(train: DataFrame, evaluation: DataFrame, inputs, target: str, hid
     generated unknown) or the two-sample net (target 1 real, 0 generated)."""
     first = train.select(*[F.size(c).alias(c) for c in inputs]).first()
     sizes = [sum(first), *hidden, 1]
+    held = materialize(evaluation.select(*inputs, target), "evaluation")
 
     def evaluate(network):
-        scored = score_dense(evaluation, network, inputs, "z", activation, drop=tuple(inputs))
+        scored = score_dense(held, network, inputs, "z", activation, drop=tuple(inputs))
         row = eval_win(scored.select(F.get("z", F.lit(0)).alias("z"), F.col(target).cast("double").alias("y"))).first()
         return row["loss"], row["accuracy"]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.ordering import GROUP_LIMIT, Running, with_running
 from fieldloom.schema import KNOWN, OUTCOME, WIN, Dictionary, Field
-from fieldloom.session import stored
+from fieldloom.session import stored, tune
 
 SLOTS = 10
 TEAM = 5
@@ -156,4 +156,5 @@ def build_records(spark: SparkSession, sf_dir: str, limit: int = GROUP_LIMIT) ->
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide records, built once per application and kept as Parquet."""
+    tune(spark)
     return stored(spark, ("records", sf_dir), lambda: build_records(spark, sf_dir))

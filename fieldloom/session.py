@@ -32,6 +32,22 @@ def shared_root(spark: SparkSession) -> str:
         return _LOCAL_ROOTS[app]
 
 
+# Records are wide.  A whole-stage method over many fields grows past what the
+# JVM compiles to machine code (8000 bytes of bytecode); below these bounds Spark
+# generates split projections instead, which run several times faster.
+TUNING = {
+    "spark.sql.codegen.maxFields": "50",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the code generation bounds for wide records to the session."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder (not created)."""
     app = spark.sparkContext.applicationId
