@@ -15,15 +15,15 @@ from fieldloom.functions.network import sigmoid
 class MixedObjective:
     """Mean of the part losses of the generator (see ``operators.metrics``)."""
 
-    def __init__(self, width, runs, hinges, spreads, gaps, extra_losses=0):
-        self.runs, self.spreads, self.gaps = runs, spreads, gaps
-        self.parts = len(runs) + len(hinges) + len(spreads) + len(gaps) + extra_losses
+    def __init__(self, width, plan, extra_losses=0):
+        hinges = plan.bools + plan.unaries + plan.onehots
+        self.spreads, self.gaps = plan.spreads, plan.gaps
+        self.parts = len(plan.runs) + len(hinges) + len(plan.spreads) + len(plan.gaps) + extra_losses
         # Every hinge part averages over its own columns.
-        self.hinge_weight = np.zeros(width)
-        for start, n in hinges:
+        self.hinge_weight, self.absolute = np.zeros(width, "float32"), np.zeros(width, "float32")
+        for _, start, n, _ in hinges:
             self.hinge_weight[start : start + n] = 1.0 / n
-        self.absolute = np.zeros(width)
-        for start, n in runs:
+        for _, start, n in plan.runs:
             self.absolute[start : start + n] = 1.0
 
     def __call__(self, z, y):
@@ -32,12 +32,12 @@ class MixedObjective:
         margin = 1 - sign * z
         active = (margin > 0) * self.hinge_weight
         error = (z - y) * self.absolute
-        loss = (np.sum(margin * active) + np.abs(error).sum()) / n
+        loss = float(np.sum(margin * active, dtype="float64") + np.abs(error).sum(dtype="float64")) / n
         grad = (np.sign(error) - sign * active) / n
-        for start, width, sd in self.spreads:
+        for _, start, width, sd in self.spreads:
             cols = slice(start, start + width)
             loss += self._spread(z[:, cols], y[:, cols], sd, grad[:, cols])
-        for weight, members in self.gaps:
+        for _, weight, members in self.gaps:
             loss += self._gap(z, y, weight, members, grad)
         return loss / self.parts, grad / self.parts
 

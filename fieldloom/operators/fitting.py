@@ -26,11 +26,10 @@ from fieldloom.functions.objectives import LogisticObjective, MixedObjective
 from fieldloom.functions.optimizers import Optimizer
 from fieldloom.operators.metrics import (
     combine,
-    continuous_runs,
+    eval_l2,
     eval_parts,
     eval_win,
-    span_rows,
-    team_gap_terms,
+    evaluation_plan,
 )
 from fieldloom.operators.runs import CriteriaSpec
 from fieldloom.operators.scoring import score_dense
@@ -44,18 +43,8 @@ LOG_SCHEMA = "run string, step bigint, samples bigint, split string, metric stri
 
 def mixed_objective(dictionary: Dictionary, ignored=(), extra_losses: int = 0) -> MixedObjective:
     """The generator's loss for a dictionary's unknown fields."""
-    spans = [s for s in dictionary.portion_spans(OUTCOME) if s.field.path not in ignored]
-    runs = [(r["start"], r["width"]) for r in continuous_runs(dictionary, ignored)]
-    hinges = [(s.start, s.width) for s in spans if s.field.handling != "continuous"]
-    spreads = [
-        (r["start"], r["width"], r["sd"])
-        for r in span_rows([s for s in spans if s.field.handling in ("unary", "continuous")])
-    ]
-    gaps = [
-        (t["weight"], [(s.start, s.width, sign, s.field.mean, s.field.sd) for s, sign in t["members"]])
-        for t in team_gap_terms(dictionary, ignored)
-    ]
-    return MixedObjective(dictionary.width(OUTCOME), runs, hinges, spreads, gaps, extra_losses)
+    plan = evaluation_plan(dictionary, ignored)
+    return MixedObjective(dictionary.width(OUTCOME), plan, extra_losses)
 
 
 def flatten(network) -> np.ndarray:
@@ -70,7 +59,9 @@ def unflatten(flat: np.ndarray, like):
     return out
 
 
-def gradient_sum(df: DataFrame, network, objective, inputs, target: str, activation="leaky-relu"):
+def gradient_sum(
+    df: DataFrame, network, objective, inputs, target: str, activation="leaky-relu", dtype="float64"
+):
     """(rows, mean loss, flat mean gradient) over all rows of ``df``.
 
     Each task adds up its own batches and emits its sum in blocks; the blocks
@@ -79,7 +70,7 @@ def gradient_sum(df: DataFrame, network, objective, inputs, target: str, activat
     check_network(network)
     spark = df.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast((network, objective))
+    shared = spark.sparkContext.broadcast(([(w.astype(dtype), b.astype(dtype)) for w, b in network], objective))
     inputs = list(inputs)
 
     def partial(batches):
@@ -89,11 +80,11 @@ def gradient_sum(df: DataFrame, network, objective, inputs, target: str, activat
             n = batch.num_rows
             if not n:
                 continue
-            mats = [to_matrix(batch.column(c), "float64") for c in inputs]
+            mats = [to_matrix(batch.column(c), dtype) for c in inputs]
             x = mats[0] if len(mats) == 1 else np.hstack(mats)
-            y = to_matrix(batch.column(target), "float64")
+            y = to_matrix(batch.column(target), dtype)
             loss, grad = gradients(x, net, lambda z: loss_of(z, y), activation)  # noqa: B023
-            flat = flatten(grad) * n
+            flat = flatten(grad).astype("float64") * n
             rows, loss_sum = rows + n, loss_sum + loss * n
             grad_sum = flat if grad_sum is None else grad_sum + flat
         if grad_sum is None:
@@ -174,7 +165,7 @@ def fit(
     result, samples, losses, started = Fit(network), 0, [], None
     for step in range(steps):
         rows = data.where(F.col("step_group") == step % groups)
-        n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation)
+        n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation, "float32")
         if summed:
             loss, grad = loss * n, grad * n
         flat = flatten(network)
@@ -219,11 +210,12 @@ def fit_network(
     held = materialize(evaluation.select("known", "unknown"), "evaluation")
 
     def evaluate(network):
-        # Kept once per evaluation: every part of the loss reads it.
-        scored = score_dense(held, network, out="z", activation=activation, drop=("known",))
-        scored = materialize(scored, "scored")
-        model = network_frame(spark, network) if penalty else None
-        parts = eval_parts(scored.withColumnRenamed("unknown", "y"), dictionary, model, penalty, ignored)
+        shared = spark.sparkContext.broadcast(network)
+        parts = eval_parts(
+            held, dictionary, ignored, y="unknown", x="known", network=shared, activation=activation, dtype="float32"
+        )
+        if penalty:
+            parts = parts.unionByName(eval_l2(network_frame(spark, network), penalty))
         row = combine(parts).first()
         return row["loss"], row["accuracy"]
 
@@ -233,11 +225,20 @@ def fit_network(
     )
 
 
-def fit_binary(train: DataFrame, evaluation: DataFrame, inputs, target: str, hidden=(256,), activation="leaky-relu", seed=0, **options) -> Fit:
+def fit_binary(
+    train: DataFrame,
+    evaluation: DataFrame,
+    inputs,
+    n_inputs: int,
+    target: str,
+    hidden=(256,),
+    activation="leaky-relu",
+    seed=0,
+    **options,
+) -> Fit:
     """Fit one logit on the concatenated inputs: the win net (inputs known and
     generated unknown) or the two-sample net (target 1 real, 0 generated)."""
-    first = train.select(*[F.size(c).alias(c) for c in inputs]).first()
-    sizes = [sum(first), *hidden, 1]
+    sizes = [n_inputs, *hidden, 1]
     held = materialize(evaluation.select(*inputs, target), "evaluation")
 
     def evaluate(network):

@@ -1,243 +1,211 @@
-"""Evaluation aggregates over encoded truth ``y`` and logits ``z``.
+"""Evaluation aggregates over encoded truth and logits.
 
-Per-field values are computed inside the record with array expressions and
-exploded only as one small row per field, straight into a partial aggregation:
-a shuffle carries one row per task and field, however many records there are.
+Batches are summed in the tasks that read them; a shuffle carries one row per
+task, metric and field.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.decode import argmax, cut
-from fieldloom.schema import OUTCOME, Dictionary, Span
-
-METRIC_COLUMNS = ("metric", "field", "loss", "accuracy", "accuracy_weight")
-
-
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-
-
-def pairs(y: Column, z: Column, fn) -> Column:
-    return F.zip_with(y, z, lambda a, b: fn(a.cast("double"), b.cast("double")))
+from fieldloom.functions.evaluation import Plan, mean_sums, part_sums, report_sums
+from fieldloom.functions.network import forward, to_matrix
+from fieldloom.schema import OUTCOME, Dictionary
+from fieldloom.session import ship_package
 
 
-def count_above(x: Column, threshold: float = 0.0) -> Column:
-    return F.size(F.filter(x, lambda v: v > threshold))
+def accumulate(df: DataFrame, inputs, fn, dtype="float64") -> DataFrame:
+    """(metric, field, loss, accuracy, n) sums over all rows.
 
+    ``fn(*matrices)`` gives the sums of one batch; each task adds up its batches
+    and emits one row per metric and field, however many records it read.
+    """
+    ship_package(df.sparkSession)
+    inputs = list(inputs)
+
+    def run(batches):
+        sums: dict = {}
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows += batch.num_rows
+            for key, (loss, accuracy) in fn(*[to_matrix(batch.column(c), dtype) for c in inputs]).items():
+                before = sums.get(key, (0.0, 0.0))
+                sums[key] = (before[0] + float(loss), before[1] + float(accuracy))
+        if sums:
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "metric": [k[0] for k in sums],
+                    "field": [k[1] for k in sums],
+                    "loss": [v[0] for v in sums.values()],
+                    "accuracy": [v[1] for v in sums.values()],
+                    "n": pa.array([rows] * len(sums), pa.int64()),
+                }
+            )
 
-def entries(rows: list[dict]) -> Column:
-    """Literal array of structs, folded once by the optimizer."""
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows])
-
-
-def span_rows(spans: list[Span]) -> list[dict]:
-    return [
-        {
-            "field": s.field.path,
-            "start": s.start,
-            "width": s.width,
-            "sd": float(s.field.sd) if s.field.sd else 1.0,
-            "mean": float(s.field.mean) if s.field.mean is not None else 0.0,
-        }
-        for s in spans
-    ]
-
-
-def per_entry(df: DataFrame, rows: list[dict], values: dict, y="y", z="z", keep=()) -> DataFrame:
-    """One row per record and entry with ``values(ys, zs, entry)``."""
-
-    def one(e):
-        ys, zs = cut(F.col(y), e["start"], e["width"]), cut(F.col(z), e["start"], e["width"])
-        return F.struct(e["field"].alias("field"), *[fn(ys, zs, e).alias(n) for n, fn in values.items()])
-
-    return df.select(*keep, F.inline(F.transform(entries(rows), one)))
+    parts = df.select(*inputs).mapInArrow(run, "metric string, field string, loss double, accuracy double, n bigint")
+    return parts.groupBy("metric", "field").agg(
+        F.sum("loss").alias("loss"), F.sum("accuracy").alias("accuracy"), F.sum("n").alias("n")
+    )
 
 
-def _spans(dictionary: Dictionary, handling: str, ignored=(), mask: int = OUTCOME) -> list[Span]:
+def _spans(dictionary: Dictionary, handlings, ignored=()) -> list[tuple]:
     return [
-        s
-        for s in dictionary.portion_spans(mask)
-        if s.field.handling == handling and s.field.path not in ignored
+        (s.field.path, s.start, s.width, float(s.field.sd) if s.field.sd else 1.0)
+        for s in dictionary.portion_spans(OUTCOME)
+        if s.field.handling in handlings and s.field.path not in ignored
     ]
 
 
-def hinge(ys: Column, zs: Column) -> Column:
-    margin = pairs(ys, zs, lambda a, b: F.greatest(F.lit(0.0), 1 - (2 * a - 1) * b))
-    return total(margin)
-
-
-def _summary(long: DataFrame, metric: str, weight: Column) -> DataFrame:
-    return long.groupBy("field").agg(
-        F.avg("loss").alias("loss"), F.avg("accuracy").alias("accuracy"), F.first("w").alias("w")
-    ).select(F.lit(metric).alias("metric"), "field", "loss", "accuracy", weight.cast("double").alias("accuracy_weight"))
-
-
-def continuous_runs(dictionary: Dictionary, ignored=(), mask: int = OUTCOME) -> list[dict]:
+def continuous_runs(dictionary: Dictionary, ignored=()) -> list[tuple]:
     """Runs of adjacent continuous columns, named by their range."""
     runs: list[list[int]] = []
-    for s in _spans(dictionary, "continuous", ignored, mask):
-        if runs and runs[-1][1] == s.start:
-            runs[-1][1] = s.stop
+    for _, start, width, _ in _spans(dictionary, ("continuous",), ignored):
+        if runs and runs[-1][1] == start:
+            runs[-1][1] = start + width
         else:
-            runs.append([s.start, s.stop])
-    return [{"field": f"{a}:{b}", "start": a, "width": b - a} for a, b in runs]
+            runs.append([start, start + width])
+    return [(f"{a}:{b}", a, b - a) for a, b in runs]
 
 
-def eval_continuous(df: DataFrame, dictionary: Dictionary, ignored=()) -> DataFrame:
-    """Absolute error per run of continuous columns."""
-    long = per_entry(
-        df,
-        continuous_runs(dictionary, ignored),
-        {
-            "loss": lambda y, z, e: total(pairs(y, z, lambda a, b: F.abs(a - b))),
-            "accuracy": lambda y, z, e: total(pairs(y, z, lambda a, b: 1 / (F.abs(a - b) + 1))),
-            "w": lambda y, z, e: e["width"],
-        },
+def team_gap_terms(dictionary: Dictionary, ignored=(), team: int = 5) -> list[tuple]:
+    """(statistic, weight, signed members): (+) first team, (-) second.
+
+    Per-participant statistics are summed over the members and weigh 1/10,
+    per-team statistics 1/2.
+    """
+    grouped: dict[str, list] = {}
+    for s in dictionary.portion_spans(OUTCOME):
+        f = s.field
+        if f.handling not in ("unary", "continuous") or f.occurrence == "single" or f.path in ignored:
+            continue
+        slot = int(f.path.split(".")[1])
+        participant = f.occurrence == "per-participant"
+        sign = 1.0 if slot < (team if participant else 1) else -1.0
+        _, members = grouped.setdefault(f.family, (0.1 if participant else 0.5, []))
+        members.append((s.start, s.width, sign, float(f.mean), float(f.sd)))
+    return [(stat, weight, members) for stat, (weight, members) in grouped.items()]
+
+
+PARTS = ("continuous", "bool", "unary", "one-hot", "spread", "team_gap")
+
+
+def evaluation_plan(dictionary: Dictionary, ignored=(), parts=PARTS) -> Plan:
+    """Which encoded columns each part of the loss looks at."""
+    plan = Plan()
+    if "continuous" in parts:
+        plan.runs = continuous_runs(dictionary, ignored)
+    if "bool" in parts:
+        plan.bools = _spans(dictionary, ("bool",), ignored)
+    if "unary" in parts:
+        plan.unaries = _spans(dictionary, ("unary",), ignored)
+    if "one-hot" in parts:
+        plan.onehots = _spans(dictionary, ("one-hot",), ignored)
+    if "spread" in parts:
+        plan.spreads = _spans(dictionary, ("unary", "continuous"), ignored)
+    if "team_gap" in parts:
+        plan.gaps = team_gap_terms(dictionary, ignored)
+    return plan
+
+
+def logits_of(network, activation: str = "leaky-relu"):
+    """Logits from the input matrix inside a task; identity without a network.
+
+    ``network`` is a broadcast handle, opened on the executor.
+    """
+    if network is None:
+        return lambda x: x
+    return lambda x: forward(x, [(w.astype(x.dtype), b.astype(x.dtype)) for w, b in network.value], activation)
+
+
+def eval_parts(
+    df: DataFrame,
+    dictionary: Dictionary,
+    ignored=(),
+    parts=PARTS,
+    y: str = "y",
+    x: str = "z",
+    network=None,
+    activation: str = "leaky-relu",
+    dtype: str = "float64",
+) -> DataFrame:
+    """Parts of the combined loss: (metric, field, loss, accuracy, accuracy_weight).
+
+    ``x`` holds logits, or the inputs of ``network``, which is then applied in
+    the same pass.  The spread compares deviations from the overall means; these
+    take a pass of their own and come to the driver, one row per field.
+    """
+    plan = evaluation_plan(dictionary, ignored, parts)
+    logits = logits_of(network, activation)
+    if plan.spreads:
+        means = accumulate(df, [y, x], lambda t, v: mean_sums(t, logits(v), plan), dtype)
+        plan.means = {r["field"]: (r["accuracy"] / r["n"], r["loss"] / r["n"]) for r in means.collect()}
+    sums = accumulate(df, [y, x], lambda t, v: part_sums(t, logits(v), plan), dtype)
+    widths = [(name, float(width)) for name, _, width in plan.runs]
+    widths += [(name, float(width)) for name, _, width, _ in plan.bools]
+    sds = [(name, sd) for name, _, _, sd in plan.spreads]
+    return _finish(sums, dict(widths), dict(sds))
+
+
+def _lookup(values: dict, default: float) -> Column:
+    if not values:
+        return F.lit(default)
+    pairs = [F.lit(v) for item in values.items() for v in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("field")), F.lit(default))
+
+
+def _finish(sums: DataFrame, widths: dict, sds: dict) -> DataFrame:
+    loss, accuracy = F.col("loss") / F.col("n"), F.col("accuracy") / F.col("n")
+    spread, gap = F.col("metric") == "spread", F.col("metric") == "team_gap"
+    weight = F.when(F.col("metric").isin("continuous", "bool"), _lookup(widths, 1.0)).otherwise(F.lit(1.0))
+    return sums.select(
+        "metric",
+        "field",
+        F.when(spread, F.abs(loss - accuracy) / _lookup(sds, 1.0)).otherwise(loss).alias("loss"),
+        F.when(~(spread | gap), accuracy).alias("accuracy"),
+        F.when(spread | gap, F.lit(0.0)).otherwise(weight).alias("accuracy_weight"),
     )
-    return _summary(long, "continuous", F.col("w"))
+
+
+def eval_continuous(df: DataFrame, dictionary: Dictionary, ignored=()) -> DataFrame:
+    """Absolute error and closeness per run of continuous columns."""
+    return eval_parts(df, dictionary, ignored, ("continuous",))
 
 
 def eval_bool(df: DataFrame, dictionary: Dictionary, ignored=()) -> DataFrame:
     """Hinge loss and sign agreement of boolean columns."""
-    long = per_entry(
-        df,
-        span_rows(_spans(dictionary, "bool", ignored)),
-        {
-            "loss": lambda y, z, e: hinge(y, z) / e["width"],
-            "accuracy": lambda y, z, e: total(pairs(y, z, lambda a, b: ((b > 0) == (a > 0)).cast("double"))),
-            "w": lambda y, z, e: e["width"],
-        },
-    )
-    return _summary(long, "bool", F.col("w"))
+    return eval_parts(df, dictionary, ignored, ("bool",))
 
 
 def eval_unary(df: DataFrame, dictionary: Dictionary, ignored=()) -> DataFrame:
     """Hinge loss and closeness of the counted level."""
-    long = per_entry(
-        df,
-        span_rows(_spans(dictionary, "unary", ignored)),
-        {
-            "loss": lambda y, z, e: hinge(y, z) / e["width"],
-            "accuracy": lambda y, z, e: 1 / (F.abs(count_above(z) - total(y)) / e["sd"] + 1),
-            "w": lambda y, z, e: F.lit(1),
-        },
-    )
-    return _summary(long, "unary", F.col("w"))
+    return eval_parts(df, dictionary, ignored, ("unary",))
 
 
 def eval_onehot(df: DataFrame, dictionary: Dictionary, ignored=()) -> DataFrame:
     """Hinge loss and agreement of the largest column."""
-    long = per_entry(
-        df,
-        span_rows(_spans(dictionary, "one-hot", ignored)),
-        {
-            "loss": lambda y, z, e: hinge(y, z) / e["width"],
-            "accuracy": lambda y, z, e: (argmax(y) == argmax(z)).cast("double"),
-            "w": lambda y, z, e: F.lit(1),
-        },
-    )
-    return _summary(long, "one-hot", F.col("w"))
+    return eval_parts(df, dictionary, ignored, ("one-hot",))
 
 
 def eval_spread(df: DataFrame, dictionary: Dictionary, ignored=()) -> DataFrame:
-    """Gap between the mean deviations of prediction and truth, per field.
-
-    The prediction is scaled by the field's deviation and the truth is not, as
-    in the definition.  First pass: means, one row per field to the driver.
-    """
-    spans = _spans(dictionary, "unary", ignored) + _spans(dictionary, "continuous", ignored)
-    rows = span_rows(spans)
-    sums = per_entry(df, rows, {"sy": lambda y, z, e: total(y) / e["width"], "sz": lambda y, z, e: total(z) / e["width"]})
-    means = {
-        r["field"]: (r["my"], r["mz"])
-        for r in sums.groupBy("field").agg(F.avg("sy").alias("my"), F.avg("sz").alias("mz")).collect()
-    }
-    for row in rows:
-        row["my"], row["mz"] = means.get(row["field"], (0.0, 0.0))
-    gaps = per_entry(
-        df,
-        rows,
-        {
-            "dy": lambda y, z, e: total(F.transform(y, lambda v: F.abs(v - e["my"]))) / e["width"],
-            "dz": lambda y, z, e: total(F.transform(z, lambda v: F.abs(v - e["mz"]) * e["sd"])) / e["width"],
-            "sd": lambda y, z, e: e["sd"],
-        },
-    )
-    return gaps.groupBy("field").agg((F.abs(F.avg("dz") - F.avg("dy")) / F.first("sd")).alias("loss")).select(
-        F.lit("spread").alias("metric"),
-        "field",
-        "loss",
-        F.lit(None).cast("double").alias("accuracy"),
-        F.lit(0.0).alias("accuracy_weight"),
-    )
-
-
-def team_gap_terms(dictionary: Dictionary, ignored=(), team: int = 5) -> list[dict]:
-    """Signed terms per compared statistic: (+) first team, (-) second.
-
-    Per-participant statistics are summed over the members and weigh 1/10,
-    per-team statistics 1/2.
-    """
-    grouped: dict[str, list] = {}
-    for s in dictionary.portion_spans(OUTCOME):
-        f = s.field
-        if f.handling not in ("unary", "continuous") or f.occurrence == "single" or f.path in ignored:
-            continue
-        slot = int(f.path.split(".")[1])
-        first = slot < team if f.occurrence == "per-participant" else slot == 0
-        grouped.setdefault(f.family, []).append((s, 1.0 if first else -1.0))
-    return [
-        {"stat": stat, "weight": 0.1 if members[0][0].field.occurrence == "per-participant" else 0.5, "members": members}
-        for stat, members in grouped.items()
-    ]
+    """Gap between the mean deviations of prediction and truth, per field.  The
+    prediction is scaled by the field's deviation and the truth is not, as in
+    the definition."""
+    return eval_parts(df, dictionary, ignored, ("spread",))
 
 
 def eval_team_gap(df: DataFrame, dictionary: Dictionary, ignored=()) -> DataFrame:
     """How well the distance between the teams is met, per statistic."""
-    cells = []
-    for term in team_gap_terms(dictionary, ignored):
-        for k in range(term["members"][0][0].width):
-            members = F.array(
-                *[
-                    F.struct(
-                        F.lit(s.start + k).alias("pos"),
-                        F.lit(sign).alias("sign"),
-                        F.lit(float(s.field.mean)).alias("mean"),
-                        F.lit(float(s.field.sd)).alias("sd"),
-                    )
-                    for s, sign in term["members"]
-                ]
-            )
-            cells.append(
-                F.struct(F.lit(term["stat"]).alias("field"), F.lit(term["weight"]).alias("weight"), members.alias("m"))
-            )
-
-    def gap(e):
-        def summed(value):
-            return F.abs(F.aggregate(e["m"], F.lit(0.0), lambda acc, m: acc + value(m)))
-
-        guess = summed(lambda m: m["sign"] * F.get(F.col("z"), m["pos"]).cast("double"))
-        real = summed(lambda m: m["sign"] * (F.get(F.col("y"), m["pos"]).cast("double") - m["mean"]) / m["sd"])
-        return F.struct(e["field"].alias("field"), (F.abs(guess - real) * e["weight"]).alias("loss"))
-
-    long = df.select(F.inline(F.transform(F.array(*cells), gap)))
-    return long.groupBy("field").agg(F.avg("loss").alias("loss")).select(
-        F.lit("team_gap").alias("metric"),
-        "field",
-        "loss",
-        F.lit(None).cast("double").alias("accuracy"),
-        F.lit(0.0).alias("accuracy_weight"),
-    )
+    return eval_parts(df, dictionary, ignored, ("team_gap",))
 
 
 def eval_l2(model: DataFrame, penalty: float) -> DataFrame:
     """Weight penalty: ``penalty`` times half the squared weights, all layers."""
-    squares = total(F.transform("w", lambda v: v * v))
+    squares = F.aggregate("w", F.lit(0.0), lambda acc, v: acc + v * v)
     return model.agg((F.sum(squares) / 2 * penalty).alias("loss")).select(
         F.lit("l2").alias("metric"),
         F.lit("weights").alias("field"),
@@ -247,17 +215,6 @@ def eval_l2(model: DataFrame, penalty: float) -> DataFrame:
     )
 
 
-def eval_parts(df: DataFrame, dictionary: Dictionary, model: DataFrame | None = None, penalty: float = 0.0, ignored=()) -> DataFrame:
-    """All parts of the combined loss in one long table."""
-    parts = [
-        fn(df, dictionary, ignored)
-        for fn in (eval_continuous, eval_bool, eval_unary, eval_onehot, eval_spread, eval_team_gap)
-    ]
-    if penalty and model is not None:
-        parts.append(eval_l2(model, penalty))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def combine(parts: DataFrame) -> DataFrame:
     """Mean of the part losses; accuracies over their total weight."""
     return parts.agg(
@@ -267,40 +224,28 @@ def combine(parts: DataFrame) -> DataFrame:
     )
 
 
-def eval_report(df: DataFrame, dictionary: Dictionary, predictions: str = "p") -> DataFrame:
+def eval_report(df: DataFrame, dictionary: Dictionary, predictions: str = "p", y: str = "y") -> DataFrame:
     """Per-field quality of predictions after the output heads."""
-    spans = dictionary.portion_spans(OUTCOME)
-    counted = span_rows([s for s in spans if s.field.handling in ("unary", "bool")])
-    onehot = span_rows([s for s in spans if s.field.handling == "one-hot"])
-    continuous = span_rows([s for s in spans if s.field.handling == "continuous"])
-    parts = [
-        (counted, "accuracy", lambda y, p, e: 1 / (F.abs(count_above(p, 0.5) - total(y)) / e["sd"] + 1)),
-        (onehot, "accuracy", lambda y, p, e: (argmax(y) == argmax(p)).cast("double")),
-        (continuous, "error", lambda y, p, e: total(pairs(y, p, lambda a, b: F.abs(a - b))) / e["width"]),
-    ]
-    frames = [
-        per_entry(df, rows, {"value": fn}, z=predictions)
-        .groupBy("field")
-        .agg(F.avg("value").alias("value"))
-        .select("field", F.lit(measure).alias("measure"), "value")
-        for rows, measure, fn in parts
-        if rows
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    plan = evaluation_plan(dictionary, parts=("bool", "unary", "one-hot"))
+    plan.spreads = _spans(dictionary, ("continuous",))
+    sums = accumulate(df, [y, predictions], lambda t, p: report_sums(t, p, plan))
+    return sums.select("field", F.col("metric").alias("measure"), (F.col("loss") / F.col("n")).alias("value"))
 
 
 def prediction_values(df: DataFrame, dictionary: Dictionary, predictions: str = "p") -> DataFrame:
     """(field, value) of every record's decoded prediction."""
-    spans = dictionary.portion_spans(OUTCOME)
-    levels = span_rows([s for s in spans if s.field.handling == "one-hot"])
-    counts = span_rows([s for s in spans if s.field.handling == "unary"])
-    scaled = span_rows([s for s in spans if s.field.handling in ("continuous", "bool")])
-    frames = [
-        per_entry(df, levels, {"value": lambda y, p, e: argmax(p).cast("double")}, predictions, predictions),
-        per_entry(df, counts, {"value": lambda y, p, e: count_above(p, 0.5).cast("double")}, predictions, predictions),
-        per_entry(df, scaled, {"value": lambda y, p, e: total(p) / e["width"] * e["sd"] + e["mean"]}, predictions, predictions),
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    p = F.col(predictions)
+    cells = []
+    for s in dictionary.portion_spans(OUTCOME):
+        f = s.field
+        if f.handling == "one-hot":
+            value = argmax(cut(p, s.start, s.width))
+        elif f.handling == "unary":
+            value = F.size(F.filter(cut(p, s.start, s.width), lambda v: v > 0.5))
+        else:
+            value = F.get(p, F.lit(s.start)) * F.lit(float(f.sd or 1.0)) + F.lit(float(f.mean or 0.0))
+        cells.append(F.struct(F.lit(f.path).alias("field"), value.cast("double").alias("value")))
+    return df.select(F.inline(F.array(*cells)))
 
 
 def histogram(values: DataFrame, low, high, buckets: int = 10, by=("field",)) -> DataFrame:

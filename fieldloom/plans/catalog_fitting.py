@@ -186,7 +186,7 @@ def fit_win(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = with_generated(corpus.train_rows(split, DICTIONARY, duration=None))
     evaluation = with_generated(corpus.evaluation_rows(split, DICTIONARY, duration=None))
     result = fitting.fit_binary(
-        train, evaluation, ["known", "unknown"], "target", hidden=(16,), steps=6, groups=2,
+        train, evaluation, ["known", "unknown"], N_KNOWN + N_UNKNOWN, "target", hidden=(16,), steps=6, groups=2,
         learning_rate=0.01, evaluate_every=3, run="win",
     )
     return log_rows(spark, result)
@@ -205,7 +205,7 @@ def fit_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = both(corpus.train_rows(split, DICTIONARY, above=MIN_DURATION))
     evaluation = both(corpus.evaluation_rows(split, DICTIONARY, above=MIN_DURATION))
     result = fitting.fit_binary(
-        train, evaluation, ["known", "unknown"], "target", hidden=(16,), steps=6, groups=2,
+        train, evaluation, ["known", "unknown"], N_KNOWN + N_UNKNOWN, "target", hidden=(16,), steps=6, groups=2,
         optimizer="adagrad", learning_rate=0.05, evaluate_every=3, run="two-sample",
     )
     return log_rows(spark, result)
