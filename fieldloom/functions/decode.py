@@ -1,57 +1,56 @@
-"""Decoding expressions over one encoded float array."""
+"""Decoding expressions as SQL text over one encoded array."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from fieldloom.functions.text import array, literal
 from fieldloom.schema import Span
 
 
-def cut(x: Column, start: int, width: int) -> Column:
+def cut(x: str, start: int, width: int) -> str:
     """Columns [start, start + width) of an encoded array."""
-    return F.slice(x, start + 1, width)
+    return f"slice({x}, {start + 1}, {width})"
 
 
-def argmax(x: Column) -> Column:
-    """0-based position of the first maximum."""
-    return (F.array_position(x, F.array_max(x)) - 1).cast("int")
+def argmax(x: str) -> str:
+    """0-based position of the first maximum; null if all cells are null."""
+    return f"cast(array_position({x}, array_max({x})) - 1 as int)"
 
 
-def count_positive(x: Column) -> Column:
-    return F.size(F.filter(x, lambda v: v > 0))
+def count_above(x: str, threshold: float = 0.0) -> str:
+    return f"size(filter({x}, v -> v > {threshold}D))"
 
 
-def field_value(x: Column, span: Span, decode_base: str = "family") -> Column:
+def field_value(x: str, span: Span, decode_base: str = "family") -> str:
     """Typed value of one field; null where the encoded part is null.
 
     ``decode_base`` is the level added to a unary count: the minimum over the
     family, which inverts the encoding, or the field's own (``"field"``).
     """
     f = span.field
-    first = F.get(x, F.lit(span.start))
+    kind = f.spark_type.simpleString()
+    first = f"get({x}, {span.start})"
     if f.handling == "one-hot":
-        levels = [True, False] if f.kind == "bool" else list(f.levels)
-        return F.get(F.lit(levels), argmax(cut(x, span.start, span.width)))
+        levels = [True, False] if f.kind == "bool" else f.levels
+        return f"get({array(levels)}, {argmax(cut(x, span.start, span.width))})"
     if f.handling == "unary":
-        if not span.width:
-            return F.lit(span.lo).cast(f.spark_type)
         base = span.lo if decode_base == "family" else int(f.min)
-        count = count_positive(cut(x, span.start, span.width))
-        return F.when(first.isNotNull(), count + F.lit(base)).try_cast(f.spark_type)
+        if not span.width:
+            return f"cast({base} as {kind})"
+        count = count_above(cut(x, span.start, span.width))
+        return f"try_cast(if({first} IS NOT NULL, {count} + {base}, NULL) as {kind})"
     if f.handling == "bool":
         if f.kind == "bool":
-            return first > 0
+            return f"{first} > 0"
         if f.kind == "enum":
             other = next(level for level in f.levels if level != f.mode)
-            high, low = F.lit(f.mode), F.lit(other)
+            high, low = literal(f.mode), literal(other)
         else:
-            high, low = F.lit(f.mean + f.sd), F.lit(f.mean - f.sd)
-        value = F.when(first > 0, high).when(first.isNotNull(), low)
-        return value if f.kind == "enum" else value.try_cast(f.spark_type)
-    value = first.cast("double") * F.lit(float(f.sd)) + F.lit(float(f.mean))
+            high, low = literal(float(f.mean + f.sd)), literal(float(f.mean - f.sd))
+        value = f"CASE WHEN {first} > 0 THEN {high} WHEN {first} IS NOT NULL THEN {low} END"
+        return value if f.kind == "enum" else f"try_cast({value} as {kind})"
+    value = f"(cast({first} as double) * {literal(float(f.sd))} + {literal(float(f.mean))})"
+    # greatest and least skip nulls, so an ignored cell is kept apart.
+    bounded = f"least({value}, {literal(float(f.cap))})"
     if f.min >= 0:
-        value = F.when(value < 0, F.lit(0.0)).otherwise(value)
-    cap = F.lit(float(f.cap))
-    value = F.when(value > cap, cap).otherwise(value)
-    return value.try_cast(f.spark_type)
+        bounded = f"greatest({bounded}, 0D)"
+    return f"try_cast(if({first} IS NULL, NULL, {bounded}) as {kind})"

@@ -1,65 +1,65 @@
-"""Encoding expressions.  Each builder returns the array pieces of one field,
-so that a whole record is a single flat ``concat`` without lambdas."""
+"""Encoding expressions as SQL text.  Each builder returns the array pieces of
+one field, so that a whole record is a single flat ``concat`` without lambdas."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from fieldloom.functions.text import array, literal, name
 from fieldloom.schema import Field, Span
 
 
-def cell(value: float) -> Column:
-    return F.lit(value).cast("float")
-
-
-def fill_default(value: Column, field: Field) -> Column:
+def fill_default(field: Field, value: str | None = None) -> str:
     """Null, or a value outside an enum's levels, becomes the typed default."""
+    value = value or name(field.column)
+    default = literal(field.default)
     if field.kind == "enum":
-        known = F.array_contains(F.lit(list(field.levels)), value)
-        return F.when(known, value).otherwise(F.lit(field.default))
-    return F.coalesce(value, F.lit(field.default)).cast(field.spark_type)
+        return f"if(array_contains({array(field.levels)}, {value}), {value}, {default})"
+    return f"cast(coalesce({value}, {default}) as {field.spark_type.simpleString()})"
 
 
-def onehot(value: Column, levels) -> list[Column]:
+def onehot(value: str, levels) -> list[str]:
     """1 at the level's position, 0 elsewhere; all 0 for any other value."""
-    n = len(levels)
-    index = F.coalesce(F.array_position(F.lit(list(levels)), value), F.lit(0)).cast("int")
+    index = f"cast(coalesce(array_position({array(levels)}, {value}), 0) as int)"
     return [
-        F.array_repeat(cell(0.0), index - 1),
-        F.array_repeat(cell(1.0), F.least(index, F.lit(1))),
-        F.array_repeat(cell(0.0), F.lit(n) - index),
+        f"array_repeat(0F, {index} - 1)",
+        f"array_repeat(1F, least({index}, 1))",
+        f"array_repeat(0F, {len(levels)} - {index})",
     ]
 
 
-def thermometer(value: Column, lo: int, width: int) -> list[Column]:
+def thermometer(value: str, lo: int, width: int) -> list[str]:
     """``value >= k`` for every k in (lo, lo + width]."""
-    level = F.coalesce(value.cast("double"), F.lit(float(lo)))
-    lit = F.greatest(F.lit(0.0), F.least(F.floor(level) - lo, F.lit(float(width)))).cast("int")
-    return [F.array_repeat(cell(1.0), lit), F.array_repeat(cell(0.0), F.lit(width) - lit)]
+    lit = f"cast(greatest(0, least(floor(cast({value} as double)) - {lo}, {width})) as int)"
+    return [f"array_repeat(1F, {lit})", f"array_repeat(0F, {width} - {lit})"]
 
 
-def flag(condition: Column) -> list[Column]:
-    return [F.array(F.when(condition, cell(1.0)).otherwise(cell(0.0)))]
+def flag(condition: str) -> list[str]:
+    return [f"array(if({condition}, 1F, 0F))"]
 
 
-def zscore(value: Column, mean: float, sd: float) -> list[Column]:
+def zscore(value: str, mean: float, sd: float) -> list[str]:
     """``(value - mean) / sd``; null where sd is 0."""
-    return [F.array(F.try_divide(value.cast("double") - F.lit(mean), F.lit(sd)).cast("float"))]
+    mean, sd = literal(float(mean)), literal(float(sd))
+    return [f"array(cast(try_divide(cast({value} as double) - {mean}, {sd}) as float))"]
 
 
-def field_pieces(value: Column, span: Span) -> list[Column]:
+def field_pieces(span: Span, value: str | None = None) -> list[str]:
     """Encoded pieces of an already filled value."""
     f = span.field
+    value = value or name(f.column)
     if f.handling == "one-hot":
         if f.kind == "bool":
-            return flag(value) + flag(~value)
+            return flag(value) + flag(f"NOT {value}")
         return onehot(value, f.levels)
     if f.handling == "unary":
         return thermometer(value, span.lo, span.width)
     if f.handling == "bool":
         if f.kind == "enum":
-            return flag(value == F.lit(f.mode))
-        number = value.cast("int").cast("double") if f.kind == "bool" else value.cast("double")
-        return flag(number > F.lit(f.mean))
+            return flag(f"{value} = {literal(f.mode)}")
+        number = f"cast({value} as int)" if f.kind == "bool" else value
+        return flag(f"cast({number} as double) > {literal(float(f.mean))}")
     return zscore(value, f.mean, f.sd)
+
+
+def encoded_text(spans) -> str:
+    """One array with the encoded columns of all spans."""
+    return "concat(" + ", ".join(p for s in spans for p in field_pieces(s)) + ")"

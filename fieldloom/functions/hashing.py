@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from fieldloom.functions.text import literal
 
 
-def digest(seed, *parts) -> Column:
-    """Hex md5 of ``seed:part:part...``; an order key for seeded shuffles."""
-    cols = [F.lit(str(seed))]
-    cols += [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
-    return F.md5(F.concat_ws(":", *cols))
+def digest_text(seed, *parts) -> str:
+    """Hex md5 of ``seed:part:part...``; an order key for seeded shuffles.
 
+    Parts are SQL expressions or plain numbers.
+    """
+    return f"md5(concat_ws(':', {', '.join([literal(str(seed)), *[f'cast({p} as string)' for p in parts]])}))"
 
-def unit_draw(seed, *parts) -> Column:
+
+def draw_text(seed, *parts) -> str:
     """Uniform double in [0, 1) that depends only on the seed and the keys."""
-    head = F.conv(F.substring(digest(seed, *parts), 1, 8), 16, 10)
-    return head.cast("bigint") / F.lit(4294967296.0)
+    head = f"conv(substring({digest_text(seed, *parts)}, 1, 8), 16, 10)"
+    return f"(cast({head} as bigint) / 4294967296D)"

@@ -19,13 +19,23 @@ def sigmoid(v):
 
 # name -> (value, derivative from the input v and the activated value a)
 ACTIVATIONS = {
-    "leaky-relu": (lambda v: np.where(v > 0, v, v * LEAK), lambda v, a: np.where(v > 0, 1.0, LEAK)),
+    "leaky-relu": (lambda v: np.where(v > 0, v, v * LEAK), lambda v, a: np.where(v > 0, 1.0, LEAK).astype(v.dtype)),
     "relu": (lambda v: np.maximum(v, 0), lambda v, a: (v > 0).astype(v.dtype)),
     "sigmoid": (sigmoid, lambda v, a: a * (1 - a)),
     "tanh": (np.tanh, lambda v, a: 1 - a * a),
 }
 
 
+# What an output head does.
+HEAD_NONE, HEAD_SIGMOID, HEAD_LINEAR = 0, 1, 2
+
+
+def apply_heads(z, kinds):
+    """Logits to predictions, column by column kind."""
+    kinds = np.asarray(kinds)
+    return np.where(kinds == HEAD_SIGMOID, sigmoid(z), np.where(kinds == HEAD_LINEAR, z, z.dtype.type(0)))
+
+
 def forward(x, network, activation="leaky-relu"):
     """Logits of every row."""
     act, _ = ACTIVATIONS[activation]
@@ -51,6 +61,20 @@ def gradients(x, network, objective, activation="leaky-relu"):
     return loss, out[::-1]
 
 
+def flatten(network) -> np.ndarray:
+    """All weights and biases as one vector."""
+    return np.concatenate([part.ravel() for layer in network for part in layer])
+
+
+def unflatten(flat: np.ndarray, like):
+    """The vector cut back into the shapes of ``like``."""
+    out, at = [], 0
+    for w, b in like:
+        out.append((flat[at : at + w.size].reshape(w.shape), flat[at + w.size : at + w.size + b.size]))
+        at += w.size + b.size
+    return out
+
+
 def initial_network(sizes, seed=0, scale=0.05):
     """Normal(0, ``scale``) weights and biases."""
     rng = np.random.default_rng(seed)

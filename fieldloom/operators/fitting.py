@@ -20,10 +20,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.hashing import unit_draw
-from fieldloom.functions.network import gradients, initial_network, to_matrix
+from fieldloom.functions.hashing import draw_text
+from fieldloom.functions.network import flatten, gradients, initial_network, to_matrix, unflatten
 from fieldloom.functions.objectives import LogisticObjective, MixedObjective
 from fieldloom.functions.optimizers import Optimizer
+from fieldloom.functions.text import literal, name
 from fieldloom.operators.metrics import (
     combine,
     eval_l2,
@@ -38,6 +39,7 @@ from fieldloom.session import materialize, new_folder, ship_package
 from fieldloom.sources.models import check_network, network_frame
 
 BLOCK = 1 << 16
+FAN_IN = 128
 LOG_SCHEMA = "run string, step bigint, samples bigint, split string, metric string, value double"
 
 
@@ -47,18 +49,6 @@ def mixed_objective(dictionary: Dictionary, ignored=(), extra_losses: int = 0) -
     return MixedObjective(dictionary.width(OUTCOME), plan, extra_losses)
 
 
-def flatten(network) -> np.ndarray:
-    return np.concatenate([part.ravel() for layer in network for part in layer])
-
-
-def unflatten(flat: np.ndarray, like):
-    out, at = [], 0
-    for w, b in like:
-        out.append((flat[at : at + w.size].reshape(w.shape), flat[at + w.size : at + w.size + b.size]))
-        at += w.size + b.size
-    return out
-
-
 def gradient_sum(
     df: DataFrame, network, objective, inputs, target: str, activation="leaky-relu", dtype="float64"
 ):
@@ -100,24 +90,24 @@ def gradient_sum(
             )
 
     parts = df.select(*inputs, target).mapInArrow(partial, "block int, n bigint, loss double, g array<double>")
-    blocks = (
-        parts.groupBy("block")
-        .agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), Summarizer.sum(array_to_vector("g")).alias("g"))
-        .collect()
-    )
+    sums = [F.sum("n").alias("n"), F.sum("loss").alias("loss"), Summarizer.sum(F.col("v")).alias("v")]
+    # Two levels, so that no reducer adds up more than FAN_IN tasks' vectors.
+    branch = F.floor(F.spark_partition_id() / FAN_IN).alias("branch")
+    vectors = parts.select("block", branch, "n", "loss", array_to_vector("g").alias("v"))
+    blocks = vectors.groupBy("block", "branch").agg(*sums).groupBy("block").agg(*sums).collect()
     shared.destroy()
     if not blocks:
         raise ValueError("no rows to fit on")
     blocks.sort(key=lambda r: r["block"])
     n = blocks[0]["n"]
-    return n, blocks[0]["loss"] / n, np.concatenate([r["g"].toArray() for r in blocks]) / n
+    return n, blocks[0]["loss"] / n, np.concatenate([r["v"].toArray() for r in blocks]) / n
 
 
 def step_groups(df: DataFrame, groups: int, seed=0, key: str = "rec_id") -> DataFrame:
     """Rows laid out by step group, so that a step scans only its own files."""
     path = new_folder(df.sparkSession, "steps")
-    group = F.floor(unit_draw(seed, "step", F.col(key)) * groups).cast("int")
-    df.withColumn("step_group", group).write.partitionBy("step_group").parquet(path)
+    draw = draw_text(seed, literal("step"), name(key))
+    df.withColumn("step_group", F.expr(f"cast(floor({draw} * {groups}) as int)")).write.partitionBy("step_group").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

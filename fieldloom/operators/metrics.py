@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.decode import argmax, cut
+from fieldloom.functions.decode import argmax, count_above, cut
 from fieldloom.functions.evaluation import Plan, mean_sums, part_sums, report_sums
-from fieldloom.functions.network import forward, to_matrix
+from fieldloom.functions.network import apply_heads, forward, to_matrix
+from fieldloom.functions.text import literal, name
 from fieldloom.schema import OUTCOME, Dictionary
 from fieldloom.session import ship_package
 
@@ -224,28 +225,29 @@ def combine(parts: DataFrame) -> DataFrame:
     )
 
 
-def eval_report(df: DataFrame, dictionary: Dictionary, predictions: str = "p", y: str = "y") -> DataFrame:
-    """Per-field quality of predictions after the output heads."""
+def eval_report(df: DataFrame, dictionary: Dictionary, kinds, z: str = "z", y: str = "y") -> DataFrame:
+    """Per-field quality of the predictions that the heads ``kinds`` make of the
+    logits."""
     plan = evaluation_plan(dictionary, parts=("bool", "unary", "one-hot"))
     plan.spreads = _spans(dictionary, ("continuous",))
-    sums = accumulate(df, [y, predictions], lambda t, p: report_sums(t, p, plan))
+    sums = accumulate(df, [y, z], lambda t, v: report_sums(t, apply_heads(v, kinds), plan))
     return sums.select("field", F.col("metric").alias("measure"), (F.col("loss") / F.col("n")).alias("value"))
 
 
 def prediction_values(df: DataFrame, dictionary: Dictionary, predictions: str = "p") -> DataFrame:
     """(field, value) of every record's decoded prediction."""
-    p = F.col(predictions)
+    p = name(predictions)
     cells = []
     for s in dictionary.portion_spans(OUTCOME):
         f = s.field
         if f.handling == "one-hot":
             value = argmax(cut(p, s.start, s.width))
         elif f.handling == "unary":
-            value = F.size(F.filter(cut(p, s.start, s.width), lambda v: v > 0.5))
+            value = count_above(cut(p, s.start, s.width), 0.5)
         else:
-            value = F.get(p, F.lit(s.start)) * F.lit(float(f.sd or 1.0)) + F.lit(float(f.mean or 0.0))
-        cells.append(F.struct(F.lit(f.path).alias("field"), value.cast("double").alias("value")))
-    return df.select(F.inline(F.array(*cells)))
+            value = f"get({p}, {s.start}) * {literal(float(f.sd or 1.0))} + {literal(float(f.mean or 0.0))}"
+        cells.append(f"struct({literal(f.path)} as field, cast({value} as double) as value)")
+    return df.selectExpr(f"inline(array({', '.join(cells)}))")
 
 
 def histogram(values: DataFrame, low, high, buckets: int = 10, by=("field",)) -> DataFrame:

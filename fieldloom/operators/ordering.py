@@ -79,13 +79,16 @@ def with_running(
     runs: dict[str, Running],
     limit: int = GROUP_LIMIT,
     partitions: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add running columns over ``keys`` groups in ``order`` (ascending).
 
     ``order`` must be total within a group for the result to be unique.
+    ``sized_by`` is a cheaper table with at least as many rows per group, on
+    which the largest group is measured.
     """
     keys, order = list(keys), list(order)
-    if keys and largest_group(df, keys) <= limit:
+    if keys and largest_group(sized_by if sized_by is not None else df, keys) <= limit:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[_local(r, window).alias(c) for c, r in runs.items()])
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.decode import cut, field_value
-from fieldloom.functions.encode import field_pieces, fill_default
+from fieldloom.functions.encode import encoded_text, fill_default
+from fieldloom.functions.text import name
 from fieldloom.schema import ALL, KNOWN, OUTCOME, WIN, Dictionary, Span
 
 # One array column per portion, so that a Parquet scan can prune the others.
@@ -15,13 +16,13 @@ PORTION_COLUMNS = {"known": KNOWN, "unknown": OUTCOME, "win": WIN}
 
 def fill_defaults(df: DataFrame, dictionary: Dictionary, mask: int = ALL) -> DataFrame:
     """Typed fields without nulls or undeclared levels; other columns pass."""
-    filled = {f.column: fill_default(F.col(f.column), f) for f in dictionary.select(mask)}
-    return df.withColumns({c: e for c, e in filled.items() if c in df.columns})
+    filled = {f.column: f"{fill_default(f)} as {name(f.column)}" for f in dictionary.select(mask)}
+    return df.selectExpr(*[filled.get(c, name(c)) for c in df.columns])
 
 
 def encoded_array(spans: list[Span]) -> Column:
-    pieces = [p for s in spans for p in field_pieces(F.col(s.field.column), s)]
-    return F.concat(*pieces)
+    """One array with the encoded columns of the spans, from filled fields."""
+    return F.expr(encoded_text(spans))
 
 
 def encode_records(
@@ -34,10 +35,10 @@ def encode_records(
     return fill_defaults(df, dictionary).select(*keep, *arrays)
 
 
-def project_portion(x: Column, dictionary: Dictionary, mask: int) -> Column:
-    """A portion cut out of a full encoded row."""
+def project_portion(x: str, dictionary: Dictionary, mask: int) -> Column:
+    """A portion cut out of the full encoded row in column ``x``."""
     start, stop = dictionary.portion_slice(mask)
-    return cut(x, start, stop - start)
+    return F.expr(cut(name(x), start, stop - start))
 
 
 def assign_portions(dictionary: Dictionary, parts: dict[str, Column], mask: int = ALL) -> Column:
@@ -73,31 +74,33 @@ def drop_short_encoded(
 def decode_records(
     df: DataFrame,
     dictionary: Dictionary,
-    sources: dict[str, Column],
+    sources: dict[str, str],
     keep=("rec_id",),
     decode_base: str = "family",
 ) -> DataFrame:
-    """Typed fields in dictionary order from per-portion arrays."""
+    """Typed fields in dictionary order; ``sources`` names the array column of
+    each portion."""
     by_path = {}
-    for name, array in sources.items():
-        for span in dictionary.portion_spans(PORTION_COLUMNS[name]):
-            by_path[span.field.path] = field_value(array, span, decode_base)
-    columns = [by_path[f.path].alias(f.column) for f in dictionary if f.path in by_path]
-    return df.select(*keep, *columns)
+    for portion, column in sources.items():
+        for span in dictionary.portion_spans(PORTION_COLUMNS[portion]):
+            by_path[span.field.path] = field_value(name(column), span, decode_base)
+    columns = [f"{by_path[f.path]} as {name(f.column)}" for f in dictionary if f.path in by_path]
+    return df.selectExpr(*[name(k) for k in keep], *columns)
 
 
-def mask_ignored(x: Column, dictionary: Dictionary, ignored, mask: int = OUTCOME, fill=None) -> Column:
-    """Ignored fields' encoded columns become ``fill`` (null or 0)."""
+def mask_ignored(x: str, dictionary: Dictionary, ignored, mask: int = OUTCOME, fill=None) -> Column:
+    """Ignored fields' encoded columns of array ``x`` become ``fill`` (null or 0)."""
     spans = dictionary.portion_spans(mask)
+    blank = "cast(NULL as double)" if fill is None else f"{float(fill)}D"
     pieces, start = [], 0
     for s in spans:
         if s.field.path not in ignored:
             continue
         if s.start > start:
-            pieces.append(cut(x, start, s.start - start).cast("array<double>"))
-        pieces.append(F.array_repeat(F.lit(fill).cast("double"), s.width))
+            pieces.append(cut(name(x), start, s.start - start))
+        pieces.append(f"array_repeat({blank}, {s.width})")
         start = s.stop
     width = spans[-1].stop
     if start < width:
-        pieces.append(cut(x, start, width - start).cast("array<double>"))
-    return F.concat(*pieces)
+        pieces.append(cut(name(x), start, width - start))
+    return F.expr("concat(" + ", ".join(f"cast({p} as array<double>)" for p in pieces) + ")")

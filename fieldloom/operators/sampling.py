@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from math import exp
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.hashing import digest, unit_draw
+from fieldloom.functions.hashing import digest_text, draw_text
+from fieldloom.functions.text import literal, name
 from fieldloom.operators.ordering import with_position
 from fieldloom.schema import Dictionary
 
@@ -34,10 +35,10 @@ def batch_rows(placed: DataFrame, batch_size: int = 2048) -> DataFrame:
     return placed.withColumn("batch_id", F.floor(F.col("pos") / batch_size).cast("bigint"))
 
 
-def member_order(seed, batch: Column, team: int) -> Column:
+def member_order(seed, batch: str, team: int) -> str:
     """One seeded permutation of the team's members per batch."""
-    keyed = [F.struct(digest(seed, batch, team, m).alias("h"), F.lit(m).alias("m")) for m in range(TEAM)]
-    return F.transform(F.array_sort(F.array(*keyed)), lambda x: x["m"])
+    keyed = [f"struct({digest_text(seed, name(batch), team, m)} as h, {m} as m)" for m in range(TEAM)]
+    return f"transform(array_sort(array({', '.join(keyed)})), x -> x.m)"
 
 
 def _member_columns(dictionary: Dictionary, present, team: int):
@@ -56,16 +57,15 @@ def _member_columns(dictionary: Dictionary, present, team: int):
 def permute_slots(df: DataFrame, dictionary: Dictionary, seed=0, batch: str = "batch_id") -> DataFrame:
     """Per batch and team, move all of a member's fields and the member's ban
     together to a permuted slot.  Teams are not swapped."""
-    orders = {f"_order_{t}": member_order(seed, F.col(batch), t) for t in (0, 1)}
-    ordered = df.withColumns(orders)
+    ordered = df.selectExpr("*", *[f"{member_order(seed, batch, t)} as _order_{t}" for t in (0, 1)])
     moved = {}
     for t in (0, 1):
         members = _member_columns(dictionary, set(df.columns), t)
         for m, columns in enumerate(members):
             for key, column in columns.items():
-                pool = F.array(*[F.col(other[key]) for other in members])
-                moved[column] = F.get(pool, F.get(F.col(f"_order_{t}"), F.lit(m)))
-    return ordered.withColumns(moved).drop(*orders)
+                pool = ", ".join(name(other[key]) for other in members)
+                moved[column] = f"get(array({pool}), get(_order_{t}, {m})) as {name(column)}"
+    return ordered.selectExpr(*[moved.get(c, name(c)) for c in df.columns])
 
 
 def coverage(share: float) -> float:
@@ -77,18 +77,19 @@ def blank_optional(
     df: DataFrame, dictionary: Dictionary, blank: float = 0.5, keep: float = 0.5, seed=0, key: str = "rec_id"
 ) -> DataFrame:
     """Blank optional fields at random; a share of rows is left untouched."""
-    kept = unit_draw(seed, "keep", F.col(key)) < F.lit(coverage(keep))
+    kept = f"{draw_text(seed, literal('keep'), name(key))} < {literal(coverage(keep))}"
     out = {}
     for f in dictionary:
         if f.optional and f.column in df.columns:
-            hit = unit_draw(seed, f.path, F.col(key)) < F.lit(coverage(blank))
-            out[f.column] = F.when(hit & ~F.col("_kept"), F.lit("")).otherwise(F.col(f.column))
-    return df.withColumn("_kept", kept).withColumns(out).drop("_kept")
+            hit = f"{draw_text(seed, literal(f.path), name(key))} < {literal(coverage(blank))}"
+            out[f.column] = f"if(NOT _kept AND {hit}, '', {name(f.column)}) as {name(f.column)}"
+    marked = df.selectExpr("*", f"{kept} as _kept")
+    return marked.selectExpr(*[out.get(c, name(c)) for c in df.columns])
 
 
 def shuffle_rows(df: DataFrame, seed=0, epoch: int = 0, key: str = "rec_id", batch: str = "batch_id") -> DataFrame:
     """A seeded order within each batch, other per epoch.  A group is one batch,
     whose size is the batch size."""
-    order = [digest(seed, epoch, F.col(key)), F.col(key)]
+    order = [F.expr(digest_text(seed, epoch, name(key))), F.col(key)]
     window = Window.partitionBy(batch).orderBy(*order)
     return df.select("*", F.lit(epoch).alias("epoch"), (F.row_number().over(window) - 1).alias("place"))

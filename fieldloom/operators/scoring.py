@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.functions.network import forward, sigmoid, to_lists, to_matrix
+from fieldloom.functions.network import (
+    HEAD_LINEAR,
+    HEAD_NONE,
+    HEAD_SIGMOID,
+    apply_heads,
+    forward,
+    to_lists,
+    to_matrix,
+)
 from fieldloom.schema import OUTCOME, Dictionary
 from fieldloom.session import ship_package
 from fieldloom.sources.models import check_network
 
-# What an output head does.
-HEAD_NONE, HEAD_SIGMOID, HEAD_LINEAR = 0, 1, 2
-
-
 def head_kinds(dictionary: Dictionary, ignored=(), mask: int = OUTCOME) -> list[int]:
     """Head of every encoded column of a portion."""
     kinds = []
@@ -77,14 +81,17 @@ def score_dense(
     activation: str = "leaky-relu",
     drop=(),
     dtype: str = "float64",
+    kinds: list[int] | None = None,
 ) -> DataFrame:
-    """Logits of one network on the concatenated input columns."""
+    """Logits of one network on the concatenated input columns; with ``kinds``
+    the predictions after the output heads."""
     check_network(network)
     shared = df.sparkSession.sparkContext.broadcast([(w.astype(dtype), b.astype(dtype)) for w, b in network])
 
     def run(*mats):
         x = mats[0] if len(mats) == 1 else np.hstack(mats)
-        return (forward(x, shared.value, activation),)
+        z = forward(x, shared.value, activation)
+        return (z if kinds is None else apply_heads(z, kinds),)
 
     return map_matrices(df, inputs, [out], run, drop, dtype)
 
@@ -117,10 +124,7 @@ def score_chain(
     def run(known):
         first, second = shared.value
         logit = forward(known, first, activation)
-        unknown = logit
-        if chain_input == "probability":
-            head = np.asarray(kinds)
-            unknown = np.where(head == HEAD_SIGMOID, sigmoid(logit), np.where(head == HEAD_LINEAR, logit, 0.0))
+        unknown = apply_heads(logit, kinds) if chain_input == "probability" else logit
         made = {
             "unknown_logit": logit,
             "win_logit": forward(np.hstack([known, unknown]), second, activation),

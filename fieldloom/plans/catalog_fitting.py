@@ -10,7 +10,7 @@ from fieldloom.functions.objectives import LogisticObjective
 from fieldloom.functions.optimizers import Optimizer
 from fieldloom.operators import corpus, fitting, metrics
 from fieldloom.operators.sampling import split_positional
-from fieldloom.operators.scoring import output_heads, score_dense
+from fieldloom.operators.scoring import score_dense
 from fieldloom.plans.matches import DICTIONARY, MIN_DURATION, records
 from fieldloom.plans.models import GENERATOR, KINDS, N_KNOWN, N_UNKNOWN, encoded, formula_network
 from fieldloom.plans.oracle import last_bias, sql, weight
@@ -175,8 +175,7 @@ def fit_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_generated(df: DataFrame) -> DataFrame:
     """known, generated unknown (after the heads), win target."""
-    rows = score_dense(win_target(df).drop("unknown", "win"), GENERATOR, out="z")
-    return rows.withColumn("unknown", output_heads(F.col("z"), KINDS)).drop("z")
+    return score_dense(win_target(df).drop("unknown", "win"), GENERATOR, out="unknown", kinds=KINDS)
 
 
 @query("fit_win")
@@ -198,7 +197,7 @@ def fit_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = split_records(spark, sf_dir)
 
     def both(rows: DataFrame) -> DataFrame:
-        real = rows.select("rec_id", "known", F.transform("unknown", lambda v: v.cast("double")).alias("unknown"))
+        real = rows.select("rec_id", "known", F.col("unknown").cast("array<double>").alias("unknown"))
         fake = with_generated(rows).select("rec_id", "known", "unknown")
         return metrics.two_sample(real, fake)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import metrics
 from fieldloom.operators.scoring import output_heads, score_dense
 from fieldloom.plans.matches import DICTIONARY
-from fieldloom.plans.models import KINDS, WIN_NETWORK, encoded, scored
+from fieldloom.plans.models import GENERATOR, KINDS, WIN_NETWORK, encoded, scored
 from fieldloom.plans.oracle import bias, last_bias, leaky, sql, weight
 from fieldloom.plans.registry import query
 
@@ -131,8 +131,7 @@ def eval_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).withColumn("p", output_heads(F.col("z"), KINDS))
-    return metrics.eval_report(rows, DICTIONARY).withColumn("value", F.round("value", 6))
+    return metrics.eval_report(scored(spark, sf_dir), DICTIONARY, KINDS).withColumn("value", F.round("value", 6))
 
 
 BUCKETS = 12
@@ -193,9 +192,8 @@ def eval_win(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real and generated records with the discriminator's logit ``z``."""
     known = encoded(spark, sf_dir, ("known",))
-    both = known.join(scored(spark, sf_dir).select("rec_id", "y", "z"), "rec_id")
-    real = both.select("rec_id", "known", F.transform("y", lambda v: v.cast("double")).alias("unknown"))
-    fake = both.select("rec_id", "known", output_heads(F.col("z"), KINDS).alias("unknown"))
+    real = encoded(spark, sf_dir, ("known", "unknown")).withColumn("unknown", F.col("unknown").cast("array<double>"))
+    fake = score_dense(known, GENERATOR, out="unknown", kinds=KINDS)
     rows = score_dense(
         metrics.two_sample(real, fake), WIN_NETWORK, ("known", "unknown"), "logit", drop=("known", "unknown")
     )

@@ -82,7 +82,7 @@ def encode_thermometer(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = rec.fill_defaults(records(spark, sf_dir), DICTIONARY)
     cells = []
     for i, s in enumerate(FAMILY_SPANS["quantity"]):
-        x = F.concat(*encode.thermometer(F.col(s.field.column), s.lo, s.width))
+        x = F.expr(f"concat({', '.join(encode.thermometer(s.field.column, s.lo, s.width))})")
         levels = F.transform(x, lambda v, k: F.when(v > 0, k + 2).otherwise(0))
         cells.append(
             F.struct(
@@ -101,7 +101,7 @@ def _single(df: DataFrame, family: str) -> DataFrame:
     cells = [
         F.struct(
             F.lit(s.field.path).alias("field"),
-            F.get(F.concat(*encode.field_pieces(F.col(s.field.column), s)), F.lit(0)).cast("double").alias("value"),
+            F.get(rec.encoded_array([s]), F.lit(0)).cast("double").alias("value"),
         )
         for s in FAMILY_SPANS[family]
     ]
@@ -189,7 +189,7 @@ def project_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encoded(spark, sf_dir).select("rec_id", F.concat("known", "unknown", "win").alias("x"))
     cells = []
     for mask in (KNOWN, OUTCOME, WIN, UNKNOWN, ALL - WIN):
-        part = rec.project_portion(F.col("x"), DICTIONARY, mask)
+        part = rec.project_portion("x", DICTIONARY, mask)
         total = F.aggregate(part, F.lit(0.0), lambda a, v: a + v.cast("double"))
         cells.append(F.struct(F.lit(mask).alias("mask"), F.size(part).alias("n"), F.round(total, 4).alias("total")))
     return rows.select("rec_id", F.inline(F.array(*cells)))
@@ -241,7 +241,7 @@ def _decoded(spark: SparkSession, sf_dir: str, family: str, text: bool, digits:
     spans = {s.field.path: s for s in DICTIONARY.portion_spans(OUTCOME)}
     cells = []
     for s in FAMILY_SPANS[family]:
-        value = decode.field_value(F.col("z"), spans[s.field.path])
+        value = F.expr(decode.field_value("z", spans[s.field.path]))
         value = value if text else value.cast("double")
         if digits is not None:
             value = F.round(value, digits)
@@ -280,7 +280,7 @@ def decode_bool_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = DICTIONARY.portion_spans(WIN)
     rows = encoded(spark, sf_dir, ("win",))
-    return rows.select("rec_id", *[decode.field_value(F.col("win"), s).alias(f"win_{t}") for t, s in enumerate(spans)])
+    return rows.select("rec_id", *[F.expr(decode.field_value("win", s)).alias(f"win_{t}") for t, s in enumerate(spans)])
 
 
 @query("decode_zscore", _decoded_sql("'price', 'team_price', 'duration', 'discount'", "round(num, 3)"))
@@ -314,7 +314,7 @@ def plain_types(df: DataFrame) -> DataFrame:
 
 @query("decode_records", sql(decoded_wide_sql(), "decoded"))
 def decode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = rec.decode_records(scored(spark, sf_dir), DICTIONARY, {"unknown": F.col("z")})
+    decoded = rec.decode_records(scored(spark, sf_dir), DICTIONARY, {"unknown": "z"})
     return plain_types(decoded)
 
 
@@ -334,8 +334,8 @@ def mask_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).select("rec_id", "z").join(encoded(spark, sf_dir, ("known",)), "rec_id")
     masked = rows.select(
         "rec_id",
-        rec.mask_ignored(F.col("known"), DICTIONARY, ignored, KNOWN).alias("known"),
-        rec.mask_ignored(F.col("z"), DICTIONARY, ignored, OUTCOME).alias("z"),
+        rec.mask_ignored("known", DICTIONARY, ignored, KNOWN).alias("known"),
+        rec.mask_ignored("z", DICTIONARY, ignored, OUTCOME).alias("z"),
     )
 
     def blank(c):

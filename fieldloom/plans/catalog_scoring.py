@@ -101,7 +101,7 @@ def generate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = tables.read_known(spark, known_files(spark, sf_dir), DICTIONARY, id_field="rec_id")
     rows = rec.encode_records(known, DICTIONARY.subset(KNOWN), ("known",))
     rows = score_dense(rows, GENERATOR, out="z")
-    decoded = rec.decode_records(rows, DICTIONARY, {"known": F.col("known"), "unknown": F.col("z")})
+    decoded = rec.decode_records(rows, DICTIONARY, {"known": "known", "unknown": "z"})
     out = new_folder(spark, "generated-csv")
     mask = ALL - WIN
     tables.write_records(decoded, out, DICTIONARY, mask, id_field="rec_id")

@@ -181,7 +181,7 @@ def _z_round_trip(value: str, mean: float, sd: float) -> str:
 def write_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, decode, write as headerless CSV in dictionary order, read back."""
     rows = encoded(spark, sf_dir)
-    decoded = rec.decode_records(rows, DICTIONARY, {p: F.col(p) for p in ("known", "unknown", "win")})
+    decoded = rec.decode_records(rows, DICTIONARY, {p: p for p in ("known", "unknown", "win")})
     path = new_folder(spark, "output-csv")
     tables.write_records(decoded, path, DICTIONARY, ALL, id_field="rec_id")
     schema = ", ".join(["rec_id bigint"] + [f"{f.column} {tables.value_type(f).simpleString()}" for f in DICTIONARY])

@@ -81,16 +81,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def build_slots(spark: SparkSession, sf_dir: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """Long form: one row per filled slot."""
+    lineitem = table(spark, sf_dir, "lineitem").drop("l_tax")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .drop("l_tax")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    # Both joins are on unique keys: they neither add lines nor, as every line has
+    # its part, drop any.  Numbering last leaves the lines of a supplier together
+    # for the grouping into records.
+    lines = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"
     )
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
-    numbered = with_running(lines, ["l_suppkey"], order, {"rn": Running("number")}, limit=limit)
+    numbered = with_running(
+        lines, ["l_suppkey"], order, {"rn": Running("number")}, limit=limit, sized_by=lineitem
+    )
     return numbered.select(
         "l_suppkey",
         F.expr("(rn - 1) div 10").alias("block"),
