@@ -84,6 +84,16 @@ def initial_network(sizes, seed=0, scale=0.05):
     ]
 
 
+BATCH_ROWS = 2048  # fixed value: rows that are worked on together
+
+
+def row_batches(batches, rows: int = BATCH_ROWS):
+    """Arrow batches cut to at most ``rows`` rows; empty ones are dropped."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def to_matrix(column: pa.Array, dtype) -> np.ndarray:
     """Rows of a list column of equal lengths; a plain column is one wide."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.schema import ALL, HANDLINGS, KNOWN, OCCURRENCES, OUTCOME, WIN
+from fieldloom.schema import ALL, HANDLINGS, KNOWN, OCCURRENCES, OUTCOME, WIN, Dictionary, Field
 
 
 def _one_of(value: Column, allowed, what: str) -> Column:
@@ -123,3 +123,34 @@ def family_bounds(fields: DataFrame) -> DataFrame:
         F.min(F.col("min").cast("double")).alias("family_min"),
         F.max(F.col("max").cast("double")).alias("family_max"),
     )
+
+
+def _value(kind: str, text: str | None):
+    """A dictionary text as a value of the field's kind."""
+    if text is None or kind == "enum":
+        return text
+    if kind == "bool":
+        return text == "True"
+    return float(text) if kind == "float" or "." in text else int(text)
+
+
+def collect_dictionary(fields: DataFrame, known_order=None) -> Dictionary:
+    """The driver-side dictionary of parsed rows with ``portion`` and ``default``.
+
+    One row per declared field reaches the driver.
+    """
+    out = []
+    for r in fields.where("portion != 0").orderBy("line").collect():
+        # A mean as the default of an int field stays fractional.
+        kind = "float" if r["default_column"] in ("Mean", "Standard Deviation", "Mean Deviation") else r["kind"]
+        out.append(
+            Field(
+                r["path"], r["kind"], r["handling"], r["portion"], r["occurrence"],
+                levels=tuple(r["levels"] or ()), optional=r["optional"],
+                default=r["default"] if r["optional"] else _value(kind, r["default"]),
+                mean=r["mean"], sd=r["sd"], md=r["md"],
+                min=_value(r["kind"], r["min"]), max=_value(r["kind"], r["max"]),
+                median=_value(r["kind"], r["median"]), mode=_value(r["kind"], r["mode"]),
+            )
+        )
+    return Dictionary(out, known_order)

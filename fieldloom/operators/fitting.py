@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import random
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.hashing import draw_text
-from fieldloom.functions.network import flatten, gradients, initial_network, to_matrix, unflatten
+from fieldloom.functions.network import (
+    flatten,
+    gradients,
+    initial_network,
+    row_batches,
+    to_matrix,
+    unflatten,
+)
 from fieldloom.functions.objectives import LogisticObjective, MixedObjective
 from fieldloom.functions.optimizers import Optimizer
 from fieldloom.functions.text import literal, name
@@ -66,10 +74,8 @@ def gradient_sum(
     def partial(batches):
         net, loss_of = shared.value
         rows, loss_sum, grad_sum = 0, 0.0, None
-        for batch in batches:
+        for batch in row_batches(batches):
             n = batch.num_rows
-            if not n:
-                continue
             mats = [to_matrix(batch.column(c), dtype) for c in inputs]
             x = mats[0] if len(mats) == 1 else np.hstack(mats)
             y = to_matrix(batch.column(target), dtype)
@@ -124,7 +130,7 @@ class Fit:
 
 
 def fit(
-    train: DataFrame,
+    train: DataFrame | Callable[[int], DataFrame],
     network,
     objective,
     inputs,
@@ -147,13 +153,16 @@ def fit(
 
     ``evaluate(network) -> (loss, accuracy)``.  The state kept is the one whose
     evaluation accuracy strictly improved last.  ``summed`` fits the sum of the
-    row losses instead of their mean.
+    row losses instead of their mean.  One step uses one of ``groups`` parts of
+    the rows; where ``train`` is a function of the epoch, the rows are drawn anew
+    after each pass.
     """
-    data = step_groups(train, groups, seed)
     rule = Optimizer(optimizer, learning_rate)
     criteria = CriteriaSpec.parse(stop)
     result, samples, losses, started = Fit(network), 0, [], None
     for step in range(steps):
+        if step == 0 or (callable(train) and step % groups == 0):
+            data = step_groups(train(step // groups) if callable(train) else train, groups, seed)
         rows = data.where(F.col("step_group") == step % groups)
         n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation, "float32")
         if summed:
@@ -183,7 +192,7 @@ def fit(
 
 
 def fit_network(
-    train: DataFrame,
+    train: DataFrame | Callable[[int], DataFrame],
     evaluation: DataFrame,
     dictionary: Dictionary,
     hidden=(256,),
@@ -194,7 +203,7 @@ def fit_network(
     **options,
 ) -> Fit:
     """Fit the generator (known -> unknown) on encoded records."""
-    spark = train.sparkSession
+    spark = evaluation.sparkSession
     objective = mixed_objective(dictionary, ignored, extra_losses=1 if penalty else 0)
     sizes = [dictionary.width(KNOWN), *hidden, dictionary.width(OUTCOME)]
     held = materialize(evaluation.select("known", "unknown"), "evaluation")
@@ -207,6 +216,7 @@ def fit_network(
         if penalty:
             parts = parts.unionByName(eval_l2(network_frame(spark, network), penalty))
         row = combine(parts).first()
+        shared.destroy()
         return row["loss"], row["accuracy"]
 
     return fit(
@@ -216,7 +226,7 @@ def fit_network(
 
 
 def fit_binary(
-    train: DataFrame,
+    train: DataFrame | Callable[[int], DataFrame],
     evaluation: DataFrame,
     inputs,
     n_inputs: int,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.decode import argmax, count_above, cut
 from fieldloom.functions.evaluation import Plan, mean_sums, part_sums, report_sums
-from fieldloom.functions.network import apply_heads, forward, to_matrix
+from fieldloom.functions.network import apply_heads, forward, row_batches, to_matrix
 from fieldloom.functions.text import literal, name
 from fieldloom.schema import OUTCOME, Dictionary
 from fieldloom.session import ship_package
@@ -30,9 +30,7 @@ def accumulate(df: DataFrame, inputs, fn, dtype="float64") -> DataFrame:
     def run(batches):
         sums: dict = {}
         rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in row_batches(batches):
             rows += batch.num_rows
             for key, (loss, accuracy) in fn(*[to_matrix(batch.column(c), dtype) for c in inputs]).items():
                 before = sums.get(key, (0.0, 0.0))

@@ -140,6 +140,24 @@ def with_running(
 
 
 def with_position(df: DataFrame, order, out: str = "pos", partitions: int | None = None) -> DataFrame:
-    """Dense 0-based global position in ``order``."""
-    numbered = with_running(df, [], order, {out: Running("number")}, partitions=partitions)
-    return numbered.withColumn(out, F.col(out) - 1)
+    """Dense 0-based global position in ``order``.
+
+    Rows are range-partitioned, sorted and written once with their index in the
+    partition; what earlier partitions hold is added from one row per partition,
+    so the rows are not moved a second time.
+    """
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The low 33 bits of the generated id count the rows of a partition.
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialize(
+        ranged.withColumns({CHUNK: F.spark_partition_id(), "_index": index}), "positions"
+    )
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(CHUNK)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(F.col(CHUNK).alias("_k_chunk"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    )
+    placed = rows.join(F.broadcast(offsets), F.col(CHUNK) == F.col("_k_chunk"))
+    return placed.select(*df.columns, (F.col("_index") + F.col("_before")).alias(out))

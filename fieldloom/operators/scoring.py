@@ -14,6 +14,7 @@ from fieldloom.functions.network import (
     HEAD_SIGMOID,
     apply_heads,
     forward,
+    row_batches,
     to_lists,
     to_matrix,
 )
@@ -62,9 +63,7 @@ def map_matrices(df: DataFrame, inputs, outputs, fn, drop=(), dtype="float64") -
     inputs, outputs = list(inputs), list(outputs)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in row_batches(batches):
             mats = fn(*[to_matrix(batch.column(c), dtype) for c in inputs])
             columns = [batch.column(c) for c in keep_names]
             columns += [to_lists(m.astype(dtype, copy=False)) for m in mats]

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.objectives import LogisticObjective
 from fieldloom.functions.optimizers import Optimizer
+from fieldloom import jobs
 from fieldloom.operators import corpus, fitting, metrics
 from fieldloom.operators.sampling import split_positional
-from fieldloom.operators.scoring import score_dense
 from fieldloom.plans.matches import DICTIONARY, MIN_DURATION, records
-from fieldloom.plans.models import GENERATOR, KINDS, N_KNOWN, N_UNKNOWN, encoded, formula_network
+from fieldloom.plans.models import GENERATOR, N_KNOWN, N_UNKNOWN, encoded, formula_network
 from fieldloom.plans.oracle import last_bias, sql, weight
 from fieldloom.plans.registry import query
 from fieldloom.session import materialize, new_folder, stored
@@ -145,48 +145,38 @@ def model_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(values, F.lit(-0.05003), F.lit(0.05001), 8)
 
 
-def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with their split; a tenth is evaluated and a tenth kept back."""
-
-    def build():
-        rows = records(spark, sf_dir)
-        tenth = max(rows.count() // 10, 1)
-        return split_positional(rows, ["rec_id"], tenth, tenth)
-
-    return stored(spark, ("split", sf_dir), build)
+def a_tenth(df: DataFrame) -> int:
+    return max(df.count() // 10, 1)
 
 
 def log_rows(spark: SparkSession, result) -> DataFrame:
     return result.log_frame(spark).withColumn("value", F.round("value", 6))
 
 
+def fit_options(rows: DataFrame) -> dict:
+    """A tenth of the records is evaluated and a tenth kept back."""
+    tenth = a_tenth(rows)
+    return {"held_out": tenth, "evaluation": tenth, "groups": 2, "steps": 4}
+
+
 @query("fit_network")
 def fit_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generator fit on augmented rows; the metric log of the run."""
-    split = split_records(spark, sf_dir)
-    train = corpus.train_rows(split, DICTIONARY, above=MIN_DURATION)
-    evaluation = corpus.evaluation_rows(split, DICTIONARY, above=MIN_DURATION)
-    result = fitting.fit_network(
-        train, evaluation, DICTIONARY, hidden=(32,), penalty=1e-4, steps=6, groups=2, learning_rate=0.02,
-        evaluate_every=5, stop="samples100000000:stagnant", run="generator",
+    rows = records(spark, sf_dir)
+    result = jobs.train_generator(
+        spark, rows, ["rec_id"], DICTIONARY, duration="duration", shortest=MIN_DURATION, hidden=(32,), penalty=1e-4,
+        learning_rate=0.02, evaluate_every=3, stop="samples100000000000:stagnant", run="generator", **fit_options(rows),
     )
     return log_rows(spark, result)
 
 
-def with_generated(df: DataFrame) -> DataFrame:
-    """known, generated unknown (after the heads), win target."""
-    return score_dense(win_target(df).drop("unknown", "win"), GENERATOR, out="unknown", kinds=KINDS)
-
-
 @query("fit_win")
 def fit_win(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win fit on known and generated fields; abandoned games stay in."""
-    split = split_records(spark, sf_dir)
-    train = with_generated(corpus.train_rows(split, DICTIONARY, duration=None))
-    evaluation = with_generated(corpus.evaluation_rows(split, DICTIONARY, duration=None))
-    result = fitting.fit_binary(
-        train, evaluation, ["known", "unknown"], N_KNOWN + N_UNKNOWN, "target", hidden=(16,), steps=6, groups=2,
-        learning_rate=0.01, evaluate_every=3, run="win",
+    rows = records(spark, sf_dir)
+    result = jobs.train_win(
+        spark, rows, ["rec_id"], DICTIONARY, GENERATOR, hidden=(16,), learning_rate=0.01, evaluate_every=3, run="win",
+        **fit_options(rows),
     )
     return log_rows(spark, result)
 
@@ -194,18 +184,10 @@ def fit_win(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fit_two_sample")
 def fit_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discriminator fit: real records against generated ones."""
-    split = split_records(spark, sf_dir)
-
-    def both(rows: DataFrame) -> DataFrame:
-        real = rows.select("rec_id", "known", F.col("unknown").cast("array<double>").alias("unknown"))
-        fake = with_generated(rows).select("rec_id", "known", "unknown")
-        return metrics.two_sample(real, fake)
-
-    train = both(corpus.train_rows(split, DICTIONARY, above=MIN_DURATION))
-    evaluation = both(corpus.evaluation_rows(split, DICTIONARY, above=MIN_DURATION))
-    result = fitting.fit_binary(
-        train, evaluation, ["known", "unknown"], N_KNOWN + N_UNKNOWN, "target", hidden=(16,), steps=6, groups=2,
-        optimizer="adagrad", learning_rate=0.05, evaluate_every=3, run="two-sample",
+    rows = records(spark, sf_dir)
+    result = jobs.train_two_sample(
+        spark, rows, ["rec_id"], DICTIONARY, GENERATOR, duration="duration", shortest=MIN_DURATION, hidden=(16,),
+        optimizer="adagrad", learning_rate=0.05, evaluate_every=3, run="two-sample", **fit_options(rows),
     )
     return log_rows(spark, result)
 
@@ -213,7 +195,9 @@ def fit_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_trials")
 def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two seeded trials of the generator fit, each run over the whole split."""
-    split = split_records(spark, sf_dir)
+    rows = records(spark, sf_dir)
+    tenth = a_tenth(rows)
+    split = split_positional(rows, ["rec_id"], tenth, tenth)
     train = materialize(corpus.train_rows(split, DICTIONARY, above=MIN_DURATION), "train")
     evaluation = materialize(corpus.evaluation_rows(split, DICTIONARY, above=MIN_DURATION), "evaluation")
 

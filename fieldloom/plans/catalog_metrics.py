@@ -200,24 +200,29 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("z", F.get("logit", F.lit(0)))
 
 
+# Real and generated records under the formula discriminator.
+_JUDGED = {
+    "known_part": f"select rec_id, k, sum({weight('pos', 'k', 100.0)}) as v from nz cross join range(8) t(k) group by rec_id, k",
+    "parts": """select rec_id, 'real' as source, list(y order by j) as x from truth group by rec_id
+        union all select rec_id, 'generated', list(p order by j) from probs group by rec_id""",
+    "wcols": f"""select k, list({weight('j + 390', 'k', 100.0)} order by j) as w
+        from range(563) t(j) cross join range(8) u(k) group by k""",
+    "judged": f"""select source, t, {last_bias('0', 100.0)} + sum(({leaky('v')}) * {weight('k', '0', 100.0)}) as z
+        from (select rec_id, source, case source when 'real' then 1.0 else 0.0 end as t, k, sum(v) + {bias('k', 100.0)} as v
+            from (select rec_id, source, k, v from known_part cross join (values ('real'), ('generated')) s(source)
+                union all select rec_id, source, k, list_dot_product(x, w) from parts cross join wcols) u
+            group by rec_id, source, k) h group by rec_id, source, t""",
+}
+
+
 @query(
     "eval_two_sample",
     sql(
         f"""select source, round(avg(greatest(z, 0) - z * t + ln(1 + exp(-abs(z)))), 6) as loss,
             round(avg(((z > 0) = (t > 0.5))::int::double), 6) as accuracy, round(avg(1 / (1 + exp(-z))), 6) as mean_score, count(*) as n
-        from (select source, t, {last_bias('0', 100.0)} + sum(({leaky('v')}) * {weight('k', '0', 100.0)}) as z
-            from (select rec_id, source, case source when 'real' then 1.0 else 0.0 end as t, k, sum(v) + {bias('k', 100.0)} as v
-                from (select rec_id, source, k, v from known_part cross join (values ('real'), ('generated')) s(source)
-                    union all select rec_id, source, k, list_dot_product(x, w) from parts cross join wcols) u
-                group by rec_id, source, k) h group by rec_id, source, t) q group by source""",
+        from judged group by source""",
         "nz", "truth", "probs",
-        extra={
-            "known_part": f"select rec_id, k, sum({weight('pos', 'k', 100.0)}) as v from nz cross join range(8) t(k) group by rec_id, k",
-            "parts": """select rec_id, 'real' as source, list(y order by j) as x from truth group by rec_id
-                union all select rec_id, 'generated', list(p order by j) from probs group by rec_id""",
-            "wcols": f"""select k, list({weight('j + 390', 'k', 100.0)} order by j) as w
-                from range(563) t(j) cross join range(8) u(k) group by k""",
-        },
+        extra=_JUDGED,
     ),
 )
 def eval_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,3 +230,21 @@ def eval_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "source", *[F.round(c, 6).alias(c) for c in ("loss", "accuracy", "mean_score")], "n"
     )
+
+
+@query(
+    "score_histogram",
+    sql(
+        """select field, least(greatest(floor((value - 0.00001) / 0.99999 * 20)::int + 1, 0), 21) as bucket, count(*) as n from (
+            select 'discriminator_' || source as field, 1 / (1 + exp(-z)) as value from judged
+            union all select 'win', 1 / (1 + exp(-z)) from win_logits) q group by 1, 2""",
+        "nz", "truth", "probs", "win_logits",
+        extra=_JUDGED,
+    ),
+)
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution of win probabilities and of discriminator scores per source."""
+    score = (1 / (1 + F.exp(-F.col("z")))).alias("value")
+    judges = judged(spark, sf_dir).select(F.concat(F.lit("discriminator_"), "source").alias("field"), score)
+    wins = scored(spark, sf_dir).select(F.get("win_logit", F.lit(0)).alias("z")).select(F.lit("win").alias("field"), score)
+    return metrics.histogram(judges.unionByName(wins), F.lit(0.00001), F.lit(1.0), 20)

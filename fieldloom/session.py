@@ -38,11 +38,13 @@ def shared_root(spark: SparkSession) -> str:
 TUNING = {
     "spark.sql.codegen.maxFields": "50",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Encoded rows hold thousands of cells: smaller batches to the Python workers.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the code generation bounds for wide records to the session."""
+    """Apply the bounds for wide records to the session."""
     for key, value in TUNING.items():
         spark.conf.set(key, value)
     return spark
