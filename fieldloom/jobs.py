@@ -98,12 +98,13 @@ def train_generator(
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
-    held = corpus.evaluation_rows(split, fields, seed, duration=column, above=shortest)
+    train = corpus.train_rows(split, batch_size, column, shortest)
+    held = corpus.evaluation_rows(split, fields, seed, column, shortest)
 
-    def train(epoch):
-        return corpus.train_rows(split, fields, batch_size, seed, epoch, column, shortest)
+    def prepare(rows, epoch):
+        return corpus.augmented(rows, fields, seed, epoch)
 
-    return fitting.fit_network(train, held, fields, seed=seed, **options)
+    return fitting.fit_network(train, held, fields, prepare=prepare, seed=seed, **options)
 
 
 def with_generated(rows: DataFrame, fields: Dictionary, generator) -> DataFrame:
@@ -121,14 +122,16 @@ def train_win(
     """Fit the win network on known and generated fields; short games stay in."""
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
+    train = corpus.train_rows(split, batch_size, duration=None)
+    held = with_generated(corpus.evaluation_rows(split, fields, seed, duration=None), fields, generator)
 
-    def train(epoch):
-        rows = corpus.train_rows(split, fields, batch_size, seed, epoch, duration=None)
-        return with_generated(rows, fields, generator)
+    def prepare(rows, epoch):
+        return with_generated(corpus.augmented(rows, fields, seed, epoch), fields, generator)
 
-    held = with_generated(corpus.evaluation_rows(split, fields, seed, duration=None), fields, generator)
     width = fields.width(KNOWN) + fields.width(OUTCOME)
-    return fitting.fit_binary(train, held, ["known", "unknown"], width, "target", seed=seed, **options)
+    return fitting.fit_binary(
+        train, held, ["known", "unknown"], width, "target", prepare=prepare, seed=seed, **options
+    )
 
 
 def real_and_generated(rows: DataFrame, fields: Dictionary, generator) -> DataFrame:
@@ -147,13 +150,14 @@ def train_two_sample(
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
-    held = corpus.evaluation_rows(split, fields, seed, duration=column, above=shortest)
+    train = corpus.train_rows(split, batch_size, column, shortest)
+    held = corpus.evaluation_rows(split, fields, seed, column, shortest)
 
-    def train(epoch):
-        rows = corpus.train_rows(split, fields, batch_size, seed, epoch, column, shortest)
-        return real_and_generated(rows, fields, generator)
+    def prepare(rows, epoch):
+        return real_and_generated(corpus.augmented(rows, fields, seed, epoch), fields, generator)
 
     width = fields.width(KNOWN) + fields.width(OUTCOME)
     return fitting.fit_binary(
-        train, real_and_generated(held, fields, generator), ["known", "unknown"], width, "target", seed=seed, **options
+        train, real_and_generated(held, fields, generator), ["known", "unknown"], width, "target",
+        prepare=prepare, seed=seed, **options,
     )

@@ -15,24 +15,21 @@ EVALUATION_BLANK, EVALUATION_KEEP = 0.1, 0.0
 
 
 def train_rows(
-    split: DataFrame,
-    dictionary: Dictionary,
-    batch_size: int = 2048,
-    seed=0,
-    epoch: int = 0,
-    duration: str | None = "duration",
-    above: float = 900,
+    split: DataFrame, batch_size: int = 2048, duration: str | None = "duration", above: float = 900
 ) -> DataFrame:
-    """Augmented, encoded training rows of one epoch.
+    """Raw training rows with their batch.
 
     ``duration=None`` keeps abandoned games, as the win network does.
     """
-    seeded = f"{seed}/{epoch}"
     rows = batch_rows(split.where(F.col("split") == "train"), batch_size)
-    if duration:
-        rows = drop_short(rows, duration, above)
-    rows = permute_slots(rows, dictionary, seeded)
-    rows = blank_optional(rows, dictionary, TRAIN_BLANK, TRAIN_KEEP, seeded)
+    return drop_short(rows, duration, above) if duration else rows
+
+
+def augmented(rows: DataFrame, dictionary: Dictionary, seed=0, epoch: int = 0) -> DataFrame:
+    """Training rows permuted, blanked and encoded, other in every epoch."""
+    drawn = f"{seed}/{epoch}"
+    rows = permute_slots(rows, dictionary, drawn)
+    rows = blank_optional(rows, dictionary, TRAIN_BLANK, TRAIN_KEEP, drawn)
     return encode_records(rows, dictionary)
 
 

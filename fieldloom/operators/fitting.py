@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import random
 import time
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -110,11 +109,21 @@ def gradient_sum(
 
 
 def step_groups(df: DataFrame, groups: int, seed=0, key: str = "rec_id") -> DataFrame:
-    """Rows laid out by step group, so that a step scans only its own files."""
-    path = new_folder(df.sparkSession, "steps")
+    """Rows laid out by step group, so that a step scans only its own files.
+
+    A group is spread over its share of the shuffle partitions; the number of
+    files stays near their number.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "steps")
     draw = draw_text(seed, literal("step"), name(key))
-    df.withColumn("step_group", F.expr(f"cast(floor({draw} * {groups}) as int)")).write.partitionBy("step_group").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    rows = df.withColumn("step_group", F.expr(f"cast(floor({draw} * {groups}) as int)"))
+    if groups > 1:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        share = max(parts // groups, 1)
+        rows = rows.repartition(parts, "step_group", F.pmod(F.xxhash64(key), F.lit(share)))
+    rows.write.partitionBy("step_group").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @dataclass
@@ -129,14 +138,19 @@ class Fit:
         return spark.createDataFrame(self.log, LOG_SCHEMA)
 
 
+def as_is(rows: DataFrame, epoch: int) -> DataFrame:
+    return rows
+
+
 def fit(
-    train: DataFrame | Callable[[int], DataFrame],
+    train: DataFrame,
     network,
     objective,
     inputs,
     target: str,
     evaluate,
     steps: int,
+    prepare=as_is,
     groups: int = 1,
     optimizer: str = "adam",
     learning_rate: float = 0.001,
@@ -154,16 +168,16 @@ def fit(
     ``evaluate(network) -> (loss, accuracy)``.  The state kept is the one whose
     evaluation accuracy strictly improved last.  ``summed`` fits the sum of the
     row losses instead of their mean.  One step uses one of ``groups`` parts of
-    the rows; where ``train`` is a function of the epoch, the rows are drawn anew
-    after each pass.
+    the rows.  Raw rows are laid out once; ``prepare(rows, epoch)`` draws and
+    encodes the rows of a step as it reads them, so that encoded rows, many times
+    larger, are never stored.
     """
+    data = step_groups(train, groups, seed)
     rule = Optimizer(optimizer, learning_rate)
     criteria = CriteriaSpec.parse(stop)
     result, samples, losses, started = Fit(network), 0, [], None
     for step in range(steps):
-        if step == 0 or (callable(train) and step % groups == 0):
-            data = step_groups(train(step // groups) if callable(train) else train, groups, seed)
-        rows = data.where(F.col("step_group") == step % groups)
+        rows = prepare(data.where(F.col("step_group") == step % groups), step // groups)
         n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation, "float32")
         if summed:
             loss, grad = loss * n, grad * n
@@ -192,7 +206,7 @@ def fit(
 
 
 def fit_network(
-    train: DataFrame | Callable[[int], DataFrame],
+    train: DataFrame,
     evaluation: DataFrame,
     dictionary: Dictionary,
     hidden=(256,),
@@ -226,7 +240,7 @@ def fit_network(
 
 
 def fit_binary(
-    train: DataFrame | Callable[[int], DataFrame],
+    train: DataFrame,
     evaluation: DataFrame,
     inputs,
     n_inputs: int,

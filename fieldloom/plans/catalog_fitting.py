@@ -198,7 +198,7 @@ def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
     tenth = a_tenth(rows)
     split = split_positional(rows, ["rec_id"], tenth, tenth)
-    train = materialize(corpus.train_rows(split, DICTIONARY, above=MIN_DURATION), "train")
+    train = materialize(corpus.augmented(corpus.train_rows(split, above=MIN_DURATION), DICTIONARY), "train")
     evaluation = materialize(corpus.evaluation_rows(split, DICTIONARY, above=MIN_DURATION), "evaluation")
 
     def run_trial(draw):
