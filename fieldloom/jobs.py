@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from fieldloom.operators import corpus, dictionary, fitting, metrics
 from fieldloom.operators.records import decode_records, drop_short, encode_records
 from fieldloom.operators.sampling import split_positional
-from fieldloom.operators.scoring import head_kinds, score_chain, score_dense, win_probability
+from fieldloom.operators.scoring import head_kinds, score_dense
 from fieldloom.schema import ALL, KNOWN, OUTCOME, WIN, Dictionary
 from fieldloom.session import tune
 from fieldloom.sources import tables
 from fieldloom.sources.snapshot import snapshot_corpus
+from fieldloom.streaming.scoring import predict_known
 
 # Fields a user may leave open, the win fields, the short-game rule.
 OPTIONAL = (
@@ -77,17 +78,8 @@ def predict(
     """(win probabilities, decoded full records), both keyed by ``id_field``."""
     tune(spark)
     known = tables.read_known(spark, known_csv, fields, id_field)
-    rows = encode_records(known, fields.subset(KNOWN), ("known",), [id_field])
-    scored = score_chain(
-        rows, generator, win_network, head_kinds(fields), chain_input, outputs=("unknown_logit", "win_logit")
-    )
-    probabilities = scored.select(id_field, win_probability(F.col("win_logit")).alias("win_probability"))
-    # One win logit is estimated, for the first win field; it fills the win portion.
-    win = F.array_repeat(F.get("win_logit", F.lit(0)), fields.width(WIN))
-    records = decode_records(
-        scored.withColumn("win", win), fields, {"known": "known", "unknown": "unknown_logit", "win": "win"}, [id_field]
-    )
-    return probabilities, records
+    rows = predict_known(known, fields, generator, win_network, chain_input, (id_field,))
+    return rows.select(id_field, "win_probability"), rows.drop("win_probability")
 
 
 def train_generator(

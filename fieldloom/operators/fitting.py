@@ -112,16 +112,17 @@ def step_groups(df: DataFrame, groups: int, seed=0, key: str = "rec_id") -> Data
     """Rows laid out by step group, so that a step scans only its own files.
 
     A group is spread over its share of the shuffle partitions; the number of
-    files stays near their number.
+    files stays near their number.  A single group needs no layout.
     """
+    if groups == 1:
+        return df.withColumn("step_group", F.lit(0))
     spark = df.sparkSession
     path = new_folder(spark, "steps")
     draw = draw_text(seed, literal("step"), name(key))
     rows = df.withColumn("step_group", F.expr(f"cast(floor({draw} * {groups}) as int)"))
-    if groups > 1:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        share = max(parts // groups, 1)
-        rows = rows.repartition(parts, "step_group", F.pmod(F.xxhash64(key), F.lit(share)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(parts // groups, 1)
+    rows = rows.repartition(parts, "step_group", F.pmod(F.xxhash64(key), F.lit(share)))
     rows.write.partitionBy("step_group").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

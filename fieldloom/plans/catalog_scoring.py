@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import records as rec
+from fieldloom import jobs
 from fieldloom.operators.scoring import output_heads, score_chain, score_dense, win_probability
 from fieldloom.plans.catalog_records import decoded_wide_sql, plain_types
 from fieldloom.plans.matches import DICTIONARY, records
@@ -98,13 +98,8 @@ _KNOWN_WIDE = ", ".join(
 )
 def generate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known CSV in, generated records as CSV out, read back typed."""
-    known = tables.read_known(spark, known_files(spark, sf_dir), DICTIONARY, id_field="rec_id")
-    rows = rec.encode_records(known, DICTIONARY.subset(KNOWN), ("known",))
-    rows = score_dense(rows, GENERATOR, out="z")
-    decoded = rec.decode_records(rows, DICTIONARY, {"known": "known", "unknown": "z"})
-    out = new_folder(spark, "generated-csv")
-    mask = ALL - WIN
-    tables.write_records(decoded, out, DICTIONARY, mask, id_field="rec_id")
+    out, mask = new_folder(spark, "generated-csv"), ALL - WIN
+    jobs.generate(spark, known_files(spark, sf_dir), DICTIONARY, GENERATOR, out, id_field="rec_id")
     schema = ", ".join(
         ["rec_id bigint"] + [f"{f.column} {tables.value_type(f).simpleString()}" for f in DICTIONARY.select(mask)]
     )
@@ -136,6 +131,21 @@ def score_win_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win_scores(spark, sf_dir, "logit")
 
 
+@query(
+    "score_records",
+    sql(
+        f"""select k.*, d.* exclude (rec_id), z > 0 as teams_0_win, z > 0 as teams_1_win
+        from (select rec_id, {_KNOWN_WIDE} from grid group by rec_id) k
+        join ({decoded_wide_sql()}) d using (rec_id) join win_logits using (rec_id)""",
+        "grid", "decoded", "win_logits",
+    ),
+)
+def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full decoded records that go with the win probabilities."""
+    _, full = jobs.predict(spark, known_files(spark, sf_dir), DICTIONARY, GENERATOR, WIN_NETWORK, "rec_id")
+    return plain_types(full)
+
+
 @query(
     "stream_score",
     sql("select rec_id, round(1 / (1 + exp(-z)), 6) as win_probability from win_logits", "win_logits"),
@@ -143,7 +153,7 @@ def score_win_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scores, from files picked up by a stream."""
     arriving = tables.stream_known(spark, known_files(spark, sf_dir), DICTIONARY, id_field="rec_id")
-    scores = score_known(arriving, DICTIONARY, GENERATOR, WIN_NETWORK, KINDS)
+    scores = score_known(arriving, DICTIONARY, GENERATOR, WIN_NETWORK)
     out = new_folder(spark, "stream-scores")
     write_scores(scores, out, new_folder(spark, "stream-checkpoint"))
     rows = spark.read.schema("rec_id bigint, win_probability double").parquet(out)

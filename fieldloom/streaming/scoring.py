@@ -1,13 +1,16 @@
-"""Score known records as they arrive: stateless, so no watermark is needed."""
+"""Score known records as they arrive: stateless, so no watermark is needed.
+
+The functions take a batch or a streaming DataFrame and build the same plan.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.records import encode_records
-from fieldloom.operators.scoring import score_chain, win_probability
-from fieldloom.schema import Dictionary
+from fieldloom.operators.records import decode_records, encode_records
+from fieldloom.operators.scoring import head_kinds, score_chain, win_probability
+from fieldloom.schema import KNOWN, WIN, Dictionary
 
 
 def score_known(
@@ -15,23 +18,48 @@ def score_known(
     dictionary: Dictionary,
     generator,
     win_network,
-    kinds,
     chain_input: str = "probability",
     keep=("rec_id",),
 ) -> DataFrame:
-    """Win probability per known row; the same plan for batch and stream."""
-    encoded = encode_records(known, dictionary.subset(1), portions=("known",), keep=keep)
-    scored = score_chain(encoded, generator, win_network, kinds, chain_input, drop=("known",))
+    """Win probability per known row."""
+    encoded = encode_records(known, dictionary.subset(KNOWN), ("known",), keep)
+    scored = score_chain(encoded, generator, win_network, head_kinds(dictionary), chain_input, drop=("known",))
     return scored.select(*keep, win_probability(F.col("win_logit")).alias("win_probability"))
 
 
-def write_scores(scores: DataFrame, path: str, checkpoint: str):
-    """Run the stream over everything available and append Parquet files."""
+def predict_known(
+    known: DataFrame,
+    dictionary: Dictionary,
+    generator,
+    win_network,
+    chain_input: str = "probability",
+    keep=("rec_id",),
+) -> DataFrame:
+    """Win probability and the decoded full record per known row, in one pass."""
+    encoded = encode_records(known, dictionary.subset(KNOWN), ("known",), keep)
+    scored = score_chain(
+        encoded, generator, win_network, head_kinds(dictionary), chain_input, outputs=("unknown_logit", "win_logit")
+    )
+    # One win logit is estimated; it fills every column of the win portion.
+    first = F.get("win_logit", F.lit(0))
+    scored = scored.withColumns(
+        {"win_probability": win_probability(F.col("win_logit")), "win": F.array_repeat(first, dictionary.width(WIN))}
+    )
+    sources = {"known": "known", "unknown": "unknown_logit", "win": "win"}
+    return decode_records(scored, dictionary, sources, (*keep, "win_probability"))
+
+
+def write_scores(scores: DataFrame, path: str, checkpoint: str, **trigger):
+    """Append scores as Parquet files, each input file once.
+
+    Without a ``trigger`` the stream takes everything available and ends.
+    """
     query = (
         scores.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start(path)
     )
-    query.awaitTermination()
+    if not trigger:
+        query.awaitTermination()
     return query

@@ -9,7 +9,7 @@ from fieldloom.plans.matches import DICTIONARY
 from fieldloom.plans.models import GENERATOR, KINDS, WIN_NETWORK
 from fieldloom.schema import KNOWN
 from fieldloom.sources import tables
-from fieldloom.streaming.scoring import score_known, write_scores
+from fieldloom.streaming.scoring import predict_known, score_known, write_scores
 
 
 def leaky_by_hand(row, net):
@@ -67,19 +67,32 @@ def test_stream_equals_batch_and_resumes(spark, records, tmp_path):
 
     def run():
         arriving = tables.stream_known(spark, source, DICTIONARY, id_field="rec_id")
-        write_scores(score_known(arriving, DICTIONARY, GENERATOR, WIN_NETWORK, KINDS), out, check)
+        write_scores(score_known(arriving, DICTIONARY, GENERATOR, WIN_NETWORK), out, check)
 
     run()
     more = rows.where("rec_id % 2 = 1")
     columns = [DICTIONARY[p].column for p in DICTIONARY.known_order]
     more.select("rec_id", *columns).write.mode("append").csv(source, nullValue="", emptyValue="")
     run()
-    batch = score_known(rows, DICTIONARY, GENERATOR, WIN_NETWORK, KINDS)
+    batch = score_known(rows, DICTIONARY, GENERATOR, WIN_NETWORK)
     got = spark.read.parquet(out)
     assert got.count() == batch.count() == 40
     assert got.exceptAll(batch).count() == 0
 
 
+def test_streamed_records_equal_batch(spark, records, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    tables.write_known(records, source, DICTIONARY, id_field="rec_id")
+    args = (DICTIONARY, GENERATOR, WIN_NETWORK, "logit")
+    write_scores(
+        predict_known(tables.stream_known(spark, source, DICTIONARY, "rec_id"), *args), out, str(tmp_path / "check")
+    )
+    batch = predict_known(tables.read_known(spark, source, DICTIONARY, "rec_id"), *args)
+    got = spark.read.parquet(out)
+    assert got.columns == batch.columns and got.count() == batch.count()
+    assert got.exceptAll(batch).count() == 0
+
+
 def test_known_part_alone_is_read(spark, records):
     enc = encode_records(records, DICTIONARY.subset(KNOWN), ("known",))
     plan = enc._jdf.queryExecution().executedPlan().toString()
