@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from fieldloom.functions.text import literal
 
 
@@ -17,3 +19,15 @@ def draw_text(seed, *parts) -> str:
     """Uniform double in [0, 1) that depends only on the seed and the keys."""
     head = f"conv(substring({digest_text(seed, *parts)}, 1, 8), 16, 10)"
     return f"(cast({head} as bigint) / 4294967296D)"
+
+
+HEX = 8  # hex digits per draw; one digest holds four
+
+
+def below_text(digest: str, nth: int, share: float) -> str:
+    """Whether the ``nth`` draw of a digest is below ``share``.  Hex digits sort
+    like the number they stand for, so no conversion is needed."""
+    bound = min(max(math.ceil(share * 16**HEX), 0), 16**HEX)
+    if bound == 16**HEX:
+        return "true"
+    return f"substring({digest}, {HEX * nth + 1}, {HEX}) < '{bound:0{HEX}x}'"

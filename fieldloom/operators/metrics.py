@@ -232,18 +232,24 @@ def eval_report(df: DataFrame, dictionary: Dictionary, kinds, z: str = "z", y: s
     return sums.select("field", F.col("metric").alias("measure"), (F.col("loss") / F.col("n")).alias("value"))
 
 
-def prediction_values(df: DataFrame, dictionary: Dictionary, predictions: str = "p") -> DataFrame:
-    """(field, value) of every record's decoded prediction."""
-    p = name(predictions)
+def prediction_values(df: DataFrame, dictionary: Dictionary, z: str = "z") -> DataFrame:
+    """(field, value) of every record's decoded prediction, from the logits.
+
+    The heads do not change which column is largest, and a probability is above
+    one half where its logit is positive.
+    """
+    z = name(z)
     cells = []
     for s in dictionary.portion_spans(OUTCOME):
         f = s.field
         if f.handling == "one-hot":
-            value = argmax(cut(p, s.start, s.width))
+            value = argmax(cut(z, s.start, s.width))
         elif f.handling == "unary":
-            value = count_above(cut(p, s.start, s.width), 0.5)
+            value = count_above(cut(z, s.start, s.width))
         else:
-            value = f"get({p}, {s.start}) * {literal(float(f.sd or 1.0))} + {literal(float(f.mean or 0.0))}"
+            p = f"get({z}, {s.start})"
+            p = p if f.handling == "continuous" else f"(1D / (1D + exp(-{p})))"
+            value = f"{p} * {literal(float(f.sd or 1.0))} + {literal(float(f.mean or 0.0))}"
         cells.append(f"struct({literal(f.path)} as field, cast({value} as double) as value)")
     return df.selectExpr(f"inline(array({', '.join(cells)}))")
 

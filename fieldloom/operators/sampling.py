@@ -7,12 +7,13 @@ from math import exp
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.hashing import digest_text, draw_text
-from fieldloom.functions.text import literal, name
+from fieldloom.functions.hashing import below_text, digest_text
+from fieldloom.functions.text import name
 from fieldloom.operators.ordering import with_position
 from fieldloom.schema import Dictionary
 
 TEAM = 5
+DRAWS = 4  # draws per digest
 
 
 def split_positional(df: DataFrame, order, held_out: int = 1 << 14, evaluation: int = 1 << 14) -> DataFrame:
@@ -37,8 +38,9 @@ def batch_rows(placed: DataFrame, batch_size: int = 2048) -> DataFrame:
 
 def member_order(seed, batch: str, team: int) -> str:
     """One seeded permutation of the team's members per batch."""
-    keyed = [f"struct({digest_text(seed, name(batch), team, m)} as h, {m} as m)" for m in range(TEAM)]
-    return f"transform(array_sort(array({', '.join(keyed)})), x -> x.m)"
+    digest = digest_text(seed, name(batch), team)
+    keyed = [f"struct(substring({digest}, {6 * m + 1}, 6) as h, {m} as m)" for m in range(TEAM)]
+    return f"sort_array(array({', '.join(keyed)})).m"
 
 
 def _member_columns(dictionary: Dictionary, present, team: int):
@@ -77,14 +79,16 @@ def blank_optional(
     df: DataFrame, dictionary: Dictionary, blank: float = 0.5, keep: float = 0.5, seed=0, key: str = "rec_id"
 ) -> DataFrame:
     """Blank optional fields at random; a share of rows is left untouched."""
-    kept = f"{draw_text(seed, literal('keep'), name(key))} < {literal(coverage(keep))}"
+    fields = [f for f in dictionary if f.optional and f.column in df.columns]
+    # Draw 0 decides on the row, the others on one field each.
+    digests = [f"{digest_text(seed, i, name(key))} as _d{i}" for i in range(len(fields) // DRAWS + 1)]
+    kept = below_text("_d0", 0, coverage(keep))
     out = {}
-    for f in dictionary:
-        if f.optional and f.column in df.columns:
-            hit = f"{draw_text(seed, literal(f.path), name(key))} < {literal(coverage(blank))}"
-            out[f.column] = f"if(NOT _kept AND {hit}, '', {name(f.column)}) as {name(f.column)}"
-    marked = df.selectExpr("*", f"{kept} as _kept")
-    return marked.selectExpr(*[out.get(c, name(c)) for c in df.columns])
+    for i, f in enumerate(fields, 1):
+        hit = below_text(f"_d{i // DRAWS}", i % DRAWS, coverage(blank))
+        out[f.column] = f"if({hit} AND NOT {kept}, '', {name(f.column)}) as {name(f.column)}"
+    drawn = df.selectExpr("*", *digests)
+    return drawn.selectExpr(*[out.get(c, name(c)) for c in df.columns])
 
 
 def shuffle_rows(df: DataFrame, seed=0, epoch: int = 0, key: str = "rec_id", batch: str = "batch_id") -> DataFrame:

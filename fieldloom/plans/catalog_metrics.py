@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators import metrics
-from fieldloom.operators.scoring import output_heads, score_dense
+from fieldloom.operators.scoring import score_dense
 from fieldloom.plans.matches import DICTIONARY
 from fieldloom.plans.models import GENERATOR, KINDS, WIN_NETWORK, encoded, scored
 from fieldloom.plans.oracle import bias, last_bias, leaky, sql, weight
@@ -154,7 +154,7 @@ _BUCKET = "case when value < lo then 0 when value >= hi then 13 else floor((valu
     ),
 )
 def prediction_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).select("rec_id", output_heads(F.col("z"), KINDS).alias("p"))
+    rows = scored(spark, sf_dir).select("z")
     bounds = []
     for f in DICTIONARY.select(4):
         if f.handling in ("one-hot", "unary"):

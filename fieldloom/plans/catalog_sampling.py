@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import sampling
 from fieldloom.operators.ordering import with_position
 from fieldloom.plans.matches import DICTIONARY, records
-from fieldloom.plans.oracle import draw, sql
+from fieldloom.plans.oracle import draw, sql, text_list
 from fieldloom.plans.registry import query
 
 HELD_OUT, EVALUATION, BATCH = 150, 200, 256
@@ -60,7 +60,7 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         extra={
             "batches": f"select distinct pos // {BATCH} as batch_id from placed",
             "orders_of": f"""select batch_id, team, member, row_number() over (partition by batch_id, team
-                order by md5('{SEED}:' || batch_id || ':' || team || ':' || member)) - 1 as place
+                order by substr(md5('{SEED}:' || batch_id || ':' || team), (6 * member + 1)::int, 6), member) - 1 as place
                 from batches, (values (0), (1)) t(team), range(5) m(member)""",
             "slots_all": """select r.rec_id, s.slot, brand, quantity, price, linestatus, priority
                 from recs r cross join range(10) s(slot) left join slots q on q.rec_id = r.rec_id and q.slot = s.slot""",
@@ -84,23 +84,27 @@ def permute_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("rec_id", F.inline(F.array(*slots))).withColumn("price", F.round("price", 2))
 
 
+# Optional fields in dictionary order, numbered from 1; draw 0 keeps the row.
+OPTIONAL_FIELDS = [f.path for f in DICTIONARY if f.optional]
+
+
 @query(
     "blank_optional",
     sql(
-        f"""select rec_id, field, case when value is not null and {draw(f"'{SEED}'", 'field', 'rec_id')} < 1 - exp(-0.5::double)
-                and not ({draw(f"'{SEED}'", "'keep'", 'rec_id')} < 1 - exp(-0.5::double)) then ''
-            when value is null and {draw(f"'{SEED}'", 'field', 'rec_id')} < 1 - exp(-0.5::double)
-                and not ({draw(f"'{SEED}'", "'keep'", 'rec_id')} < 1 - exp(-0.5::double)) then ''
-            else value end as value
+        f"""select rec_id, field, case when d < 1 - exp(-0.5::double) and not k < 1 - exp(-0.5::double) then '' else value end as value
         from (
-            select r.rec_id, 'participants.' || g.slot || '.brand' as field, s.brand as value
-              from recs r cross join range(10) g(slot) left join slots s on s.rec_id = r.rec_id and s.slot = g.slot
-            union all
-            select r.rec_id, 'participants.' || g.slot || '.ptype', s.ptype
-              from recs r cross join range(10) g(slot) left join slots s on s.rec_id = r.rec_id and s.slot = g.slot
-            union all
-            select r.rec_id, 'teams.' || (g.slot // 5) || '.bans.' || (g.slot % 5) || '.priority', s.priority
-              from recs r cross join range(10) g(slot) left join slots s on s.rec_id = r.rec_id and s.slot = g.slot) q""",
+            select *, ('0x' || substr(md5('{SEED}:' || (i // 4) || ':' || rec_id), (8 * (i % 4) + 1)::int, 8))::bigint / 4294967296.0::double as d,
+                {draw(f"'{SEED}'", "'0'", 'rec_id')} as k
+            from (select *, list_position({text_list(OPTIONAL_FIELDS)}, field) as i from (
+                select r.rec_id, 'participants.' || g.slot || '.brand' as field, s.brand as value
+                  from recs r cross join range(10) g(slot) left join slots s on s.rec_id = r.rec_id and s.slot = g.slot
+                union all
+                select r.rec_id, 'participants.' || g.slot || '.ptype', s.ptype
+                  from recs r cross join range(10) g(slot) left join slots s on s.rec_id = r.rec_id and s.slot = g.slot
+                union all
+                select r.rec_id, 'teams.' || (g.slot // 5) || '.bans.' || (g.slot % 5) || '.priority', s.priority
+                  from recs r cross join range(10) g(slot) left join slots s on s.rec_id = r.rec_id and s.slot = g.slot
+            ) q) n) d""",
         "recs", "slots",
     ),
 )

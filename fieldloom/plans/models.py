@@ -52,11 +52,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checksum(array: str, name: str, digits: int = 4):
-    """Three position-sensitive sums of an array column."""
-    x = F.col(array)
-    cast = F.transform(x, lambda v: v.cast("double"))
-    plain = F.aggregate(cast, F.lit(0.0), lambda a, v: a + v)
-    weighted = F.aggregate(
-        F.transform(cast, lambda v, i: v * (i % 97)), F.lit(0.0), lambda a, v: a + v
-    )
+    """Plain and position-weighted sum of an array column."""
+    plain = F.expr(f"aggregate({array}, 0D, (a, v) -> a + v)")
+    weighted = F.expr(f"aggregate(transform({array}, (v, i) -> v * cast(i % 97 as double)), 0D, (a, v) -> a + v)")
     return [F.round(plain, digits).alias(f"{name}_sum"), F.round(weighted, digits).alias(f"{name}_dot")]
