@@ -1,5 +1,5 @@
-"""Encoding expressions as SQL text.  Each builder returns the array pieces of
-one field, so that a whole record is a single flat ``concat`` without lambdas."""
+"""Encoding expressions as SQL text: one array per field and a single flat
+``concat`` per record part, without lambdas."""
 
 from __future__ import annotations
 
@@ -16,40 +16,48 @@ def fill_default(field: Field, value: str | None = None) -> str:
     return f"cast(coalesce({value}, {default}) as {field.spark_type.simpleString()})"
 
 
-def onehot(value: str, levels) -> list[str]:
-    """1 at the level's position, 0 elsewhere; all 0 for any other value."""
-    index = f"cast(coalesce(array_position({array(levels)}, {value}), 0) as int)"
-    return [
-        f"array_repeat(0F, {index} - 1)",
-        f"array_repeat(1F, least({index}, 1))",
-        f"array_repeat(0F, {len(levels)} - {index})",
-    ]
+def onehot(value: str, levels, default=None) -> str:
+    """1 at the level's position, 0 elsewhere; all 0 for any other value, or 1 at
+    the default's position if one is given.
 
+    The row is a window over n zeros, a one and n zeros, which the optimizer folds
+    into one constant.
+    """
+    n = len(levels)
+    index = f"array_position({array(levels)}, {value})"
+    if default in levels:
+        index = f"coalesce(nullif({index}, 0), {list(levels).index(default) + 1})"
+    else:
+        index = f"coalesce({index}, 0)"
+    base = f"concat(array_repeat(0F, {n}), array(1F), array_repeat(0F, {n}))"
+    return f"slice({base}, cast({n + 2} - {index} as int), {n})"
 
-def thermometer(value: str, lo: int, width: int) -> list[str]:
-    """``value >= k`` for every k in (lo, lo + width]."""
-    lit = f"cast(greatest(0, least(floor(cast({value} as double)) - {lo}, {width})) as int)"
-    return [f"array_repeat(1F, {lit})", f"array_repeat(0F, {width} - {lit})"]
 
+def thermometer(value: str, lo: int, width: int) -> str:
+    """``value >= k`` for every k in (lo, lo + width]: a window over ones, zeros."""
+    lit = f"greatest(0, least(floor(cast({value} as double)) - {lo}, {width}))"
+    base = f"concat(array_repeat(1F, {width}), array_repeat(0F, {width}))"
+    return f"slice({base}, cast({width + 1} - {lit} as int), {width})"
 
-def flag(condition: str) -> list[str]:
-    return [f"array(if({condition}, 1F, 0F))"]
 
+def flag(condition: str) -> str:
+    return f"array(if({condition}, 1F, 0F))"
 
-def zscore(value: str, mean: float, sd: float) -> list[str]:
+
+def zscore(value: str, mean: float, sd: float) -> str:
     """``(value - mean) / sd``; null where sd is 0."""
     mean, sd = literal(float(mean)), literal(float(sd))
-    return [f"array(cast(try_divide(cast({value} as double) - {mean}, {sd}) as float))"]
+    return f"array(cast(try_divide(cast({value} as double) - {mean}, {sd}) as float))"
 
 
-def field_pieces(span: Span, value: str | None = None) -> list[str]:
-    """Encoded pieces of an already filled value."""
+def field_array(span: Span) -> str:
+    """Encoded columns of one field from its raw value; defaults are filled in."""
     f = span.field
-    value = value or name(f.column)
+    if f.handling == "one-hot" and f.kind == "enum":
+        return onehot(name(f.column), f.levels, f.default)
+    value = fill_default(f)
     if f.handling == "one-hot":
-        if f.kind == "bool":
-            return flag(value) + flag(f"NOT {value}")
-        return onehot(value, f.levels)
+        return f"concat({flag(value)}, {flag(f'NOT {value}')})"
     if f.handling == "unary":
         return thermometer(value, span.lo, span.width)
     if f.handling == "bool":
@@ -62,4 +70,4 @@ def field_pieces(span: Span, value: str | None = None) -> list[str]:
 
 def encoded_text(spans) -> str:
     """One array with the encoded columns of all spans."""
-    return "concat(" + ", ".join(p for s in spans for p in field_pieces(s)) + ")"
+    return "concat(" + ", ".join(field_array(s) for s in spans) + ")"

@@ -21,18 +21,18 @@ def fill_defaults(df: DataFrame, dictionary: Dictionary, mask: int = ALL) -> Dat
 
 
 def encoded_array(spans: list[Span]) -> Column:
-    """One array with the encoded columns of the spans, from filled fields."""
+    """One array with the encoded columns of the spans, from raw fields."""
     return F.expr(encoded_text(spans))
 
 
 def encode_records(
     df: DataFrame, dictionary: Dictionary, portions=("known", "unknown", "win"), keep=("rec_id",)
 ) -> DataFrame:
-    """Filled records as one float array per portion, in layout order."""
+    """Raw or filled records as one float array per portion, in layout order."""
     arrays = [
         encoded_array(dictionary.portion_spans(PORTION_COLUMNS[p])).alias(p) for p in portions
     ]
-    return fill_defaults(df, dictionary).select(*keep, *arrays)
+    return df.select(*keep, *arrays)
 
 
 def project_portion(x: str, dictionary: Dictionary, mask: int) -> Column:

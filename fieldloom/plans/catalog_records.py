@@ -53,11 +53,10 @@ def fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _positions(df: DataFrame, spans, base: int = 0) -> DataFrame:
     """Non-zero cells (rec_id, pos, value) of the given fields."""
-    filled = rec.fill_defaults(df, DICTIONARY)
     array = rec.encoded_array(spans)
     starts = F.lit([s.start + k - base for s in spans for k in range(s.width)])
     return (
-        filled.select("rec_id", F.inline(F.arrays_zip(starts.alias("pos"), array.alias("value"))))
+        df.select("rec_id", F.inline(F.arrays_zip(starts.alias("pos"), array.alias("value"))))
         .where("value != 0")
         .withColumn("value", F.col("value").cast("double"))
     )
@@ -82,7 +81,7 @@ def encode_thermometer(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = rec.fill_defaults(records(spark, sf_dir), DICTIONARY)
     cells = []
     for i, s in enumerate(FAMILY_SPANS["quantity"]):
-        x = F.expr(f"concat({', '.join(encode.thermometer(s.field.column, s.lo, s.width))})")
+        x = F.expr(encode.thermometer(s.field.column, s.lo, s.width))
         levels = F.transform(x, lambda v, k: F.when(v > 0, k + 2).otherwise(0))
         cells.append(
             F.struct(
@@ -97,7 +96,6 @@ def encode_thermometer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _single(df: DataFrame, family: str) -> DataFrame:
     """(rec_id, field, value) of fields encoded as one column."""
-    filled = rec.fill_defaults(df, DICTIONARY)
     cells = [
         F.struct(
             F.lit(s.field.path).alias("field"),
@@ -105,7 +103,7 @@ def _single(df: DataFrame, family: str) -> DataFrame:
         )
         for s in FAMILY_SPANS[family]
     ]
-    return filled.select("rec_id", F.inline(F.array(*cells)))
+    return df.select("rec_id", F.inline(F.array(*cells)))
 
 
 @query(
