@@ -44,7 +44,7 @@ def encoded_layout(fields: DataFrame) -> DataFrame:
         "line", "path", "portion", "handling", kind.alias("part_kind"), rank.alias("_rank"),
         F.posexplode(parts).alias("_part", "part_key"),
     )
-    position = F.row_number().over(Window.orderBy("_rank", "line", "_part")) - 1
+    position = F.row_number().over(Window.orderBy("_rank", "line", "_part")).cast("bigint") - 1
     return exploded.withColumn("pos", position).drop("_rank", "_part")
 
 

@@ -16,7 +16,7 @@ def value_histogram(df: DataFrame, fields) -> DataFrame:
     long form map-side; everything after works on distinct values.
     """
     cells = []
-    for path, column, kind in fields:
+    for i, (_, column, kind) in enumerate(fields):
         value = F.col(column)
         if kind == "enum":
             num, txt = F.lit(None).cast("double"), value
@@ -24,9 +24,11 @@ def value_histogram(df: DataFrame, fields) -> DataFrame:
             num, txt = value.cast("int").cast("double"), F.initcap(value.cast("string"))
         else:
             num, txt = value.cast("double"), F.lit(None).cast("string")
-        cells.append(F.struct(F.lit(path).alias("path"), num.alias("num"), txt.alias("txt")))
+        cells.append(F.struct(F.lit(i).alias("i"), num.alias("num"), txt.alias("txt")))
     long = df.select(F.inline(F.array(*cells))).where("num is not null or txt is not null")
-    return long.groupBy("path", "num", "txt").agg(F.count(F.lit(1)).alias("c"))
+    counted = long.groupBy("i", "num", "txt").agg(F.count(F.lit(1)).alias("c"))
+    path = F.get(F.lit([path for path, _, _ in fields]), F.col("i"))
+    return counted.select(path.alias("path"), "num", "txt", "c")
 
 
 def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame:

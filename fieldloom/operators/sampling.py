@@ -96,4 +96,4 @@ def shuffle_rows(df: DataFrame, seed=0, epoch: int = 0, key: str = "rec_id", bat
     whose size is the batch size."""
     order = [F.expr(digest_text(seed, epoch, name(key))), F.col(key)]
     window = Window.partitionBy(batch).orderBy(*order)
-    return df.select("*", F.lit(epoch).alias("epoch"), (F.row_number().over(window) - 1).alias("place"))
+    return df.select("*", F.lit(epoch).alias("epoch"), (F.row_number().over(window).cast("bigint") - 1).alias("place"))

@@ -36,7 +36,7 @@ def gradient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build():
         n, _, grad = win_gradient_values(spark, sf_dir)
-        return spark.createDataFrame([(i, float(g), n) for i, g in enumerate(grad)], "pos int, g double, n bigint")
+        return spark.createDataFrame([(i, float(g), n) for i, g in enumerate(grad)], "pos bigint, g double, n bigint")
 
     return stored(spark, ("win-gradient", sf_dir), build)
 
@@ -90,7 +90,7 @@ def clip_and_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [
         (name, i, float(v)) for name in _STEPS for i, v in enumerate(fitting.flatten(stepped(spark, sf_dir, name)))
     ]
-    return spark.createDataFrame(rows, "optimizer string, pos int, value double").withColumn("value", F.round("value", 7))
+    return spark.createDataFrame(rows, "optimizer string, pos bigint, value double").withColumn("value", F.round("value", 7))
 
 
 @query(
@@ -107,7 +107,8 @@ def load_network_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     save_network(spark, stepped(spark, sf_dir, "sgd"), path)
     model = network_frame(spark, load_network(spark, path))
     values = F.posexplode(F.concat("w", "b")).alias("pos", "value")
-    return model.select("layer", "n_in", "n_out", values).withColumn("value", F.round("value", 7))
+    rows = model.select("layer", "n_in", "n_out", values)
+    return rows.withColumns({"pos": F.col("pos").cast("bigint"), "value": F.round("value", 7)})
 
 
 def stepped_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "permute_slots",
     sql(
-        """select g.rec_id, t.team * 5 + o.place as slot, brand, quantity, round(price, 2) as price, linestatus, priority
+        """select g.rec_id, (t.team * 5 + o.place)::int as slot, brand, quantity, round(price, 2) as price, linestatus, priority
         from placed p
         join orders_of o on o.batch_id = p.batch_id
         join (values (0), (1)) t(team) on t.team = o.team

@@ -57,7 +57,7 @@ def parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(
         "path", "kind", "handling", "occurrence", "optional", "default_column", "mean", "sd", "md",
         "min", "max", "median", "mode",
-        F.when(F.col("levels").isNotNull(), F.size("levels")).alias("n_levels"),
+        F.when(F.col("levels").isNotNull(), F.size("levels")).cast("bigint").alias("n_levels"),
         F.array_join("levels", "/").alias("level_text"),
     )
 

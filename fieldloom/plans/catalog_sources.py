@@ -57,7 +57,7 @@ def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "read_dictionary",
     sql(
-        """select line, path, format, handling, default_column, occurrence, mean, sd, md, min, max, median, mode
+        """select line::bigint as line, path, format, handling, default_column, occurrence, mean, sd, md, min, max, median, mode
         from dict where portion = 1""",
         "dict",
     ),

@@ -30,9 +30,8 @@ _CSV = {"nullValue": "", "emptyValue": "", "mode": "FAILFAST"}
 def read_field_list(spark: SparkSession, path: str) -> DataFrame:
     """One field path per line, with its line number in a one-file list."""
     lines = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
-    return lines.select(
-        F.posexplode(F.split(F.regexp_replace("body", r"\n$", ""), "\n")).alias("line", "path")
-    )
+    listed = F.posexplode(F.split(F.regexp_replace("body", r"\n$", ""), "\n"))
+    return lines.select(listed.alias("line", "path")).withColumn("line", F.col("line").cast("bigint"))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
