@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fieldloom.session import materialize
 
 GROUP_LIMIT = 2_000_000
+CHUNK_ROWS = 2_000_000
 CHUNK = "_chunk"
 
 
@@ -28,16 +29,26 @@ class Running:
     value: str | None = None
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Row count of the largest group; map-side combined, one number back."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return row[0] or 0
+def group_sizes(df: DataFrame, keys) -> tuple[int, int]:
+    """Rows of the largest group and of all groups; counted map-side."""
+    if not keys:
+        n = df.count()
+        return n, n
+    sizes = df.groupBy(*keys).count()
+    row = sizes.agg(F.max("count"), F.sum("count")).first()
+    return row[0] or 0, row[1] or 0
 
 
-def ordered_chunks(df: DataFrame, keys, order, partitions: int | None = None) -> DataFrame:
+def chunk_count(df: DataFrame, rows: int) -> int:
+    """Partitions for a range shuffle: as configured, more where chunks would be
+    too long to sort in one task."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, -(-rows // CHUNK_ROWS))
+
+
+def ordered_chunks(df: DataFrame, keys, order, partitions: int) -> DataFrame:
     """Rows with a chunk number that grows with (keys, order), written out."""
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(c) for c in (*keys, *order)])
+    ranged = df.repartitionByRange(partitions, *[F.col(c) for c in (*keys, *order)])
     return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
@@ -88,11 +99,12 @@ def with_running(
     which the largest group is measured.
     """
     keys, order = list(keys), list(order)
-    if keys and largest_group(sized_by if sized_by is not None else df, keys) <= limit:
+    largest, rows = group_sizes(sized_by if sized_by is not None else df, keys)
+    if keys and largest <= limit:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[_local(r, window).alias(c) for c, r in runs.items()])
 
-    chunks = ordered_chunks(df, keys, order, partitions)
+    chunks = ordered_chunks(df, keys, order, partitions or chunk_count(df, rows))
     inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     first = "_first"
     local = chunks.select(
@@ -146,7 +158,7 @@ def with_position(df: DataFrame, order, out: str = "pos", partitions: int | None
     partition; what earlier partitions hold is added from one row per partition,
     so the rows are not moved a second time.
     """
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or chunk_count(df, df.count())
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # The low 33 bits of the generated id count the rows of a partition.
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

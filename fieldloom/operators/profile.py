@@ -9,6 +9,9 @@ from fieldloom.operators.ordering import GROUP_LIMIT, Running, with_running
 from fieldloom.session import materialize
 
 
+LEVEL_LIMIT = 100_000
+
+
 def value_histogram(df: DataFrame, fields) -> DataFrame:
     """(path, num, txt, c): how often each field takes each value.
 
@@ -34,7 +37,8 @@ def value_histogram(df: DataFrame, fields) -> DataFrame:
 def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame:
     """Mean, population deviations, bounds, exact median, mode and levels.
 
-    Ties of the mode go to the smallest value.  The median is the mean of the
+    Ties of the mode go to the smallest value.  ``levels`` stays null for text
+    with more than ``LEVEL_LIMIT`` different values.  The median is the mean of the
     two middle values, found on cumulative counts of distinct values.
     """
     hist = materialize(value_histogram(df, fields), "histogram")
@@ -44,7 +48,15 @@ def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame
         F.min("num").alias("min"),
         F.max("num").alias("max"),
         F.min_by(F.struct("num", "txt"), F.struct(-F.col("c"), "num", "txt")).alias("m"),
-        F.sort_array(F.collect_set("txt")).alias("levels"),
+        F.count("txt").alias("n_levels"),
+    )
+    # Levels are gathered only for fields that have few enough to be an enum.
+    listed = F.broadcast(first.where(f"n_levels between 1 and {LEVEL_LIMIT}").select("path"))
+    levels = (
+        hist.where("txt is not null")
+        .join(listed, "path", "left_semi")
+        .groupBy("path")
+        .agg(F.sort_array(F.collect_list("txt")).alias("levels"))
     )
     # One row per declared field: small whatever the data.
     means = F.broadcast(first.select("path", "mean", "n"))
@@ -73,6 +85,7 @@ def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame
     return (
         first.join(F.broadcast(spread), "path", "left")
         .join(F.broadcast(medians), "path", "left")
+        .join(F.broadcast(levels), "path", "left")
         .select(
             "path",
             "n",
@@ -84,6 +97,7 @@ def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame
             "median",
             F.col("m.num").alias("mode_num"),
             F.col("m.txt").alias("mode_txt"),
+            "n_levels",
             "levels",
         )
     )

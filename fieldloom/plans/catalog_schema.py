@@ -37,7 +37,7 @@ def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         "median",
         "mode_num",
         "mode_txt",
-        F.array_join("levels", "|").alias("levels"),
+        F.coalesce(F.array_join("levels", "|"), F.lit("")).alias("levels"),
     )
 
 
