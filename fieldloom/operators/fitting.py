@@ -7,6 +7,7 @@ follows from the declared network.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import time
@@ -43,7 +44,7 @@ from fieldloom.operators.runs import CriteriaSpec
 from fieldloom.operators.scoring import score_dense
 from fieldloom.schema import KNOWN, OUTCOME, Dictionary
 from fieldloom.session import materialize, new_folder, ship_package
-from fieldloom.sources.models import check_network, network_frame
+from fieldloom.sources.models import check_network, network_frame, save_network
 
 BLOCK = 1 << 16
 FAN_IN = 128
@@ -150,7 +151,7 @@ def fit(
     inputs,
     target: str,
     evaluate,
-    steps: int,
+    steps: int | None = None,
     prepare=as_is,
     groups: int = 1,
     optimizer: str = "adam",
@@ -159,25 +160,30 @@ def fit(
     penalty: float = 0.0,
     loss_parts: int = 1,
     summed: bool = False,
-    evaluate_every: int = 10,
-    stop: str = "never",
+    samples_per_evaluation: int = 50_000,
+    stop: str = "seconds1800:stagnant",
+    save_to: str | None = None,
     run: str = "fit",
     seed=0,
 ) -> Fit:
     """Shared loop: gradient, clip, update; evaluate and keep the best state.
 
-    ``evaluate(network) -> (loss, accuracy)``.  The state kept is the one whose
-    evaluation accuracy strictly improved last.  ``summed`` fits the sum of the
+    ``evaluate(network) -> (loss, accuracy)`` runs after the first and the last
+    step and whenever enough samples have passed.  The state kept, and written to
+    ``save_to``, is the one whose evaluation accuracy strictly improved last.  The
+    fit ends after ``steps`` or when ``stop`` says so.  ``summed`` fits the sum of the
     row losses instead of their mean.  One step uses one of ``groups`` parts of
     the rows.  Raw rows are laid out once; ``prepare(rows, epoch)`` draws and
     encodes the rows of a step as it reads them, so that encoded rows, many times
     larger, are never stored.
     """
+    criteria = CriteriaSpec.parse(stop)
+    if steps is None and criteria == CriteriaSpec():
+        raise ValueError("a fit needs a number of steps or a stop criterion")
     data = step_groups(train, groups, seed)
     rule = Optimizer(optimizer, learning_rate)
-    criteria = CriteriaSpec.parse(stop)
-    result, samples, losses, started = Fit(network), 0, [], None
-    for step in range(steps):
+    result, samples, since, losses, started = Fit(network), 0, 0, [], None
+    for step in itertools.count() if steps is None else range(steps):
         rows = prepare(data.where(F.col("step_group") == step % groups), step // groups)
         n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation, "float32")
         if summed:
@@ -191,9 +197,10 @@ def fit(
             raise FloatingPointError(f"loss of step {step} is {loss}")
         result.log.append((run, step, samples, "train", "loss", float(loss)))
         network = unflatten(rule.update(flat, grad), network)
-        samples += n
-        if step % evaluate_every and step != steps - 1:
+        samples, since = samples + n, since + n
+        if step and since < samples_per_evaluation and step + 1 != steps:
             continue
+        since = 0
         started = started or time.monotonic()
         eval_loss, accuracy = evaluate(network)
         losses.append(eval_loss)
@@ -201,6 +208,8 @@ def fit(
         result.log.append((run, step, samples, "evaluation", "accuracy", float(accuracy)))
         if result.best_accuracy is None or accuracy > result.best_accuracy:
             result.best_accuracy, result.network = accuracy, network
+            if save_to:
+                save_network(train.sparkSession, network, save_to)
         if criteria.should_stop(samples, losses, time.monotonic() - started):
             break
     return result

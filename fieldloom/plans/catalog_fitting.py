@@ -146,18 +146,15 @@ def model_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(values, F.lit(-0.05003), F.lit(0.05001), 8)
 
 
-def a_tenth(df: DataFrame) -> int:
-    return max(df.count() // 10, 1)
-
-
 def log_rows(spark: SparkSession, result) -> DataFrame:
     return result.log_frame(spark).withColumn("value", F.round("value", 6))
 
 
 def fit_options(rows: DataFrame) -> dict:
     """A tenth of the records is evaluated and a tenth kept back."""
-    tenth = a_tenth(rows)
-    return {"held_out": tenth, "evaluation": tenth, "groups": 2, "steps": 4}
+    n = rows.count()
+    tenth = max(n // 10, 1)
+    return {"held_out": tenth, "evaluation": tenth, "groups": 2, "steps": 4, "samples_per_evaluation": 2 * n}
 
 
 @query("fit_network")
@@ -166,7 +163,7 @@ def fit_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
     result = jobs.train_generator(
         spark, rows, ["rec_id"], DICTIONARY, duration="duration", shortest=MIN_DURATION, hidden=(32,), penalty=1e-4,
-        learning_rate=0.02, evaluate_every=3, stop="samples100000000000:stagnant", run="generator", **fit_options(rows),
+        learning_rate=0.02, stop="samples100000000000:stagnant", run="generator", **fit_options(rows),
     )
     return log_rows(spark, result)
 
@@ -176,7 +173,7 @@ def fit_win(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win fit on known and generated fields; abandoned games stay in."""
     rows = records(spark, sf_dir)
     result = jobs.train_win(
-        spark, rows, ["rec_id"], DICTIONARY, GENERATOR, hidden=(16,), learning_rate=0.01, evaluate_every=3, run="win",
+        spark, rows, ["rec_id"], DICTIONARY, GENERATOR, hidden=(16,), learning_rate=0.01, run="win",
         **fit_options(rows),
     )
     return log_rows(spark, result)
@@ -188,7 +185,7 @@ def fit_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
     result = jobs.train_two_sample(
         spark, rows, ["rec_id"], DICTIONARY, GENERATOR, duration="duration", shortest=MIN_DURATION, hidden=(16,),
-        optimizer="adagrad", learning_rate=0.05, evaluate_every=3, run="two-sample", **fit_options(rows),
+        optimizer="adagrad", learning_rate=0.05, run="two-sample", **fit_options(rows),
     )
     return log_rows(spark, result)
 
@@ -197,14 +194,15 @@ def fit_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two seeded trials of the generator fit, each run over the whole split."""
     rows = records(spark, sf_dir)
-    tenth = a_tenth(rows)
+    tenth = max(rows.count() // 10, 1)
     split = split_positional(rows, ["rec_id"], tenth, tenth)
-    train = materialize(corpus.augmented(corpus.train_rows(split, above=MIN_DURATION), DICTIONARY), "train")
     evaluation = materialize(corpus.evaluation_rows(split, DICTIONARY, above=MIN_DURATION), "evaluation")
 
     def run_trial(draw):
+        train = corpus.train_rows(split, draw["batch_size"], above=MIN_DURATION)
         result = fitting.fit_network(
-            train, evaluation, DICTIONARY, hidden=draw["hidden"], steps=2, groups=1, evaluate_every=2,
+            train, evaluation, DICTIONARY, hidden=draw["hidden"], steps=2,
+            prepare=lambda rows, epoch: corpus.augmented(rows, DICTIONARY, draw["trial"], epoch),
             activation=draw["activation"], optimizer=draw["optimizer"], learning_rate=draw["learning_rate"],
             run=f"trial-{draw['trial']}",
         )

@@ -79,12 +79,15 @@ def test_binary_fit_learns_and_keeps_the_best(spark):
     rows = [(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "rec_id bigint, x array<double>, t double")
     fit = fitting.fit_binary(
-        df, df, ["x"], 3, "t", hidden=(8,), steps=30, groups=2, learning_rate=0.05, evaluate_every=10, run="r"
+        df, df, ["x"], 3, "t", hidden=(8,), steps=30, groups=2, learning_rate=0.05, samples_per_evaluation=2000, run="r"
     )
     losses = [v for _, _, _, split, metric, v in fit.log if (split, metric) == ("evaluation", "loss")]
     assert losses[-1] < 0.6 * losses[0] and fit.best_accuracy > 0.85
+    assert [row[1] for row in fit.log if row[4] == "accuracy"][0] == 0
+    with pytest.raises(ValueError, match="stop criterion"):
+        fitting.fit_binary(df, df, ["x"], 3, "t", stop="never")
     stopped = fitting.fit_binary(
-        df, df, ["x"], 3, "t", hidden=(2,), steps=30, groups=2, evaluate_every=1, stop="samples400"
+        df, df, ["x"], 3, "t", hidden=(2,), steps=30, groups=2, samples_per_evaluation=1, stop="samples400"
     )
     assert len({row[1] for row in stopped.log}) == 2
 

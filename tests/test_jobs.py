@@ -56,9 +56,10 @@ def test_corpus_is_encoded_once(spark, folder, fields, records, tmp_path):
 
 
 def test_train_then_generate_and_predict(spark, folder, fields, records, tmp_path):
-    options = {"held_out": 60, "evaluation": 60, "batch_size": 64, "groups": 1, "steps": 3, "evaluate_every": 2, "hidden": (6,)}
+    options = {"held_out": 60, "evaluation": 60, "batch_size": 64, "groups": 1, "steps": 3, "hidden": (6,)}
     generator = jobs.train_generator(
-        spark, records, ["rec_id"], fields, duration="duration", shortest=MIN_DURATION, learning_rate=0.05, **options
+        spark, records, ["rec_id"], fields, duration="duration", shortest=MIN_DURATION, learning_rate=0.05,
+        save_to=str(tmp_path / "best"), **options,
     )
     losses = [v for *_, split, metric, v in generator.log if (split, metric) == ("evaluation", "loss")]
     assert losses[-1] < losses[0] and 0 < generator.best_accuracy < 1
@@ -67,8 +68,8 @@ def test_train_then_generate_and_predict(spark, folder, fields, records, tmp_pat
         spark, records, ["rec_id"], fields, generator.network, duration="duration", shortest=MIN_DURATION, **options
     )
     assert judge.log_frame(spark).where("metric = 'accuracy'").count() == 2
-    models.save_network(spark, generator.network, str(tmp_path / "g"))
-    loaded = models.load_network(spark, str(tmp_path / "g"))
+    loaded = models.load_network(spark, str(tmp_path / "best"))
+    assert all((w == v).all() for (w, _), (v, _) in zip(loaded, generator.network))
 
     known, out = f"{folder}/known-csv", str(tmp_path / "out")
     jobs.generate(spark, known, fields, loaded, out, id_field="rec_id")
