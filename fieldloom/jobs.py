@@ -14,7 +14,7 @@ from fieldloom.operators.records import decode_records, drop_short, encode_recor
 from fieldloom.operators.sampling import split_positional
 from fieldloom.operators.scoring import head_kinds, score_dense
 from fieldloom.schema import ALL, KNOWN, OUTCOME, WIN, Dictionary
-from fieldloom.session import tune
+from fieldloom.session import materialize, tune
 from fieldloom.sources import tables
 from fieldloom.sources.snapshot import snapshot_corpus
 from fieldloom.streaming.scoring import predict_known
@@ -153,3 +153,27 @@ def train_two_sample(
         train, real_and_generated(held, fields, generator), ["known", "unknown"], width, "target",
         prepare=prepare, seed=seed, **options,
     )
+
+
+def search_generator(
+    spark: SparkSession, records: DataFrame, order, fields: Dictionary, path: str, trials: int, held_out: int = 1 << 14,
+    evaluation: int = 1 << 14, duration: str = DURATION, shortest: float = SHORTEST, seed=0, max_width: int | None = None,
+    **options,
+) -> DataFrame:
+    """Fit drawn settings one after the other and append each to the table at
+    ``path``; a rerun goes on after the last finished trial."""
+    tune(spark)
+    split = split_positional(records, order, held_out, evaluation)
+    column = fields[duration].column
+    held = materialize(corpus.evaluation_rows(split, fields, seed, column, shortest), "evaluation")
+
+    def run_trial(draw):
+        fitted = fitting.fit_network(
+            corpus.train_rows(split, draw["batch_size"], column, shortest), held, fields, hidden=draw["hidden"],
+            prepare=lambda rows, epoch: corpus.augmented(rows, fields, seed, epoch),
+            activation=draw["activation"], optimizer=draw["optimizer"], learning_rate=draw["learning_rate"],
+            run=f"trial-{draw['trial']}", **options,
+        )
+        return fitted.best_accuracy
+
+    return fitting.search_trials(spark, path, trials, run_trial, seed, max_width)

@@ -152,7 +152,7 @@ def with_running(
 
 
 def with_position(df: DataFrame, order, out: str = "pos", partitions: int | None = None) -> DataFrame:
-    """Dense 0-based global position in ``order``.
+    """Dense 0-based global position in ``order``, which must identify a row.
 
     Rows are range-partitioned, sorted and written once with their index in the
     partition; what earlier partitions hold is added from one row per partition,

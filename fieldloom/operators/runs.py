@@ -15,6 +15,8 @@ from fieldloom.operators.ordering import GROUP_LIMIT, Running, with_running
 MIN_LOG = 30
 CHECKPOINTS = (0.75, 0.8)
 
+STEP_BLOCK = 1_000_000
+
 
 @dataclass(frozen=True)
 class CriteriaSpec:
@@ -91,11 +93,19 @@ def stop_stagnation(steps: DataFrame, min_log: int = MIN_LOG, checkpoints=CHECKP
 
 
 def stop_elapsed(steps: DataFrame, seconds: float, run: str = "run", ts: str = "ts") -> DataFrame:
-    """First step at least ``seconds`` after the run's first row."""
-    starts = steps.groupBy(run).agg(F.min(ts).alias("_start")).withColumnRenamed(run, "_run")
-    late = steps.join(starts, F.col(run) == F.col("_run")).where(
-        F.col(ts) >= F.col("_start") + F.make_dt_interval(secs=F.lit(float(seconds)))
+    """First step at least ``seconds`` after the run's first row.
+
+    Starts are joined per block of steps, so that a long run is spread over as
+    many join keys as it has blocks.
+    """
+    block = F.floor(F.col("step") / STEP_BLOCK).cast("bigint")
+    starts = steps.groupBy(run).agg(F.min(ts).alias("_start"), F.max(block).alias("_last"))
+    starts = starts.select(
+        F.col(run).alias("_run"), "_start", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_at")
     )
+    same = (F.col(run) == F.col("_run")) & (F.col("_block") == F.col("_at"))
+    wait = F.make_dt_interval(secs=F.lit(float(seconds)))
+    late = steps.withColumn("_block", block).join(starts, same).where(F.col(ts) >= F.col("_start") + wait)
     return late.groupBy(run).agg(F.min("step").alias("stop_step"))
 
 

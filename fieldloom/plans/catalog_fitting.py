@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from fieldloom.functions.objectives import LogisticObjective
 from fieldloom.functions.optimizers import Optimizer
 from fieldloom import jobs
-from fieldloom.operators import corpus, fitting, metrics
-from fieldloom.operators.sampling import split_positional
+from fieldloom.operators import fitting, metrics
 from fieldloom.plans.matches import DICTIONARY, MIN_DURATION, records
 from fieldloom.plans.models import GENERATOR, N_KNOWN, N_UNKNOWN, encoded, formula_network
 from fieldloom.plans.oracle import last_bias, sql, weight
 from fieldloom.plans.registry import query
-from fieldloom.session import materialize, new_folder, stored
+from fieldloom.session import new_folder, stored
 from fieldloom.sources.models import MODEL_SCHEMA, load_network, network_frame, save_network
 
 LINEAR = formula_network([N_KNOWN + N_UNKNOWN, 1], 100.0)
@@ -195,17 +194,7 @@ def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two seeded trials of the generator fit, each run over the whole split."""
     rows = records(spark, sf_dir)
     tenth = max(rows.count() // 10, 1)
-    split = split_positional(rows, ["rec_id"], tenth, tenth)
-    evaluation = materialize(corpus.evaluation_rows(split, DICTIONARY, above=MIN_DURATION), "evaluation")
-
-    def run_trial(draw):
-        train = corpus.train_rows(split, draw["batch_size"], above=MIN_DURATION)
-        result = fitting.fit_network(
-            train, evaluation, DICTIONARY, hidden=draw["hidden"], steps=2,
-            prepare=lambda rows, epoch: corpus.augmented(rows, DICTIONARY, draw["trial"], epoch),
-            activation=draw["activation"], optimizer=draw["optimizer"], learning_rate=draw["learning_rate"],
-            run=f"trial-{draw['trial']}",
-        )
-        return result.best_accuracy
-
-    return fitting.search_trials(spark, new_folder(spark, "trials"), 2, run_trial, seed=3, max_width=32)
+    return jobs.search_generator(
+        spark, rows, ["rec_id"], DICTIONARY, new_folder(spark, "trials"), 2, tenth, tenth, "duration", MIN_DURATION,
+        seed=3, max_width=32, steps=2,
+    )

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.operators import runs
 
@@ -39,6 +40,14 @@ def test_best_and_stagnation_against_loops(spark, limit):
     assert got == {r: s for r, s in want.items() if s is not None}
 
 
+def test_elapsed_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(runs, "STEP_BLOCK", 4)
+    rows = [(r, i + 1, i * gap) for r, gap, n in ((1, 10, 30), (2, 3, 50), (3, 100, 1)) for i in range(n)]
+    steps = spark.createDataFrame(rows, "run int, step bigint, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["run"]: r["stop_step"] for r in runs.stop_elapsed(steps, 100).collect()}
+    assert got == {1: 11, 2: 35}
+
+
 def test_never_stops_nothing(spark):
     steps = spark.createDataFrame([(1, 1, 0.5, 0)], "run int, step bigint, loss double, ts int")
     assert runs.stop_any(steps, "never", 10).count() == 0
