@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators import corpus, dictionary, fitting, metrics
-from fieldloom.operators.records import decode_records, drop_short, encode_records
+from fieldloom.operators.records import decode_records, drop_short, encode_records, mask_ignored
 from fieldloom.operators.sampling import split_positional
 from fieldloom.operators.scoring import head_kinds, score_dense
 from fieldloom.schema import ALL, KNOWN, OUTCOME, WIN, Dictionary
@@ -60,25 +60,30 @@ def load_corpus(
     return snapshot_corpus(spark, snapshot, build, f"{folder}|{len(fields.fields)}|{fields.width()}|{shortest}")
 
 
-def generate(spark: SparkSession, known_csv: str, fields: Dictionary, generator, out_csv: str, id_field=None) -> None:
-    """Known records in, known and generated fields out, as CSV."""
+def generate(
+    spark: SparkSession, known_csv: str, fields: Dictionary, generator, out_csv: str, id_field=None, ignored=()
+) -> None:
+    """Known records in, known and generated fields out, as CSV; ignored fields
+    get their default."""
     tune(spark)
     keep = [id_field] if id_field else []
     known = tables.read_known(spark, known_csv, fields, id_field)
     rows = encode_records(known, fields.subset(KNOWN), ("known",), keep)
     rows = score_dense(rows, generator, out="unknown")
+    if ignored:
+        rows = rows.withColumn("unknown", mask_ignored("unknown", fields, ignored))
     decoded = decode_records(rows, fields, {"known": "known", "unknown": "unknown"}, keep)
     tables.write_records(decoded, out_csv, fields, ALL - WIN, id_field)
 
 
 def predict(
     spark: SparkSession, known_csv: str, fields: Dictionary, generator, win_network, id_field: str,
-    chain_input: str = "probability",
+    chain_input: str = "probability", ignored=(),
 ) -> tuple[DataFrame, DataFrame]:
     """(win probabilities, decoded full records), both keyed by ``id_field``."""
     tune(spark)
     known = tables.read_known(spark, known_csv, fields, id_field)
-    rows = predict_known(known, fields, generator, win_network, chain_input, (id_field,))
+    rows = predict_known(known, fields, generator, win_network, chain_input, (id_field,), ignored)
     return rows.select(id_field, "win_probability"), rows.drop("win_probability")
 
 
@@ -99,26 +104,26 @@ def train_generator(
     return fitting.fit_network(train, held, fields, prepare=prepare, seed=seed, **options)
 
 
-def with_generated(rows: DataFrame, fields: Dictionary, generator) -> DataFrame:
+def with_generated(rows: DataFrame, fields: Dictionary, generator, ignored=()) -> DataFrame:
     """Encoded rows with generated instead of real unknown fields, and the win
     target of the first win field."""
     target = F.get("win", F.lit(0)).cast("double")
     known = rows.withColumn("target", target).drop("unknown", "win")
-    return score_dense(known, generator, out="unknown", kinds=head_kinds(fields))
+    return score_dense(known, generator, out="unknown", kinds=head_kinds(fields, ignored))
 
 
 def train_win(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, generator, held_out: int = 1 << 14,
-    evaluation: int = 1 << 14, batch_size: int = 2048, seed=0, **options,
+    evaluation: int = 1 << 14, batch_size: int = 2048, seed=0, ignored=(), **options,
 ) -> fitting.Fit:
     """Fit the win network on known and generated fields; short games stay in."""
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     train = corpus.train_rows(split, batch_size, duration=None)
-    held = with_generated(corpus.evaluation_rows(split, fields, seed, duration=None), fields, generator)
+    held = with_generated(corpus.evaluation_rows(split, fields, seed, duration=None), fields, generator, ignored)
 
     def prepare(rows, epoch):
-        return with_generated(corpus.augmented(rows, fields, seed, epoch), fields, generator)
+        return with_generated(corpus.augmented(rows, fields, seed, epoch), fields, generator, ignored)
 
     width = fields.width(KNOWN) + fields.width(OUTCOME)
     return fitting.fit_binary(

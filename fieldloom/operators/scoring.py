@@ -110,6 +110,7 @@ def score_chain(
 
     ``chain_input`` is what the win network sees of the generated part:
     ``"probability"`` after the output heads, as it is fitted, or ``"logit"``.
+    Ignored columns, whose head is none, are 0 in both.
     Possible outputs: ``unknown_logit``, ``win_logit``.
     """
     if chain_input not in ("probability", "logit"):
@@ -123,7 +124,10 @@ def score_chain(
     def run(known):
         first, second = shared.value
         logit = forward(known, first, activation)
-        unknown = apply_heads(logit, kinds) if chain_input == "probability" else logit
+        if chain_input == "probability":
+            unknown = apply_heads(logit, kinds)
+        else:
+            unknown = np.where(np.asarray(kinds) == HEAD_NONE, logit.dtype.type(0), logit)
         made = {
             "unknown_logit": logit,
             "win_logit": forward(np.hstack([known, unknown]), second, activation),

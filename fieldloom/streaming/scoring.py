@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.records import decode_records, encode_records
+from fieldloom.operators.records import decode_records, encode_records, mask_ignored
 from fieldloom.operators.scoring import head_kinds, score_chain, win_probability
 from fieldloom.schema import KNOWN, WIN, Dictionary
 
@@ -20,10 +20,12 @@ def score_known(
     win_network,
     chain_input: str = "probability",
     keep=("rec_id",),
+    ignored=(),
 ) -> DataFrame:
     """Win probability per known row."""
     encoded = encode_records(known, dictionary.subset(KNOWN), ("known",), keep)
-    scored = score_chain(encoded, generator, win_network, head_kinds(dictionary), chain_input, drop=("known",))
+    kinds = head_kinds(dictionary, ignored)
+    scored = score_chain(encoded, generator, win_network, kinds, chain_input, drop=("known",))
     return scored.select(*keep, win_probability(F.col("win_logit")).alias("win_probability"))
 
 
@@ -34,12 +36,19 @@ def predict_known(
     win_network,
     chain_input: str = "probability",
     keep=("rec_id",),
+    ignored=(),
 ) -> DataFrame:
-    """Win probability and the decoded full record per known row, in one pass."""
+    """Win probability and the decoded full record per known row, in one pass.
+
+    Ignored fields are null.
+    """
     encoded = encode_records(known, dictionary.subset(KNOWN), ("known",), keep)
+    kinds = head_kinds(dictionary, ignored)
     scored = score_chain(
-        encoded, generator, win_network, head_kinds(dictionary), chain_input, outputs=("unknown_logit", "win_logit")
+        encoded, generator, win_network, kinds, chain_input, outputs=("unknown_logit", "win_logit")
     )
+    if ignored:
+        scored = scored.withColumn("unknown_logit", mask_ignored("unknown_logit", dictionary, ignored))
     # One win logit is estimated; it fills every column of the win portion.
     first = F.get("win_logit", F.lit(0))
     scored = scored.withColumns(

@@ -88,6 +88,27 @@ def test_train_then_generate_and_predict(spark, folder, fields, records, tmp_pat
         assert brands.count() == 0
 
 
+def test_ignored_fields_come_out_as_defaults(spark, folder, fields, records, tmp_path):
+    gen = initial_network([fields.width(KNOWN), 4, fields.width(OUTCOME)], seed=2, scale=0.5)
+    win = initial_network([fields.width(KNOWN) + fields.width(OUTCOME), 1], seed=2)
+    ignored = {"participants.4.returnflag", "participants.4.quantity", "duration", "teams.1.price"}
+    out = str(tmp_path / "out")
+    jobs.generate(spark, f"{folder}/known-csv", fields, gen, out, "rec_id", ignored)
+    names = ["rec_id"] + [f.column for f in fields.select(ALL - WIN)]
+    rows = spark.read.csv(out).toDF(*names)
+    for path in ignored:
+        f = fields[path]
+        (value,) = {r[0] for r in rows.select(f.column).distinct().collect()}
+        assert value == f.default if f.kind == "enum" else float(value) == pytest.approx(f.default)
+    assert rows.select("participants_3_price").distinct().count() > 10
+    for chain_input in ("probability", "logit"):
+        chances, full = jobs.predict(
+            spark, f"{folder}/known-csv", fields, gen, win, "rec_id", chain_input, ignored
+        )
+        assert chances.where("win_probability is null or isnan(win_probability)").count() == 0
+        assert full.where("duration is not null or participants_4_returnflag is not null").count() == 0
+
+
 def test_a_wide_network_of_one_layer(spark, fields):
     net = initial_network([fields.width(KNOWN), fields.width(OUTCOME)])
     models.check_network(net)
