@@ -15,7 +15,7 @@ from fieldloom.plans.models import GENERATOR, N_KNOWN, N_UNKNOWN, encoded, formu
 from fieldloom.plans.oracle import last_bias, sql, weight
 from fieldloom.plans.registry import query
 from fieldloom.session import new_folder, stored
-from fieldloom.sources.models import MODEL_SCHEMA, load_network, network_frame, save_network
+from fieldloom.sources.models import load_network, network_frame, network_table, save_network
 
 LINEAR = formula_network([N_KNOWN + N_UNKNOWN, 1], 100.0)
 RATE = 0.01
@@ -113,7 +113,7 @@ def load_network_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stepped_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "network")
     save_network(spark, stepped(spark, sf_dir, "sgd"), path)
-    return spark.read.schema(MODEL_SCHEMA).parquet(path)
+    return network_table(spark, path)
 
 
 @query(

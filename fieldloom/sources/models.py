@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MODEL_SCHEMA = "layer int, n_in int, n_out int, w array<double>, b array<double>"
 
@@ -20,7 +23,16 @@ def network_frame(spark: SparkSession, network) -> DataFrame:
 
 
 def save_network(spark: SparkSession, network, path: str) -> None:
-    network_frame(spark, network).coalesce(1).write.mode("overwrite").parquet(path)
+    """Add a version of the network; earlier ones stay until it is complete and
+    after, so that an interrupted write loses nothing."""
+    network_frame(spark, network).coalesce(1).write.parquet(f"{path}/version={time.time_ns()}")
+
+
+def network_table(spark: SparkSession, path: str) -> DataFrame:
+    """Layers of the newest version."""
+    table = spark.read.schema(f"{MODEL_SCHEMA}, version bigint").parquet(path)
+    newest = table.agg(F.max("version")).first()[0]
+    return table.where(F.col("version") == newest).drop("version")
 
 
 def check_network(network, max_bytes: int = MAX_MODEL_BYTES) -> None:
@@ -36,7 +48,7 @@ def check_network(network, max_bytes: int = MAX_MODEL_BYTES) -> None:
 
 def load_network(spark: SparkSession, path: str, max_bytes: int = MAX_MODEL_BYTES):
     """Layers as (weights, biases); shapes are checked before the arrays travel."""
-    table = spark.read.schema(MODEL_SCHEMA).parquet(path)
+    table = network_table(spark, path)
     shapes = table.selectExpr("layer", "n_in", "n_out", "size(w) w_len", "size(b) b_len").collect()
     if sum(8 * (r.w_len + r.b_len) for r in shapes) > max_bytes:
         raise ValueError("stored network is above the broadcast bound")

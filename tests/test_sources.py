@@ -82,6 +82,9 @@ def test_network_round_trip_and_checks(spark, tmp_path):
     back = models.load_network(spark, str(tmp_path / "net"))
     for (w, b), (w2, b2) in zip(net, back):
         assert np.array_equal(w, w2) and np.array_equal(b, b2)
+    newer = initial_network([5, 3, 2], seed=2)
+    models.save_network(spark, newer, str(tmp_path / "net"))
+    assert np.array_equal(models.load_network(spark, str(tmp_path / "net"))[0][0], newer[0][0])
     with pytest.raises(ValueError, match="bound"):
         models.load_network(spark, str(tmp_path / "net"), max_bytes=8)
     with pytest.raises(ValueError, match="do not fit"):
