@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.session import ship_package
 
@@ -31,6 +31,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _separators(chars: bytes) -> np.ndarray:
     table = np.ones(256, bool)
     table[list(chars)] = False

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.llm import mixing
 from fieldloom.session import new_folder
 
 QUERIES: dict = {}
@@ -34,8 +35,35 @@ def op1(spark, sf_dir):
     return read_documents(spark, path)
 
 
+@query("op3_composite_text_density")
+def op3(spark, sf_dir):
+    from fieldloom.llm.html_density import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op4_source_mixing", mixing.ORACLE)
+def op4(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @query("op6_repetition_coverage")
 def op6(spark, sf_dir):
     from fieldloom.llm.repetition import repetition_report
 
     return repetition_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentencepiece_codec")
+def op7(spark, sf_dir):
+    from fieldloom.llm.sentencepieces import encode_documents
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return encode_documents(table(spark, sf_dir, "documents"), path, keep_ids=False)
+
+
+@query("op10_simhash_anchors")
+def op10(spark, sf_dir):
+    from fieldloom.llm.simhash_anchors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -27,16 +27,20 @@ class WordIds:
     ``tokenizer`` must give a row the ids of its words one after another. Words that
     begin with a space and hold no other go to it as one text; ``leads`` marks the ids
     whose piece begins with a space, which shows where each word's ids begin.
-    Distinct words are told apart by 64-bit hashes.
+    Distinct words are told apart by 64-bit hashes. ``reference``, if set, encodes words
+    with another library; after a call ``differ`` holds the words per row on which the two
+    disagree.
     """
 
+    reference = None
+
     def __init__(self, tokenizer, leads: np.ndarray):
         self.tokenizer, self.leads = tokenizer, leads
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.places = np.zeros((0, 2), np.int64)
+        self.places = np.zeros((0, 3), np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -67,11 +71,15 @@ class WordIds:
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         order, flat, sizes = self._encode(words)
-        keys = keys[order]
+        keys, differs = keys[order], np.zeros(len(words), np.int64)
+        if self.reference:
+            runs = np.split(flat, np.cumsum(sizes)[:-1])
+            other = self.reference([words[i] for i in order])
+            differs[:] = [one.tolist() != two for one, two in zip(runs, other)]
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        places = np.stack([self.used + np.cumsum(sizes) - sizes, sizes], axis=1)
+        places = np.stack([self.used + np.cumsum(sizes) - sizes, sizes, differs], axis=1)
         self.used += len(flat)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
@@ -81,6 +89,7 @@ class WordIds:
     def __call__(self, data: np.ndarray, edges: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and the rows' bounds in them; words lie between ``edges``."""
         n_rows = len(bounds) - 1
+        self.differ = np.zeros(n_rows, np.int64)
         if len(edges) < 2:
             return np.zeros(0, np.uint32), np.zeros(n_rows + 1, np.int64)
         hashes = rolling_bytes(data)(edges[:-1], edges[1:])
@@ -103,8 +112,10 @@ class WordIds:
         sizes = places[:, 1]
         ends = np.cumsum(sizes)
         take = np.arange(int(ends[-1])) + np.repeat(places[:, 0] - (ends - sizes), sizes)
-        rows = np.concatenate([[0], ends])[np.searchsorted(edges, bounds)]
-        return self.ids[take], rows
+        row_edges = np.searchsorted(edges, bounds)
+        if self.reference:
+            self.differ = np.diff(np.concatenate([[0], np.cumsum(places[:, 2])])[row_edges])
+        return self.ids[take], np.concatenate([[0], ends])[row_edges]
 
 
 def byte_level_edges(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
