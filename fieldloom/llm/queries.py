@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import mixing
+from fieldloom.llm import impact_search, line_dedup, mixing
 from fieldloom.session import new_folder
 
 QUERIES: dict = {}
@@ -47,6 +47,13 @@ def op4(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op5_warc_derivatives")
+def op5(spark, sf_dir):
+    from fieldloom.llm.warc import derivative_report
+
+    return derivative_report(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+
+
 @query("op6_repetition_coverage")
 def op6(spark, sf_dir):
     from fieldloom.llm.repetition import repetition_report
@@ -62,6 +69,17 @@ def op7(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), path, keep_ids=False)
 
 
+@query("op8_impact_ordered_top_k", impact_search.ORACLE)
+def op8(spark, sf_dir):
+    vectors = impact_search.clean_vectors(table(spark, sf_dir, "embeddings"))
+    return impact_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query("op9_line_segment_join", line_dedup.ORACLE)
+def op9(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 @query("op10_simhash_anchors")
 def op10(spark, sf_dir):
     from fieldloom.llm.simhash_anchors import near_duplicates
