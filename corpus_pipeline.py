@@ -1,26 +1,64 @@
 """The corpus pipeline: stages from raw documents to token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next stage's documents.
+Parquet and read again as the next stage's documents. All but the last return the
+columns of documents, with whatever other columns docs has.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fieldloom.llm.line_dedup import without_repeated_lines
+from fieldloom.llm.mixing import mixed_documents
 from fieldloom.llm.repetition import drop_repetitive
+from fieldloom.llm.sentencepieces import encode_documents
+from fieldloom.llm.simhash_anchors import one_of_each
 from fieldloom.session import materialize
 
-#: No engine but Spark has the stages' hashes and tokenizer.
+#: DuckDB has neither the stages' hashes nor their tokenizer; the tests hold the pipeline
+#: against a plain Python version.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep; one without words fails them."""
     return drop_repetitive(docs)
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that came before; a text may become empty.
+
+    ``n_chars``, where it is there, follows the text.
+    """
+    kept = without_repeated_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one of the smallest id."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text left: doc_id, n_tokens, ids_crc32, two checks, ids."""
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,13 @@ def op1(spark, sf_dir):
     return read_documents(spark, path)
 
 
+@query("op2_counterfactual_toxicity")
+def op2(spark, sf_dir):
+    from fieldloom.llm.toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_composite_text_density")
 def op3(spark, sf_dir):
     from fieldloom.llm.html_density import extract_pages
