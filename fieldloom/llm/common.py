@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from fieldloom.session import ship_package
 
@@ -39,6 +40,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_column(schema: StructType, name: str, kind: str) -> StructType:
+    """A copy of ``schema`` with one column more."""
+    return StructType([*schema.fields, StructField(name, _parse_datatype_string(kind))])
+
+
 def _separators(chars: bytes) -> np.ndarray:
     table = np.ones(256, bool)
     table[list(chars)] = False

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import prepare, slices
+from fieldloom.llm.common import prepare, slices, with_column
 
 # Element names of HTML by their part in a page, and words that class, id
 # and role give to what is not the article.
@@ -269,7 +269,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     )
-    schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "bigint")
+    schema = with_column(with_column(rows.select("page_id", "url").schema, "text", "string"), "n_chars", "bigint")
 
     def run(batches):
         for batch in batches:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import prepare, slices, text_bytes
+from fieldloom.llm.common import prepare, slices, text_bytes, with_column
 from fieldloom.llm.tokenizing import WordIds, space_edges
 
 # Field numbers and piece kinds of the public model format.
@@ -258,7 +258,7 @@ def decode_documents(rows: DataFrame, model_path: str, ids_col: str = "ids", out
     """``rows`` with the text of each row's ids in ``out``; a null list gives a null text."""
     prepare(rows.sparkSession)
     kept = [c for c in rows.columns if c.lower() != out.lower()]
-    schema = rows.select(*kept).schema.add(out, "string")
+    schema = with_column(rows.select(*kept).schema, out, "string")
 
     def run(batches):
         own = codec(model_path)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import fresh, prepare, slices, text_bytes
+from fieldloom.llm.common import fresh, prepare, slices, text_bytes, with_column
 from fieldloom.llm.components import components
 from fieldloom.session import materialize
 
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
     has fingerprint zero; so has a null text. All columns and rows pass through.
     """
     prepare(docs.sparkSession)
-    schema = docs.schema.add(out, "bigint")
+    schema = with_column(docs.schema, out, "bigint")
 
     def run(batches):
         from xxhash import xxh64_intdigest
