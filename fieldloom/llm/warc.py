@@ -67,7 +67,8 @@ def _record(**fields) -> dict:
 
 
 def response(url: str | None, source: str, date: str = NO_DATE, key: str = "") -> dict:
-    """A response record of a page."""
+    """A response record of a page; control characters of a url become %20."""
+    url = None if url is None else re.sub(r"[\x00-\x1f]+", "%20", url)
     body = source.encode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
     payload = digest(body)
@@ -111,7 +112,7 @@ def serialise(record: dict) -> str:
     lines = [VERSION]
     for key, name in _HEADERS.items():
         if record[key] is not None:
-            lines.append(f"{name}: {re.sub(r'[\x00-\x1f]+', '%20', record[key])}")
+            lines.append(f"{name}: {record[key]}")
     lines.append(f"Content-Length: {len(record['block'].encode())}")
     return "\r\n".join(lines) + END + record["block"]
 
