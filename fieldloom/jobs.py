@@ -162,7 +162,7 @@ def train_two_sample(
 
 def search_generator(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, path: str, trials: int, held_out: int = 1 << 14,
-    evaluation: int = 1 << 14, duration: str = DURATION, shortest: float = SHORTEST, seed=0, max_width: int | None = None,
+    evaluation: int = 1 << 14, duration: str = DURATION, shortest: float = SHORTEST, seed=0,
     **options,
 ) -> DataFrame:
     """Fit drawn settings one after the other and append each to the table at
@@ -181,4 +181,4 @@ def search_generator(
         )
         return fitted.best_accuracy
 
-    return fitting.search_trials(spark, path, trials, run_trial, seed, max_width)
+    return fitting.search_trials(spark, path, trials, run_trial, seed)

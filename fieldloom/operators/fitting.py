@@ -7,9 +7,10 @@ follows from the declared network.
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import itertools
 import math
-import random
 import time
 from dataclasses import dataclass, field
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.hashing import draw_text
 from fieldloom.functions.network import (
     flatten,
+    forward,
     gradients,
     initial_network,
     row_batches,
@@ -63,23 +65,34 @@ def gradient_sum(
     """(rows, mean loss, flat mean gradient) over all rows of ``df``.
 
     Each task adds up its own batches and emits its sum in blocks; the blocks
-    are added on the executors, so the driver gets one copy of the gradient.
+    are added on the executors, so the driver gets one copy of the gradient.  Spread
+    losses need the rows' means and deviations first, which are two passes before;
+    how rows are dealt to tasks and batches changes nothing but rounding.
     """
     check_network(network)
     spark = df.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(([(w.astype(dtype), b.astype(dtype)) for w, b in network], objective))
+    typed = [(w.astype(dtype), b.astype(dtype)) for w, b in network]
     inputs = list(inputs)
+    if getattr(objective, "spreads", None):
+        means = _spread_sums(df, typed, objective, inputs, target, activation, dtype)
+        if not len(means):
+            raise ValueError("no rows to fit on")
+        deviations = _spread_sums(df, typed, objective, inputs, target, activation, dtype, means)
+        settled = (objective.settled(means, deviations),)
+    else:
+        settled = ()
+    shared = spark.sparkContext.broadcast((typed, objective, settled))
 
     def partial(batches):
-        net, loss_of = shared.value
+        net, loss_of, settled = shared.value
         rows, loss_sum, grad_sum = 0, 0.0, None
         for batch in row_batches(batches):
             n = batch.num_rows
             mats = [to_matrix(batch.column(c), dtype) for c in inputs]
             x = mats[0] if len(mats) == 1 else np.hstack(mats)
             y = to_matrix(batch.column(target), dtype)
-            loss, grad = gradients(x, net, lambda z: loss_of(z, y), activation)  # noqa: B023
+            loss, grad = gradients(x, net, lambda z: loss_of(z, y, *settled), activation)  # noqa: B023
             flat = flatten(grad).astype("float64") * n
             rows, loss_sum = rows + n, loss_sum + loss * n
             grad_sum = flat if grad_sum is None else grad_sum + flat
@@ -109,6 +122,37 @@ def gradient_sum(
     return n, blocks[0]["loss"] / n, np.concatenate([r["v"].toArray() for r in blocks]) / n
 
 
+def _spread_sums(df: DataFrame, network, objective, inputs, target, activation, dtype, means=None) -> np.ndarray:
+    """Sums over all rows of the spreads' means, or of their deviations from ``means``.
+
+    Only the logits' columns that spreads look at are worked out.
+    """
+    columns = sorted({c for _, start, width, _ in objective.spreads for c in range(start, start + width)})
+    place = {c: i for i, c in enumerate(columns)}
+    *inner, (w, b) = network
+    narrow = copy.copy(objective)
+    narrow.spreads = [(path, place[start], width, sd) for path, start, width, sd in objective.spreads]
+    shared = df.sparkSession.sparkContext.broadcast([*inner, (w[:, columns], b[columns])])
+
+    def partial(batches):
+        sums = None
+        for batch in row_batches(batches):
+            mats = [to_matrix(batch.column(c), dtype) for c in inputs]
+            z = forward(mats[0] if len(mats) == 1 else np.hstack(mats), shared.value, activation)
+            y = to_matrix(batch.column(target), dtype)[:, columns]
+            part = narrow.spread_means(z, y) if means is None else narrow.spread_deviations(z, y, means)
+            sums = part if sums is None else sums + part
+        if sums is not None:
+            names = ["spread", "a", "b", "c"]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), *map(pa.array, sums.T)], names=names)
+
+    parts = df.select(*inputs, target).mapInArrow(partial, "spread int, a double, b double, c double")
+    # One row per declared spread.
+    rows = parts.groupBy("spread").agg(*[F.sum(c).alias(c) for c in "abc"]).orderBy("spread").collect()
+    shared.destroy()
+    return np.array([(r["a"], r["b"], r["c"]) for r in rows], "float64").reshape(-1, 3)
+
+
 def step_groups(df: DataFrame, groups: int, seed=0, key: str = "rec_id") -> DataFrame:
     """Rows laid out by step group, so that a step scans only its own files.
 
@@ -288,26 +332,30 @@ TRIAL_SCHEMA = (
 )
 
 
-def draw_trial(seed, trial: int, max_width: int | None = None) -> dict:
-    """One seeded draw of the search space."""
-    rng = random.Random(f"{seed}:{trial}")
+def draw_trial(seed, trial: int) -> dict:
+    """One draw of the search space, from md5 prefixes of seed, trial and name."""
+
+    def uniform(what):
+        return int(hashlib.md5(f"{seed}:{trial}:{what}".encode()).hexdigest()[:8], 16) / 2**32
+
+    def log_uniform(what, lo, hi):
+        return math.exp(math.log(lo) + uniform(what) * (math.log(hi) - math.log(lo)))
 
-    def log_uniform(lo, hi):
-        return math.exp(rng.uniform(math.log(lo), math.log(hi)))
+    def choice(what, values):
+        return values[int(uniform(what) * len(values))]
 
-    layers = rng.randint(1, 5)
-    cap = WIDTH_CAPS[layers] if max_width is None else min(WIDTH_CAPS[layers], max_width)
+    layers = choice("layers", tuple(WIDTH_CAPS))
     return {
         "trial": trial,
-        "learning_rate": log_uniform(*RATE_RANGE),
-        "hidden": [max(1, round(log_uniform(1, cap))) for _ in range(layers)],
-        "optimizer": rng.choice(TRIAL_OPTIMIZERS),
-        "batch_size": round(log_uniform(*BATCH_RANGE)),
-        "activation": rng.choice(TRIAL_ACTIVATIONS),
+        "learning_rate": log_uniform("rate", *RATE_RANGE),
+        "hidden": [max(1, round(log_uniform(f"width{i}", 1, WIDTH_CAPS[layers]))) for i in range(layers)],
+        "optimizer": choice("optimizer", TRIAL_OPTIMIZERS),
+        "batch_size": round(log_uniform("batch", *BATCH_RANGE)),
+        "activation": choice("activation", TRIAL_ACTIVATIONS),
     }
 
 
-def search_trials(spark: SparkSession, path: str, trials: int, run_trial, seed=0, max_width=None) -> DataFrame:
+def search_trials(spark: SparkSession, path: str, trials: int, run_trial, seed=0) -> DataFrame:
     """Fit drawn trials one after the other; each result is appended at once.
 
     ``run_trial(draw) -> best accuracy``.  A rerun skips the trials already in
@@ -320,7 +368,7 @@ def search_trials(spark: SparkSession, path: str, trials: int, run_trial, seed=0
     for trial in range(trials):
         if trial in done:
             continue
-        draw = draw_trial(seed, trial, max_width)
+        draw = draw_trial(seed, trial)
         try:
             status, loss = "ok", 1.0 - float(run_trial(draw))
         except FloatingPointError:

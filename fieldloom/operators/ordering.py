@@ -1,7 +1,6 @@
 """Running values in a declared row order, safe for hot groups.
 
-A plain window puts a whole group into one task.  Where the largest group is
-above ``limit`` (or there is no group key at all), rows are first range-
+A plain window puts a whole group into one task.  Rows are therefore range-
 partitioned on (keys, order) and written out with their chunk number.  A window
 then runs inside each (keys, chunk), and what earlier chunks of the same group
 contribute is added from a table with at most one row per chunk.
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 
 from fieldloom.session import materialize
 
-GROUP_LIMIT = 2_000_000
 CHUNK_ROWS = 2_000_000
 CHUNK = "_chunk"
 
@@ -29,16 +27,6 @@ class Running:
     value: str | None = None
 
 
-def group_sizes(df: DataFrame, keys) -> tuple[int, int]:
-    """Rows of the largest group and of all groups; counted map-side."""
-    if not keys:
-        n = df.count()
-        return n, n
-    sizes = df.groupBy(*keys).count()
-    row = sizes.agg(F.max("count"), F.sum("count")).first()
-    return row[0] or 0, row[1] or 0
-
-
 def chunk_count(df: DataFrame, rows: int) -> int:
     """Partitions for a range shuffle: as configured, more where chunks would be
     too long to sort in one task."""
@@ -46,9 +34,13 @@ def chunk_count(df: DataFrame, rows: int) -> int:
     return max(configured, -(-rows // CHUNK_ROWS))
 
 
-def ordered_chunks(df: DataFrame, keys, order, partitions: int) -> DataFrame:
-    """Rows with a chunk number that grows with (keys, order), written out."""
-    ranged = df.repartitionByRange(partitions, *[F.col(c) for c in (*keys, *order)])
+def ordered_chunks(df: DataFrame, keys, order, partitions: int | None = None) -> DataFrame:
+    """Rows with a chunk number that grows with (keys, order), written out.
+
+    There are ``partitions`` chunks, or as many as the session shuffles into.
+    """
+    by = [F.col(c) for c in (*keys, *order)]
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
@@ -88,23 +80,14 @@ def with_running(
     keys,
     order,
     runs: dict[str, Running],
-    limit: int = GROUP_LIMIT,
     partitions: int | None = None,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add running columns over ``keys`` groups in ``order`` (ascending).
 
     ``order`` must be total within a group for the result to be unique.
-    ``sized_by`` is a cheaper table with at least as many rows per group, on
-    which the largest group is measured.
     """
     keys, order = list(keys), list(order)
-    largest, rows = group_sizes(sized_by if sized_by is not None else df, keys)
-    if keys and largest <= limit:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[_local(r, window).alias(c) for c, r in runs.items()])
-
-    chunks = ordered_chunks(df, keys, order, partitions or chunk_count(df, rows))
+    chunks = ordered_chunks(df, keys, order, partitions)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     first = "_first"
     local = chunks.select(

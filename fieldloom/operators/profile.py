@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.ordering import GROUP_LIMIT, Running, with_running
+from fieldloom.operators.ordering import Running, with_running
 from fieldloom.session import materialize
 
 
-LEVEL_LIMIT = 100_000
-
-
 def value_histogram(df: DataFrame, fields) -> DataFrame:
     """(path, num, txt, c): how often each field takes each value.
 
@@ -34,12 +31,23 @@ def value_histogram(df: DataFrame, fields) -> DataFrame:
     return counted.select(path.alias("path"), "num", "txt", "c")
 
 
-def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Mean, population deviations, bounds, exact median, mode and levels.
+def field_levels(df: DataFrame, fields, partitions: int | None = None) -> DataFrame:
+    """(path, level, rank): the different texts of enum and bool fields, in text order.
+
+    It is a long table, however many levels a field has.
+    """
+    texts = [f for f in fields if f[2] in ("enum", "bool")]
+    if not texts:
+        return df.sparkSession.createDataFrame([], "path string, level string, rank bigint")
+    found = value_histogram(df, texts).select("path", F.col("txt").alias("level")).where("level is not null")
+    return with_running(found, ["path"], ["level"], {"rank": Running("number")}, partitions)
+
+
+def profile_fields(df: DataFrame, fields, partitions: int | None = None) -> DataFrame:
+    """Mean, population deviations, bounds, exact median, mode and number of levels.
 
-    Ties of the mode go to the smallest value.  ``levels`` stays null for text
-    with more than ``LEVEL_LIMIT`` different values.  The median is the mean of the
-    two middle values, found on cumulative counts of distinct values.
+    Ties of the mode go to the smallest value.  The median is the mean of the two
+    middle values, found on cumulative counts of distinct values.
     """
     hist = materialize(value_histogram(df, fields), "histogram")
     first = hist.groupBy("path").agg(
@@ -50,14 +58,6 @@ def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame
         F.min_by(F.struct("num", "txt"), F.struct(-F.col("c"), "num", "txt")).alias("m"),
         F.count("txt").alias("n_levels"),
     )
-    # Levels are gathered only for fields that have few enough to be an enum.
-    listed = F.broadcast(first.where(f"n_levels between 1 and {LEVEL_LIMIT}").select("path"))
-    levels = (
-        hist.where("txt is not null")
-        .join(listed, "path", "left_semi")
-        .groupBy("path")
-        .agg(F.sort_array(F.collect_list("txt")).alias("levels"))
-    )
     # One row per declared field: small whatever the data.
     means = F.broadcast(first.select("path", "mean", "n"))
     numeric = hist.where("num is not null").drop("txt")
@@ -70,7 +70,7 @@ def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame
             (F.sum(F.abs(gap) * F.col("c")) / F.first("n")).alias("md"),
         )
     )
-    running = with_running(numeric, ["path"], ["num"], {"upto": Running("sum", "c")}, limit=limit)
+    running = with_running(numeric, ["path"], ["num"], {"upto": Running("sum", "c")}, partitions)
     low, high = F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2")
     before = F.col("upto") - F.col("c")
 
@@ -85,7 +85,6 @@ def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame
     return (
         first.join(F.broadcast(spread), "path", "left")
         .join(F.broadcast(medians), "path", "left")
-        .join(F.broadcast(levels), "path", "left")
         .select(
             "path",
             "n",
@@ -98,6 +97,5 @@ def profile_fields(df: DataFrame, fields, limit: int = GROUP_LIMIT) -> DataFrame
             F.col("m.num").alias("mode_num"),
             F.col("m.txt").alias("mode_txt"),
             "n_levels",
-            "levels",
         )
     )

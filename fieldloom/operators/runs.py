@@ -6,10 +6,11 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.ordering import GROUP_LIMIT, Running, with_running
+from fieldloom.operators.ordering import Running, with_running
 
 # Stagnation defaults.
 MIN_LOG = 30
@@ -57,15 +58,17 @@ class CriteriaSpec:
         )
 
 
-def number_steps(log: DataFrame, order, run: str = "run", limit: int = GROUP_LIMIT) -> DataFrame:
+def number_steps(log: DataFrame, order, run: str = "run", partitions: int | None = None) -> DataFrame:
     """1-based ``step`` of each row within its run."""
-    return with_running(log, [run], order, {"step": Running("number")}, limit=limit)
+    return with_running(log, [run], order, {"step": Running("number")}, partitions=partitions)
 
 
-def best_checkpoint(log: DataFrame, order, value: str = "accuracy", run: str = "run", limit: int = GROUP_LIMIT) -> DataFrame:
+def best_checkpoint(
+    log: DataFrame, order, value: str = "accuracy", run: str = "run", partitions: int | None = None
+) -> DataFrame:
     """Rows that strictly improve on everything before them in their run."""
     runs = {"step": Running("number"), "_best": Running("max_before", value)}
-    marked = with_running(log, [run], order, runs, limit=limit)
+    marked = with_running(log, [run], order, runs, partitions=partitions)
     return marked.where(F.col("_best").isNull() | (F.col(value) > F.col("_best"))).drop("_best")
 
 
@@ -132,15 +135,21 @@ def evaluation_cadence(
 
     The counters restart at each evaluation, so the pattern repeats and needs
     no look at other rows.  With ``keep_remainder`` the surplus over the
-    threshold counts towards the next evaluation.
+    threshold counts towards the next evaluation.  Train evaluations that are more
+    frequent then depend on all earlier steps: their pattern, the same for every
+    log, is listed by step number once and joined.
     """
     index = F.col("step") - 1
     if keep_remainder:
-        if per_train_evaluation < per_evaluation or batch_size > per_evaluation:
-            raise ValueError("keep_remainder needs batch <= evaluation <= train evaluation samples")
-        crossed = F.floor(index * batch_size / per_evaluation) > F.floor((index - 1) * batch_size / per_evaluation)
-        test = (index == 0) | crossed
+        if batch_size >= per_evaluation:
+            test = F.lit(True)
+        else:
+            crossed = F.floor(index * batch_size / per_evaluation) > F.floor((index - 1) * batch_size / per_evaluation)
+            test = (index == 0) | crossed
         train = test
+        if per_train_evaluation < per_evaluation and batch_size < per_evaluation:
+            steps = steps.join(_train_pattern(steps, batch_size, per_evaluation, per_train_evaluation), "step", "left")
+            train = F.col("_train")
     else:
         period = math.ceil(per_evaluation / batch_size)
         train_period = math.ceil(per_train_evaluation / batch_size)
@@ -151,4 +160,26 @@ def evaluation_cadence(
         (index * batch_size).alias("samples"),
         test.alias("evaluates"),
         train.alias("train_evaluates"),
-    )
+    ).drop("_train")
+
+
+def _train_pattern(steps: DataFrame, batch_size: int, per_evaluation: int, per_train: int) -> DataFrame:
+    """(step, _train): whether each step number up to the largest evaluates on train rows."""
+
+    def scan(batches):
+        for batch in batches:
+            for last in batch.column(0).to_pylist():
+                out, test, train = [], 0, 0
+                for step in range(1, (last or 0) + 1):
+                    test, train = test + batch_size, train + batch_size
+                    tests = step == 1 or test >= per_evaluation
+                    trains = tests or train >= per_train
+                    test = max(0, test - per_evaluation) if tests else test
+                    train = max(0, train - per_train) if trains else train
+                    out.append(trains)
+                    if len(out) == STEP_BLOCK or step == last:
+                        numbers = pa.array(range(step - len(out) + 1, step + 1), pa.int64())
+                        yield pa.RecordBatch.from_arrays([numbers, pa.array(out)], names=["step", "_train"])
+                        out = []
+
+    return steps.agg(F.max(F.col("step").cast("bigint"))).mapInArrow(scan, "step bigint, _train boolean")

@@ -9,7 +9,7 @@ from fieldloom.functions import decode, encode
 from fieldloom.operators import records as rec
 from fieldloom.plans.matches import BAN_PATHS, DICTIONARY, MIN_DURATION, SLOTS, records
 from fieldloom.plans.models import checksum, encoded, scored
-from fieldloom.plans.oracle import sql
+from fieldloom.plans.oracle import FLAG_LIST, sql
 from fieldloom.plans.registry import query
 from fieldloom.schema import ALL, KNOWN, OUTCOME, UNKNOWN, WIN, expand_ignored
 
@@ -62,18 +62,24 @@ def _positions(df: DataFrame, spans, base: int = 0) -> DataFrame:
     )
 
 
-@query("encode_onehot", sql("select rec_id, pos, 1.0::double as value from nz", "nz"))
+@query(
+    "encode_onehot",
+    sql(
+        f"""select rec_id, pos, 1.0::double as value from nz
+        union all select rec_id, 390 + slot * 56 + 52 + list_position({FLAG_LIST}, returnflag) - 1, 1.0::double from grid""",
+        "nz", "grid",
+    ),
+)
 def encode_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = [s for f in ("brand", "ptype", "priority") for s in FAMILY_SPANS[f]]
+    spans = [s for f in ("brand", "ptype", "priority", "returnflag") for s in FAMILY_SPANS[f]]
     return _positions(records(spark, sf_dir), spans)
 
 
 @query(
     "encode_thermometer",
     sql(
-        """select rec_id, slot, quantity - 1 as lit, sum(k)::bigint as level_sum, 49 as width
-        from grid, range(2, 51) t(k) where quantity >= k group by all
-        union all select rec_id, slot, 0, 0, 49 from grid where quantity < 2""",
+        """select rec_id, slot, quantity - 1 as lit, (quantity * (quantity + 1) // 2 - 1)::bigint as level_sum, 49 as width
+        from grid""",
         "grid",
     ),
 )
@@ -136,6 +142,8 @@ def encode_bool_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         """select rec_id, 'participants.' || slot || '.price' as field,
             round(((price - 53054.271::double) / 30082.661::double)::float::double, 6) as value from grid
+        union all select rec_id, 'participants.' || slot || '.discount',
+            round(((discount - 0.05::double) / 0.029::double)::float::double, 6) from grid
         union all select rec_id, 'teams.0.price', round(((t0_price - 264728.47::double) / 67253.161::double)::float::double, 6) from filled
         union all select rec_id, 'teams.1.price', round(((t1_price - 264728.47::double) / 67253.161::double)::float::double, 6) from filled
         union all select rec_id, 'duration', round(((duration - 2043.684::double) / 277.555::double)::float::double, 6) from filled""",
@@ -144,7 +152,7 @@ def encode_bool_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def encode_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
-    out = _single(rows, "price").unionByName(_single(rows, "duration"))
+    out = _single(rows, "price").unionByName(_single(rows, "discount")).unionByName(_single(rows, "duration"))
     return out.withColumn("value", F.round("value", 6))
 
 

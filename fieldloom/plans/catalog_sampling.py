@@ -49,7 +49,8 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "permute_slots",
     sql(
-        """select g.rec_id, (t.team * 5 + o.place)::int as slot, brand, quantity, round(price, 2) as price, linestatus, priority
+        """select g.rec_id, (t.team * 5 + o.place)::int as slot, brand, ptype, psize, quantity, round(price, 2) as price,
+            round(discount, 6) as discount, returnflag, linestatus, priority
         from placed p
         join orders_of o on o.batch_id = p.batch_id
         join (values (0), (1)) t(team) on t.team = o.team
@@ -62,13 +63,13 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "orders_of": f"""select batch_id, team, member, row_number() over (partition by batch_id, team
                 order by substr(md5('{SEED}:' || batch_id || ':' || team), (6 * member + 1)::int, 6), member) - 1 as place
                 from batches, (values (0), (1)) t(team), range(5) m(member)""",
-            "slots_all": """select r.rec_id, s.slot, brand, quantity, price, linestatus, priority
+            "slots_all": """select r.rec_id, s.slot, brand, ptype, psize, quantity, price, discount, returnflag, linestatus, priority
                 from recs r cross join range(10) s(slot) left join slots q on q.rec_id = r.rec_id and q.slot = s.slot""",
         },
     ),
 )
 def permute_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = ("brand", "quantity", "price", "linestatus")
+    fields = ("brand", "ptype", "psize", "quantity", "price", "discount", "returnflag", "linestatus")
     columns = [f"participants_{i}_{f}" for i in range(10) for f in fields]
     bans = [f"teams_{t}_bans_{m}_priority" for t in (0, 1) for m in range(5)]
     placed = with_position(records(spark, sf_dir).select("rec_id", *columns, *bans), ["rec_id"])
@@ -81,7 +82,9 @@ def permute_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for i in range(10)
     ]
-    return moved.select("rec_id", F.inline(F.array(*slots))).withColumn("price", F.round("price", 2))
+    return moved.select("rec_id", F.inline(F.array(*slots))).withColumns(
+        {"price": F.round("price", 2), "discount": F.round("discount", 6)}
+    )
 
 
 # Optional fields in dictionary order, numbered from 1; draw 0 keeps the row.

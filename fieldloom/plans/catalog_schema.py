@@ -41,6 +41,18 @@ def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "field_levels",
+    sql(
+        """select path, txt as level, row_number() over (partition by path order by txt) as rank
+        from (select distinct path, txt from cells where txt is not null) q""",
+        "cells",
+    ),
+)
+def field_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.measured_levels(spark, sf_dir)
+
+
 @query(
     "parse_fields",
     sql(

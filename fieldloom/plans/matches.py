@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators.ordering import GROUP_LIMIT, Running, with_running
+from fieldloom.operators.ordering import Running, with_running
 from fieldloom.schema import KNOWN, OUTCOME, WIN, Dictionary, Field
 from fieldloom.session import stored, tune
 
@@ -79,21 +79,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def build_slots(spark: SparkSession, sf_dir: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def build_slots(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Long form: one row per filled slot."""
     lineitem = table(spark, sf_dir, "lineitem").drop("l_tax")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    # Both joins are on unique keys: they neither add lines nor, as every line has
-    # its part, drop any.  Numbering last leaves the lines of a supplier together
-    # for the grouping into records.
-    lines = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
+    # Both joins are on unique keys: they add no lines, and lines without a part or
+    # an order stay.
+    lines = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(
         orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"
     )
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
-    numbered = with_running(
-        lines, ["l_suppkey"], order, {"rn": Running("number")}, limit=limit, sized_by=lineitem
-    )
+    numbered = with_running(lines, ["l_suppkey"], order, {"rn": Running("number")}, partitions)
     return numbered.select(
         "l_suppkey",
         F.expr("(rn - 1) div 10").alias("block"),
@@ -111,10 +108,9 @@ def build_slots(spark: SparkSession, sf_dir: str, limit: int = GROUP_LIMIT) -> D
     )
 
 
-def build_records(spark: SparkSession, sf_dir: str, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Wide form.  At most ten slots per record are gathered, and the grouping
-    reuses the supplier partitioning of the row numbers."""
-    slots = build_slots(spark, sf_dir, limit)
+def build_records(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """Wide form.  At most ten slots per record are gathered."""
+    slots = build_slots(spark, sf_dir, partitions)
     grouped = slots.groupBy("l_suppkey", "block").agg(
         F.array_sort(F.collect_list(F.struct("slot", *SLOT_FIELDS, "priority"))).alias("s"),
         F.datediff(F.max("shipdate"), F.min("shipdate")).alias("duration"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.dictionary import parse_fields, with_portion
 from fieldloom.operators.layout import encoded_layout
-from fieldloom.operators.profile import profile_fields
+from fieldloom.operators.profile import field_levels, profile_fields
 from fieldloom.plans.matches import DICTIONARY, records
 from fieldloom.schema import KNOWN, OUTCOME, WIN
 from fieldloom.session import stored
@@ -22,9 +22,18 @@ WIN_PATHS = tuple(f.path for f in DICTIONARY.select(WIN))
 DEFAULT_COLUMNS = {"psize": "Median", "quantity": "Median", "price": "Mean", "discount": "Mean", "duration": "Mean"}
 
 
+FIELDS = [(f.path, f.column, f.kind) for f in DICTIONARY]
+
+
+def measured_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_levels(records(spark, sf_dir), FIELDS)
+
+
 def measured_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = [(f.path, f.column, f.kind) for f in DICTIONARY]
-    return profile_fields(records(spark, sf_dir), fields)
+    """The profile with the levels of the declared enum and bool fields as arrays."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "level")))
+    levels = measured_levels(spark, sf_dir).groupBy("path").agg(F.transform(ranked, lambda x: x["level"]).alias("levels"))
+    return profile_fields(records(spark, sf_dir), FIELDS).join(levels, "path", "left")
 
 
 def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +59,7 @@ def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     def bound(name):
         return typed(name).when(kind == "bool", F.when(F.col(name) > 0, "True").otherwise("False"))
 
-    joined = declared.join(F.broadcast(measured_profile(spark, sf_dir)), "path")
+    joined = declared.join(measured_profile(spark, sf_dir), "path")
     levels = F.concat(F.lit("enum("), F.array_join("levels", "|"), F.lit(")"))
     return joined.select(
         "line",

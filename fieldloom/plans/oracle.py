@@ -58,7 +58,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from (select l.*, row_number() over (partition by l_suppkey
                 order by l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) as rn
               from lineitem l) x
-        join part on p_partkey = l_partkey
+        left join part on p_partkey = l_partkey
         left join orders on o_orderkey = l_orderkey""",
     ),
     "recs": (
@@ -249,13 +249,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from (
             select d.path, d.portion, d.handling, d.line, 'level' as part_kind, u.i as part,
                 (case when portion = 1 then list_append(levels, '') else levels end)[u.i] as part_key
-            from dict d, range(1, 200) u(i)
-            where handling = 'one-hot' and u.i <= len(levels) + (portion = 1)::int
+            from dict d, unnest(range(1, len(levels) + 1 + (portion = 1)::int)) u(i)
+            where handling = 'one-hot'
             union all
             select d.path, d.portion, d.handling, d.line, 'number', u.i, u.i::varchar
             from dict d join (select fmt, min(min::int) as lo, max(max::int) as hi from dict where handling = 'unary'
-                group by fmt) b using (fmt), range(1, 2000) u(i)
-            where handling = 'unary' and u.i > b.lo and u.i <= b.hi
+                group by fmt) b using (fmt), unnest(range(b.lo + 1, b.hi + 1)) u(i)
+            where handling = 'unary'
             union all
             select path, portion, handling, line, 'value', 0, null from dict where handling in ('bool', 'continuous')) q""",
     ),

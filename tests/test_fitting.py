@@ -59,6 +59,19 @@ def test_gradient_sum_does_not_depend_on_the_partitioning(spark, monkeypatch):
         assert np.allclose(got, flatten(grad))
 
 
+def test_mixed_gradient_does_not_depend_on_the_partitioning(spark):
+    x, y = batch(600)
+    net = initial_network([6, 5, WIDTH], seed=1, scale=0.7)
+    objective = fitting.mixed_objective(FIELDS)
+    assert objective.spreads and objective.gaps
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "x array<double>, y array<double>")
+    loss, grad = gradients(x, net, lambda z: objective(z, y))
+    for parts in (1, 4, 60):
+        n, got_loss, got = fitting.gradient_sum(df.repartition(parts), net, objective, ["x"], "y")
+        assert n == 600 and got_loss == pytest.approx(loss, rel=1e-6)
+        assert np.abs(got - flatten(grad)).max() < 1e-9
+
+
 @pytest.mark.parametrize("name", ["adam", "adagrad", "adadelta", "sgd", "momentum"])
 def test_optimizers_descend_and_clip(name):
     rule = Optimizer(name, 0.5 if name != "adadelta" else 50.0)

@@ -16,14 +16,14 @@ def test_spec():
         runs.CriteriaSpec.parse("epochs3")
 
 
-@pytest.mark.parametrize("limit", [3, 1000])
-def test_best_and_stagnation_against_loops(spark, limit):
+@pytest.mark.parametrize("partitions", [9, None])
+def test_best_and_stagnation_against_loops(spark, partitions):
     rng = random.Random(6)
     logs = {r: [rng.randrange(20) for _ in range(n)] for r, n in ((1, 80), (2, 12), (3, 40))}
     rows = [(r, i, float(v)) for r, values in logs.items() for i, v in enumerate(values)]
     rng.shuffle(rows)
     log = spark.createDataFrame(rows, "run int, ts int, loss double").withColumnRenamed("ts", "at")
-    best = runs.best_checkpoint(log, ["at"], "loss", limit=limit)
+    best = runs.best_checkpoint(log, ["at"], "loss", partitions=partitions)
     want = {(r, i + 1) for r, vs in logs.items() for i, v in enumerate(vs) if all(v > u for u in vs[:i])}
     assert {(r["run"], r["step"]) for r in best.collect()} == want
 
@@ -34,7 +34,7 @@ def test_best_and_stagnation_against_loops(spark, limit):
                 return n
         return None
 
-    steps = runs.number_steps(log, ["at"], limit=limit)
+    steps = runs.number_steps(log, ["at"], partitions=partitions)
     got = {r["run"]: r["stop_step"] for r in runs.stop_stagnation(steps, 10, (0.5, 0.9)).collect()}
     want = {r: first_stop(vs, 10, (0.5, 0.9)) for r, vs in logs.items()}
     assert got == {r: s for r, s in want.items() if s is not None}
@@ -71,15 +71,18 @@ def test_cadence_against_the_counters(spark, bs, test_k, train_k):
     assert [(r["step"], r["evaluates"], r["train_evaluates"]) for r in got] == want
 
 
-def test_cadence_with_remainder(spark):
-    bs, k = 2048, 50_000
-    test, want = 0, []
+@pytest.mark.parametrize("bs, test_k, train_k", [(2048, 50_000, 100_000), (2048, 50_000, 7_000), (9_000, 2_000, 50), (100, 1_000, 30), (70, 300, 300)])
+def test_cadence_with_remainder(spark, monkeypatch, bs, test_k, train_k):
+    monkeypatch.setattr(runs, "STEP_BLOCK", 37)
+    test = train = 0
+    want = []
     for i in range(200):
-        test += bs
-        hit = i == 0 or test >= k
-        want.append(hit)
-        if hit:
-            test = max(0, test - k)
+        test, train = test + bs, train + bs
+        do_test = i == 0 or test >= test_k
+        do_train = do_test or train >= train_k
+        want.append((do_test, do_train))
+        test = max(0, test - test_k) if do_test else test
+        train = max(0, train - train_k) if do_train else train
     steps = spark.range(1, 201).withColumnRenamed("id", "step")
-    got = runs.evaluation_cadence(steps, bs, k, keep_remainder=True).orderBy("step").collect()
-    assert [r["evaluates"] for r in got] == want
+    got = runs.evaluation_cadence(steps, bs, test_k, train_k, keep_remainder=True).orderBy("step").collect()
+    assert [(r["evaluates"], r["train_evaluates"]) for r in got] == want

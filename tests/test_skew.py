@@ -12,7 +12,7 @@ from fieldloom.operators import runs
 from fieldloom.plans.catalog_runs import ORDER, metric_log
 from fieldloom.plans.matches import DICTIONARY, build_records
 from fieldloom.plans.oracle import sql
-from fieldloom.operators.profile import profile_fields
+from fieldloom.operators.profile import field_levels, profile_fields
 from tests.conftest import SMALL
 
 
@@ -32,7 +32,7 @@ def skewed(tmp_path_factory):
 
 
 def test_records_with_a_hot_supplier(spark, skewed):
-    got = build_records(spark, skewed, limit=50).select(
+    got = build_records(spark, skewed, partitions=9).select(
         "rec_id", "n_slots", "duration", "teams_0_price", "teams_1_price", "participants_3_brand", "teams_1_bans_2_priority"
     )
     text = sql(
@@ -46,7 +46,7 @@ def test_records_with_a_hot_supplier(spark, skewed):
 
 
 def test_checkpoints_of_a_hot_run(spark, skewed):
-    got = runs.best_checkpoint(metric_log(spark, skewed), ORDER, limit=50).select("run", "step", "accuracy")
+    got = runs.best_checkpoint(metric_log(spark, skewed), ORDER, partitions=9).select("run", "step", "accuracy")
     text = sql(
         """select run, step, accuracy from (select *, max(accuracy) over (partition by run order by step
             rows between unbounded preceding and 1 preceding) as best from log) q where best is null or accuracy > best""",
@@ -58,6 +58,18 @@ def test_checkpoints_of_a_hot_run(spark, skewed):
 def test_median_on_the_chunked_path(spark, records):
     fields = [(f.path, f.column, f.kind) for f in DICTIONARY if f.kind in ("int", "float")]
     whole = profile_fields(records, fields)
-    chunked = profile_fields(records, fields, limit=20)
+    chunked = profile_fields(records, fields, partitions=23)
     columns = ["path", "n", "median", F.round("sd", 9), F.round("md", 9)]
     assert whole.select(*columns).exceptAll(chunked.select(*columns)).count() == 0
+
+
+def test_no_level_is_lost(spark):
+    """More different texts than any list should hold, and a hot one."""
+    rows = spark.range(150_000).selectExpr("if(id % 3 = 0, 'hot', concat('level ', id)) as t", "id % 2 = 0 as b")
+    fields = [("t", "t", "enum"), ("b", "b", "bool")]
+    levels = field_levels(rows, fields, partitions=11)
+    assert levels.where("path = 't'").agg(F.count("*"), F.countDistinct("level"), F.max("rank")).first() == (100_001,) * 3
+    ordered = levels.selectExpr("path", "level", "rank", "row_number() over (partition by path order by level) as place")
+    assert ordered.where("rank <> place").count() == 0
+    profile = {r["path"]: r for r in profile_fields(rows, fields).collect()}
+    assert profile["t"]["n_levels"] == 100_001 and profile["t"]["mode_txt"] == "hot" and profile["b"]["n_levels"] == 2
