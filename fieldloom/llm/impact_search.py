@@ -81,9 +81,10 @@ class Block:
         n = len(self.ids)
         self.edges = _edges(n)
         self.values = np.frombuffer(row["values"], "<i8").reshape(n, dim)
-        self.postings = np.frombuffer(row["postings"], "<i4").reshape(dim, n)
-        self.highs = np.frombuffer(row["highs"], "<i8").reshape(dim, -1)
-        self.lows = np.frombuffer(row["lows"], "<i8").reshape(dim, -1)
+        # NumPy adds at places of its own index type without converting them at every step.
+        self.postings = np.frombuffer(row["postings"], "<i4").reshape(dim, n).astype(np.intp)
+        self.highs = np.frombuffer(row["highs"], "<i8").reshape(dim, len(self.edges) - 1)
+        self.lows = np.frombuffer(row["lows"], "<i8").reshape(dim, len(self.edges) - 1)
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query's own, ties to smaller ids.
