@@ -55,6 +55,11 @@ def _probe_keys() -> str:
     return f"array({', '.join(parts)})"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and gives it a name in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _common_prefix(a: str, b: str) -> str:
     """SQL for the length of the common prefix, by halving steps."""
     return (
@@ -63,8 +68,8 @@ def _common_prefix(a: str, b: str) -> str:
     )
 
 
-def banded_edits(edits: int) -> str:
-    """SQL for the edits between arrays ``x`` and ``y`` (``y`` no shorter), if at most ``edits``.
+def banded_edits(x: str, y: str, edits: int) -> str:
+    """SQL for the edits between two arrays, ``y`` no shorter, if at most ``edits``.
 
     One bit-parallel step per element of ``y`` on the 2 * edits + 1 rows around the
     diagonal: the vertical differences are two bit sets that move down one row a step.
@@ -73,45 +78,38 @@ def banded_edits(edits: int) -> str:
     """
     width, top = 2 * edits + 1, 1 << (2 * edits)
     full = (1 << width) - 1
-
-    def let(value: str, name: str, body: str) -> str:
-        return f"transform(array({value}), {name} -> {body})[0]"
-
-    same = " | ".join(f"if(coalesce(get(x, t.j + {k - edits}) = c, false), {1 << k}, 0)" for k in range(width))
+    same = " | ".join(f"if(coalesce(get({x}, t.j + {k - edits}) = c, false), {1 << k}, 0)" for k in range(width))
     # Column t.j + 1 is worked on; the last row of x is bit size(x) - (t.j + 1) + edits.
-    last = f"shiftleft(1, cast(size(x) - t.j - 1 + {edits} as int))"
-    distance = f"if(t.j + 1 + {edits} <= size(x), t.d + if(d0 & {top} = 0, 1, 0), t.d + if(h.p & {last} = 0, 0, 1) - if(h.n & {last} = 0, 0, 1))"
+    last = f"shiftleft(1, cast(size({x}) - t.j - 1 + {edits} as int))"
+    distance = f"if(t.j + 1 + {edits} <= size({x}), t.d + if(d0 & {top} = 0, 1, 0), t.d + if(h.p & {last} = 0, 0, 1) - if(h.n & {last} = 0, 0, 1))"
     step = (
         f"named_struct('j', t.j + 1, 'd', {distance},"
         f" 'p', (h.n | (~(shiftright(d0, 1) | h.p))) & {full}, 'n', shiftright(d0, 1) & h.p)"
     )
-    step = let(f"named_struct('p', (t.n | (~(d0 | t.p))) & {full}, 'n', d0 & t.p)", "h", step)
-    step = let(f"((((s & t.p) + t.p) ^ t.p) | s | t.n) & {full}", "d0", step)
-    step = let(same, "s", step)
+    step = _let(f"named_struct('p', (t.n | (~(d0 | t.p))) & {full}, 'n', d0 & t.p)", "h", step)
+    step = _let(f"((((s & t.p) + t.p) ^ t.p) | s | t.n) & {full}", "d0", step)
+    step = _let(same, "s", step)
     first = f"named_struct('j', 0, 'd', {edits}, 'p', {full & ~((1 << edits) - 1)}, 'n', 0)"
-    return f"aggregate(y, {first}, (t, c) -> if(t.d > {2 * edits} + size(y) - size(x), t, {step}), t -> t.d)"
+    return f"aggregate({y}, {first}, (t, c) -> if(t.d > {2 * edits} + size({y}) - size({x}), t, {step}), t -> t.d)"
 
 
 def within_edits(pairs: DataFrame, shorter: str, longer: str, edits: str) -> DataFrame:
-    """The rows of ``pairs`` whose two texts are within the edits in column ``edits`` (1 or 2)."""
-    a, b = "_shorter", "_longer"
-    cut = pairs.withColumn("_p", F.expr(_common_prefix(shorter, longer)))
-    cut = cut.withColumn(a, F.expr(f"reverse(substring({shorter}, _p + 1))")).withColumn(b, F.expr(f"reverse(substring({longer}, _p + 1))"))
-    cut = cut.withColumn("_p", F.expr(_common_prefix(a, b)))
-    for e in EDITS_FROM:
-        marks = f"array_repeat('\\n', {e})"
-        cut = cut.withColumns(
-            {
-                f"_x{e}": F.expr(f"concat(if(_p = length({a}), array(), split(substring({a}, _p + 1), '')), {marks})"),
-                f"_y{e}": F.expr(f"concat(if(_p = length({b}), array(), split(substring({b}, _p + 1), '')), {marks})"),
-            }
-        )
-    fits = []
-    for e in EDITS_FROM:
-        value = f"transform(array(named_struct('x', _x{e}, 'y', _y{e})), w -> {banded_edits(e).replace('(x', '(w.x').replace('get(x', 'get(w.x')})[0]"
-        value = value.replace("aggregate(y,", "aggregate(w.y,").replace("size(y)", "size(w.y)")
-        fits.append(f"({edits} = {e} and {value} <= {e})")
-    return cut.where(" or ".join(fits)).select(*pairs.columns)
+    """The rows of ``pairs`` whose two texts are within the edits in column ``edits`` (1 or 2).
+
+    Common ends are taken off first. It is one expression with every step named inside,
+    since a filter over several projections would have the steps written out again
+    wherever they are used.
+    """
+
+    def distance(e: int) -> str:
+        chars = lambda v: f"concat(if(q = length(v.{v}), array(), split(substring(v.{v}, q + 1), '')), array_repeat('\n', {e}))"
+        inner = _let(f"named_struct('x', {chars('a')}, 'y', {chars('b')})", "w", banded_edits("w.x", "w.y", e))
+        inner = _let(_common_prefix("v.a", "v.b"), "q", inner)
+        rest = f"named_struct('a', reverse(substring({shorter}, o + 1)), 'b', reverse(substring({longer}, o + 1)))"
+        return _let(_common_prefix(shorter, longer), "o", _let(rest, "v", inner))
+
+    cases = " ".join(f"when {edits} = {e} then {distance(e)} <= {e}" for e in EDITS_FROM)
+    return pairs.where(f"case {cases} else false end")
 
 
 def _lines(rows: DataFrame) -> DataFrame:
