@@ -51,6 +51,6 @@ def field_value(x: str, span: Span, decode_base: str = "family") -> str:
     value = f"(cast({first} as double) * {literal(float(f.sd))} + {literal(float(f.mean))})"
     # greatest and least skip nulls, so an ignored cell is kept apart.
     bounded = f"least({value}, {literal(float(f.cap))})"
-    if f.min >= 0:
-        bounded = f"greatest({bounded}, 0D)"
+    lowest = 0.0 if f.min >= 0 else -float(f.cap)
+    bounded = f"greatest({bounded}, {literal(lowest)})"
     return f"try_cast(if({first} IS NULL, NULL, {bounded}) as {kind})"

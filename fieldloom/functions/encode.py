@@ -45,9 +45,11 @@ def flag(condition: str) -> str:
 
 
 def zscore(value: str, mean: float, sd: float) -> str:
-    """``(value - mean) / sd``; null where sd is 0."""
+    """``(value - mean) / sd``; 0 for a constant field, whose sd is 0."""
+    if not sd:
+        return "array(0F)"
     mean, sd = literal(float(mean)), literal(float(sd))
-    return f"array(cast(try_divide(cast({value} as double) - {mean}, {sd}) as float))"
+    return f"array(cast((cast({value} as double) - {mean}) / {sd} as float))"
 
 
 def field_array(span: Span) -> str:

@@ -94,8 +94,13 @@ def row_batches(batches, rows: int = BATCH_ROWS):
             yield batch.slice(start, rows)
 
 
-def to_matrix(column: pa.Array, dtype) -> np.ndarray:
-    """Rows of a list column of equal lengths; a plain column is one wide."""
+def to_matrix(column: pa.Array, dtype, name: str = "input") -> np.ndarray:
+    """Rows of a list column of equal lengths; a plain column is one wide.
+
+    A missing row would move all others up, so it is an error.
+    """
+    if column.null_count:
+        raise ValueError(f"column {name!r} is null in {column.null_count} rows")
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         flat = column.flatten().to_numpy(zero_copy_only=False)
     else:

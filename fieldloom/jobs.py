@@ -6,6 +6,7 @@ A data folder holds ``columns/interesting.csv`` (the dictionary), the lists
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from fieldloom.operators.scoring import head_kinds, score_dense
 from fieldloom.schema import ALL, KNOWN, OUTCOME, WIN, Dictionary
 from fieldloom.session import materialize, tune
 from fieldloom.sources import tables
-from fieldloom.sources.snapshot import snapshot_corpus
+from fieldloom.sources.snapshot import fingerprint, input_files, snapshot_corpus
 from fieldloom.streaming.scoring import predict_known
 
 # Fields a user may leave open, the win fields, the short-game rule.
@@ -31,11 +32,16 @@ SHORTEST = 15 * 60
 
 
 def load_dictionary(spark: SparkSession, folder: str, optional=OPTIONAL, win_paths=WIN_PATHS) -> Dictionary:
-    """The dictionary of a data folder, restricted to listed and win fields."""
+    """The dictionary of a data folder, restricted to listed and win fields; the list of
+    interesting fields may be missing."""
     known = tables.read_field_list(spark, f"{folder}/columns/known")
     unknown = tables.read_field_list(spark, f"{folder}/columns/unknown")
+    try:
+        interesting = tables.read_field_list(spark, f"{folder}/columns/interesting")
+    except AnalysisException:
+        interesting = None  # a folder without that list
     rows = dictionary.parse_fields(tables.read_dictionary(spark, f"{folder}/columns/interesting.csv"), optional)
-    rows = dictionary.resolve_default(dictionary.with_portion(rows, known, unknown, win_paths))
+    rows = dictionary.resolve_default(dictionary.with_portion(rows, known, unknown, win_paths, interesting))
     order = [r["path"] for r in known.orderBy("line").collect()]
     return dictionary.collect_dictionary(rows, order)
 
@@ -49,15 +55,26 @@ def load_corpus(
     shortest: float = SHORTEST,
     id_field: str | None = None,
 ) -> DataFrame:
-    """Encoded records without abandoned games; encoded once, then reused."""
+    """Encoded records without abandoned games; encoded once, then reused.
+
+    It is built anew when a field, an argument or an input file has changed.
+    """
     tune(spark)
+    source = f"{folder}/Matches.csv"
 
     def build():
-        records = tables.read_records(spark, f"{folder}/Matches.csv", fields, id_field)
+        records = load_records(spark, folder, fields, id_field)
         records = drop_short(records, fields[duration].column, shortest)
-        return encode_records(records, fields, keep=[id_field] if id_field else [])
+        return encode_records(records, fields, keep=[id_field or "rec_id"])
+
+    mark = fingerprint(fields, input_files(spark, source), source=source, duration=duration, shortest=shortest, id_field=id_field)
+    return snapshot_corpus(spark, snapshot, build, mark)
 
-    return snapshot_corpus(spark, snapshot, build, f"{folder}|{len(fields.fields)}|{fields.width()}|{shortest}")
+
+def load_records(spark: SparkSession, folder: str, fields: Dictionary, id_field: str | None = None) -> DataFrame:
+    """Raw records of a data folder; without an id column in the file, ``rec_id`` is the
+    row's place in it."""
+    return tables.read_records(spark, f"{folder}/Matches.csv", fields, id_field, None if id_field else "rec_id")
 
 
 def generate(
@@ -89,19 +106,20 @@ def predict(
 
 def train_generator(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, held_out: int = 1 << 14, evaluation: int = 1 << 14,
-    batch_size: int = 2048, duration: str = DURATION, shortest: float = SHORTEST, seed=0, **options,
+    batch_size: int = 2048, duration: str = DURATION, shortest: float = SHORTEST, seed=0,
+    key: str = "rec_id", **options,
 ) -> fitting.Fit:
     """Fit the generator on raw records; ``order`` fixes the positional split."""
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
     train = corpus.train_rows(split, batch_size, column, shortest)
-    held = corpus.evaluation_rows(split, fields, seed, column, shortest)
+    held = corpus.evaluation_rows(split, fields, seed, column, shortest, key)
 
     def prepare(rows, epoch):
-        return corpus.augmented(rows, fields, seed, epoch)
+        return corpus.augmented(rows, fields, seed, epoch, key)
 
-    return fitting.fit_network(train, held, fields, prepare=prepare, seed=seed, **options)
+    return fitting.fit_network(train, held, fields, prepare=prepare, seed=seed, key=key, **options)
 
 
 def with_generated(rows: DataFrame, fields: Dictionary, generator, ignored=()) -> DataFrame:
@@ -114,68 +132,74 @@ def with_generated(rows: DataFrame, fields: Dictionary, generator, ignored=()) -
 
 def train_win(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, generator, held_out: int = 1 << 14,
-    evaluation: int = 1 << 14, batch_size: int = 2048, seed=0, ignored=(), **options,
+    evaluation: int = 1 << 14, batch_size: int = 2048, seed=0, ignored=(), key: str = "rec_id", **options,
 ) -> fitting.Fit:
     """Fit the win network on known and generated fields; short games stay in."""
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     train = corpus.train_rows(split, batch_size, duration=None)
-    held = with_generated(corpus.evaluation_rows(split, fields, seed, duration=None), fields, generator, ignored)
+    held = with_generated(corpus.evaluation_rows(split, fields, seed, duration=None, key=key), fields, generator, ignored)
 
     def prepare(rows, epoch):
-        return with_generated(corpus.augmented(rows, fields, seed, epoch), fields, generator, ignored)
+        return with_generated(corpus.augmented(rows, fields, seed, epoch, key), fields, generator, ignored)
 
     width = fields.width(KNOWN) + fields.width(OUTCOME)
     return fitting.fit_binary(
-        train, held, ["known", "unknown"], width, "target", prepare=prepare, seed=seed, **options
+        train, held, ["known", "unknown"], width, "target", keep_remainder=True, prepare=prepare, seed=seed, key=key, **options
     )
 
 
 def real_and_generated(rows: DataFrame, fields: Dictionary, generator) -> DataFrame:
-    """Encoded rows twice: as they are (target 1) and generated (target 0)."""
-    real = rows.select("rec_id", "known", F.col("unknown").cast("array<double>").alias("unknown"))
-    fake = with_generated(rows, fields, generator).select("rec_id", "known", "unknown")
-    return metrics.two_sample(real, fake)
+    """Encoded rows twice: as they are (target 1) and generated (target 0).
+
+    Every row is read, drawn and encoded once and then given twice.
+    """
+    both = score_dense(rows.select("known", "unknown"), generator, out="generated", kinds=head_kinds(fields, ()))
+    pair = F.array(
+        F.struct(F.col("unknown").cast("array<double>").alias("unknown"), F.lit(1.0).alias("target")),
+        F.struct(F.col("generated").alias("unknown"), F.lit(0.0).alias("target")),
+    )
+    return both.select("known", F.inline(pair))
 
 
 def train_two_sample(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, generator, held_out: int = 1 << 14,
     evaluation: int = 1 << 14, batch_size: int = 2048, duration: str = DURATION, shortest: float = SHORTEST, seed=0,
-    **options,
+    key: str = "rec_id", **options,
 ) -> fitting.Fit:
     """Fit a discriminator of real against generated records."""
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
     train = corpus.train_rows(split, batch_size, column, shortest)
-    held = corpus.evaluation_rows(split, fields, seed, column, shortest)
+    held = corpus.evaluation_rows(split, fields, seed, column, shortest, key)
 
     def prepare(rows, epoch):
-        return real_and_generated(corpus.augmented(rows, fields, seed, epoch), fields, generator)
+        return real_and_generated(corpus.augmented(rows, fields, seed, epoch, key), fields, generator)
 
     width = fields.width(KNOWN) + fields.width(OUTCOME)
     return fitting.fit_binary(
         train, real_and_generated(held, fields, generator), ["known", "unknown"], width, "target",
-        prepare=prepare, seed=seed, **options,
+        prepare=prepare, seed=seed, key=key, **options,
     )
 
 
 def search_generator(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, path: str, trials: int, held_out: int = 1 << 14,
     evaluation: int = 1 << 14, duration: str = DURATION, shortest: float = SHORTEST, seed=0,
-    **options,
+    key: str = "rec_id", **options,
 ) -> DataFrame:
     """Fit drawn settings one after the other and append each to the table at
     ``path``; a rerun goes on after the last finished trial."""
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
-    held = materialize(corpus.evaluation_rows(split, fields, seed, column, shortest), "evaluation")
+    held = materialize(corpus.evaluation_rows(split, fields, seed, column, shortest, key), "evaluation")
 
     def run_trial(draw):
         fitted = fitting.fit_network(
             corpus.train_rows(split, draw["batch_size"], column, shortest), held, fields, hidden=draw["hidden"],
-            prepare=lambda rows, epoch: corpus.augmented(rows, fields, seed, epoch),
+            key=key, prepare=lambda rows, epoch: corpus.augmented(rows, fields, seed, epoch, key),
             activation=draw["activation"], optimizer=draw["optimizer"], learning_rate=draw["learning_rate"],
             run=f"trial-{draw['trial']}", **options,
         )

@@ -25,20 +25,20 @@ def train_rows(
     return drop_short(rows, duration, above) if duration else rows
 
 
-def augmented(rows: DataFrame, dictionary: Dictionary, seed=0, epoch: int = 0) -> DataFrame:
+def augmented(rows: DataFrame, dictionary: Dictionary, seed=0, epoch: int = 0, key: str = "rec_id") -> DataFrame:
     """Training rows permuted, blanked and encoded, other in every epoch."""
     drawn = f"{seed}/{epoch}"
     rows = permute_slots(rows, dictionary, drawn)
-    rows = blank_optional(rows, dictionary, TRAIN_BLANK, TRAIN_KEEP, drawn)
-    return encode_records(rows, dictionary)
+    rows = blank_optional(rows, dictionary, TRAIN_BLANK, TRAIN_KEEP, drawn, key)
+    return encode_records(rows, dictionary, keep=(key,))
 
 
 def evaluation_rows(
-    split: DataFrame, dictionary: Dictionary, seed=0, duration: str | None = "duration", above: float = 900
+    split: DataFrame, dictionary: Dictionary, seed=0, duration: str | None = "duration", above: float = 900, key: str = "rec_id"
 ) -> DataFrame:
     """Encoded evaluation rows with a few blanked fields."""
     rows = split.where(F.col("split") == "evaluation")
     if duration:
         rows = drop_short(rows, duration, above)
-    rows = blank_optional(rows, dictionary, EVALUATION_BLANK, EVALUATION_KEEP, seed)
-    return encode_records(rows, dictionary)
+    rows = blank_optional(rows, dictionary, EVALUATION_BLANK, EVALUATION_KEEP, seed, key)
+    return encode_records(rows, dictionary, keep=(key,))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.schema import ALL, HANDLINGS, KNOWN, OCCURRENCES, OUTCOME, WIN, Dictionary, Field
+from fieldloom.schema import ALL, EXTRA, HANDLINGS, KNOWN, OCCURRENCES, OUTCOME, WIN, Dictionary, Field
 
 
 def _one_of(value: Column, allowed, what: str) -> Column:
@@ -90,18 +90,26 @@ def resolve_default(fields: DataFrame) -> DataFrame:
     return fields.withColumn("default", default)
 
 
-def with_portion(fields: DataFrame, known: DataFrame, unknown: DataFrame, win_paths) -> DataFrame:
-    """Portion bit per field from the two list files and the win paths."""
+def with_portion(
+    fields: DataFrame, known: DataFrame, unknown: DataFrame, win_paths, interesting: DataFrame | None = None
+) -> DataFrame:
+    """Portion bit per field from the list files and the win paths.
+
+    A field that only the list of interesting ones names belongs to no network: it is
+    read and selected, but has no encoded columns.
+    """
     k = known.select("path").distinct().withColumn("_known", F.lit(True))
     u = unknown.select("path").distinct().withColumn("_unknown", F.lit(True))
     bit = (
         F.when(F.col("path").isin(list(win_paths)), WIN)
         .when(F.col("_known"), KNOWN)
         .when(F.col("_unknown"), OUTCOME)
-        .otherwise(0)
     )
     joined = fields.join(k, "path", "left").join(u, "path", "left")
-    return joined.withColumn("portion", bit).drop("_known", "_unknown")
+    if interesting is not None:
+        joined = joined.join(interesting.select("path").distinct().withColumn("_extra", F.lit(True)), "path", "left")
+        bit = bit.when(F.col("_extra"), EXTRA)
+    return joined.withColumn("portion", bit.otherwise(0)).drop("_known", "_unknown", "_extra")
 
 
 def select_portion(fields: DataFrame, mask: int) -> DataFrame:

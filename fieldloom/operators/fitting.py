@@ -89,9 +89,9 @@ def gradient_sum(
         rows, loss_sum, grad_sum = 0, 0.0, None
         for batch in row_batches(batches):
             n = batch.num_rows
-            mats = [to_matrix(batch.column(c), dtype) for c in inputs]
+            mats = [to_matrix(batch.column(c), dtype, c) for c in inputs]
             x = mats[0] if len(mats) == 1 else np.hstack(mats)
-            y = to_matrix(batch.column(target), dtype)
+            y = to_matrix(batch.column(target), dtype, target)
             loss, grad = gradients(x, net, lambda z: loss_of(z, y, *settled), activation)  # noqa: B023
             flat = flatten(grad).astype("float64") * n
             rows, loss_sum = rows + n, loss_sum + loss * n
@@ -137,9 +137,9 @@ def _spread_sums(df: DataFrame, network, objective, inputs, target, activation,
     def partial(batches):
         sums = None
         for batch in row_batches(batches):
-            mats = [to_matrix(batch.column(c), dtype) for c in inputs]
+            mats = [to_matrix(batch.column(c), dtype, c) for c in inputs]
             z = forward(mats[0] if len(mats) == 1 else np.hstack(mats), shared.value, activation)
-            y = to_matrix(batch.column(target), dtype)[:, columns]
+            y = to_matrix(batch.column(target), dtype, target)[:, columns]
             part = narrow.spread_means(z, y) if means is None else narrow.spread_deviations(z, y, means)
             sums = part if sums is None else sums + part
         if sums is not None:
@@ -209,11 +209,14 @@ def fit(
     save_to: str | None = None,
     run: str = "fit",
     seed=0,
+    key: str = "rec_id",
+    keep_remainder: bool = False,
 ) -> Fit:
     """Shared loop: gradient, clip, update; evaluate and keep the best state.
 
     ``evaluate(network) -> (loss, accuracy)`` runs after the first and the last
-    step and whenever enough samples have passed.  The state kept, and written to
+    step and whenever enough samples have passed; ``keep_remainder`` counts the surplus
+    towards the next evaluation.  The state kept, and written to
     ``save_to``, is the one whose evaluation accuracy strictly improved last.  The
     fit ends after ``steps`` or when ``stop`` says so.  ``summed`` fits the sum of the
     row losses instead of their mean.  One step uses one of ``groups`` parts of
@@ -224,7 +227,7 @@ def fit(
     criteria = CriteriaSpec.parse(stop)
     if steps is None and criteria == CriteriaSpec():
         raise ValueError("a fit needs a number of steps or a stop criterion")
-    data = step_groups(train, groups, seed)
+    data = step_groups(train, groups, seed, key)
     rule = Optimizer(optimizer, learning_rate)
     result, samples, since, losses, started = Fit(network), 0, 0, [], None
     for step in itertools.count() if steps is None else range(steps):
@@ -244,7 +247,7 @@ def fit(
         samples, since = samples + n, since + n
         if step and since < samples_per_evaluation and step + 1 != steps:
             continue
-        since = 0
+        since = max(0, since - samples_per_evaluation) if keep_remainder else 0
         started = started or time.monotonic()
         eval_loss, accuracy = evaluate(network)
         losses.append(eval_loss)

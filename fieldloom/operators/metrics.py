@@ -32,7 +32,7 @@ def accumulate(df: DataFrame, inputs, fn, dtype="float64") -> DataFrame:
         rows = 0
         for batch in row_batches(batches):
             rows += batch.num_rows
-            for key, (loss, accuracy) in fn(*[to_matrix(batch.column(c), dtype) for c in inputs]).items():
+            for key, (loss, accuracy) in fn(*[to_matrix(batch.column(c), dtype, c) for c in inputs]).items():
                 before = sums.get(key, (0.0, 0.0))
                 sums[key] = (before[0] + float(loss), before[1] + float(accuracy))
         if sums:

@@ -64,7 +64,7 @@ def map_matrices(df: DataFrame, inputs, outputs, fn, drop=(), dtype="float64") -
 
     def run(batches):
         for batch in row_batches(batches):
-            mats = fn(*[to_matrix(batch.column(c), dtype) for c in inputs])
+            mats = fn(*[to_matrix(batch.column(c), dtype, c) for c in inputs])
             columns = [batch.column(c) for c in keep_names]
             columns += [to_lists(m.astype(dtype, copy=False)) for m in mats]
             yield pa.RecordBatch.from_arrays(columns, names=keep_names + outputs)

@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.schema import Dictionary
+
+MANIFEST = "fingerprint string, version string, finished timestamp"
+
+
+def input_files(spark: SparkSession, *paths: str) -> list[tuple]:
+    """(path, length, modification time) of the files below the paths, in order.
+
+    Only the file listing is read.
+    """
+    rows = []
+    for path in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        rows += files.select("path", "length", F.col("modificationTime").cast("string")).collect()
+    return sorted(tuple(r) for r in rows)
+
+
+def fingerprint(fields: Dictionary, files, **arguments) -> str:
+    """Hash of every attribute of every field, the input files and the arguments."""
+    text = repr((fields.fields, fields.known_order, list(files), sorted(arguments.items())))
+    return hashlib.sha256(text.encode()).hexdigest()
+
 
 def snapshot_corpus(spark: SparkSession, path: str, build, fingerprint: str) -> DataFrame:
     """Read the corpus at ``path``, or build and write it.
 
-    The manifest is written after the data, so a half-written corpus or one of
-    another fingerprint is rebuilt.
+    Each build goes to a folder of its own; the manifest, appended last, names it. So
+    data of an unfinished build are never read, nor are those of another fingerprint, and
+    a reader of an older version keeps its files.
     """
-    data, manifest = f"{path}/data", f"{path}/manifest"
-    try:
-        found = spark.read.schema("fingerprint string").parquet(manifest).first()
-    except AnalysisException:
-        found = None
-    if found is None or found["fingerprint"] != fingerprint:
-        build().write.mode("overwrite").parquet(data)
-        done = spark.range(1).select(F.lit(fingerprint).alias("fingerprint"))
-        done.coalesce(1).write.mode("overwrite").parquet(manifest)
-    return spark.read.parquet(data)
+    manifest = f"{path}/manifest"
+
+    def finished():
+        try:
+            rows = spark.read.schema(MANIFEST).parquet(manifest).where(F.col("fingerprint") == fingerprint)
+            return rows.orderBy(F.desc("finished"), "version").first()
+        except AnalysisException:
+            return None
+
+    found = finished()
+    if found is None:
+        version = uuid.uuid4().hex
+        build().write.parquet(f"{path}/data-{version}")
+        row = spark.range(1).select(
+            F.lit(fingerprint).alias("fingerprint"), F.lit(version).alias("version"), F.current_timestamp().alias("finished")
+        )
+        row.coalesce(1).write.mode("append").parquet(manifest)
+        found = finished()
+    return spark.read.parquet(f"{path}/data-{found['version']}")

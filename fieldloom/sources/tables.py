@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.operators.ordering import with_position
 from fieldloom.schema import Dictionary
 
 # Header of the dictionary file.
@@ -62,13 +63,28 @@ def read_dictionary(spark: SparkSession, path: str, wanted: DataFrame | None = N
     return rows
 
 
-def read_records(spark: SparkSession, path, dictionary: Dictionary, id_field: str | None = None) -> DataFrame:
-    """Typed CSV with a header of dotted paths; only the empty string is null."""
+def read_records(
+    spark: SparkSession, path, dictionary: Dictionary, id_field: str | None = None, number_as: str | None = None
+) -> DataFrame:
+    """Typed CSV with a header of dotted paths; only the empty string is null.
+
+    ``id_field`` names an id column of the file; ``number_as`` adds one instead, the row's
+    place in the order of files and lines, written out once so that it stays.
+    """
     schema = dictionary.schema(dotted=True)
     if id_field:
         schema = T.StructType([T.StructField(id_field, T.LongType()), *schema.fields])
     df = spark.read.schema(schema).csv(path, header=True, enforceSchema=False, **_CSV)
-    return df.toDF(*[c.replace(".", "_") for c in df.columns])
+    if not number_as:
+        return df.toDF(*[c.replace(".", "_") for c in df.columns])
+    order = {
+        "_file": F.col("_metadata.file_path"),
+        "_block": F.col("_metadata.file_block_start"),
+        "_row": F.monotonically_increasing_id(),
+    }
+    placed = df.withColumns(order)
+    placed = placed.toDF(*[c.replace(".", "_") for c in placed.columns])
+    return with_position(placed, list(order), number_as).drop(*order)
 
 
 def known_schema(dictionary: Dictionary, id_field: str | None = None) -> T.StructType:

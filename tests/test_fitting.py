@@ -72,6 +72,12 @@ def test_mixed_gradient_does_not_depend_on_the_partitioning(spark):
         assert np.abs(got - flatten(grad)).max() < 1e-9
 
 
+def test_a_missing_row_is_named(spark):
+    df = spark.createDataFrame([([1.0], 1.0), (None, 0.0)], "x array<double>, y double")
+    with pytest.raises(Exception, match="column 'x' is null"):
+        fitting.gradient_sum(df.coalesce(1), initial_network([1, 1]), LogisticObjective(), ["x"], "y")
+
+
 @pytest.mark.parametrize("name", ["adam", "adagrad", "adadelta", "sgd", "momentum"])
 def test_optimizers_descend_and_clip(name):
     rule = Optimizer(name, 0.5 if name != "adadelta" else 50.0)

@@ -8,7 +8,7 @@ from fieldloom.operators.layout import encoded_layout, field_spans
 from fieldloom.plans import measured
 from fieldloom.plans.matches import DICTIONARY, MIN_DURATION
 from fieldloom.functions.network import initial_network
-from fieldloom.schema import ALL, KNOWN, OUTCOME, WIN
+from fieldloom.schema import ALL, EXTRA, KNOWN, OUTCOME, WIN
 from fieldloom.sources import models, tables
 from tests.conftest import SMALL
 
@@ -114,3 +114,37 @@ def test_a_wide_network_of_one_layer(spark, fields):
     models.check_network(net)
     with pytest.raises(ValueError):
         models.check_network(net, max_bytes=1000)
+
+
+def test_a_data_folder_without_ids_from_load_to_predict(spark, folder, fields, records, tmp_path):
+    """The file has no id column: rows are numbered in file order."""
+    root = tmp_path / "plain"
+    (root / "columns").mkdir(parents=True)
+    for name in ("known", "unknown"):
+        (root / "columns" / name).write_text(open(f"{folder}/columns/{name}").read())
+    (root / "columns/interesting").write_text("duration\n")
+    (root / "columns/unknown").write_text("\n".join(f.path for f in DICTIONARY if f.portion != KNOWN and f.path != "duration") + "\n")
+    measured.measured_dictionary(spark, SMALL).coalesce(1).sortWithinPartitions("line").select(*tables.DICTIONARY_HEADER).write.csv(
+        str(root / "columns/interesting.csv"), header=True
+    )
+    wide = records.orderBy("rec_id").select(*[F.col(f.column) for f in DICTIONARY]).coalesce(1)
+    wide.toDF(*[f.path for f in DICTIONARY]).write.csv(str(root / "Matches.csv"), header=True, nullValue="")
+    own = jobs.load_dictionary(spark, str(root), measured.OPTIONAL_PATTERNS)
+    assert own["duration"].portion == EXTRA and own.width(OUTCOME) == fields.width(OUTCOME) - 1
+
+    rows = jobs.load_records(spark, str(root), own)
+    numbered = rows.select("rec_id", "duration", "participants_0_brand").orderBy("rec_id").collect()
+    first = records.orderBy("rec_id").select("duration", "participants_0_brand").collect()
+    assert [r[0] for r in numbered] == list(range(len(first))) and [tuple(r[1:]) for r in numbered] == [tuple(r) for r in first]
+
+    corpus = jobs.load_corpus(spark, str(root), own, str(tmp_path / "corpus"), "duration", MIN_DURATION)
+    assert corpus.count() == records.where(F.col("duration") > MIN_DURATION).count()
+    options = {"held_out": 60, "evaluation": 60, "batch_size": 64, "steps": 2, "hidden": (4,)}
+    generator = jobs.train_generator(spark, rows, ["rec_id"], own, duration="duration", shortest=MIN_DURATION, **options)
+    renamed = rows.withColumnRenamed("rec_id", "game")
+    win = jobs.train_win(spark, renamed, ["game"], own, generator.network, key="game", **options)
+    jobs.train_two_sample(
+        spark, renamed, ["game"], own, generator.network, duration="duration", shortest=MIN_DURATION, key="game", **options
+    )
+    chances, _ = jobs.predict(spark, f"{folder}/known-csv", own, generator.network, win.network, "rec_id")
+    assert chances.count() == records.count()

@@ -36,7 +36,7 @@ def test_encoding_of_edge_values(spark):
         ],
     )
     assert got[1]["known"] == [1, 0, 0, 1, 0]
-    assert got[1]["unknown"] == [-1.0, 1, 1, 1, None, 1]
+    assert got[1]["unknown"] == [-1.0, 1, 1, 1, 0, 1]
     assert got[1]["win"] == [1]
     assert got[2]["known"] == [0, 1, 0, 0, 1]
     assert got[2]["unknown"] == [1.0, 0, 0, 0, None, 0]
@@ -73,6 +73,9 @@ def test_caps_and_floor(spark):
     df = spark.createDataFrame([(1, [100.0]), (2, [-9.0]), (3, [None])], "id int, z array<double>")
     out = {r["id"]: r["n"] for r in rec.decode_records(df, d, {"unknown": "z"}, keep=("id",)).collect()}
     assert out == {1: 255, 2: 0, 3: None}
+    signed = Dictionary([Field("n", "int", "continuous", OUTCOME, default=0, mean=0.0, sd=50.0, min=-100, max=100)])
+    out = {r["id"]: r["n"] for r in rec.decode_records(df, signed, {"unknown": "z"}, keep=("id",)).collect()}
+    assert out == {1: 127, 2: -127, 3: None}
 
 
 def test_round_trip(spark, records):

@@ -1,11 +1,13 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from fieldloom.functions.network import initial_network
 from fieldloom.operators.dictionary import parse_fields
-from fieldloom.schema import KNOWN, Dictionary, Field
+from fieldloom.schema import KNOWN, OUTCOME, Dictionary, Field
 from fieldloom.sources import models, tables
-from fieldloom.sources.snapshot import snapshot_corpus
+from fieldloom.sources.snapshot import fingerprint, input_files, snapshot_corpus
 
 EDGE = Dictionary(
     [
@@ -103,7 +105,40 @@ def test_snapshot_is_reused_only_when_complete_and_of_the_same_kind(spark, tmp_p
     assert snapshot_corpus(spark, path, lambda: build(3), "a").count() == 3
     assert snapshot_corpus(spark, path, lambda: build(4), "a").count() == 3
     assert snapshot_corpus(spark, path, lambda: build(5), "b").count() == 5
-    half = str(tmp_path / "half")
-    spark.range(9).write.parquet(f"{half}/data")
-    assert snapshot_corpus(spark, half, lambda: build(2), "a").count() == 2
-    assert built == [3, 5, 2]
+    assert snapshot_corpus(spark, path, lambda: build(6), "a").count() == 3
+    assert built == [3, 5]
+
+
+def test_an_unfinished_rebuild_is_never_read(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    assert snapshot_corpus(spark, path, lambda: spark.range(10), "a").count() == 10
+
+    def breaks():
+        spark.range(3).write.parquet(f"{path}/data-cut")
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        snapshot_corpus(spark, path, breaks, "b")
+    assert snapshot_corpus(spark, path, breaks, "a").count() == 10
+    assert snapshot_corpus(spark, path, lambda: spark.range(4), "b").count() == 4
+
+
+def test_fingerprint_sees_every_change(spark, tmp_path):
+    fields = [
+        Field("a.t", "enum", "one-hot", KNOWN, levels=("x", "NA"), default="x"),
+        Field("a.n", "int", "continuous", OUTCOME, mean=2.0, sd=1.0, md=1.0, min=0, max=9, median=2, mode=1, default=2.0),
+    ]
+    file = tmp_path / "Matches.csv"
+    file.write_text("a.t,a.n\nx,1\n")
+    listed = lambda: input_files(spark, str(file))
+    base = fingerprint(Dictionary(fields), listed(), shortest=9)
+    assert base == fingerprint(Dictionary(list(fields)), listed(), shortest=9)
+    others = [
+        fingerprint(Dictionary([replace(fields[0], levels=("NA", "x")), fields[1]]), listed(), shortest=9),
+        fingerprint(Dictionary([replace(fields[0], default="NA"), fields[1]]), listed(), shortest=9),
+        fingerprint(Dictionary([fields[0], replace(fields[1], mean=4.0)]), listed(), shortest=9),
+        fingerprint(Dictionary(fields), listed(), shortest=8),
+    ]
+    file.write_text("a.t,a.n\nx,12\n")
+    others.append(fingerprint(Dictionary(fields), listed(), shortest=9))
+    assert len({base, *others}) == 6
