@@ -100,7 +100,8 @@ def predict(
     """(win probabilities, decoded full records), both keyed by ``id_field``."""
     tune(spark)
     known = tables.read_known(spark, known_csv, fields, id_field)
-    rows = predict_known(known, fields, generator, win_network, chain_input, (id_field,), ignored)
+    # Both results come from one scored table.
+    rows = materialize(predict_known(known, fields, generator, win_network, chain_input, (id_field,), ignored), "predicted")
     return rows.select(id_field, "win_probability"), rows.drop("win_probability")
 
 

@@ -12,7 +12,7 @@ from fieldloom import jobs
 from fieldloom.operators import fitting, metrics
 from fieldloom.plans.matches import DICTIONARY, MIN_DURATION, records
 from fieldloom.plans.models import GENERATOR, N_KNOWN, N_UNKNOWN, encoded, formula_network
-from fieldloom.plans.oracle import last_bias, sql, weight
+from fieldloom.plans.oracle import draw, last_bias, sql, weight
 from fieldloom.plans.registry import query
 from fieldloom.session import new_folder, stored
 from fieldloom.sources.models import load_network, network_frame, network_table, save_network
@@ -59,6 +59,46 @@ def win_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pos", F.round(F.col("g") * F.col("n"), 4).alias("gradient"))
 
 
+# Every part of the generator's loss by the cell it falls on.
+_MIXED = {
+    "cells": """select rec_id, j, y, z + (j * j % 101) * 0.0001::double as z, field, fam, slot, handling, sd, mean,
+            case handling when 'unary' then 49 when 'one-hot' then 3 else 1 end as width
+        from truth join logits using (rec_id, j) join lay using (j)""",
+    "centres": """select field, avg(z) as mz, avg(y) as my from cells where handling in ('unary', 'continuous') group by field""",
+    "spreads": """select field, any_value(mz) as mz, sign(avg(abs(z - mz)) * any_value(sd) - avg(abs(y - my))) as direction,
+            avg(sign(z - mz)) as side
+        from cells join centres using (field) group by field""",
+    "signed": """select rec_id, j, z, (y - mean) / sd as real, case when fam = 'team_price' then 0 else j % 56 end as elem, fam,
+            case when fam = 'team_price' then 0.5 else 0.1 end::double / width as w,
+            case when coalesce(slot < 5, j = 560) then 1 else -1 end as s
+        from cells where handling in ('unary', 'continuous') and fam <> 'duration'""",
+    "gaps": """select rec_id, fam, elem, sign(abs(sum(s * z)) - abs(sum(s * real))) * sign(sum(s * z)) as direction
+        from signed group by rec_id, fam, elem""",
+    "slopes": """select j, case when handling = 'continuous' then sign(z - y)
+                else -(2 * y - 1) * (1 - (2 * y - 1) * z > 0)::int / width end as g from cells
+        union all select j, direction * (sign(z - mz) - side) / width from cells join spreads using (field)
+        union all select j, w * s * direction from signed join gaps using (rec_id, fam, elem)""",
+}
+
+
+@query(
+    "mixed_gradient",
+    sql(
+        "select j as pos, round(sum(g) / 88 / (select count(*) from filled), 7) as gradient from slopes group by j",
+        "truth", "logits", "lay", "filled", extra=_MIXED,
+    ),
+)
+def mixed_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient of the generator's whole loss by its last biases, over all records."""
+    objective = fitting.mixed_objective(DICTIONARY)
+    # The formula repeats from slot to slot; uneven biases keep team gaps off exact zeros.
+    *inner, (w, b) = GENERATOR
+    network = [*inner, (w, b + np.arange(N_UNKNOWN) ** 2 % 101 * 0.0001)]
+    _, _, grad = fitting.gradient_sum(encoded(spark, sf_dir, ("known", "unknown")), network, objective, ["known"], "unknown")
+    rows = [(i, round(float(g), 7)) for i, g in enumerate(grad[-N_UNKNOWN:])]
+    return spark.createDataFrame(rows, "pos bigint, gradient double")
+
+
 _STEPS = {
     "sgd": f"{RATE} * c",
     "momentum": f"{RATE} * c",
@@ -189,12 +229,46 @@ def fit_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_rows(spark, result)
 
 
-@query("search_trials")
+def _uniform(*what: str) -> str:
+    return draw(f"'{TRIAL_SEED}'", "trial", *what)
+
+
+def _spread(u: str, low: float, high) -> str:
+    """A draw between two values on a log scale."""
+    return f"exp(ln({low}::double) + {u} * (ln(({high})::double) - ln({low}::double)))"
+
+
+TRIAL_SEED = 3
+_TRIALS = {
+    "layered": f"""select trial, (1 + floor({_uniform("'layers'")} * 5))::int as layers
+        from (select distinct d.t as trial from (values (0), (1)) d(t), (select count(*) as n from lineitem) l where n > 0) q""",
+    "widths": f"""select trial, layers, i, greatest(1, round({_spread(_uniform("'width' || i"), 1, '[8192, 8192, 4096, 2048, 1024][layers]')}))::int as width
+        from layered, unnest(range(layers)) u(i)""",
+}
+
+
+@query(
+    "search_trials",
+    sql(
+        f"""select trial, round(ln({_spread(_uniform("'rate'"), 0.000001, 0.1)}), 9) as log_rate,
+            (select string_agg(width, ',' order by i) from widths w where w.trial = t.trial) as hidden,
+            ['adam', 'adagrad', 'momentum', 'adadelta', 'sgd'][(1 + floor({_uniform("'optimizer'")} * 5))::int] as optimizer,
+            round({_spread(_uniform("'batch'"), 512, 8192)})::int as batch_size,
+            ['relu', 'leaky-relu', 'sigmoid', 'tanh'][(1 + floor({_uniform("'activation'")} * 4))::int] as activation, 'ok' as status
+        from layered t""",
+        extra=_TRIALS,
+    ),
+)
 def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two seeded trials of the generator fit, each run over the whole split."""
+    """Two seeded trials of the generator fit, each run over the whole split: what was
+    drawn, and that every fit ended with a finite loss."""
     rows = records(spark, sf_dir)
     tenth = max(rows.count() // 10, 1)
-    return jobs.search_generator(
+    table = jobs.search_generator(
         spark, rows, ["rec_id"], DICTIONARY, new_folder(spark, "trials"), 2, tenth, tenth, "duration", MIN_DURATION,
-        seed=3, max_width=32, steps=2,
+        seed=TRIAL_SEED, steps=2,
+    )
+    return table.select(
+        "trial", F.round(F.log("learning_rate"), 9).alias("log_rate"), F.array_join("hidden", ",").alias("hidden"), "optimizer",
+        "batch_size", "activation", F.when(F.col("loss").between(0, 1), F.col("status")).alias("status"),
     )

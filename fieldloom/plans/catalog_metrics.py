@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.network import apply_heads, forward
 from fieldloom.operators import metrics
-from fieldloom.operators.scoring import score_dense
+from fieldloom.operators.scoring import map_matrices
 from fieldloom.plans.matches import DICTIONARY
-from fieldloom.plans.models import GENERATOR, KINDS, WIN_NETWORK, encoded, scored
+from fieldloom.plans.models import KINDS, WIN_NETWORK, scored
 from fieldloom.plans.oracle import bias, last_bias, leaky, sql, weight
 from fieldloom.plans.registry import query
 
@@ -191,13 +193,18 @@ def eval_win(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real and generated records with the discriminator's logit ``z``."""
-    known = encoded(spark, sf_dir, ("known",))
-    real = encoded(spark, sf_dir, ("known", "unknown")).withColumn("unknown", F.col("unknown").cast("array<double>"))
-    fake = score_dense(known, GENERATOR, out="unknown", kinds=KINDS)
-    rows = score_dense(
-        metrics.two_sample(real, fake), WIN_NETWORK, ("known", "unknown"), "logit", drop=("known", "unknown")
-    )
-    return rows.withColumn("z", F.get("logit", F.lit(0)))
+
+
+    def run(known, real, logits):
+        return [forward(np.hstack([known, x]), WIN_NETWORK) for x in (real, apply_heads(logits, KINDS))]
+
+    rows = scored(spark, sf_dir).select("rec_id", "known", "y", "z")
+    rows = map_matrices(rows, ["known", "y", "z"], ["real", "generated"], run, drop=("known", "y", "z"))
+    pair = [
+        F.struct(F.lit(source).alias("source"), F.lit(t).alias("target"), F.get(source, F.lit(0)).alias("z"))
+        for source, t in (("real", 1.0), ("generated", 0.0))
+    ]
+    return rows.select("rec_id", F.inline(F.array(*pair)))
 
 
 # Real and generated records under the formula discriminator.

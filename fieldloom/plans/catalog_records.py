@@ -211,7 +211,7 @@ def project_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def assign_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).select("rec_id", "z").join(encoded(spark, sf_dir, ("known",)), "rec_id")
+    rows = scored(spark, sf_dir).select("rec_id", "known", "z")
     full = rec.assign_portions(DICTIONARY, {"known": F.col("known"), "unknown": F.col("z")})
     rows = rows.select("rec_id", full.alias("x"))
     kept = F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
@@ -337,7 +337,7 @@ def decode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = ":".join(f"participants.{i}.price" for i in range(SLOTS))
     ignored = expand_ignored(f"bans:{prices}", BAN_PATHS)
-    rows = scored(spark, sf_dir).select("rec_id", "z").join(encoded(spark, sf_dir, ("known",)), "rec_id")
+    rows = scored(spark, sf_dir).select("rec_id", "known", "z")
     masked = rows.select(
         "rec_id",
         rec.mask_ignored("known", DICTIONARY, ignored, KNOWN).alias("known"),

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import jobs
-from fieldloom.operators.scoring import output_heads, score_chain, score_dense, win_probability
+from fieldloom.functions.network import ACTIVATIONS, forward
+from fieldloom.operators.scoring import map_matrices, output_heads, score_chain, score_dense, win_probability
 from fieldloom.plans.catalog_records import decoded_wide_sql, plain_types
 from fieldloom.plans.matches import DICTIONARY, records
 from fieldloom.plans.models import GENERATOR, KINDS, WIN_NETWORK, checksum, encoded, scored
@@ -54,14 +53,17 @@ _ACTIVATED = {
     ),
 )
 def score_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = encoded(spark, sf_dir, ("known",))
-    parts = [
-        score_dense(known, GENERATOR, activation=name, drop=("known",)).select(
-            "rec_id", F.lit(name).alias("activation"), *checksum("logit", "logit")
-        )
-        for name in _ACTIVATED
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All activations in one pass: the first layer comes before any of them."""
+    (w, b), *rest = GENERATOR
+
+    def run(x):
+        first = x @ w + b
+        return [forward(ACTIVATIONS[name][0](first), rest, name) for name in _ACTIVATED]
+
+    outputs = [f"logit_{i}" for i in range(len(_ACTIVATED))]
+    rows = map_matrices(encoded(spark, sf_dir, ("known",)), ["known"], outputs, run, drop=("known",))
+    cells = [F.struct(F.lit(name).alias("activation"), F.col(c).alias("logit")) for name, c in zip(_ACTIVATED, outputs)]
+    return rows.select("rec_id", F.inline(F.array(*cells))).select("rec_id", "activation", *checksum("logit", "logit"))
 
 
 @query(

@@ -39,12 +39,12 @@ def encoded(spark: SparkSession, sf_dir: str, portions=("known", "unknown", "win
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, y (truth), z (generator logits), win, win_logit; kept as Parquet
+    """rec_id, known, y (truth), z (generator logits), win, win_logit; kept as Parquet
     because every evaluation reads it."""
 
     def build():
         rows = score_chain(
-            encoded(spark, sf_dir), GENERATOR, WIN_NETWORK, KINDS, outputs=("unknown_logit", "win_logit"), drop=("known",)
+            encoded(spark, sf_dir), GENERATOR, WIN_NETWORK, KINDS, outputs=("unknown_logit", "win_logit")
         )
         return rows.withColumnsRenamed({"unknown": "y", "unknown_logit": "z"})
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from fieldloom.plans import catalog
 from tests.conftest import SMALL
 
 
@@ -12,7 +13,7 @@ def con():
     return check.oracle(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SMALL)
     text = entry.oracle_sql().get(name)
@@ -28,4 +29,4 @@ def test_entry(spark):
 
 
 def test_only_fits_are_without_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"fit_network", "fit_win", "fit_two_sample", "search_trials"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"fit_network", "fit_win", "fit_two_sample"}

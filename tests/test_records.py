@@ -39,7 +39,7 @@ def test_encoding_of_edge_values(spark):
     assert got[1]["unknown"] == [-1.0, 1, 1, 1, 0, 1]
     assert got[1]["win"] == [1]
     assert got[2]["known"] == [0, 1, 0, 0, 1]
-    assert got[2]["unknown"] == [1.0, 0, 0, 0, None, 0]
+    assert got[2]["unknown"] == [1.0, 0, 0, 0, 0, 0]
     assert got[3]["known"][:3] == [0, 1, 0] and got[3]["unknown"][1:4] == [1, 1, 1]
     assert got[4]["unknown"][0] == -97.5 and got[4]["unknown"][1:4] == [0, 0, 0]
 
