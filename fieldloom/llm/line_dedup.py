@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import fresh
-from fieldloom.session import materialize
+from fieldloom.session import materialize, new_folder
 
 # Shortest line (code points) that is compared at all, and by the shorter
 # line's length the edits allowed: one from 32 code points, two from 64.
 MIN_CHARS = 16
 EDITS_FROM = {1: 32, 2: 64}
+#: Lines whose lengths share a class have segments of the same sizes; divides the lengths above.
+CLASS = 16
 
 
 def _edits(length: str) -> str:
@@ -19,39 +21,50 @@ def _edits(length: str) -> str:
     return f"(if({length} >= {EDITS_FROM[1]}, 1, 0) + if({length} >= {EDITS_FROM[2]}, 1, 0))"
 
 
-def _segment(length: str, edits: int, i: int) -> tuple[str, str]:
-    """SQL for the 1-based start and the length of segment ``i`` of ``edits + 1``."""
-    k = edits + 1
-    longer_from = f"({k} - {length} % {k})"  # segments before this index have the base length
-    start = f"(1 + {i} * ({length} div {k}) + greatest(0, {i} - {longer_from}))"
-    return start, f"({length} div {k} + if({i} >= {longer_from}, 1, 0))"
+def _key(number: str, edits: int, i: int, shift: int = 0) -> str:
+    """SQL for the hash of segment ``i`` of ``edits + 1`` of lines of a length class.
 
-
-def _key(length: str, edits: int, i: int, shift: int) -> str:
-    start, size = _segment(length, edits, i)
-    return f"xxhash64(substring(line, {start} + {shift}, {size}), {length}, {i})"
+    All segments but the last are counted from the line's start, moved by ``shift``, and the
+    last from its end; together they are as long as the shortest line of the class, so what
+    a longer line has more lies before its last segment.
+    """
+    base = f"({number} * {CLASS})"
+    size = f"({base} div {edits + 1})"
+    if i < edits:
+        part = f"substring(line, {i} * {size} + {1 + shift}, {size})"
+    else:
+        part = f"right(line, {base} - {edits} * {size})"
+    return f"xxhash64({part}, {number}, {i})"
 
 
 def _own_keys() -> str:
     """SQL array of a line's own segments."""
-    parts = [f"if(edits = {e}, {_key('length', e, i, 0)}, null)" for e in EDITS_FROM for i in range(e + 1)]
+    parts = [f"if(edits = {e}, {_key('class', e, i)}, null)" for e in EDITS_FROM for i in range(e + 1)]
     return f"array({', '.join(parts)})"
 
 
 def _probe_keys() -> str:
-    """SQL array of the substrings to look up among lines as long or up to ``edits`` shorter.
+    """SQL array of what to look up among lines as long or up to ``edits`` shorter.
 
-    Segment i of a shorter line can only match at a shift that the edits before it and
-    the edits after it both allow.
+    Of a line and one within its edits, some segment i (from 0) stays whole with at most i
+    edits before it and ``edits - i`` after it. So the first is found in place, the last at
+    the end, and the one between at shifts of at most one that leave one edit for the
+    rest. Lengths of one class share look-ups; most lines need the next class not at all.
     """
     parts = []
     for e, least in EDITS_FROM.items():
-        for less in range(e + 1):
-            length = f"(length - {less})"
-            fits = f"{length} >= {least}" + (f" and {length} < {EDITS_FROM[e + 1]}" if e + 1 in EDITS_FROM else "")
-            for i in range(e + 1):
-                shifts = set(range(-i, i + 1)) & set(range(less - (e - i), less + (e - i) + 1))
-                parts += [f"if({fits}, {_key(length, e, i, s)}, null)" for s in sorted(shifts)]
+        # Differences in length that stay in the line's class, then those that leave it.
+        for number, lengths in (("class", [(0, f"length % {CLASS} >= 0")]), ("(class - 1)", [(d, f"length % {CLASS} = {d - 1}") for d in range(1, e + 1)])):
+            low = f"{number} * {CLASS} >= {least}"
+            high = f" and {number} * {CLASS} < {EDITS_FROM[e + 1]}" if e + 1 in EDITS_FROM else ""
+            for least_gap, when in lengths:
+                fits = f"{low}{high} and {when}"
+                for i in range(e + 1):
+                    shifts = [0]
+                    if 0 < i < e:
+                        gaps = range(least_gap, e + 1)
+                        shifts = sorted({s for g in gaps for s in range(-i, i + 1) if abs(g - s) <= e - i})
+                    parts += [f"if({fits}, {_key(number, e, i, s)}, null)" for s in shifts]
     return f"array({', '.join(parts)})"
 
 
@@ -113,53 +126,64 @@ def within_edits(pairs: DataFrame, shorter: str, longer: str, edits: str) -> Dat
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """Every line of (row, doc_id, text) with its place and, if long enough, its keys."""
+    """Every line of (row, doc_id, text) with its place, length and hash."""
     return rows.selectExpr("row", "doc_id", "posexplode(split(text, '\\n', -1)) as (pos, raw)").selectExpr(
-        "row", "doc_id", "pos", "raw", "btrim(raw, ' \\t\\r') as line"
-    ).selectExpr("row", "doc_id", "pos", "line", "length(line) as length", "xxhash64(line) as key", "xxhash64(line, 1) as key2")
+        "row", "doc_id", "pos", "btrim(raw, ' \\t\\r') as line"
+    ).selectExpr("row", "doc_id", "pos", "line", "length(line) as chars", "xxhash64(line) as key")
+
+
+def _place():
+    """Where a line stands: in the order of doc_id (null last), row and position."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos")
 
 
-def line_decisions(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, pos, chars, exact, near) for every line of (row, doc_id, text).
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(key, first, times, line, length, class, edits) per different line, bucketed by key.
 
-    ``exact``: the same line comes earlier; ``near``: the line's first occurrence has a
-    link to a line that comes first earlier. Lines come in the order of doc_id (null
-    last), row and position.
+    It is kept as a bucketed table in the shared folder: the joins by key that follow read
+    it bucket by bucket and do not move the texts again.
     """
-    lines = _lines(rows)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos")
-    light = materialize(lines.drop("line"), "lines")
-    texts = materialize(
-        lines.where(f"length >= {MIN_CHARS}")
-        .groupBy("key", "key2")
-        .agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
+    spark = lines.sparkSession
+    texts = (
+        lines.where(f"chars >= {MIN_CHARS}")
+        .groupBy("key")
+        .agg(F.min(_place()).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
         .withColumn("length", F.length("line"))
-        .withColumn("edits", F.expr(_edits("length"))),
-        "distinct-lines",
+        .withColumn("class", F.expr(f"length div {CLASS}"))
+        .withColumn("edits", F.expr(_edits("length")))
     )
+    path = new_folder(spark, "distinct-lines")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = texts.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "key").sortBy("key")
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
+def removed_lines(light: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, pos, chars, near) of the lines to remove, from (row, doc_id, pos, chars, key).
+
+    A line goes if the same line stands earlier, or (``near``) if it is the first of its
+    kind and a line within the edits stands earlier.
+    """
     near = near_lines(texts.where("edits > 0"))
-    marked = texts.select("key", "key2", "first", "times").join(near, ["key", "key2"], "left").where("times > 1 or near")
-    found = light.join(marked, ["key", "key2"], "left").withColumn(
-        "exact", F.coalesce((F.col("times") > 1) & (F.col("first") < place) & (F.col("length") >= MIN_CHARS), F.lit(False))
-    )
-    near_too = F.coalesce(F.col("near"), F.lit(False)) & ~F.col("exact")
-    return found.select("row", "doc_id", "pos", F.col("length").alias("chars"), "exact", near_too.alias("near"))
+    flags = texts.select("key", "first", "times").join(near, "key", "left").where("times > 1 or near")
+    flags = materialize(flags.select("key", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-flags")
+    found = light.where(f"chars >= {MIN_CHARS}").join(flags, "key").withColumn("is_first", F.col("first") == _place())
+    return found.where("near or not is_first").select("row", "pos", "chars", F.col("is_first").alias("near"))
 
 
 def near_lines(texts: DataFrame) -> DataFrame:
-    """(key, key2, near = true) of the distinct lines within the edits of an earlier one."""
+    """(key, near = true) of the distinct lines within the edits of an earlier one."""
     own = texts.select("key", F.explode(F.array_compact(F.expr(_own_keys()))).alias("segment"))
     probe = texts.select("key", F.explode(F.array_compact(F.expr(_probe_keys()))).alias("segment"))
     met = own.withColumnRenamed("key", "short").join(probe.withColumnRenamed("key", "long"), "segment")
     pairs = materialize(met.where("short <> long").select("short", "long").distinct(), "line-pairs")
-    one = texts.selectExpr("key as short", "key2 as short2", "first as short_first", "line as short_line", "edits")
-    two = texts.selectExpr("key as long", "key2 as long2", "first as long_first", "line as long_line")
-    full = pairs.join(one, "short").join(two, "long").where("length(short_line) <= length(long_line)")
+    one = texts.selectExpr("key as short", "first as short_first", "line as short_line", "edits")
+    two = texts.selectExpr("key as long", "first as long_first", "line as long_line")
+    full = pairs.join(one, "short").join(two, "long").where("length(long_line) - length(short_line) between 0 and edits")
     linked = within_edits(full, "short_line", "long_line", "edits")
-    later = linked.selectExpr(
-        "if(short_first > long_first, named_struct('key', short, 'key2', short2), named_struct('key', long, 'key2', long2)) as k"
-    )
-    return later.select("k.*").distinct().withColumn("near", F.lit(True))
+    return linked.select(F.expr("if(short_first > long_first, short, long) as key")).distinct().withColumn("near", F.lit(True))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, row: str) -> DataFrame:
@@ -171,36 +195,37 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A line (white space at its ends aside) of at least ``MIN_CHARS`` code points is removed
     if the same line or, as far as its length allows edits, one within so many edits comes
-    earlier, in the order of doc_id and position. Shorter lines always stay. A null text has
-    one empty line; null ids come last; repeated rows come one after another, so all but
-    the first lose their lines; other columns are ignored; an empty table gives an empty one.
+    earlier, in the order of doc_id and position. Shorter lines always stay. Lines are the
+    same if their 64-bit hashes are. A null text has one empty line; null ids come last;
+    repeated rows come one after another, so all but the first lose their lines; other
+    columns are ignored; an empty table gives an empty one.
     """
     marked = docs.withColumn(fresh(docs, "row"), F.monotonically_increasing_id())
-    lines = line_decisions(_rows(marked, id_col, text_col, marked.columns[-1]))
-    stays = ~(F.col("exact") | F.col("near"))
-    return lines.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.count("*").alias("n_lines"),
-        F.count_if("exact").alias("n_exact"),
-        F.count_if("near").alias("n_near"),
-        F.coalesce(F.sum(F.when(stays, F.col("chars"))), F.lit(0)).alias("kept_chars"),
-        F.coalesce(F.sum(F.when(stays, F.col("pos"))), F.lit(0)).alias("kept_places"),
-    ).drop("row")
+    lines = _lines(_rows(marked, id_col, text_col, marked.columns[-1]))
+    light = materialize(lines.drop("line"), "lines")
+    gone = removed_lines(light, distinct_lines(lines)).groupBy("row").agg(
+        F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"), F.sum("chars").alias("gone_chars"), F.sum("pos").alias("gone_places")
+    )
+    whole = light.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n_lines"), F.sum("chars").alias("chars"), F.sum("pos").alias("places"))
+    return whole.join(gone, "row", "left").na.fill(0, ["n_exact", "n_near", "gone_chars", "gone_places"]).selectExpr(
+        "doc_id", "n_lines", "n_exact", "n_near", "chars - gone_chars as kept_chars", "places - gone_places as kept_places"
+    )
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all columns, without the lines that ``line_report`` counts as removed."""
     row = fresh(docs, "row")
     marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
-    lines = line_decisions(_rows(marked, id_col, text_col, row))
-    flags = lines.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("pos", (F.col("exact") | F.col("near")).alias("out")))).alias("flags")
-    )
-    flags = flags.where("exists(flags, f -> f.out)").select(F.col("row").alias(row), F.col("flags.out").alias("flags"))
-    mark = fresh(marked, "flags")
-    joined = marked.join(flags.withColumnRenamed("flags", mark), row, "left")
-    text = f"if(`{mark}` is null, `{text_col}`, array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not `{mark}`[i]), '\\n'))"
-    return joined.withColumn(text_col, F.expr(text)).select(*docs.columns)
+    lines = _lines(_rows(marked, id_col, text_col, row))
+    gone = removed_lines(materialize(lines.drop("line"), "lines"), distinct_lines(lines))
+    mark = fresh(marked, "gone")
+    # Places as keys of a sorted run: a line is out if its place is in the list.
+    lists = gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list("pos")).alias(mark))
+    joined = marked.join(lists, row, "left")
+    split = f"split(`{text_col}`, '\\n', -1)"
+    stay = f"array_except(sequence(0, size({split}) - 1), `{mark}`)"
+    text = f"array_join(transform(array(named_struct('parts', {split}, 'stay', {stay})), w -> array_join(transform(w.stay, i -> w.parts[i]), '\\n')), '')"
+    return joined.withColumn(text_col, F.expr(f"if(`{mark}` is null, `{text_col}`, {text})")).select(*docs.columns)
 
 
 ORACLE = r"""
