@@ -6,6 +6,8 @@ A data folder holds ``columns/interesting.csv`` (the dictionary), the lists
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from fieldloom.operators.records import decode_records, drop_short, encode_recor
 from fieldloom.operators.sampling import split_positional
 from fieldloom.operators.scoring import head_kinds, score_dense
 from fieldloom.schema import ALL, KNOWN, OUTCOME, WIN, Dictionary
-from fieldloom.session import materialize, tune
+from fieldloom.session import drop_folders, materialize, scratch, tune
 from fieldloom.sources import tables
 from fieldloom.sources.snapshot import fingerprint, input_files, snapshot_corpus
 from fieldloom.streaming.scoring import predict_known
@@ -105,6 +107,22 @@ def predict(
     return rows.select(id_field, "win_probability"), rows.drop("win_probability")
 
 
+def without_leftovers(job):
+    """Deletes what a fit has stored, once it has ended."""
+
+    @wraps(job)
+    def run(spark, *args, **options):
+        made = []
+        try:
+            with scratch() as made:
+                return job(spark, *args, **options)
+        finally:
+            drop_folders(spark, made)
+
+    return run
+
+
+@without_leftovers
 def train_generator(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, held_out: int = 1 << 14, evaluation: int = 1 << 14,
     batch_size: int = 2048, duration: str = DURATION, shortest: float = SHORTEST, seed=0,
@@ -131,6 +149,7 @@ def with_generated(rows: DataFrame, fields: Dictionary, generator, ignored=()) -
     return score_dense(known, generator, out="unknown", kinds=head_kinds(fields, ignored))
 
 
+@without_leftovers
 def train_win(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, generator, held_out: int = 1 << 14,
     evaluation: int = 1 << 14, batch_size: int = 2048, seed=0, ignored=(), key: str = "rec_id", **options,
@@ -146,7 +165,7 @@ def train_win(
 
     width = fields.width(KNOWN) + fields.width(OUTCOME)
     return fitting.fit_binary(
-        train, held, ["known", "unknown"], width, "target", keep_remainder=True, prepare=prepare, seed=seed, key=key, **options
+        train, held, ["known", "unknown"], width, "target", keep_remainder=True, batch_size=batch_size, prepare=prepare, seed=seed, key=key, **options
     )
 
 
@@ -163,6 +182,7 @@ def real_and_generated(rows: DataFrame, fields: Dictionary, generator) -> DataFr
     return both.select("known", F.inline(pair))
 
 
+@without_leftovers
 def train_two_sample(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, generator, held_out: int = 1 << 14,
     evaluation: int = 1 << 14, batch_size: int = 2048, duration: str = DURATION, shortest: float = SHORTEST, seed=0,
@@ -180,11 +200,12 @@ def train_two_sample(
 
     width = fields.width(KNOWN) + fields.width(OUTCOME)
     return fitting.fit_binary(
-        train, real_and_generated(held, fields, generator), ["known", "unknown"], width, "target",
+        train, real_and_generated(held, fields, generator), ["known", "unknown"], width, "target", batch_size=batch_size,
         prepare=prepare, seed=seed, key=key, **options,
     )
 
 
+@without_leftovers
 def search_generator(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, path: str, trials: int, held_out: int = 1 << 14,
     evaluation: int = 1 << 14, duration: str = DURATION, shortest: float = SHORTEST, seed=0,
@@ -201,7 +222,7 @@ def search_generator(
         fitted = fitting.fit_network(
             corpus.train_rows(split, draw["batch_size"], column, shortest), held, fields, hidden=draw["hidden"],
             key=key, prepare=lambda rows, epoch: corpus.augmented(rows, fields, seed, epoch, key),
-            activation=draw["activation"], optimizer=draw["optimizer"], learning_rate=draw["learning_rate"],
+            rows_per_step=draw["batch_size"], activation=draw["activation"], optimizer=draw["optimizer"], learning_rate=draw["learning_rate"],
             run=f"trial-{draw['trial']}", **options,
         )
         return fitted.best_accuracy

@@ -42,10 +42,11 @@ from fieldloom.operators.metrics import (
     eval_win,
     evaluation_plan,
 )
+from fieldloom.operators.ordering import chunk_count
 from fieldloom.operators.runs import CriteriaSpec
 from fieldloom.operators.scoring import score_dense
 from fieldloom.schema import KNOWN, OUTCOME, Dictionary
-from fieldloom.session import materialize, new_folder, ship_package
+from fieldloom.session import drop_folders, materialize, new_folder, scratch, ship_package
 from fieldloom.sources.models import check_network, network_frame, save_network
 
 BLOCK = 1 << 16
@@ -154,10 +155,11 @@ def _spread_sums(df: DataFrame, network, objective, inputs, target, activation,
 
 
 def step_groups(df: DataFrame, groups: int, seed=0, key: str = "rec_id") -> DataFrame:
-    """Rows laid out by step group, so that a step scans only its own files.
+    """Rows laid out by step group, so that a step scans few files.
 
-    A group is spread over its share of the shuffle partitions; the number of
-    files stays near their number.  A single group needs no layout.
+    Groups are range-partitioned and ordered, with a file per partition, sized by rows,
+    however many groups there are; a step's filter skips files and row groups by their
+    bounds.  A single group needs no layout.
     """
     if groups == 1:
         return df.withColumn("step_group", F.lit(0))
@@ -165,10 +167,9 @@ def step_groups(df: DataFrame, groups: int, seed=0, key: str = "rec_id") -> Data
     path = new_folder(spark, "steps")
     draw = draw_text(seed, literal("step"), name(key))
     rows = df.withColumn("step_group", F.expr(f"cast(floor({draw} * {groups}) as int)"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = max(parts // groups, 1)
-    rows = rows.repartition(parts, "step_group", F.pmod(F.xxhash64(key), F.lit(share)))
-    rows.write.partitionBy("step_group").parquet(path)
+    spread = F.xxhash64(key)
+    ordered = rows.repartitionByRange(chunk_count(df, rows.count()), "step_group", spread).sortWithinPartitions("step_group")
+    ordered.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -198,6 +199,8 @@ def fit(
     steps: int | None = None,
     prepare=as_is,
     groups: int = 1,
+    rows_per_step: int | None = None,
+    batch_size: int = 2048,
     optimizer: str = "adam",
     learning_rate: float = 0.001,
     activation: str = "leaky-relu",
@@ -218,23 +221,27 @@ def fit(
     step and whenever enough samples have passed; ``keep_remainder`` counts the surplus
     towards the next evaluation.  The state kept, and written to
     ``save_to``, is the one whose evaluation accuracy strictly improved last.  The
-    fit ends after ``steps`` or when ``stop`` says so.  ``summed`` fits the sum of the
-    row losses instead of their mean.  One step uses one of ``groups`` parts of
-    the rows.  Raw rows are laid out once; ``prepare(rows, epoch)`` draws and
+    fit ends after ``steps`` or when ``stop`` says so.  ``summed`` fits the sum of
+    the row losses of ``batch_size`` rows instead of their mean, however many rows a step
+    has.  One step uses one of ``groups`` parts of the rows; ``rows_per_step`` sets
+    their number by their size.  Raw rows are laid out once; ``prepare(rows, epoch)`` draws and
     encodes the rows of a step as it reads them, so that encoded rows, many times
     larger, are never stored.
     """
     criteria = CriteriaSpec.parse(stop)
     if steps is None and criteria == CriteriaSpec():
         raise ValueError("a fit needs a number of steps or a stop criterion")
-    data = step_groups(train, groups, seed, key)
+    with scratch() as made:
+        if rows_per_step:
+            groups = max(1, -(-train.count() // rows_per_step))
+        data = step_groups(train, groups, seed, key)
     rule = Optimizer(optimizer, learning_rate)
     result, samples, since, losses, started = Fit(network), 0, 0, [], None
     for step in itertools.count() if steps is None else range(steps):
         rows = prepare(data.where(F.col("step_group") == step % groups), step // groups)
         n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation, "float32")
         if summed:
-            loss, grad = loss * n, grad * n
+            loss, grad = loss * batch_size, grad * batch_size
         flat = flatten(network)
         if penalty:
             weight_only = flatten([(w, np.zeros_like(b)) for w, b in network])
@@ -259,6 +266,7 @@ def fit(
                 save_network(train.sparkSession, network, save_to)
         if criteria.should_stop(samples, losses, time.monotonic() - started):
             break
+    drop_folders(train.sparkSession, made)
     return result
 
 
@@ -277,7 +285,8 @@ def fit_network(
     spark = evaluation.sparkSession
     objective = mixed_objective(dictionary, ignored, extra_losses=1 if penalty else 0)
     sizes = [dictionary.width(KNOWN), *hidden, dictionary.width(OUTCOME)]
-    held = materialize(evaluation.select("known", "unknown"), "evaluation")
+    with scratch() as made:
+        held = materialize(evaluation.select("known", "unknown"), "evaluation")
 
     def evaluate(network):
         shared = spark.sparkContext.broadcast(network)
@@ -290,10 +299,13 @@ def fit_network(
         shared.destroy()
         return row["loss"], row["accuracy"]
 
-    return fit(
-        train, initial_network(sizes, seed), objective, ["known"], "unknown", evaluate,
-        activation=activation, penalty=penalty, loss_parts=objective.parts, seed=seed, **options,
-    )
+    try:
+        return fit(
+            train, initial_network(sizes, seed), objective, ["known"], "unknown", evaluate,
+            activation=activation, penalty=penalty, loss_parts=objective.parts, seed=seed, **options,
+        )
+    finally:
+        drop_folders(spark, made)
 
 
 def fit_binary(
@@ -310,17 +322,21 @@ def fit_binary(
     """Fit one logit on the concatenated inputs: the win net (inputs known and
     generated unknown) or the two-sample net (target 1 real, 0 generated)."""
     sizes = [n_inputs, *hidden, 1]
-    held = materialize(evaluation.select(*inputs, target), "evaluation")
+    with scratch() as made:
+        held = materialize(evaluation.select(*inputs, target), "evaluation")
 
     def evaluate(network):
         scored = score_dense(held, network, inputs, "z", activation, drop=tuple(inputs))
         row = eval_win(scored.select(F.get("z", F.lit(0)).alias("z"), F.col(target).cast("double").alias("y"))).first()
         return row["loss"], row["accuracy"]
 
-    return fit(
-        train, initial_network(sizes, seed), LogisticObjective(), inputs, target, evaluate,
-        activation=activation, summed=True, seed=seed, **options,
-    )
+    try:
+        return fit(
+            train, initial_network(sizes, seed), LogisticObjective(), inputs, target, evaluate,
+            activation=activation, summed=True, seed=seed, **options,
+        )
+    finally:
+        drop_folders(evaluation.sparkSession, made)
 
 
 # The search space.

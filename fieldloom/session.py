@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +52,56 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_MADE: dict[int, str] = {}
+_NUMBERS = itertools.count()
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder (not created)."""
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/fieldloom/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/fieldloom/{app}/{label}-{uuid.uuid4().hex}"
+    _MADE[next(_NUMBERS)] = path
+    return path
+
+
+@contextmanager
+def scratch():
+    """Gives a list that holds, after the block, the folders named inside it."""
+    start, made = next(_NUMBERS), []
+    try:
+        yield made
+    finally:
+        made.extend(path for number, path in list(_MADE.items()) if number > start)
+
+
+def table_name(path: str) -> str:
+    """Name of the catalog table kept in a folder of ``new_folder``, if there is one."""
+    return path.rsplit("/", 1)[-1].replace("-", "_")
+
+
+def drop_folders(spark: SparkSession, paths) -> None:
+    """Delete folders of ``new_folder`` whose readers are done, and their tables' names."""
+    paths = set(paths)
+    for path in paths:
+        spark.sql(f"drop table if exists {table_name(path)}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _forget(paths)
+
+
+def _forget(paths: set) -> None:
+    for number in [n for n, path in list(_MADE.items()) if path in paths]:
+        _MADE.pop(number, None)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything this application has left in the shared folder."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _STORED if k[0] == app]:
+        del _STORED[key]
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/fieldloom/{app}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _MADE.clear()
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -68,16 +116,28 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _listing(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of the files right below a folder, or of their folders."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return ()
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(place)))
+
+
 def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """``build()`` once per application and key, kept in the shared folder."""
-    full = (spark.sparkContext.applicationId, *key)
-    with _LOCK:
-        if full not in _STORED:
-            df = build()
-            path = new_folder(spark, str(key[0]))
-            df.write.parquet(path)
-            _STORED[full] = (path, df.schema)
-        path, schema = _STORED[full]
+    """``build()`` once per application, key and state of the input folder, the key's last part.
+
+    Two threads may build the same stage; the first to finish is kept.
+    """
+    full = (spark.sparkContext.applicationId, *key, _listing(spark, key[-1]))
+    if full not in _STORED:
+        df = build()
+        path = new_folder(spark, str(key[0]))
+        df.write.parquet(path)
+        with _LOCK:
+            _STORED.setdefault(full, (path, df.schema))
+    path, schema = _STORED[full]
     return spark.read.schema(schema).parquet(path)
 
 

@@ -130,3 +130,25 @@ def test_trials_resume(spark, tmp_path):
         cap = fitting.WIDTH_CAPS[len(draw["hidden"])]
         assert all(1 <= w <= cap for w in draw["hidden"])
         assert 1e-6 <= draw["learning_rate"] <= 0.1 and 512 <= draw["batch_size"] <= 8192
+
+
+def test_steps_of_a_declared_size(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist(), float(rng.random() > 0.5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "rec_id bigint, x array<double>, t double")
+    assert fitting.step_groups(df, 40).groupBy("step_group").count().count() == 40
+
+    def samples(rows_per_step):
+        done = fitting.fit_binary(df, df, ["x"], 3, "t", hidden=(2,), steps=3, rows_per_step=rows_per_step, optimizer="sgd", stop="never")
+        return [row[2] for row in done.log if row[4] == "loss" and row[3] == "train"]
+
+    small, large = samples(60), samples(300)
+    assert 0 < small[1] < 130 < large[1] < 400 and small != large
+
+    def moved(table):
+        start = fitting.initial_network([3, 2, 1])
+        done = fitting.fit_binary(table, table, ["x"], 3, "t", hidden=(2,), steps=1, optimizer="sgd", batch_size=64, stop="never")
+        return np.abs(flatten(done.network) - flatten(start)).max()
+
+    tenfold = df.crossJoin(spark.range(10).select("id")).drop("id")
+    assert moved(tenfold) == pytest.approx(moved(df), rel=1e-3)

@@ -1,5 +1,7 @@
 """The data-folder contract, end to end."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from fieldloom.plans import measured
 from fieldloom.plans.matches import DICTIONARY, MIN_DURATION
 from fieldloom.functions.network import initial_network
 from fieldloom.schema import ALL, EXTRA, KNOWN, OUTCOME, WIN
+from fieldloom.session import shared_root
 from fieldloom.sources import models, tables
 from tests.conftest import SMALL
 
@@ -57,10 +60,13 @@ def test_corpus_is_encoded_once(spark, folder, fields, records, tmp_path):
 
 def test_train_then_generate_and_predict(spark, folder, fields, records, tmp_path):
     options = {"held_out": 60, "evaluation": 60, "batch_size": 64, "groups": 1, "steps": 3, "hidden": (6,)}
+    folders = lambda: sorted(os.listdir(f"{shared_root(spark)}/fieldloom/{spark.sparkContext.applicationId}"))
+    before = folders()
     generator = jobs.train_generator(
         spark, records, ["rec_id"], fields, duration="duration", shortest=MIN_DURATION, learning_rate=0.05,
         save_to=str(tmp_path / "best"), **options,
     )
+    assert folders() == before
     losses = [v for *_, split, metric, v in generator.log if (split, metric) == ("evaluation", "loss")]
     assert losses[-1] < losses[0] and 0 < generator.best_accuracy < 1
     win = jobs.train_win(spark, records, ["rec_id"], fields, generator.network, **options)
@@ -68,6 +74,10 @@ def test_train_then_generate_and_predict(spark, folder, fields, records, tmp_pat
         spark, records, ["rec_id"], fields, generator.network, duration="duration", shortest=MIN_DURATION, **options
     )
     assert judge.log_frame(spark).where("metric = 'accuracy'").count() == 2
+    jobs.search_generator(
+        spark, records, ["rec_id"], fields, str(tmp_path / "trials"), 1, 60, 60, "duration", MIN_DURATION, seed=9, steps=1, groups=2
+    )
+    assert folders() == before
     loaded = models.load_network(spark, str(tmp_path / "best"))
     assert all((w == v).all() for (w, _), (v, _) in zip(loaded, generator.network))
 
