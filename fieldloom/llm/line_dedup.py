@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import fresh
-from fieldloom.session import materialize, new_folder
+from fieldloom.session import materialize, new_folder, table_name
 
 # Shortest line (code points) that is compared at all, and by the shorter
 # line's length the edits allowed: one from 32 code points, two from 64.
@@ -75,9 +75,10 @@ def _let(value: str, name: str, body: str) -> str:
 
 def _common_prefix(a: str, b: str) -> str:
     """SQL for the length of the common prefix, by halving steps."""
+    shorter = f"least(length({a}), length({b}))"
     return (
-        f"aggregate(transform(sequence(0, 30), k -> shiftleft(1, 30 - k)), 0, (p, s) -> if(s <= least(length({a}), length({b})) - p"
-        f" and left({a}, p + s) = left({b}, p + s), p + s, p))"
+        f"aggregate(sequence(cast(floor(log2(greatest(1, {shorter}))) as int), 0, -1), 0, (p, k) -> if(shiftleft(1, k) <= {shorter} - p"
+        f" and left({a}, p + shiftleft(1, k)) = left({b}, p + shiftleft(1, k)), p + shiftleft(1, k), p))"
     )
 
 
@@ -106,23 +107,22 @@ def banded_edits(x: str, y: str, edits: int) -> str:
     return f"aggregate({y}, {first}, (t, c) -> if(t.d > {2 * edits} + size({y}) - size({x}), t, {step}), t -> t.d)"
 
 
-def within_edits(pairs: DataFrame, shorter: str, longer: str, edits: str) -> DataFrame:
-    """The rows of ``pairs`` whose two texts are within the edits in column ``edits`` (1 or 2).
+def within_edits(shorter: str, longer: str, edits: str) -> str:
+    """SQL: whether two texts are within ``edits`` (1 or 2) of each other.
 
     Common ends are taken off first. It is one expression with every step named inside,
-    since a filter over several projections would have the steps written out again
-    wherever they are used.
+    since projections before a filter would be written out again wherever they are used.
     """
 
     def distance(e: int) -> str:
-        chars = lambda v: f"concat(if(q = length(v.{v}), array(), split(substring(v.{v}, q + 1), '')), array_repeat('\n', {e}))"
+        chars = lambda v: f"concat(if(q = length(v.{v}), array(), split(substring(v.{v}, q + 1), '')), array_repeat('\\n', {e}))"
         inner = _let(f"named_struct('x', {chars('a')}, 'y', {chars('b')})", "w", banded_edits("w.x", "w.y", e))
         inner = _let(_common_prefix("v.a", "v.b"), "q", inner)
         rest = f"named_struct('a', reverse(substring({shorter}, o + 1)), 'b', reverse(substring({longer}, o + 1)))"
         return _let(_common_prefix(shorter, longer), "o", _let(rest, "v", inner))
 
     cases = " ".join(f"when {edits} = {e} then {distance(e)} <= {e}" for e in EDITS_FROM)
-    return pairs.where(f"case {cases} else false end")
+    return f"case {cases} else false end"
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
         .withColumn("edits", F.expr(_edits("length")))
     )
     path = new_folder(spark, "distinct-lines")
-    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    name = table_name(path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = texts.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "key").sortBy("key")
     writer.saveAsTable(name)
@@ -173,17 +173,38 @@ def removed_lines(light: DataFrame, texts: DataFrame) -> DataFrame:
     return found.where("near or not is_first").select("row", "pos", "chars", F.col("is_first").alias("near"))
 
 
+# Letters that are counted to rule pairs out; an edit moves two counts by one at most.
+LETTERS = "etnaohirs"
+
+
 def near_lines(texts: DataFrame) -> DataFrame:
-    """(key, near = true) of the distinct lines within the edits of an earlier one."""
+    """(key, near = true) of the distinct lines within the edits of an earlier one.
+
+    Lines that share a segment with no other are ruled out before any text is moved. The
+    rest is compared segment by segment in semi joins: a line needs one earlier partner,
+    so no pairs are made, however many lines share a segment.
+    """
     own = texts.select("key", F.explode(F.array_compact(F.expr(_own_keys()))).alias("segment"))
     probe = texts.select("key", F.explode(F.array_compact(F.expr(_probe_keys()))).alias("segment"))
-    met = own.withColumnRenamed("key", "short").join(probe.withColumnRenamed("key", "long"), "segment")
-    pairs = materialize(met.where("short <> long").select("short", "long").distinct(), "line-pairs")
-    one = texts.selectExpr("key as short", "first as short_first", "line as short_line", "edits")
-    two = texts.selectExpr("key as long", "first as long_first", "line as long_line")
-    full = pairs.join(one, "short").join(two, "long").where("length(long_line) - length(short_line) between 0 and edits")
-    linked = within_edits(full, "short_line", "long_line", "edits")
-    return linked.select(F.expr("if(short_first > long_first, short, long) as key")).distinct().withColumn("near", F.lit(True))
+    def met(rows, others, name):
+        partner = others.withColumnsRenamed({"key": "other", "segment": "there"})
+        return materialize(rows.join(partner, F.expr("segment = there and key <> other"), "left_semi"), name)
+
+    short, long = met(own, probe, "line-segments"), met(probe, own, "line-probes")
+    some = short.select("key").union(long.select("key")).distinct()
+    facts = materialize(texts.join(some, "key").select("key", "first", "line", "length", "edits"), "line-texts")
+    counts = ", ".join(f"length - length(replace(line, '{c}', ''))" for c in LETTERS)
+    facts = facts.selectExpr("*", f"array({counts}) as counts")
+    short, long = short.join(facts, "key"), long.join(facts, "key")
+    apart = "aggregate(zip_with(s.counts, l.counts, (x, y) -> abs(x - y)), 0, (t, v) -> t + v) <= 2 * s.edits"
+    linked = f"{apart} and {within_edits('s.line', 'l.line', 's.edits')}"
+
+    def later(rows, a, others, b, least):
+        when = f"s.segment = l.segment and {b}.first < {a}.first and l.length - s.length between {least} and s.edits and {linked}"
+        return rows.alias(a).join(others.alias(b), F.expr(when), "left_semi").select("key")
+
+    found = later(long, "l", short, "s", 0).union(later(short, "s", long, "l", 1))
+    return found.distinct().withColumn("near", F.lit(True))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, row: str) -> DataFrame:

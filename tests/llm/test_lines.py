@@ -38,7 +38,7 @@ def test_banded_edits_equal_levenshtein(spark):
             b = edit(rng, b)
         rows.append((i, *sorted((a, b), key=len), rng.randint(1, 2)))
     df = spark.createDataFrame(rows, "id int, a string, b string, e int")
-    got = {r.id for r in within_edits(df, "a", "b", "e").collect()}
+    got = {r.id for r in df.where(within_edits("a", "b", "e")).collect()}
     assert got == {r.id for r in df.where("levenshtein(a, b) <= e").collect()} and 200 < len(got) < 1400
 
 
