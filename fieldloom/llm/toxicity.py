@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import mix, prepare, rolling_bytes, slices, text_bytes, word_spans
+from fieldloom.session import materialize
 
 #: Labelled documents that a model is fitted on at most (those of the smallest id hash),
 #: features it has at most, and documents of its class that a feature must occur in.
@@ -169,7 +170,7 @@ def fit(
     of both classes, every score is the (smoothed) share of toxic labels.
     """
     prepare(docs.sparkSession)
-    sample = _sample(docs, labels, limit)
+    sample = materialize(_sample(docs, labels, limit), "labelled")
     seen = dict(sample.groupBy("toxic").count().collect())
     n_clean, n_toxic = seen.get(0, 0), seen.get(1, 0)
     bias = float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
