@@ -23,7 +23,7 @@ LEAST_DOCUMENTS = 3
 FIT_SWAPS = 20_000
 #: Weight of the squared change of a score under a swap, and of the squared weights.
 SWAP_PENALTY = 1.0
-RIDGE = 1e-4
+RIDGE = 1e-5
 FOLDS = 5
 
 # Identity terms by group; a swap puts each other term of the group in place.
