@@ -7,6 +7,8 @@ columns of documents, with whatever other columns docs has.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from fieldloom.llm.mixing import mixed_documents
 from fieldloom.llm.repetition import drop_repetitive
 from fieldloom.llm.sentencepieces import encode_documents
 from fieldloom.llm.simhash_anchors import one_of_each
-from fieldloom.session import materialize
+from fieldloom.session import drop_folders, materialize, scratch
 
 #: DuckDB has neither the stages' hashes nor their tokenizer; the tests hold the pipeline
 #: against a plain Python version.
@@ -52,12 +54,32 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+_LEFT: dict[str, list] = {}
+
+
+def alone(stage):
+    """``stage``, which first deletes the tables that the stage before it needed.
+
+    So a stage's result has to be written before the next stage is called.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_folders(spark, _LEFT.pop(spark.sparkContext.applicationId, []))
+        with scratch() as made:
+            out = stage(spark, docs, sf_dir)
+        _LEFT[spark.sparkContext.applicationId] = made
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality),
-    ("line dedup", lines),
-    ("SimHash near-dedup", near_duplicates),
-    ("mixing sources to target weights", mixing),
-    ("SentencePiece encoding and decoding", encode),
+    ("quality rules", alone(quality)),
+    ("line dedup", alone(lines)),
+    ("SimHash near-dedup", alone(near_duplicates)),
+    ("mixing sources to target weights", alone(mixing)),
+    ("SentencePiece encoding and decoding", alone(encode)),
 ]
 
 
