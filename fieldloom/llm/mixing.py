@@ -15,7 +15,7 @@ MIX_HALVES = 3
 MOST_TIMES = 2
 SEED = "mix"
 #: Rows of a source that one range of keys holds about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 #: Sources up to which their table is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 100_000
 
