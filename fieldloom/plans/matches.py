@@ -84,13 +84,13 @@ def build_slots(spark: SparkSession, sf_dir: str, partitions: int | None = None)
     lineitem = table(spark, sf_dir, "lineitem").drop("l_tax")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
+    lines = with_running(lineitem, ["l_suppkey"], order, {"rn": Running("number")}, partitions)
     # Both joins are on unique keys: they add no lines, and lines without a part or
     # an order stay.
-    lines = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(
+    numbered = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(
         orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"
     )
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
-    numbered = with_running(lines, ["l_suppkey"], order, {"rn": Running("number")}, partitions)
     return numbered.select(
         "l_suppkey",
         F.expr("(rn - 1) div 10").alias("block"),
