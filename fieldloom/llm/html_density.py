@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import prepare, slices, with_column
 
 # Element names of HTML by their part in a page, and words that class, id
-# and role give to what is not the article.
+# and role give to what is mostly not the article; LEFT_OUT and OTHER_PARTS are hints.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
 BLOCK = frozenset(
@@ -22,6 +22,8 @@ BLOCK = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 LEFT_OUT = frozenset("head nav footer aside form button select option dialog menu datalist".split())
+#: Of these, elements that are never around a page's text; much text of their own says nothing.
+NEVER_AROUND = frozenset("head nav footer button select option datalist".split())
 KEPT_WHATEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6 pre code".split())
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -49,7 +51,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _is_other(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is by name or attributes no part of an article."""
+    """Whether name or attributes hint that an element is no part of an article."""
     if name in LEFT_OUT or (name == "header" and not inside_article):
         return True
     if not attributes or name in KEPT_WHATEVER:
@@ -74,69 +76,103 @@ class Page:
 
     def __init__(self, source: str):
         self.names, self.parents, self.events = ["#page"], [-1], []
-        self.links = [False]
+        self.links, self.hints = [False], [False]
         self._read(source)
+        self._leave_out()
 
     def _read(self, source: str) -> None:
-        open_nodes, left_out, at, end = [0], 0, 0, len(source)
-        # Elements left out are on the stack of their own, until the element around them ends.
-        skipped: list[str] = []
+        open_nodes, at, end = [0], 0, len(source)
         while at < end:
             tag = _TAG.search(source, at)
             stop = tag.start() if tag else end
-            if stop > at and not skipped:
+            if stop > at:
                 self.events.append((open_nodes[-1], entities.unescape(source[at:stop])))
             if not tag:
                 break
             at = tag.end()
             name = (tag[2] or tag[5] or "").lower()
             if not name:
-                if tag[0].startswith("<![CDATA[") and not skipped:
+                if tag[0].startswith("<![CDATA["):
                     self.events.append((open_nodes[-1], tag[0][9:].removesuffix("]]>")))
                 continue
             closing, attributes = tag[1] or tag[4], tag[3] if tag[2] else tag[6]
             if closing:
-                if skipped:
-                    if name in skipped:
-                        del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
-                        continue
-                    if name not in BLOCK or not any(self.names[k] == name for k in open_nodes):
-                        continue
-                    skipped.clear()
                 self._close(open_nodes, name)
                 continue
             if name in RAW and not attributes.endswith("/"):
                 ending = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
                 at = ending.end() if ending else end
                 continue
-            while skipped and (skipped[-1] == "p" and name in BLOCK or skipped[-1] == name == "li"):
-                skipped.pop()
-            if skipped:
-                if name not in VOID and not attributes.endswith("/"):
-                    skipped.append(name)
-                continue
             if name in VOID:
                 self.events.append((open_nodes[-1], None if name == "hr" else " " if name == "br" else ""))
                 if name == "hr":
                     self._end_paragraph(open_nodes)
                 continue
+            if self.names[open_nodes[-1]] == "head":
+                open_nodes.pop()
             if name in BLOCK:
                 self._end_paragraph(open_nodes)
                 if name in CLOSES:
                     self._imply_end(open_nodes, *CLOSES[name])
-            if _is_other(name, attributes, any(self.names[k] in ("article", "main") for k in open_nodes)):
+            hint = _is_other(name, attributes, any(self.names[k] in ("article", "main") for k in open_nodes))
+            if hint and attributes.endswith("/"):
                 self.events.append((open_nodes[-1], None))
-                if not attributes.endswith("/"):
-                    skipped.append(name)
                 continue
             node = len(self.names)
             self.names.append(name)
             self.parents.append(open_nodes[-1])
             self.links.append(name == "a" or self.links[open_nodes[-1]])
-            if name in BLOCK:
+            self.hints.append(hint)
+            if hint or name in BLOCK:
                 self.events.append((node, None))
             open_nodes.append(node)
 
+    def _left(self, stays: list[bool]) -> list[bool]:
+        """Which nodes are left if elements that do not stay go with all inside."""
+        left = [True] * len(stays)
+        for node in range(1, len(stays)):
+            left[node] = stays[node] and left[self.parents[node]]
+        return left
+
+    def _leave_out(self) -> None:
+        """Take hinted elements away, but none that the page is inside of.
+
+        An element that holds an article, a main or, footers and the like aside, more than
+        half of the page's text outside links stays. If no article has text and less than a
+        tenth of that text is left, the largest element taken comes back, with what in it
+        holds more than half of its own.
+        """
+        if not any(self.hints):
+            return
+        n = len(self.names)
+        own = [0] * n
+        for node, text in self.events:
+            if text and not self.links[node]:
+                own[node] += len("".join(text.split()))
+        holds, plain = [name in ("article", "main") for name in self.names], own[:]
+        for node in range(n - 1, 0, -1):
+            up = self.parents[node]
+            plain[up] += plain[node]
+            holds[up] = holds[up] or holds[node]
+        stays = [not self.hints[k] or holds[k] or 2 * plain[k] > plain[0] and self.names[k] not in NEVER_AROUND for k in range(n)]
+        left = self._left(stays)
+        named = any(plain[k] for k in range(n) if self.names[k] in ("article", "main"))
+        while not named and 10 * sum(c for c, is_left in zip(own, left) if is_left) < plain[0]:
+            back = max((k for k in range(1, n) if not left[k] and left[self.parents[k]]), key=lambda k: plain[k])
+            inside = [False] * n
+            for node in range(back, n):
+                inside[node] = node == back or inside[self.parents[node]]
+                stays[node] = stays[node] or inside[node] and 2 * plain[node] > plain[back]
+            left = self._left(stays)
+        number, place = 0, [0] * n
+        for node in range(1, n):
+            number += left[node]
+            place[node] = number if left[node] else place[self.parents[node]]
+        self.events = [(place[k], text) for k, text in self.events if left[k] or text is None]
+        some = [k for k in range(n) if left[k]]
+        self.parents = [-1, *(place[self.parents[k]] for k in some[1:])]
+        self.names, self.links = [self.names[k] for k in some], [self.links[k] for k in some]
+
     def _pop_to(self, open_nodes: list[int], depth: int) -> None:
         for node in open_nodes[depth:]:
             if self.names[node] in BLOCK:

@@ -25,6 +25,26 @@ def test_article_is_found(page):
     assert main_text(page) == TEXT
 
 
+REST = "<div class=comments><p>A reader says much about it.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content-sidebar-wrap'><main>{ARTICLE}</main><div class=sidebar><p>Some words.</p></div></div></body>",
+        f"<body><nav>{LINKS}</nav><div id=page class='has-sidebar'><div>{ARTICLE}</div></div></body>",
+        f"<body><div class='post-with-comments'><div>{ARTICLE}</div>{REST}</div></body>",
+        f"<body><form action='/go'><header>{LINKS}</header><div id=content>{ARTICLE}</div><footer>The footer</footer></form></body>",
+        f"<body><aside class=widget><article>{ARTICLE}</article></aside><footer>The footer</footer></body>",
+        f"<body><article>{ARTICLE}</article><footer>{'f ' * 300}</footer></body>",
+        f"<html><head><title>x</title><meta charset=utf-8><body><div>{ARTICLE}</div></body></html>",
+        f"<body><div class=has-sidebar>{ARTICLE}</div><div class=comments>{'<p>' + 'a b ' * 14 + '</p>'}</div><footer>{'f ' * 50}</footer></body>",
+    ],
+)
+def test_wrappers_named_like_other_parts_stay(page):
+    assert main_text(page) == TEXT
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<") .replace("<", "") == ""
     assert main_text("just &amp; text") == "just & text"
