@@ -246,8 +246,8 @@ class Page:
         """The node to take: the largest sum of densities among those above the threshold.
 
         The threshold is the lowest density on the way from the node of the largest sum to
-        the body. The article or main element around the node found is taken instead,
-        and one inside it that holds nearly all of its text.
+        the body. The innermost article or main element around the node found is taken
+        instead, or one inside it if all that this drops is link text.
         """
         density, sums = self.densities()
         body = next((k for k, name in enumerate(self.names) if name == "body"), 0)
@@ -263,10 +263,14 @@ class Page:
             if self.names[node] in ("article", "main"):
                 return node
             node = self.parents[node]
-        chars = self._counts()[0]
-        inside = [k for k, name in enumerate(self.names) if name in ("article", "main") and k > found]
-        whole = max(inside, key=lambda k: chars[k], default=found)
-        return whole if chars[whole] >= 0.8 * chars[found] else found
+        chars, _, link_chars, _ = self._counts()
+        plain = [c - lc for c, lc in zip(chars, link_chars)]
+        inside, whole = [False] * len(chars), []
+        for node in range(found, len(chars)):
+            inside[node] = node == found or inside[self.parents[node]]
+            if inside[node] and self.names[node] in ("article", "main") and plain[node] == plain[found] > 0:
+                whole.append(node)
+        return max(whole, key=lambda k: chars[k], default=found)
 
     def text(self, top: int) -> str:
         """The blocks of a node, in page order."""

@@ -45,6 +45,20 @@ def test_wrappers_named_like_other_parts_stay(page):
     assert main_text(page) == TEXT
 
 
+def test_only_link_text_gives_way_to_an_article():
+    intro = "<p>What stands before the article</p>"
+    page = f"<body><h1>Site</h1>{intro}<article>{ARTICLE * 4}</article></body>"
+    found = Page(page)
+    found.densities = lambda: ([1.0] * len(found.names), [float(k == found.names.index("body")) for k in range(len(found.names))])
+    assert found.text(found.article()).startswith("Site\n\nWhat stands before")
+    links = Page(f"<body><div>{LINKS}</div><article>{ARTICLE}</article></body>")
+    links.densities = lambda: ([1.0] * len(links.names), [float(k == links.names.index("body")) for k in range(len(links.names))])
+    assert links.text(links.article()) == TEXT
+    beside = Page(f"<body><div><p>{'plain words ' * 5}</p></div><article>{ARTICLE}</article></body>")
+    beside.densities = lambda: ([1.0] * len(beside.names), [float(k == beside.names.index("div")) for k in range(len(beside.names))])
+    assert beside.text(beside.article()) == ("plain words " * 5).strip()
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<") .replace("<", "") == ""
     assert main_text("just &amp; text") == "just & text"
