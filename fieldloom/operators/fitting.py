@@ -197,6 +197,7 @@ def fit(
     target: str,
     evaluate,
     steps: int | None = None,
+    passes: int | None = None,
     prepare=as_is,
     groups: int = 1,
     rows_per_step: int | None = None,
@@ -224,16 +225,18 @@ def fit(
     fit ends after ``steps`` or when ``stop`` says so.  ``summed`` fits the sum of
     the row losses of ``batch_size`` rows instead of their mean, however many rows a step
     has.  One step uses one of ``groups`` parts of the rows; ``rows_per_step`` sets
-    their number by their size.  Raw rows are laid out once; ``prepare(rows, epoch)`` draws and
+    their number by their size, and ``passes`` the steps by how often all parts are read.  Raw rows are laid out once; ``prepare(rows, epoch)`` draws and
     encodes the rows of a step as it reads them, so that encoded rows, many times
     larger, are never stored.
     """
     criteria = CriteriaSpec.parse(stop)
-    if steps is None and criteria == CriteriaSpec():
+    if steps is None and passes is None and criteria == CriteriaSpec():
         raise ValueError("a fit needs a number of steps or a stop criterion")
     with scratch() as made:
         if rows_per_step:
             groups = max(1, -(-train.count() // rows_per_step))
+        if passes is not None:
+            steps = passes * groups
         data = step_groups(train, groups, seed, key)
     rule = Optimizer(optimizer, learning_rate)
     result, samples, since, losses, started = Fit(network), 0, 0, [], None

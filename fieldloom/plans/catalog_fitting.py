@@ -260,13 +260,14 @@ _TRIALS = {
     ),
 )
 def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two seeded trials of the generator fit, each run over the whole split: what was
-    drawn, and that every fit ended with a finite loss."""
+    """Two seeded trials of the generator fit, each one pass over the whole training split
+    in steps of the drawn batch size: what was drawn, and that every fit ended with a
+    finite loss."""
     rows = records(spark, sf_dir)
     tenth = max(rows.count() // 10, 1)
     table = jobs.search_generator(
         spark, rows, ["rec_id"], DICTIONARY, new_folder(spark, "trials"), 2, tenth, tenth, "duration", MIN_DURATION,
-        seed=TRIAL_SEED, steps=2,
+        seed=TRIAL_SEED, passes=1, stop="never",
     )
     return table.select(
         "trial", F.round(F.log("learning_rate"), 9).alias("log_rate"), F.array_join("hidden", ",").alias("hidden"), "optimizer",

@@ -5,6 +5,8 @@ from fieldloom.functions.network import ACTIVATIONS, flatten, forward, gradients
 from fieldloom.functions.objectives import LogisticObjective
 from fieldloom.functions.optimizers import Optimizer
 from fieldloom.operators import fitting
+from fieldloom.plans import catalog_fitting
+from tests.conftest import SMALL
 from tests.test_metrics import FIELDS
 
 WIDTH = FIELDS.width(4)
@@ -132,6 +134,21 @@ def test_trials_resume(spark, tmp_path):
         assert 1e-6 <= draw["learning_rate"] <= 0.1 and 512 <= draw["batch_size"] <= 8192
 
 
+def test_a_trial_reads_the_whole_split(spark, monkeypatch):
+    seen, fit = [], fitting.fit
+    draw_trial = fitting.draw_trial
+
+    def watched(train, *args, **options):
+        done = fit(train, *args, **options)
+        seen.append((train.count(), max(row[2] for row in done.log), len({row[1] for row in done.log})))
+        return done
+
+    monkeypatch.setattr(fitting, "fit", watched)
+    monkeypatch.setattr(fitting, "draw_trial", lambda seed, trial: draw_trial(seed, trial) | {"batch_size": 100, "hidden": [2]})
+    assert catalog_fitting.search_trials(spark, SMALL).count() == 2
+    assert len(seen) == 2 and all(samples == rows and steps == -(-rows // 100) > 2 for rows, samples, steps in seen)
+
+
 def test_steps_of_a_declared_size(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=3).tolist(), float(rng.random() > 0.5)) for i in range(600)]
