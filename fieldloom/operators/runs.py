@@ -6,9 +6,12 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from fieldloom.operators.ordering import Running, with_running
 
@@ -136,8 +139,8 @@ def evaluation_cadence(
     The counters restart at each evaluation, so the pattern repeats and needs
     no look at other rows.  With ``keep_remainder`` the surplus over the
     threshold counts towards the next evaluation.  Train evaluations that are more
-    frequent then depend on all earlier steps: their pattern, the same for every
-    log, is listed by step number once and joined.
+    frequent then depend on earlier steps, but repeat too: one round of them is listed from
+    the sizes, and every row finds its answer in it.
     """
     index = F.col("step") - 1
     if keep_remainder:
@@ -148,7 +151,7 @@ def evaluation_cadence(
             test = (index == 0) | crossed
         train = test
         if per_train_evaluation < per_evaluation and batch_size < per_evaluation:
-            steps = steps.join(_train_pattern(steps, batch_size, per_evaluation, per_train_evaluation), "step", "left")
+            steps = _with_train(steps, batch_size, per_evaluation, per_train_evaluation)
             train = F.col("_train")
     else:
         period = math.ceil(per_evaluation / batch_size)
@@ -163,23 +166,59 @@ def evaluation_cadence(
     ).drop("_train")
 
 
-def _train_pattern(steps: DataFrame, batch_size: int, per_evaluation: int, per_train: int) -> DataFrame:
-    """(step, _train): whether each step number up to the largest evaluates on train rows."""
+def _train_events(batch_size: int, per_evaluation: int, per_train: int) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Steps of a period, the first period that repeats, how many there are up to the last,
+    and the places (from 0) of their evaluations with the train counter after each.
 
-    def scan(batches):
+    Evaluations repeat after a fixed number of steps. At one, the train counter keeps what
+    is above its threshold or restarts, so it depends on the last evaluation and the steps
+    since. Periods are listed until one starts with a counter seen before: their number
+    follows from the sizes alone, not from the log.
+    """
+
+    def after(counter: int, steps: int) -> int:
+        counter = (counter + steps * batch_size) % per_train
+        return counter if counter < batch_size else 0
+
+    common = math.gcd(batch_size, per_evaluation)
+    period, evaluations = per_evaluation // common, batch_size // common
+    starts, places, counters, counter = {}, [], [], 0
+    while counter not in starts:
+        first, before = len(starts) * period, 0
+        starts[counter] = len(starts)
+        for k in range(evaluations):
+            place = -(-k * per_evaluation // batch_size)
+            counter = after(counter, place - before) if k else counter
+            places.append(first + place)
+            counters.append(counter)
+            before = place
+        counter = after(counter, period - before)
+    return period, starts[counter], len(starts), np.array(places, np.int64), np.array(counters, np.int64)
+
+
+def _with_train(steps: DataFrame, batch_size: int, per_evaluation: int, per_train: int) -> DataFrame:
+    """``steps`` with ``_train``, whether each evaluates on train rows; none below step 1.
+
+    Every row is answered by itself from the list of one round of evaluations.
+    """
+    if batch_size >= per_train:
+        return steps.withColumn("_train", F.expr("if(step >= 1, true, null)"))
+    period, first, periods, places, counters = _train_events(batch_size, per_evaluation, per_train)
+
+    def answer(batches):
         for batch in batches:
-            for last in batch.column(0).to_pylist():
-                out, test, train = [], 0, 0
-                for step in range(1, (last or 0) + 1):
-                    test, train = test + batch_size, train + batch_size
-                    tests = step == 1 or test >= per_evaluation
-                    trains = tests or train >= per_train
-                    test = max(0, test - per_evaluation) if tests else test
-                    train = max(0, train - per_train) if trains else train
-                    out.append(trains)
-                    if len(out) == STEP_BLOCK or step == last:
-                        numbers = pa.array(range(step - len(out) + 1, step + 1), pa.int64())
-                        yield pa.RecordBatch.from_arrays([numbers, pa.array(out)], names=["step", "_train"])
-                        out = []
-
-    return steps.agg(F.max(F.col("step").cast("bigint"))).mapInArrow(scan, "step bigint, _train boolean")
+            step = batch.column("_number")
+            index = step.fill_null(0).to_numpy(zero_copy_only=False) - 1
+            number = index // period
+            number = np.where(number < periods, number, first + (number - first) % (periods - first))
+            index = np.where(index < 0, 0, number * period + index % period)
+            last = np.searchsorted(places, index, side="right") - 1
+            since = index - places[last]
+            trains = (since == 0) | ((counters[last] + since * batch_size) % per_train < batch_size)
+            known = pc.greater_equal(step, 1)
+            column = pc.if_else(known, pa.array(trains), pa.scalar(None, pa.bool_()))
+            rest = [c for c, name in zip(batch.columns, batch.schema.names) if name != "_number"]
+            yield pa.RecordBatch.from_arrays([*rest, column], names=[*(n for n in batch.schema.names if n != "_number"), "_train"])
+
+    schema = StructType([*steps.schema.fields, StructField("_train", BooleanType())])
+    return steps.withColumn("_number", F.col("step").cast("bigint")).mapInArrow(answer, schema)

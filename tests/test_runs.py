@@ -86,3 +86,24 @@ def test_cadence_with_remainder(spark, monkeypatch, bs, test_k, train_k):
     steps = spark.range(1, 201).withColumnRenamed("id", "step")
     got = runs.evaluation_cadence(steps, bs, test_k, train_k, keep_remainder=True).orderBy("step").collect()
     assert [(r["evaluates"], r["train_evaluates"]) for r in got] == want
+
+
+@pytest.mark.parametrize("bs, test_k, train_k", [(2048, 50_000, 7_000), (30, 100, 70), (70, 330, 90)])
+def test_cadence_of_far_steps(spark, bs, test_k, train_k):
+    test, train, states, want = 0, 0, {}, []
+    while (test, train) not in states or not want:
+        states[test, train] = len(want)
+        test, train = test + bs, train + bs
+        do_test = not want or test >= test_k
+        do_train = do_test or train >= train_k
+        want.append(do_train)
+        test = max(0, test - test_k) if do_test else test
+        train = max(0, train - train_k) if do_train else train
+        if len(want) == 1:
+            states = {}
+    first = states[test, train]
+    length = len(want) - first
+    far = [first + 10**12 // length * length + i for i in range(length)]
+    steps = spark.createDataFrame([(i + 1,) for i in far], "step bigint")
+    got = runs.evaluation_cadence(steps, bs, test_k, train_k, keep_remainder=True).orderBy("step").collect()
+    assert [r["train_evaluates"] for r in got] == want[first:]
