@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import fresh
+from fieldloom.operators.ordering import Running, with_running
 from fieldloom.session import materialize
 
 # Weights of the sources by code point, the words of the mix and the most
@@ -41,30 +42,22 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
     Targets share the mix by weight; a source stops at its most, and what it leaves is
     shared anew. Sources by words per weight reach their most one after another, so one
-    running sum over the table of sources (one row each) finds the last that does.
+    running sum over the table of sources (one row each) finds the last that does. Numbers
+    and sums run over chunks, since there may be a source per document.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     weights = ", ".join(map(str, WEIGHTS))
-    placed = per.selectExpr("*", "row_number() over (order by source nulls last) - 1 as place").selectExpr(
+    named = per.selectExpr("*", "source is null as none")
+    numbered = with_running(named, [], ["none", "source"], {"number": Running("number")})
+    placed = numbered.selectExpr("source", "words", "rows", "number - 1 as place").selectExpr(
         "*", f"element_at(array({weights}), cast(place % {len(WEIGHTS)} + 1 as int)) as weight"
-    )
-    order = Window.orderBy(F.col("words") / F.col("weight"), "place")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    running = placed.select(
-        "*",
-        F.sum("words").over(every).alias("all_words"),
-        F.coalesce(F.sum("words").over(before), F.lit(0)).alias("words_before"),
-        F.sum("weight").over(after).alias("weight_after"),
-    ).selectExpr(
-        "*", f"{MIX_HALVES} * all_words - {2 * MOST_TIMES} * words_before as halves_left"
+    ).selectExpr("*", "words / weight as share")
+    sums = with_running(placed, [], ["share", "place"], {"words_to": Running("sum", "words"), "weight_to": Running("sum", "weight")})
+    totals = placed.agg(F.sum("words").alias("all_words"), F.sum("weight").alias("all_weight"))
+    running = sums.crossJoin(F.broadcast(totals)).selectExpr(
+        "*", "all_weight - weight_to + weight as weight_after", f"{MIX_HALVES} * all_words - {2 * MOST_TIMES} * (words_to - words) as halves_left"
     ).selectExpr("*", f"{2 * MOST_TIMES} * words * weight_after <= weight * halves_left as full")
-    rest = running.select(
-        "*",
-        F.max(F.when(~F.col("full"), F.col("halves_left"))).over(every).alias("halves"),
-        F.max(F.when(~F.col("full"), F.col("weight_after"))).over(every).alias("weights"),
-    )
+    rest = running.crossJoin(F.broadcast(running.where("not full").agg(F.max("halves_left").alias("halves"), F.max("weight_after").alias("weights"))))
     return rest.selectExpr(
         "source", "place", "words", "rows",
         f"if(full, cast({MOST_TIMES} * words as double), cast(weight * halves as double) / (2 * weights)) as target",

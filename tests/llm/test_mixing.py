@@ -80,3 +80,13 @@ def test_mixed_documents_are_whole(spark, documents, odd):
     assert all(texts[r.doc_id] == r.text for r in got.collect()) and sum(want.values()) > 0
     assert mixed_documents(odd).columns == odd.columns
     assert {r.doc_id for r in mixed_documents(odd).collect()} <= {4, 6, 7, 8, None}
+
+
+def test_a_source_per_document_is_summed_in_chunks(spark):
+    rows = [(i, "w " * (i % 9), "en", f"s{i:03}" if i else None, 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    check(docs)
+    sized = docs.selectExpr("source", "cast(n_chars + doc_id % 9 as bigint) as size")
+    plan = mixing.source_targets(sized)._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", plan)
+    assert all("_chunk" in w or "_t_" in w for w in windows)
