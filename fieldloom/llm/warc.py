@@ -20,8 +20,8 @@ from fieldloom.llm.common import prepare, slices
 VERSION = "WARC/1.0"
 END = "\r\n\r\n"
 NO_DATE = "1970-01-01T00:00:00Z"
-#: Records of a file that is written.
-FILE_RECORDS = 4000
+#: Characters that the records of a file that is written have, a longer record aside.
+FILE_CHARS = 32_000_000
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(
@@ -184,15 +184,27 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write records as WARC files: Spark's text sink with the record terminator as line end."""
+    """Write records as WARC files: Spark's text sink with the record terminator as line end.
+
+    A running size within the partition numbers the files, one folder per number, so
+    that what a reader holds of a file is bounded however long the pages are.
+    """
     prepare(records.sparkSession)
+    most = FILE_CHARS
 
     def run(batches):
+        number = size = 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(map(serialise, batch.to_pylist()), pa.string())], names=["value"])
-
-    lines = records.mapInArrow(run, "value string")
-    lines.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+            lines, numbers = list(map(serialise, batch.to_pylist())), []
+            for line in lines:
+                if size and size + len(line) > most:
+                    number, size = number + 1, 0
+                size += len(line)
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(numbers, pa.int32())], names=["value", "file"])
+
+    lines = records.mapInArrow(run, "value string, file int")
+    lines.write.partitionBy("file").option("lineSep", END).option("compression", compression).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

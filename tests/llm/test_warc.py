@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import json
 
+from fieldloom.llm import warc
 from fieldloom.llm.warc import derivative_report, derivatives, derive, parse, read_warc, response, responses, serialise, visible_text, write_warc
 
 PAGE = "<html><head><title>A &amp; B</title></head><body><h1>Hé</h1><p>one <a href='/x?a=1&amp;b=2'>link</a><br>two</p><script>no</script><img src=i.png></body></html>"
@@ -52,3 +53,14 @@ def test_responses_from_files_and_empty_tables(spark, tmp_path):
     assert sorted(map(key, again.collect())) == sorted(map(key, derivatives(sources).collect()))
     empty = spark.createDataFrame([], table(spark).schema)
     assert derivative_report(empty, str(tmp_path / "none")).collect() == []
+
+
+def test_files_are_cut_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CHARS", 5000)
+    rows = [(i, f"http://{i}", "<p>" + "word " * (n := 10 if i % 4 else 400), n) for i in range(40)]
+    sources = responses(spark.createDataFrame([*rows, (99, "http://long", "w" * 9000, 0)], "page_id bigint, url string, html string, n int")).drop("page_key").coalesce(1)
+    write_warc(sources, str(tmp_path / "in"), "none")
+    files = [list(parse(f.read_bytes())) for f in (tmp_path / "in").rglob("part-*")]
+    assert len(files) > 4 and all(len(f) == 1 or sum(len(serialise(r)) for r in f) <= 5000 for f in files)
+    ids = sorted(r.record_id for r in sources.collect())
+    assert sorted(r["record_id"] for f in files for r in f) == ids == sorted(r.record_id for r in read_warc(spark, str(tmp_path / "in")).collect())
