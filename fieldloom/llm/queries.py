@@ -92,3 +92,11 @@ def op10(spark, sf_dir):
     from fieldloom.llm.simhash_anchors import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_inverted_multi_index")
+def op12(spark, sf_dir):
+    from fieldloom.llm.multi_index import clean_vectors, nearest
+
+    vectors = clean_vectors(table(spark, sf_dir, "embeddings"))
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
