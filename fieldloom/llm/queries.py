@@ -100,3 +100,10 @@ def op12(spark, sf_dir):
 
     vectors = clean_vectors(table(spark, sf_dir, "embeddings"))
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query("op13_variable_gram_index")
+def op13(spark, sf_dir):
+    from fieldloom.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
