@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
+from bisect import bisect_left
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +18,7 @@ from fieldloom.llm.common import prepare, slices, with_column
 # Element names of HTML by their part in a page, and words that class, id
 # and role give to what is mostly not the article; LEFT_OUT and OTHER_PARTS are hints.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
+RAW = frozenset("script style noscript template iframe textarea title svg annotation annotation-xml object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre section summary table "
@@ -41,31 +44,79 @@ OTHER_PARTS = frozenset(
     "sponsored subscribe subscription teaser toolbar widget widgets alert gdpr login search complementary contentinfo".split()
 )
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
+#: Words that say how a part is built, not what it is about: "comment-list" is a list of comments, "related-work" no part.
+BUILD = frozenset(
+    "area bar block body bottom box button buttons col column container content desktop feed form group header holder icon icons inner inline "
+    "item items left link links list main mobile outer page panel post posts reader readers right row section site slot stories story tags text "
+    "thread top unit user users wrap wrapper zone".split()
 )
-_PART = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_SPECIAL = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: How sure a hint is: a compound of a part's name and another word is weak.
+NO_HINT, WEAK, STRONG = 0, 1, 2
 
 
-def _is_other(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether name or attributes hint that an element is no part of an article."""
+def _hint(name: str, attributes: str, inside_article: bool) -> int:
+    """How sure name or attributes are that an element is no part of an article."""
     if name in LEFT_OUT or (name == "header" and not inside_article):
-        return True
+        return STRONG
     if not attributes or name in KEPT_WHATEVER:
-        return False
-    for key, value in _PART.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
+        return NO_HINT
+    found = NO_HINT
+    for match in _ATTRIBUTE.finditer(attributes):
+        key, value = (match[1] or "").lower(), (match[2] or "").strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return STRONG
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif any(w.lower() in OTHER_PARTS for w in _WORDS.findall(value)):
-            return True
-    return False
+                return STRONG
+        elif key in ("class", "id", "role"):
+            for token in value.split():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                if any(w in OTHER_PARTS for w in words):
+                    whole = all(w in OTHER_PARTS or w in BUILD for w in words)
+                    found = max(found, STRONG if whole and name in BLOCK else WEAK)
+    return found
+
+
+class _Tags:
+    """Ends of tags in a page, in time that grows with the page alone.
+
+    A quoted value may hold ">". A tag whose quotes never let it end stops at the first ">"; where such
+    a tag has been met, the ends of all further ones are worked out once, from the last to the first.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.specials = source, source.rfind(">"), None
+
+    def end(self, at: int) -> int:
+        """The place after the ">" that ends the tag whose name stops at ``at``; -1 without any."""
+        if at > self.last:
+            return -1
+        if self.specials is None:
+            if found := _REST.match(self.source, at):
+                return found.end()
+            self._work_out(at)
+        k = bisect_left(self.specials, at)
+        end = self.ends[k] if k < len(self.ends) else -1
+        return end if end >= 0 else self.source.find(">", at) + 1
+
+    def _work_out(self, at: int) -> None:
+        source = self.source
+        self.specials = [m.start() for m in _SPECIAL.finditer(source, at)]
+        self.ends, following = [-1] * len(self.specials), {}
+        for k in range(len(self.specials) - 1, -1, -1):
+            char = source[self.specials[k]]
+            if char == ">":
+                self.ends[k] = self.specials[k] + 1
+            else:
+                closing = following.get(char)
+                self.ends[k] = self.ends[closing + 1] if closing is not None and closing + 1 < len(self.ends) else -1
+                following[char] = k
 
 
 class Page:
@@ -76,32 +127,50 @@ class Page:
 
     def __init__(self, source: str):
         self.names, self.parents, self.events = ["#page"], [-1], []
-        self.links, self.hints = [False], [False]
+        self.links, self.hints = [False], [NO_HINT]
+        #: Depths of the open nodes of each name, and of those that are blocks, from the outside in.
+        self.depths, self.blocks = defaultdict(list), []
         self._read(source)
         self._leave_out()
 
     def _read(self, source: str) -> None:
-        open_nodes, at, end = [0], 0, len(source)
-        while at < end:
-            tag = _TAG.search(source, at)
-            stop = tag.start() if tag else end
-            if stop > at:
-                self.events.append((open_nodes[-1], entities.unescape(source[at:stop])))
-            if not tag:
+        open_nodes, at, end, begin = [0], 0, len(source), 0
+        tags = _Tags(source)
+        while True:
+            at = source.find("<", at)
+            if at < 0 or at > tags.last and not source.startswith("<!--", at) and not source.startswith("<![CDATA[", at):
+                at = end
+            name, closing, attributes, stop = "", False, "", -1
+            if at < end:
+                closing = source.startswith("/", at + 1)
+                if source.startswith("<!--", at):
+                    stop = self._after(source, "-->", at + 4)
+                elif source.startswith("<![CDATA[", at):
+                    stop = self._after(source, "]]>", at + 9)
+                elif source.startswith(("!", "?"), at + 1):
+                    stop = source.find(">", at) + 1
+                elif found := _NAME.match(source, at + 1 + closing):
+                    name = found[0].lower()
+                    stop = tags.end(found.end())
+                    attributes = source[found.end() : stop - 1]
+                else:
+                    at += 1
+                    continue
+            if at > begin:
+                self.events.append((open_nodes[-1], entities.unescape(source[begin:at])))
+            if at >= end:
                 break
-            at = tag.end()
-            name = (tag[2] or tag[5] or "").lower()
+            if source.startswith("<![CDATA[", at):
+                self.events.append((open_nodes[-1], source[at + 9 : stop].removesuffix("]]>")))
+            at = begin = stop
             if not name:
-                if tag[0].startswith("<![CDATA["):
-                    self.events.append((open_nodes[-1], tag[0][9:].removesuffix("]]>")))
                 continue
-            closing, attributes = tag[1] or tag[4], tag[3] if tag[2] else tag[6]
             if closing:
                 self._close(open_nodes, name)
                 continue
             if name in RAW and not attributes.endswith("/"):
                 ending = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = ending.end() if ending else end
+                at = begin = ending.end() if ending else end
                 continue
             if name in VOID:
                 self.events.append((open_nodes[-1], None if name == "hr" else " " if name == "br" else ""))
@@ -109,13 +178,13 @@ class Page:
                     self._end_paragraph(open_nodes)
                 continue
             if self.names[open_nodes[-1]] == "head":
-                open_nodes.pop()
+                self._pop_to(open_nodes, len(open_nodes) - 1)
             if name in BLOCK:
                 self._end_paragraph(open_nodes)
                 if name in CLOSES:
                     self._imply_end(open_nodes, *CLOSES[name])
-            hint = _is_other(name, attributes, any(self.names[k] in ("article", "main") for k in open_nodes))
-            if hint and attributes.endswith("/"):
+            hint = _hint(name, attributes, bool(self.depths["article"] or self.depths["main"]))
+            if hint == STRONG and attributes.endswith("/"):
                 self.events.append((open_nodes[-1], None))
                 continue
             node = len(self.names)
@@ -123,10 +192,18 @@ class Page:
             self.parents.append(open_nodes[-1])
             self.links.append(name == "a" or self.links[open_nodes[-1]])
             self.hints.append(hint)
-            if hint or name in BLOCK:
+            if hint == STRONG or name in BLOCK:
                 self.events.append((node, None))
+            self.depths[name].append(len(open_nodes))
+            if name in BLOCK:
+                self.blocks.append(len(open_nodes))
             open_nodes.append(node)
 
+    @staticmethod
+    def _after(source: str, mark: str, at: int) -> int:
+        found = source.find(mark, at)
+        return len(source) if found < 0 else found + len(mark)
+
     def _left(self, stays: list[bool]) -> list[bool]:
         """Which nodes are left if elements that do not stay go with all inside."""
         left = [True] * len(stays)
@@ -134,6 +211,20 @@ class Page:
             left[node] = stays[node] and left[self.parents[node]]
         return left
 
+    def _believed(self, plain: list[int], whole: list[int]) -> list[bool]:
+        """Which hints count. Inside a line of text none does; a weak one needs text that is mostly links, or none."""
+        n = len(self.names)
+        block = [0] * n
+        for node in range(1, n):
+            block[node] = node if self.names[node] in BLOCK else block[self.parents[node]]
+        out = [False] * n
+        for node in range(1, n):
+            if self.hints[node]:
+                inline = self.names[node] not in BLOCK and plain[block[node]] > plain[node]
+                links = 2 * (whole[node] - plain[node]) >= whole[node]
+                out[node] = self.names[node] in LEFT_OUT or self.hints[node] == STRONG or not inline and links
+        return out
+
     def _leave_out(self) -> None:
         """Take hinted elements away, but none that the page is inside of.
 
@@ -145,25 +236,43 @@ class Page:
         if not any(self.hints):
             return
         n = len(self.names)
-        own = [0] * n
+        own, whole = [0] * n, [0] * n
         for node, text in self.events:
-            if text and not self.links[node]:
-                own[node] += len("".join(text.split()))
+            if text:
+                size = len("".join(text.split()))
+                whole[node] += size
+                if not self.links[node]:
+                    own[node] += size
         holds, plain = [name in ("article", "main") for name in self.names], own[:]
+        children: list[list[int]] = [[] for _ in range(n)]
         for node in range(n - 1, 0, -1):
             up = self.parents[node]
             plain[up] += plain[node]
+            whole[up] += whole[node]
             holds[up] = holds[up] or holds[node]
-        stays = [not self.hints[k] or holds[k] or 2 * plain[k] > plain[0] and self.names[k] not in NEVER_AROUND for k in range(n)]
-        left = self._left(stays)
+            children[up].append(node)
+        hinted = self._believed(plain, whole)
+        stays = [not hinted[k] or holds[k] or 2 * plain[k] > plain[0] and self.names[k] not in NEVER_AROUND for k in range(n)]
+        left, taken, text_left = self._left(stays), [], 0
+        for node in range(n):
+            if left[node]:
+                text_left += own[node]
+            elif left[self.parents[node]]:
+                taken.append((-plain[node], node))
+        heapq.heapify(taken)
         named = any(plain[k] for k in range(n) if self.names[k] in ("article", "main"))
-        while not named and 10 * sum(c for c, is_left in zip(own, left) if is_left) < plain[0]:
-            back = max((k for k in range(1, n) if not left[k] and left[self.parents[k]]), key=lambda k: plain[k])
-            inside = [False] * n
-            for node in range(back, n):
-                inside[node] = node == back or inside[self.parents[node]]
-                stays[node] = stays[node] or inside[node] and 2 * plain[node] > plain[back]
-            left = self._left(stays)
+        while taken and not named and 10 * text_left < plain[0]:
+            back = heapq.heappop(taken)[1]
+            some = [back]
+            while some:
+                node = some.pop()
+                left[node] = True
+                text_left += own[node]
+                for child in children[node]:
+                    if stays[child] or 2 * plain[child] > plain[back]:
+                        some.append(child)
+                    else:
+                        heapq.heappush(taken, (-plain[child], child))
         number, place = 0, [0] * n
         for node in range(1, n):
             number += left[node]
@@ -175,39 +284,32 @@ class Page:
 
     def _pop_to(self, open_nodes: list[int], depth: int) -> None:
         for node in open_nodes[depth:]:
+            self.depths[self.names[node]].pop()
             if self.names[node] in BLOCK:
+                self.blocks.pop()
                 self.events.append((node, None))
         del open_nodes[depth:]
 
+    def _innermost(self, names) -> int:
+        return max((self.depths[name][-1] for name in names if self.depths[name]), default=0)
+
     def _end_paragraph(self, open_nodes: list[int]) -> None:
-        for depth in range(len(open_nodes) - 1, 0, -1):
-            name = self.names[open_nodes[depth]]
-            if name == "p":
-                return self._pop_to(open_nodes, depth)
-            if name in BLOCK:
-                return None
-        return None
+        if self.blocks and self.names[open_nodes[self.blocks[-1]]] == "p":
+            self._pop_to(open_nodes, self.blocks[-1])
 
     def _imply_end(self, open_nodes: list[int], names: tuple, around: tuple) -> None:
-        for depth in range(len(open_nodes) - 1, 0, -1):
+        while (depth := self._innermost(names)) > self._innermost(around):
             name = self.names[open_nodes[depth]]
-            if name in around:
+            self._pop_to(open_nodes, depth)
+            if name == names[0] or len(names) < 3:
                 return
-            if name in names:
-                self._pop_to(open_nodes, depth)
-                if name == names[0] or len(names) < 3:
-                    return
 
     def _close(self, open_nodes: list[int], name: str) -> None:
-        for depth in range(len(open_nodes) - 1, 0, -1):
-            here = self.names[open_nodes[depth]]
-            if here == name:
-                return self._pop_to(open_nodes, depth)
-            if here in BLOCK and name not in BLOCK:
-                return None
-        if name == "p":
+        depth = self._innermost((name,))
+        if depth and (name in BLOCK or not self.blocks or self.blocks[-1] < depth):
+            self._pop_to(open_nodes, depth)
+        elif not depth and name == "p":
             self.events.append((open_nodes[-1], None))
-        return None
 
     def _counts(self) -> tuple[list[int], list[int], list[int], list[int]]:
         """Characters, tags, link characters and link tags of every node's subtree."""

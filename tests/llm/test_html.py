@@ -1,3 +1,8 @@
+import math
+import random
+import re
+import time
+
 import pytest
 
 from fieldloom.llm.html_density import Page, extract_pages, main_text
@@ -59,6 +64,116 @@ def test_only_link_text_gives_way_to_an_article():
     assert beside.text(beside.article()) == ("plain words " * 5).strip()
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<p title="the hidden valley">P</p>',
+        '<p data-note="class=ad style=display:none">P</p>',
+        '<section id="related-work"><p>P</p></section>',
+        '<div id="search-algorithms"><p>P</p></div>',
+        '<div class="alert-levels">P</div>',
+        '<p><span class="comment">P</span> and more of it</p>',
+        '<p>See <a id="social" href="#x">P</a> and more</p>',
+        "<p>So <math><mi>P</mi></math> holds</p>",
+        '<div class="advertising-history"><p>P</p></div>',
+    ],
+)
+def test_an_article_keeps_its_text(inside):
+    for wrap in ("<article>{}</article>", "<div class=post>{}</div>"):
+        got = main_text(f"<body><nav>{LINKS}</nav>{wrap.format(ARTICLE + inside + ARTICLE)}</body>")
+        plain = "\n\n".join(" ".join(re.sub(r"<[^>]*>", "", b).split()) for b in re.findall(r"<(?:p|div)[^>]*>((?:(?!<p>).)*?)</(?:p|div)>", inside))
+        assert got == f"{TEXT}\n\n{plain}\n\n{TEXT}" and "P" in plain
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<div class='related-stories-2'><p>Read on</p></div>",
+        "<div class='more-related'><a href=/1>One</a><a href=/2>Two</a></div>",
+        "<ul id=share-buttons><li>Mail</li></ul>",
+        "<div class=comment-list><p>A reader says much about it.</p></div>",
+        "<div role=complementary>Beside</div>",
+        "<div class='x newsletter-signup'>Mail us</div>",
+        '<div style="color: red; display:none">no</div>',
+    ],
+)
+def test_parts_inside_an_article_go(inside):
+    assert main_text(f"<body><article>{ARTICLE}{inside}</article></body>") == TEXT
+
+
+N = 30_000
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * N + "deep",
+        "<article>" * N + "deep",
+        '<a "' * N,
+        '<a "' * (N + 1) + ">",
+        ' <a ">"' * N,
+        "<i>" * N + "</b>" * N,
+        "<b><div>" + "<i>" * N + "</b>" * N,
+        "<i>" * N + "<hr>" * N,
+        "<div>" * N + "<tr></tr>" * N,
+        "<aside>" * N + "x",
+        "<div class=ad>t " * N,
+        "<!x" * N + "<" * N,
+        "<li><i>" * N,
+    ],
+)
+def test_time_grows_with_the_page(source):
+    started = time.process_time()
+    main_text(source[: len(source) // 8])
+    small = time.process_time() - started
+    main_text(source)
+    assert time.process_time() - started < 24 * small + 1.5
+
+
+def test_density_and_choice_against_plain_sums():
+    """Every node's counts, density and sum of child densities, worked out on nested tuples."""
+    rng = random.Random(6)
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "t", "word " * rng.randint(1, 30)
+        return rng.choice(["div", "div", "section", "a", "b"]), [make(depth - 1) for _ in range(rng.randint(1, 4))]
+
+    def source(node):
+        return node[1] if node[0] == "t" else f"<{node[0]}>{''.join(map(source, node[1]))}</{node[0]}>"
+
+    def nodes(node, link=False):
+        """(name, chars, tags, link chars, link tags, parts below) in document order, this node first."""
+        if node[0] == "t":
+            size = len("".join(node[1].split()))
+            return None, size, size * link
+        below = [nodes(child, link or node[0] == "a") for child in node[1]]
+        elements = [b for b in below if b[0] is not None]
+        chars = sum(b[1] for b in below)
+        links = sum(b[2] for b in below)
+        return node[0], chars, links, sum(b[3] + 1 for b in elements), sum(b[4] + (b[0] == "a") for b in elements), elements
+
+    def density(n, whole):
+        _, c, lc, t, lt, _ = n
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + whole[2] * c / max(1, whole[1]) + math.e)
+        return c / max(1, t) * math.log(max(c / max(1, lc) * max(1, t) / max(1, lt), 1 + 1e-9)) / base
+
+    def listed(n):
+        return [n, *(m for child in n[5] for m in listed(child))]
+
+    for _ in range(60):
+        tree = ("body", [make(4) for _ in range(rng.randint(1, 4))])
+        page = Page(source(tree))
+        whole = nodes(tree)
+        expected = listed(whole)
+        got, sums = page.densities()
+        assert page.names[1:] == [n[0] for n in expected]
+        assert got[1:] == pytest.approx([density(n, whole) for n in expected])
+        assert sums[1:] == pytest.approx([sum(density(m, whole) for m in n[5]) for n in expected])
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<") .replace("<", "") == ""
     assert main_text("just &amp; text") == "just & text"
