@@ -107,3 +107,10 @@ def op13(spark, sf_dir):
     from fieldloom.llm.spelling import spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_four_russians_repair")
+def op11(spark, sf_dir):
+    from fieldloom.llm.turn_repair import damaged, repair_report
+
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
