@@ -16,7 +16,7 @@ from fieldloom.plans.registry import query
 from fieldloom.schema import ALL, KNOWN
 from fieldloom.session import new_folder
 from fieldloom.sources import tables
-from fieldloom.sources.snapshot import snapshot_corpus
+from fieldloom.sources.snapshot import FILE, listed_files, snapshot_files
 
 
 @query(
@@ -142,17 +142,24 @@ def count_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(f"select e.* from ({ENCODED_SQL}) e join recs using (rec_id) where duration > {MIN_DURATION}", "nz", "truth", "filled"),
 )
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "corpus")
-
-    def build():
-        return rec.encode_records(rec.drop_short(records(spark, sf_dir), "duration", MIN_DURATION), DICTIONARY)
-
-    snapshot_corpus(spark, path, build, sf_dir)
-
-    def not_again():
-        raise RuntimeError("a valid corpus must be reused")
-
-    return _encoded_checksums(snapshot_corpus(spark, path, not_again, sf_dir))
+    """The encoded corpus of the record files: every other file first, then the rest, then none again."""
+    path, schema = new_folder(spark, "corpus"), records(spark, sf_dir).schema
+    stored_files = sorted(records(spark, sf_dir).inputFiles())
+    files = listed_files(spark, stored_files[0].rsplit("/", 1)[0], "*.parquet")
+    every_other = [file.rsplit("/", 1)[1] for file in stored_files[::2]]
+    encoded_files = []
+
+    def build(paths):
+        encoded_files.extend(paths)
+        raw = spark.read.schema(schema).parquet(*paths).withColumn(FILE, F.col("_metadata.file_path"))
+        return rec.encode_records(rec.drop_short(raw, "duration", MIN_DURATION), DICTIONARY, keep=["rec_id", FILE]), None
+
+    some = files.where(F.substring_index("file", "/", -1).isin(every_other))
+    for listing in (some, files, files):
+        rows, _ = snapshot_files(spark, path, listing, build, sf_dir)
+    if len(encoded_files) != len(set(encoded_files)):
+        raise RuntimeError("a file of the corpus was encoded twice")
+    return _encoded_checksums(rows.drop("source"))
 
 
 def _z_round_trip(value: str, mean: float, sd: float) -> str:

@@ -104,6 +104,23 @@ def clean(spark: SparkSession) -> None:
     _MADE.clear()
 
 
+#: Files that a task writes side by side before Spark sorts the rest of its rows by folder.
+OPEN_FILES = 32
+
+
+@contextmanager
+def side_by_side(spark: SparkSession):
+    """Inside the block, a task's files of several folders are open together, so that rows that come
+    folder by folder are not sorted."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, OPEN_FILES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -64,17 +64,20 @@ def read_dictionary(spark: SparkSession, path: str, wanted: DataFrame | None = N
 
 
 def read_records(
-    spark: SparkSession, path, dictionary: Dictionary, id_field: str | None = None, number_as: str | None = None
+    spark: SparkSession, path, dictionary: Dictionary, id_field: str | None = None, number_as: str | None = None, file_as: str | None = None
 ) -> DataFrame:
     """Typed CSV with a header of dotted paths; only the empty string is null.
 
     ``id_field`` names an id column of the file; ``number_as`` adds one instead, the row's
-    place in the order of files and lines, written out once so that it stays.
+    place in the order of files and lines, written out once so that it stays. ``file_as`` adds the
+    file's name.
     """
     schema = dictionary.schema(dotted=True)
     if id_field:
         schema = T.StructType([T.StructField(id_field, T.LongType()), *schema.fields])
     df = spark.read.schema(schema).csv(path, header=True, enforceSchema=False, **_CSV)
+    if file_as:
+        df = df.withColumn(file_as, F.col("_metadata.file_path"))
     if not number_as:
         return df.toDF(*[c.replace(".", "_") for c in df.columns])
     order = {

@@ -1,13 +1,16 @@
 from dataclasses import replace
 
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.functions.network import initial_network
 from fieldloom.operators.dictionary import parse_fields
 from fieldloom.schema import KNOWN, OUTCOME, Dictionary, Field
 from fieldloom.sources import models, tables
-from fieldloom.sources.snapshot import fingerprint, input_files, snapshot_corpus
+from fieldloom.sources.snapshot import FILE, file_offsets, fingerprint, input_files, listed_files, snapshot_corpus, snapshot_files
 
 EDGE = Dictionary(
     [
@@ -142,3 +145,68 @@ def test_fingerprint_sees_every_change(spark, tmp_path):
     file.write_text("a.t,a.n\nx,12\n")
     others.append(fingerprint(Dictionary(fields), listed(), shortest=9))
     assert len({base, *others}) == 6
+
+
+class Corpus:
+    """Text files in a folder whose name needs escaping, and a snapshot that upper-cases lines with an a."""
+
+    def __init__(self, spark, tmp_path):
+        self.spark, self.folder, self.path, self.read = spark, tmp_path / "in put", str(tmp_path / "snap"), []
+        self.folder.mkdir()
+
+    def write(self, name, text, age=0):
+        (self.folder / name).write_text(text)
+        os.utime(self.folder / name, (1_700_000_000 + age, 1_700_000_000 + age))
+
+    def build(self, paths):
+        self.read.append(sorted(p.rsplit("/", 1)[1] for p in paths))
+        lines = self.spark.read.text(paths).withColumn(FILE, F.col("_metadata.file_path"))
+        counts = lines.groupBy(FILE).agg(F.count("*").alias("records"))
+        return lines.where("value like '%a%'").select(FILE, F.upper("value").alias("line")), counts
+
+    def snapshot(self, settings="s"):
+        return snapshot_files(self.spark, self.path, listed_files(self.spark, str(self.folder)), self.build, settings)
+
+    def lines(self, settings="s"):
+        return sorted(r.line for r in self.snapshot(settings)[0].collect())
+
+
+def test_only_new_and_changed_files_are_encoded(spark, tmp_path):
+    corpus = Corpus(spark, tmp_path)
+    corpus.write("1.txt", "a1\na2\nb")
+    corpus.write("2.txt", "b\n")
+    corpus.write("3.txt", "a3")
+    assert corpus.lines() == ["A1", "A2", "A3"] == corpus.lines()
+    corpus.write("3.txt", "a4", age=1)
+    corpus.write("4.txt", "a5\nb\nb")
+    assert corpus.lines() == ["A1", "A2", "A4", "A5"] == corpus.lines()
+    (corpus.folder / "1.txt").unlink()
+    assert corpus.lines() == ["A4", "A5"]
+    assert corpus.read == [["1.txt", "2.txt", "3.txt"], ["3.txt", "4.txt"]]
+    assert corpus.lines("other") == ["A4", "A5"] and corpus.read[-1] == ["2.txt", "3.txt", "4.txt"]
+    corpus.write("3.txt", "a3", age=0)
+    assert corpus.lines() == ["A3", "A5"] and len(corpus.read) == 3
+    entries = corpus.snapshot()[1]
+    assert [(r.file[-5:], r.records, r.kept) for r in entries.orderBy("file").collect()] == [("2.txt", 1, 0), ("3.txt", 1, 1), ("4.txt", 3, 1)]
+    assert [r.offset for r in file_offsets(entries).orderBy("offset").collect()] == [0, 1, 2]
+
+
+def test_a_build_that_breaks_leaves_the_ledger(spark, tmp_path):
+    corpus = Corpus(spark, tmp_path)
+    corpus.write("1.txt", "a1")
+    assert corpus.lines() == ["A1"]
+    corpus.write("2.txt", "a2")
+    build = corpus.build
+
+    def breaks(paths):
+        rows, counts = build(paths)
+        return rows.withColumn("line", F.raise_error(F.lit("broken"))), counts
+
+    corpus.build = breaks
+    with pytest.raises(Exception, match="broken"):
+        corpus.lines()
+    corpus.build = build
+    assert corpus.lines() == ["A1", "A2"] and corpus.read[-1] == ["2.txt"]
+    for name in ("1.txt", "2.txt"):
+        corpus.write(name, "b", age=9)
+    assert corpus.lines() == []
