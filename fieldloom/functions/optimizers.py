@@ -27,6 +27,8 @@ class Optimizer:
         if name not in rules:
             raise ValueError(f"unknown optimizer {name!r}")
         self.rule, self.rate, self.steps, self.state = rules[name], learning_rate, 0, {}
+        #: Names of the vectors that the state holds after a step.
+        self.slots = {"adam": ("m", "v"), "adagrad": ("a",), "adadelta": ("a", "u"), "momentum": ("a",)}.get(name, ())
 
     def update(self, parameters, gradient):
         """New flat parameters."""

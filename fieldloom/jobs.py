@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.network import initial_network
 from fieldloom.operators import corpus, dictionary, fitting, metrics
 from fieldloom.operators.records import decode_records, drop_short, encode_records, mask_ignored
 from fieldloom.operators.sampling import split_positional
@@ -19,7 +20,7 @@ from fieldloom.operators.scoring import head_kinds, score_dense
 from fieldloom.schema import ALL, KNOWN, OUTCOME, WIN, Dictionary
 from fieldloom.session import drop_folders, materialize, scratch, tune
 from fieldloom.sources import tables
-from fieldloom.sources.snapshot import fingerprint, input_files, snapshot_corpus
+from fieldloom.sources.snapshot import FILE, file_offsets, fingerprint, listed_files, snapshot_files
 from fieldloom.streaming.scoring import predict_known
 
 # Fields a user may leave open, the win fields, the short-game rule.
@@ -30,6 +31,8 @@ OPTIONAL = (
 )
 WIN_PATHS = ("teams.0.win", "teams.1.win")
 DURATION = "gameDuration"
+#: Columns of laid out training rows that augmented rows keep.
+CHUNK = ("chunk",)
 SHORTEST = 15 * 60
 
 
@@ -57,20 +60,27 @@ def load_corpus(
     shortest: float = SHORTEST,
     id_field: str | None = None,
 ) -> DataFrame:
-    """Encoded records without abandoned games; encoded once, then reused.
+    """Encoded records without abandoned games; each input file is encoded once, then reused.
 
-    It is built anew when a field, an argument or an input file has changed.
+    A file that is new or has changed is encoded, and all of them if a field or an argument has;
+    a file that is gone drops out. ``rec_id``, where the files have no id, is as ``load_records`` gives it.
     """
     tune(spark)
-    source = f"{folder}/Matches.csv"
+    source, key = f"{folder}/Matches.csv", id_field or "rec_id"
 
-    def build():
-        records = load_records(spark, folder, fields, id_field)
-        records = drop_short(records, fields[duration].column, shortest)
-        return encode_records(records, fields, keep=[id_field or "rec_id"])
+    def build(paths):
+        records = tables.read_records(spark, paths, fields, id_field, None if id_field else key, FILE)
+        counts = None
+        if not id_field:
+            counts = records.groupBy(FILE).agg(F.count("*").alias("records"), F.min(key).alias("first"))
+            records = records.join(counts.select(FILE, "first"), FILE).withColumn(key, F.col(key) - F.col("first"))
+        return encode_records(drop_short(records, fields[duration].column, shortest), fields, keep=[key, FILE]), counts
 
-    mark = fingerprint(fields, input_files(spark, source), source=source, duration=duration, shortest=shortest, id_field=id_field)
-    return snapshot_corpus(spark, snapshot, build, mark)
+    settings = fingerprint(fields, (), source=source, duration=duration, shortest=shortest, id_field=id_field)
+    rows, entries = snapshot_files(spark, snapshot, listed_files(spark, source), build, settings)
+    if not id_field:
+        rows = rows.join(file_offsets(entries), "source").withColumn(key, F.col(key) + F.col("offset")).drop("offset")
+    return rows.drop("source")
 
 
 def load_records(spark: SparkSession, folder: str, fields: Dictionary, id_field: str | None = None) -> DataFrame:
@@ -136,8 +146,9 @@ def train_generator(
     held = corpus.evaluation_rows(split, fields, seed, column, shortest, key)
 
     def prepare(rows, epoch):
-        return corpus.augmented(rows, fields, seed, epoch, key)
+        return corpus.augmented(rows, fields, seed, epoch, key, keep=CHUNK)
 
+    options = {"local_batch": batch_size} | options
     return fitting.fit_network(train, held, fields, prepare=prepare, seed=seed, key=key, **options)
 
 
@@ -161,8 +172,9 @@ def train_win(
     held = with_generated(corpus.evaluation_rows(split, fields, seed, duration=None, key=key), fields, generator, ignored)
 
     def prepare(rows, epoch):
-        return with_generated(corpus.augmented(rows, fields, seed, epoch, key), fields, generator, ignored)
+        return with_generated(corpus.augmented(rows, fields, seed, epoch, key, keep=CHUNK), fields, generator, ignored)
 
+    options = {"local_batch": batch_size} | options
     width = fields.width(KNOWN) + fields.width(OUTCOME)
     return fitting.fit_binary(
         train, held, ["known", "unknown"], width, "target", keep_remainder=True, batch_size=batch_size, prepare=prepare, seed=seed, key=key, **options
@@ -174,12 +186,13 @@ def real_and_generated(rows: DataFrame, fields: Dictionary, generator) -> DataFr
 
     Every row is read, drawn and encoded once and then given twice.
     """
-    both = score_dense(rows.select("known", "unknown"), generator, out="generated", kinds=head_kinds(fields, ()))
+    keep = [c for c in CHUNK if c in rows.columns]
+    both = score_dense(rows.select("known", "unknown", *keep), generator, out="generated", kinds=head_kinds(fields, ()))
     pair = F.array(
         F.struct(F.col("unknown").cast("array<double>").alias("unknown"), F.lit(1.0).alias("target")),
         F.struct(F.col("generated").alias("unknown"), F.lit(0.0).alias("target")),
     )
-    return both.select("known", F.inline(pair))
+    return both.select("known", F.inline(pair), *keep)
 
 
 @without_leftovers
@@ -196,8 +209,9 @@ def train_two_sample(
     held = corpus.evaluation_rows(split, fields, seed, column, shortest, key)
 
     def prepare(rows, epoch):
-        return real_and_generated(corpus.augmented(rows, fields, seed, epoch, key), fields, generator)
+        return real_and_generated(corpus.augmented(rows, fields, seed, epoch, key, keep=CHUNK), fields, generator)
 
+    options = {"local_batch": batch_size} | options
     width = fields.width(KNOWN) + fields.width(OUTCOME)
     return fitting.fit_binary(
         train, real_and_generated(held, fields, generator), ["known", "unknown"], width, "target", batch_size=batch_size,
@@ -209,22 +223,33 @@ def train_two_sample(
 def search_generator(
     spark: SparkSession, records: DataFrame, order, fields: Dictionary, path: str, trials: int, held_out: int = 1 << 14,
     evaluation: int = 1 << 14, duration: str = DURATION, shortest: float = SHORTEST, seed=0,
-    key: str = "rec_id", **options,
+    key: str = "rec_id", batch_size: int = 2048, passes: int = 1, keep: float = 0.5, penalty: float = 0.0, ignored=(),
 ) -> DataFrame:
-    """Fit drawn settings one after the other and append each to the table at
-    ``path``; a rerun goes on after the last finished trial."""
+    """Fit drawn settings side by side and append each to the table at ``path`` when it ends.
+
+    A pass is one scan of the training rows, which are augmented and encoded once for all trials; each
+    trial takes small steps of its drawn batch size on them. Rows of one batch of
+    ``batch_size`` share a slot permutation. A rerun goes on with the pass that was cut.
+    """
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
-    held = materialize(corpus.evaluation_rows(split, fields, seed, column, shortest, key), "evaluation")
-
-    def run_trial(draw):
-        fitted = fitting.fit_network(
-            corpus.train_rows(split, draw["batch_size"], column, shortest), held, fields, hidden=draw["hidden"],
-            key=key, prepare=lambda rows, epoch: corpus.augmented(rows, fields, seed, epoch, key),
-            rows_per_step=draw["batch_size"], activation=draw["activation"], optimizer=draw["optimizer"], learning_rate=draw["learning_rate"],
-            run=f"trial-{draw['trial']}", **options,
-        )
-        return fitted.best_accuracy
-
-    return fitting.search_trials(spark, path, trials, run_trial, seed)
+    held = materialize(corpus.evaluation_rows(split, fields, seed, column, shortest, key).select("known", "unknown"), "evaluation")
+    data = fitting.local_groups(corpus.train_rows(split, batch_size, column, shortest), 1, seed, key)
+    objective = fitting.mixed_objective(fields, ignored, extra_losses=1 if penalty else 0)
+
+    def start(draw):
+        return initial_network([fields.width(KNOWN), *draw["hidden"], fields.width(OUTCOME)], seed)
+
+    def train(draws, networks, epoch):
+        rows = corpus.augmented(data, fields, seed, epoch, key, keep=("chunk",))
+        trainees = [
+            fitting.Trainee(n, objective, d["batch_size"], d["optimizer"], d["learning_rate"], d["activation"], penalty / objective.parts)
+            for d, n in zip(draws, networks)
+        ]
+        return [(loss, moved.network) for _, loss, moved in fitting.local_round(rows, trainees, ["known"], "unknown")]
+
+    def evaluate(draw, network):
+        return fitting.evaluated(held, network, fields, draw["activation"], penalty, ignored)[1]
+
+    return fitting.search_trials(spark, path, trials, start, train, evaluate, passes, keep, seed)

@@ -25,12 +25,12 @@ def train_rows(
     return drop_short(rows, duration, above) if duration else rows
 
 
-def augmented(rows: DataFrame, dictionary: Dictionary, seed=0, epoch: int = 0, key: str = "rec_id") -> DataFrame:
-    """Training rows permuted, blanked and encoded, other in every epoch."""
+def augmented(rows: DataFrame, dictionary: Dictionary, seed=0, epoch: int = 0, key: str = "rec_id", keep=()) -> DataFrame:
+    """Training rows permuted, blanked and encoded, other in every epoch; of ``keep`` the columns they have."""
     drawn = f"{seed}/{epoch}"
     rows = permute_slots(rows, dictionary, drawn)
     rows = blank_optional(rows, dictionary, TRAIN_BLANK, TRAIN_KEEP, drawn, key)
-    return encode_records(rows, dictionary, keep=(key,))
+    return encode_records(rows, dictionary, keep=(key, *[c for c in keep if c in rows.columns]))
 
 
 def evaluation_rows(

@@ -12,7 +12,7 @@ import hashlib
 import itertools
 import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +47,14 @@ from fieldloom.operators.runs import CriteriaSpec
 from fieldloom.operators.scoring import score_dense
 from fieldloom.schema import KNOWN, OUTCOME, Dictionary
 from fieldloom.session import drop_folders, materialize, new_folder, scratch, ship_package
-from fieldloom.sources.models import check_network, network_frame, save_network
+from fieldloom.sources.models import check_network, load_network, network_frame, save_network
 
 BLOCK = 1 << 16
 FAN_IN = 128
+#: Rows that a task of a local round trains on before networks are averaged.
+CHUNK_ROWS = 1 << 14
+#: Bytes of networks that one scan of a search trains at a time.
+SCAN_BYTES = 1 << 28
 LOG_SCHEMA = "run string, step bigint, samples bigint, split string, metric string, value double"
 
 
@@ -97,30 +101,145 @@ def gradient_sum(
             flat = flatten(grad).astype("float64") * n
             rows, loss_sum = rows + n, loss_sum + loss * n
             grad_sum = flat if grad_sum is None else grad_sum + flat
-        if grad_sum is None:
-            return
-        for i in range(0, len(grad_sum), BLOCK):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([i // BLOCK], pa.int32()),
-                    "n": pa.array([rows], pa.int64()),
-                    "loss": pa.array([loss_sum], pa.float64()),
-                    "g": pa.array([grad_sum[i : i + BLOCK]], pa.list_(pa.float64())),
-                }
-            )
-
-    parts = df.select(*inputs, target).mapInArrow(partial, "block int, n bigint, loss double, g array<double>")
+        if grad_sum is not None:
+            yield from _blocks(0, rows, loss_sum, grad_sum)
+
+    sums = _added(df.select(*inputs, target).mapInArrow(partial, SUMS))
+    shared.destroy()
+    if not sums:
+        raise ValueError("no rows to fit on")
+    n, loss, grad = sums[0]
+    return n, loss / n, grad / n
+
+
+SUMS = "trainee int, block int, n bigint, loss double, g array<double>"
+
+
+def _blocks(trainee: int, rows: int, loss: float, flat: np.ndarray):
+    """A task's sums as rows of ``SUMS``, the vector in blocks."""
+    for i in range(0, len(flat), BLOCK):
+        values = [[trainee], [i // BLOCK], [rows], [loss], [flat[i : i + BLOCK]]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], [c.split()[0] for c in SUMS.split(", ")])
+
+
+def _added(parts: DataFrame) -> dict[int, tuple[int, float, np.ndarray]]:
+    """(rows, loss, vector) per trainee, added up on the executors."""
     sums = [F.sum("n").alias("n"), F.sum("loss").alias("loss"), Summarizer.sum(F.col("v")).alias("v")]
     # Two levels, so that no reducer adds up more than FAN_IN tasks' vectors.
     branch = F.floor(F.spark_partition_id() / FAN_IN).alias("branch")
-    vectors = parts.select("block", branch, "n", "loss", array_to_vector("g").alias("v"))
-    blocks = vectors.groupBy("block", "branch").agg(*sums).groupBy("block").agg(*sums).collect()
+    vectors = parts.select("trainee", "block", branch, "n", "loss", array_to_vector("g").alias("v"))
+    found: dict[int, list] = {}
+    for row in vectors.groupBy("trainee", "block", "branch").agg(*sums).groupBy("trainee", "block").agg(*sums).collect():
+        found.setdefault(row["trainee"], []).append(row)
+    out = {}
+    for trainee, blocks in found.items():
+        blocks.sort(key=lambda r: r["block"])
+        out[trainee] = blocks[0]["n"], blocks[0]["loss"], np.concatenate([r["v"].toArray() for r in blocks])
+    return out
+
+
+@dataclass(frozen=True)
+class Trainee:
+    """A network and how tasks train it, each on rows of its own.
+
+    ``penalty`` is per loss part; ``summed`` steps by the sum of a batch's losses.
+    """
+
+    network: list
+    objective: object
+    batch_size: int = 2048
+    optimizer: str = "adam"
+    learning_rate: float = 0.001
+    activation: str = "leaky-relu"
+    penalty: float = 0.0
+    summed: bool = False
+    #: What the optimizer remembers of earlier rounds: its number of steps and its vectors.
+    steps: int = 0
+    memory: dict = field(default_factory=dict)
+
+    def train(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """(sum of row losses, flat network with the optimizer's memory) after one small step per
+        batch, from the first row to the last."""
+        rule, flat, total = Optimizer(self.optimizer, self.learning_rate), flatten(self.network), 0.0
+        rule.steps, rule.state = self.steps, dict(self.memory)
+        weights = flatten([(np.ones_like(w), np.zeros_like(b)) for w, b in self.network]) if self.penalty else None
+        for start in range(0, len(x), self.batch_size):
+            xs, ys = x[start : start + self.batch_size], y[start : start + self.batch_size]
+            net = unflatten(flat.astype(x.dtype), self.network)
+            loss, grad = gradients(xs, net, lambda z: self.objective(z, ys), self.activation)  # noqa: B023
+            # A short last batch of a summed loss weighs by its rows.
+            scale = len(xs) if self.summed else 1
+            loss, grad = loss * scale, flatten(grad).astype("float64") * scale
+            if self.penalty:
+                grad = grad + self.penalty * flat * weights
+                loss += self.penalty * float((flat * weights) @ flat) / 2
+            total += loss * len(xs)
+            flat = rule.update(flat, grad)
+        return total, np.concatenate([flat, [rule.steps], *(rule.state[k] for k in sorted(rule.state))])
+
+    def moved(self, mean: np.ndarray) -> Trainee:
+        """The trainee with the mean of what ``train`` gave."""
+        names = sorted(Optimizer(self.optimizer, self.learning_rate).slots)
+        size = sum(w.size + b.size for w, b in self.network)
+        parts = np.split(mean[size + 1 :], len(names)) if names else []
+        return replace(self, network=unflatten(mean[:size], self.network), steps=max(1, round(mean[size])), memory=dict(zip(names, parts)))
+
+
+def local_round(df: DataFrame, trainees: list[Trainee], inputs, target: str, chunk: str = "chunk", dtype="float32") -> list[tuple]:
+    """(rows, mean loss, trainee) of each trainee after a round of small steps.
+
+    One scan serves all trainees. Every run of rows of one ``chunk`` (of ``CHUNK_ROWS``, if it is
+    longer) starts from the trainee's network, takes its steps in row order and counts by its rows
+    in the mean of the networks and of what their optimizers remember, which is added up on the executors.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    for trainee in trainees:
+        check_network(trainee.network)
+    inputs, most = list(inputs), CHUNK_ROWS
+    shared = spark.sparkContext.broadcast(trainees)
+
+    def partial(batches):
+        sums = [[0, 0.0, None] for _ in shared.value]
+
+        def settle(held):
+            xs, ys = (np.concatenate(part) for part in zip(*held))
+            for own, trainee in zip(sums, shared.value):
+                loss, flat = trainee.train(xs, ys)
+                own[0] += len(xs)
+                own[1] += loss
+                own[2] = flat * len(xs) if own[2] is None else own[2] + flat * len(xs)
+
+        held, rows, now = [], 0, None
+        for batch in batches:
+            numbers = batch.column(chunk).to_numpy(zero_copy_only=False)
+            mats = [to_matrix(batch.column(c), dtype, c) for c in inputs]
+            x = mats[0] if len(mats) == 1 else np.hstack(mats)
+            y = to_matrix(batch.column(target), dtype, target)
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:]):
+                while a < b:
+                    if held and (rows == most or numbers[a] != now):
+                        settle(held)
+                        held, rows = [], 0
+                    end = min(b, a + most - rows)
+                    held.append((x[a:end], y[a:end]))
+                    rows, now, a = rows + end - a, numbers[a], end
+        if held:
+            settle(held)
+            for trainee, (n, loss, flat) in enumerate(sums):
+                yield from _blocks(trainee, n, loss, flat)
+
+    found = _added(df.select(*inputs, target, chunk).mapInArrow(partial, SUMS))
     shared.destroy()
-    if not blocks:
+    if not found:
         raise ValueError("no rows to fit on")
-    blocks.sort(key=lambda r: r["block"])
-    n = blocks[0]["n"]
-    return n, blocks[0]["loss"] / n, np.concatenate([r["v"].toArray() for r in blocks]) / n
+    out = []
+    for i, trainee in enumerate(trainees):
+        n, loss, flat = found[i]
+        out.append((n, loss / n, trainee.moved(flat / n)))
+    return out
 
 
 def _spread_sums(df: DataFrame, network, objective, inputs, target, activation, dtype, means=None) -> np.ndarray:
@@ -173,13 +292,33 @@ def step_groups(df: DataFrame, groups: int, seed=0, key: str = "rec_id") -> Data
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def local_groups(df: DataFrame, groups: int = 1, seed=0, key: str = "rec_id", rows: int = CHUNK_ROWS * 3 // 4) -> DataFrame:
+    """Rows laid out by step group and, within it, by chunk and a drawn order.
+
+    Group, chunk and order follow from the seed and the key, so that a task finds the same
+    rows in the same order on every run. A chunk has about ``rows`` rows; a file holds whole chunks.
+    """
+    spark = df.sparkSession
+    count = df.count()
+    chunks = max(1, -(-count // (groups * rows)))
+    draw = lambda what: draw_text(seed, literal(what), name(key))
+    drawn = {"step_group": f"cast(floor({draw('step')} * {groups}) as int)", "chunk": f"cast(floor({draw('chunk')} * {chunks}) as int)"}
+    path = new_folder(spark, "chunks")
+    table = df.withColumns({c: F.expr(e) for c, e in drawn.items()})
+    files = max(chunk_count(df, count), min(groups * chunks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    order = ["step_group", "chunk", F.expr(draw("order")), F.col(key)]
+    table.repartitionByRange(files, "step_group", "chunk").sortWithinPartitions(*order).write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 @dataclass
 class Fit:
-    """A fitted network, its best seen accuracy and the metric log."""
+    """The network of the best seen accuracy, that accuracy, the metric log and the last network."""
 
     network: list
     best_accuracy: float | None = None
     log: list = field(default_factory=list)
+    last: list | None = None
 
     def log_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.log, LOG_SCHEMA)
@@ -215,9 +354,15 @@ def fit(
     seed=0,
     key: str = "rec_id",
     keep_remainder: bool = False,
+    local_batch: int | None = None,
+    dtype: str = "float32",
 ) -> Fit:
     """Shared loop: gradient, clip, update; evaluate and keep the best state.
 
+    With ``local_batch`` a step is a round: every chunk of the step's rows takes many small steps,
+    of so many rows each, and the networks are averaged (see ``local_round``); the loss logged is the
+    mean over these steps. Without, a step is one gradient over all its rows.
+
     ``evaluate(network) -> (loss, accuracy)`` runs after the first and the last
     step and whenever enough samples have passed; ``keep_remainder`` counts the surplus
     towards the next evaluation.  The state kept, and written to
@@ -237,23 +382,29 @@ def fit(
             groups = max(1, -(-train.count() // rows_per_step))
         if passes is not None:
             steps = passes * groups
-        data = step_groups(train, groups, seed, key)
+        data = local_groups(train, groups, seed, key) if local_batch else step_groups(train, groups, seed, key)
     rule = Optimizer(optimizer, learning_rate)
+    trainee = Trainee(network, objective, local_batch or batch_size, optimizer, learning_rate, activation, penalty / loss_parts, summed)
     result, samples, since, losses, started = Fit(network), 0, 0, [], None
     for step in itertools.count() if steps is None else range(steps):
         rows = prepare(data.where(F.col("step_group") == step % groups), step // groups)
-        n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation, "float32")
-        if summed:
-            loss, grad = loss * batch_size, grad * batch_size
-        flat = flatten(network)
-        if penalty:
-            weight_only = flatten([(w, np.zeros_like(b)) for w, b in network])
-            grad = grad + penalty * weight_only / loss_parts
-            loss += penalty * float(weight_only @ weight_only) / 2 / loss_parts
+        if local_batch:
+            n, loss, trainee = local_round(rows, [trainee], inputs, target, dtype=dtype)[0]
+            moved = trainee.network
+        else:
+            n, loss, grad = gradient_sum(rows, network, objective, inputs, target, activation, dtype)
+            if summed:
+                loss, grad = loss * batch_size, grad * batch_size
+            flat = flatten(network)
+            if penalty:
+                weight_only = flatten([(w, np.zeros_like(b)) for w, b in network])
+                grad = grad + penalty * weight_only / loss_parts
+                loss += penalty * float(weight_only @ weight_only) / 2 / loss_parts
+            moved = unflatten(rule.update(flat, grad), network)
         if not math.isfinite(loss):
             raise FloatingPointError(f"loss of step {step} is {loss}")
         result.log.append((run, step, samples, "train", "loss", float(loss)))
-        network = unflatten(rule.update(flat, grad), network)
+        network = result.last = moved
         samples, since = samples + n, since + n
         if step and since < samples_per_evaluation and step + 1 != steps:
             continue
@@ -273,6 +424,18 @@ def fit(
     return result
 
 
+def evaluated(held: DataFrame, network, dictionary: Dictionary, activation: str, penalty: float = 0.0, ignored=()) -> tuple:
+    """(loss, accuracy) of the generator on encoded rows."""
+    spark = held.sparkSession
+    shared = spark.sparkContext.broadcast(network)
+    parts = eval_parts(held, dictionary, ignored, y="unknown", x="known", network=shared, activation=activation, dtype="float32")
+    if penalty:
+        parts = parts.unionByName(eval_l2(network_frame(spark, network), penalty))
+    row = combine(parts).first()
+    shared.destroy()
+    return row["loss"], row["accuracy"]
+
+
 def fit_network(
     train: DataFrame,
     evaluation: DataFrame,
@@ -292,15 +455,7 @@ def fit_network(
         held = materialize(evaluation.select("known", "unknown"), "evaluation")
 
     def evaluate(network):
-        shared = spark.sparkContext.broadcast(network)
-        parts = eval_parts(
-            held, dictionary, ignored, y="unknown", x="known", network=shared, activation=activation, dtype="float32"
-        )
-        if penalty:
-            parts = parts.unionByName(eval_l2(network_frame(spark, network), penalty))
-        row = combine(parts).first()
-        shared.destroy()
-        return row["loss"], row["accuracy"]
+        return evaluated(held, network, dictionary, activation, penalty, ignored)
 
     try:
         return fit(
@@ -350,7 +505,7 @@ TRIAL_OPTIMIZERS = ("adam", "adagrad", "momentum", "adadelta", "sgd")
 TRIAL_ACTIVATIONS = ("relu", "leaky-relu", "sigmoid", "tanh")
 TRIAL_SCHEMA = (
     "trial int, learning_rate double, hidden array<int>, optimizer string, batch_size int, "
-    "activation string, status string, loss double"
+    "activation string, status string, loss double, passes int"
 )
 
 
@@ -377,24 +532,78 @@ def draw_trial(seed, trial: int) -> dict:
     }
 
 
-def search_trials(spark: SparkSession, path: str, trials: int, run_trial, seed=0) -> DataFrame:
-    """Fit drawn trials one after the other; each result is appended at once.
+def _lots(draws: list[dict], sizes: dict[int, int]) -> list[list[dict]]:
+    """Trials whose networks are trained in one scan, by declared size."""
+    lots, held = [[]], 0
+    for draw in draws:
+        if lots[-1] and held + sizes[draw["trial"]] > SCAN_BYTES:
+            lots.append([])
+            held = 0
+        lots[-1].append(draw)
+        held += sizes[draw["trial"]]
+    return [lot for lot in lots if lot]
+
+
+def search_trials(spark: SparkSession, path: str, trials: int, start, train, evaluate, passes: int = 1, keep: float = 0.5, seed=0) -> DataFrame:
+    """Fit drawn trials side by side, a pass over the rows at a time; after each pass the worse part is dropped.
 
-    ``run_trial(draw) -> best accuracy``.  A rerun skips the trials already in
-    the table at ``path``; a non-finite loss marks the trial as failed.
+    ``start(draw) -> network``; ``train(draws, networks, epoch) -> [(loss, network)]`` is one scan that
+    trains several; ``evaluate(draw, network) -> accuracy``. After a pass the best ``keep`` of the trials go on
+    (one at least), until ``passes`` are made. So the number of jobs follows from trials and
+    passes, not from the rows.
+
+    A trial that ends is appended to the table at ``path``, a non-finite loss or accuracy as failed; the
+    networks that go on are kept beside it, so that a rerun skips what is done and goes on with the pass that was cut.
     """
     try:
-        done = {r["trial"] for r in spark.read.schema(TRIAL_SCHEMA).parquet(path).select("trial").collect()}
+        ended = {r["trial"] for r in spark.read.schema(TRIAL_SCHEMA).parquet(f"{path}/trials").select("trial").collect()}
     except AnalysisException:
-        done = set()
-    for trial in range(trials):
-        if trial in done:
-            continue
-        draw = draw_trial(seed, trial)
-        try:
-            status, loss = "ok", 1.0 - float(run_trial(draw))
-        except FloatingPointError:
-            status, loss = "fail", None
-        row = (*draw.values(), status, loss)
-        spark.createDataFrame([row], TRIAL_SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    return spark.read.schema(TRIAL_SCHEMA).parquet(path)
+        ended = set()
+    alive = [draw_trial(seed, t) for t in range(trials) if t not in ended]
+    done, best = _last_pass(spark, path)
+    networks = {
+        d["trial"]: load_network(spark, f"{path}/networks/pass={done}/trial={d['trial']}") if d["trial"] in best else start(d) for d in alive
+    }
+
+    def end(some, epoch, status="ok"):
+        rows = [(*d.values(), status, 1.0 - best[d["trial"]] if status == "ok" else None, epoch) for d in some]
+        if rows:
+            spark.createDataFrame(rows, TRIAL_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/trials")
+
+    for epoch in range(done, passes):
+        sizes = {d["trial"]: sum(w.nbytes + b.nbytes for w, b in networks[d["trial"]]) for d in alive}
+        failed = []
+        for lot in _lots(alive, sizes):
+            for draw, (loss, network) in zip(lot, train(lot, [networks[d["trial"]] for d in lot], epoch)):
+                accuracy = float(evaluate(draw, network)) if math.isfinite(loss) else math.nan
+                if not math.isfinite(accuracy):
+                    failed.append(draw)
+                    continue
+                networks[draw["trial"]] = network
+                best[draw["trial"]] = max(accuracy, best.get(draw["trial"], -math.inf))
+        end(failed, epoch + 1, "fail")
+        alive = sorted((d for d in alive if d not in failed), key=lambda d: (-best[d["trial"]], d["trial"]))
+        if epoch + 1 < passes and alive:
+            stay = max(1, math.ceil(len(alive) * keep))
+            end(alive[stay:], epoch + 1)
+            alive = alive[:stay]
+            for draw in alive:
+                save_network(spark, networks[draw["trial"]], f"{path}/networks/pass={epoch + 1}/trial={draw['trial']}")
+            marks = [(epoch + 1, d["trial"], best[d["trial"]]) for d in alive]
+            spark.createDataFrame(marks, PASS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/passes")
+    end([d for d in alive if d["trial"] in best], passes)
+    return spark.read.schema(TRIAL_SCHEMA).parquet(f"{path}/trials")
+
+
+#: A row per trial that goes on after a pass, written once its network is.
+PASS_SCHEMA = "pass int, trial int, best double"
+
+
+def _last_pass(spark: SparkSession, path: str) -> tuple[int, dict[int, float]]:
+    """The last pass that was finished, and the best accuracy of each trial that goes on."""
+    try:
+        rows = spark.read.schema(PASS_SCHEMA).parquet(f"{path}/passes").collect()
+    except AnalysisException:
+        return 0, {}
+    done = max((r["pass"] for r in rows), default=0)
+    return done, {r["trial"]: r["best"] for r in rows if r["pass"] == done}

@@ -81,6 +81,12 @@ _MIXED = {
 }
 
 
+def uneven_generator():
+    """The formula repeats from slot to slot; uneven biases keep team gaps off exact zeros."""
+    *inner, (w, b) = GENERATOR
+    return [*inner, (w, b + np.arange(N_UNKNOWN) ** 2 % 101 * 0.0001)]
+
+
 @query(
     "mixed_gradient",
     sql(
@@ -91,10 +97,7 @@ _MIXED = {
 def mixed_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of the generator's whole loss by its last biases, over all records."""
     objective = fitting.mixed_objective(DICTIONARY)
-    # The formula repeats from slot to slot; uneven biases keep team gaps off exact zeros.
-    *inner, (w, b) = GENERATOR
-    network = [*inner, (w, b + np.arange(N_UNKNOWN) ** 2 % 101 * 0.0001)]
-    _, _, grad = fitting.gradient_sum(encoded(spark, sf_dir, ("known", "unknown")), network, objective, ["known"], "unknown")
+    _, _, grad = fitting.gradient_sum(encoded(spark, sf_dir, ("known", "unknown")), uneven_generator(), objective, ["known"], "unknown")
     rows = [(i, round(float(g), 7)) for i, g in enumerate(grad[-N_UNKNOWN:])]
     return spark.createDataFrame(rows, "pos bigint, gradient double")
 
@@ -229,6 +232,80 @@ def fit_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_rows(spark, result)
 
 
+def _rounds(n: str) -> dict[str, str]:
+    """Two steps of a one-layer net by the whole gradient, from ``inputs`` (row, pos, x) and ``targets`` (row, y)."""
+    out = {"w0": f"select pos, case when pos < 953 then {weight('pos', '0', 100.0)} else {last_bias('0', 100.0)} end as w from range(954) p(pos)"}
+    for t in (0, 1):
+        out |= {
+            f"z{t}": f"""select t.row, y, (select w from w{t} where pos = 953) + coalesce(s, 0) as z from targets t left join
+                (select row, sum(x * w) as s from inputs join w{t} using (pos) group by row) q on q.row = t.row""",
+            f"g{t}": f"""select pos, sum((1 / (1 + exp(-z)) - y) * x) / ({n}) as g from inputs join z{t} using (row) group by pos
+                union all select 953, sum(1 / (1 + exp(-z)) - y) / ({n}) from z{t}""",
+            f"w{t + 1}": f"select w.pos, w - {RATE} * coalesce(g, 0) as w from w{t} w left join g{t} g on g.pos = w.pos",
+        }
+    return out
+
+
+_ROUND_ROWS = """select 'weight' as part, pos::bigint as pos, round(w, 7) as value from w2
+    union all select 'loss', 0, round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 7) from z0
+    union all select 'loss', 1, round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 7) from z1"""
+_WIN_ROWS = {
+    "inputs": "select rec_id as row, pos, 1.0::double as x from nz union all select rec_id, 390 + j, y from truth",
+    "targets": "select rec_id as row, t0_win::int::double as y from filled",
+}
+_PAIR_ROWS = {
+    "inputs": """select (rec_id, s) as row, pos, 1.0::double as x from nz cross join range(2) r(s)
+        union all select (rec_id, 1), 390 + j, y from truth union all select (rec_id, 0), 390 + j, p from probs""",
+    "targets": "select (rec_id, s) as row, s::double as y from filled cross join range(2) r(s)",
+}
+
+
+def two_rounds(train: DataFrame, prepare) -> DataFrame:
+    """Weights and losses of two rounds of a one-layer net.
+
+    A chunk is one step, whose gradients add up to that of all rows: so the mean of the chunks'
+    networks is the network after one whole step.
+    """
+    result = fitting.fit(
+        train, LINEAR, LogisticObjective(), ["known", "unknown"], "target", lambda network: (0.0, 0.0), steps=2, prepare=prepare,
+        optimizer="sgd", learning_rate=RATE, stop="never", local_batch=2 * fitting.CHUNK_ROWS, samples_per_evaluation=1, dtype="float64",
+    )
+    rows = [("weight", i, float(v)) for i, v in enumerate(fitting.flatten(result.last))]
+    rows += [("loss", step, value) for _, step, _, split, _, value in result.log if split == "train"]
+    return train.sparkSession.createDataFrame(rows, "part string, pos bigint, value double").withColumn("value", F.round("value", 7))
+
+
+@query("fit_win_rounds", sql(_ROUND_ROWS, *_BASE, extra=_WIN_ROWS | _rounds("select count(*) from targets")))
+def fit_win_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of the win fit on all records, as they are."""
+    return two_rounds(encoded(spark, sf_dir), lambda rows, epoch: win_target(rows))
+
+
+@query("fit_two_sample_rounds", sql(_ROUND_ROWS, *_BASE, "probs", extra=_PAIR_ROWS | _rounds("select count(*) from targets")))
+def fit_two_sample_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of the discriminator fit: every record, real and generated."""
+    rows = encoded(spark, sf_dir, ("known", "unknown"))
+    return two_rounds(rows, lambda rows, epoch: jobs.real_and_generated(rows, DICTIONARY, GENERATOR))
+
+
+@query(
+    "fit_network_step",
+    sql(
+        f"""select j as pos, round({last_bias('j', 10.0)} + (j * j % 101) * 0.0001::double
+            - {RATE} * greatest(-5, least(5, sum(g) / 88 / (select count(*) from filled))), 7) as value from slopes group by j""",
+        "truth", "logits", "lay", "filled", extra=_MIXED,
+    ),
+)
+def fit_network_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last biases after the first step of the generator fit with its whole loss, over all records."""
+    result = fitting.fit(
+        encoded(spark, sf_dir, ("known", "unknown")), uneven_generator(), fitting.mixed_objective(DICTIONARY), ["known"], "unknown",
+        lambda network: (0.0, 0.0), steps=1, optimizer="sgd", learning_rate=RATE, stop="never", dtype="float64",
+    )
+    rows = [(i, round(float(v), 7)) for i, v in enumerate(result.last[-1][1])]
+    return spark.createDataFrame(rows, "pos bigint, value double")
+
+
 def _uniform(*what: str) -> str:
     return draw(f"'{TRIAL_SEED}'", "trial", *what)
 
@@ -260,14 +337,13 @@ _TRIALS = {
     ),
 )
 def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two seeded trials of the generator fit, each one pass over the whole training split
-    in steps of the drawn batch size: what was drawn, and that every fit ended with a
-    finite loss."""
+    """Two seeded trials of the generator fit in one pass over the whole training split, each in
+    steps of the drawn batch size: what was drawn, and that every fit ended with a finite loss."""
     rows = records(spark, sf_dir)
     tenth = max(rows.count() // 10, 1)
     table = jobs.search_generator(
         spark, rows, ["rec_id"], DICTIONARY, new_folder(spark, "trials"), 2, tenth, tenth, "duration", MIN_DURATION,
-        seed=TRIAL_SEED, passes=1, stop="never",
+        seed=TRIAL_SEED, passes=1,
     )
     return table.select(
         "trial", F.round(F.log("learning_rate"), 9).alias("log_rate"), F.array_join("hidden", ",").alias("hidden"), "optimizer",

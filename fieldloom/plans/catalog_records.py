@@ -9,7 +9,7 @@ from fieldloom.functions import decode, encode
 from fieldloom.operators import records as rec
 from fieldloom.plans.matches import BAN_PATHS, DICTIONARY, MIN_DURATION, SLOTS, records
 from fieldloom.plans.models import checksum, encoded, scored
-from fieldloom.plans.oracle import FLAG_LIST, sql
+from fieldloom.plans.oracle import BRAND_LIST, FLAG_LIST, PRIORITY_LIST, TYPE_LIST, sql
 from fieldloom.plans.registry import query
 from fieldloom.schema import ALL, KNOWN, OUTCOME, UNKNOWN, WIN, expand_ignored
 
@@ -51,28 +51,35 @@ def fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _positions(df: DataFrame, spans, base: int = 0) -> DataFrame:
-    """Non-zero cells (rec_id, pos, value) of the given fields."""
-    array = rec.encoded_array(spans)
-    starts = F.lit([s.start + k - base for s in spans for k in range(s.width)])
-    return (
-        df.select("rec_id", F.inline(F.arrays_zip(starts.alias("pos"), array.alias("value"))))
-        .where("value != 0")
-        .withColumn("value", F.col("value").cast("double"))
-    )
+_LIT = """select rec_id, 'brand' as family, slot * 33 + list_position({brand}, brand) - 1 as pos from grid
+    union all select rec_id, 'ptype', slot * 33 + 26 + list_position({ptype}, ptype) - 1 from grid
+    union all select rec_id, 'priority', 330 + slot * 6 + list_position({priority}, priority) - 1 from grid
+    union all select rec_id, 'returnflag', 390 + slot * 56 + 52 + list_position({flag}, returnflag) - 1 from grid"""
+ONE_HOT = ("brand", "ptype", "priority", "returnflag")
 
 
 @query(
     "encode_onehot",
     sql(
-        f"""select rec_id, pos, 1.0::double as value from nz
-        union all select rec_id, 390 + slot * 56 + 52 + list_position({FLAG_LIST}, returnflag) - 1, 1.0::double from grid""",
-        "nz", "grid",
+        """select rec_id, family, string_agg(pos::varchar, ',' order by pos) as lit, count(*)::double as total,
+            case family when 'brand' then 260 when 'ptype' then 70 when 'priority' then 60 else 30 end as width
+        from lit group by rec_id, family""",
+        "grid",
+        extra={"lit": _LIT.format(brand=BRAND_LIST, ptype=TYPE_LIST, priority=PRIORITY_LIST, flag=FLAG_LIST)},
     ),
 )
 def encode_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = [s for f in ("brand", "ptype", "priority", "returnflag") for s in FAMILY_SPANS[f]]
-    return _positions(records(spark, sf_dir), spans)
+    """Every cell of the one-hot fields: per record and family the places that are not zero, their sum, and the width."""
+    cells = []
+    for family in ONE_HOT:
+        spans = FAMILY_SPANS[family]
+        places = F.lit([s.start + k for s in spans for k in range(s.width)])
+        lit = F.filter(F.arrays_zip(places.alias("pos"), F.col(family).alias("value")), lambda c: c["value"] != 0)
+        total = F.aggregate(family, F.lit(0.0), lambda a, v: a + v)
+        width = F.size(family).alias("width")
+        cells.append(F.struct(F.lit(family).alias("family"), F.array_join(lit["pos"], ",").alias("lit"), total.alias("total"), width))
+    arrays = [rec.encoded_array(FAMILY_SPANS[family]).alias(family) for family in ONE_HOT]
+    return records(spark, sf_dir).select("rec_id", *arrays).select("rec_id", F.inline(F.array(*cells)))
 
 
 @query(

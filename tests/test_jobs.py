@@ -58,8 +58,20 @@ def test_corpus_is_encoded_once(spark, folder, fields, records, tmp_path):
     assert [len(row[c]) for c in ("known", "unknown", "win")] == [fields.width(m) for m in (KNOWN, OUTCOME, WIN)]
 
 
+def test_small_steps_do_no_worse_in_a_pass_than_one_large(spark, records, fields):
+    options = {"held_out": 60, "evaluation": 60, "batch_size": 64, "steps": 2, "hidden": (8,), "duration": "duration", "shortest": MIN_DURATION}
+
+    def losses(kind, **more):
+        log = jobs.train_generator(spark, records, ["rec_id"], fields, samples_per_evaluation=1, **options, **more).log
+        return [v for *_, split, metric, v in log if (split, metric) == (kind, "loss")]
+
+    for kind in ("train", "evaluation"):
+        small, large = losses(kind), losses(kind, local_batch=None)
+        assert small[-1] < large[-1] and small[0] < large[0]
+
+
 def test_train_then_generate_and_predict(spark, folder, fields, records, tmp_path):
-    options = {"held_out": 60, "evaluation": 60, "batch_size": 64, "groups": 1, "steps": 3, "hidden": (6,)}
+    options = {"held_out": 60, "evaluation": 60, "batch_size": 64, "groups": 1, "steps": 3, "hidden": (6,), "local_batch": None}
     folders = lambda: sorted(os.listdir(f"{shared_root(spark)}/fieldloom/{spark.sparkContext.applicationId}"))
     before = folders()
     generator = jobs.train_generator(
@@ -75,7 +87,7 @@ def test_train_then_generate_and_predict(spark, folder, fields, records, tmp_pat
     )
     assert judge.log_frame(spark).where("metric = 'accuracy'").count() == 2
     jobs.search_generator(
-        spark, records, ["rec_id"], fields, str(tmp_path / "trials"), 1, 60, 60, "duration", MIN_DURATION, seed=9, steps=1, groups=2
+        spark, records, ["rec_id"], fields, str(tmp_path / "trials"), 1, 60, 60, "duration", MIN_DURATION, seed=9
     )
     assert folders() == before
     loaded = models.load_network(spark, str(tmp_path / "best"))
