@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import prepare
 from fieldloom.session import materialize
 
-#: Vectors of an index block, queries that visit it at a time, posting segments per dimension.
+#: Vectors of an index block, most queries that visit it at a time, posting segments per dimension.
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 256
+QUERY_ROWS = 16_384
 SEGMENTS = 8
+#: Fewest queries of a lot where lots are made to keep all cores busy.
+FEW_ROWS = 256
 #: Fixed-point factor of the components.
 SCALE = 256
 
@@ -21,8 +23,8 @@ INDEX = "dim int, block bigint, ids binary, values binary, postings binary, high
 
 
 def clean_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, vector, dim): components as floor(256 x); rows without id, null vectors and
-    vectors with a null or non-finite component are left out."""
+    """(vec_id, vector, dim): components as floor(256 x), those beyond a long as its ends; rows
+    without id, null vectors and vectors with a null or non-finite component are left out."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     good = "vec_id is not null and vector is not null and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     return rows.where(good).selectExpr(
@@ -81,6 +83,7 @@ class Block:
         n = len(self.ids)
         self.edges = _edges(n)
         self.values = np.frombuffer(row["values"], "<i8").reshape(n, dim)
+        self.most = max(abs(int(self.values.max(initial=0))), abs(int(self.values.min(initial=0))))
         # NumPy adds at places of its own index type without converting them at every step.
         self.postings = np.frombuffer(row["postings"], "<i4").reshape(dim, n).astype(np.intp)
         self.highs = np.frombuffer(row["highs"], "<i8").reshape(dim, len(self.edges) - 1)
@@ -96,6 +99,8 @@ class Block:
         are left or all segments are taken; the rows left are scored exactly.
         """
         allowed = self.ids != own
+        if len(query) and len(query) * self.most * max(abs(int(query.max())), abs(int(query.min()))) >= 1 << 62:
+            return self._wide(np.flatnonzero(allowed), query, k)
         n, parts = len(self.ids), len(self.edges) - 1
         if not len(query):
             return self._best(np.flatnonzero(allowed), query, k)
@@ -138,6 +143,13 @@ class Block:
         rows = rows[np.argpartition(-bound[rows], min(4 * k, len(rows) - 1))[: 4 * k]]
         return int(np.sort(self.values[rows] @ query)[-k]) if len(rows) >= k else None
 
+    def _wide(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_best`` for sums that may not fit a long: exact, and its ends beyond it."""
+        exact = (self.values[rows].astype(object) @ query.astype(object)).tolist()
+        scores = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact]
+        best = sorted(zip((-s for s in scores), self.ids[rows].tolist()))[:k]
+        return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
     def _best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.values[rows] @ query
         order = np.lexsort((self.ids[rows], -scores))[:k]
@@ -148,17 +160,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Per query row its k vectors of highest integer inner product, without its own id.
 
     ``vectors`` and ``queries`` are tables as ``clean_vectors`` gives them; only vectors of
-    the query's length are compared. Blocks of queries visit every block of the index;
-    each visit gives k rows per query, which are merged by rank. Ties go to the smaller
+    the query's length are compared. Queries visit every block of the index, in lots of
+    ``QUERY_ROWS`` (fewer while there are less blocks than cores), and a block is copied for every
+    lot; each visit gives k rows per query, which are merged by rank. Ties go to the smaller
     vec_id; fewer than k vectors give them all; a repeated query row gives its rows
-    again; empty tables give an empty result.
+    again; empty tables give an empty result. Scores are exact; beyond a long they stop at its ends.
     """
     index = build_index(vectors)
-    lot = F.floor(F.monotonically_increasing_id() / QUERY_ROWS)
-    asked = materialize(queries.withColumn("query", F.monotonically_increasing_id()).withColumn("lot", lot), "queries")
-    lots = asked.select("dim", "lot").distinct()
-    visits = index.join(lots, "dim")
-    guests = asked.join(index.select("dim", "block"), "dim")
+    asked = materialize(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = index.groupBy("dim").agg(F.count("*").alias("blocks"))
+    # One row per length: how many lots its queries make, by their number.
+    lots = asked.groupBy("dim").agg(F.count("*").alias("n")).join(blocks, "dim").selectExpr(
+        "dim", f"cast(greatest(ceil(n / {QUERY_ROWS}), least(ceil({2 * cores} / blocks), ceil(n / {FEW_ROWS}))) as int) as lots"
+    )
+    visits = index.join(lots, "dim").withColumn("lot", F.explode(F.expr("sequence(0, lots - 1)")))
+    guests = asked.join(lots, "dim").withColumn("lot", F.expr("cast(pmod(xxhash64(query), lots) as int)")).join(index.select("dim", "block"), "dim")
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [], [])
