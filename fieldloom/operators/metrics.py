@@ -6,8 +6,10 @@ task, metric and field.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.decode import argmax, count_above, cut
@@ -260,6 +262,56 @@ def histogram(values: DataFrame, low, high, buckets: int = 10, by=("field",)) ->
     return values.groupBy(*by, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Parts of the values between a power of two and the next, and what keeps their numbers above zero.
+SKETCH_PARTS, SKETCH_SHIFT = 16, 1100
+
+
+def sketch_bucket(value: str) -> str:
+    """SQL for a value's bucket, a whole number that grows with the value; zero is 0, a missing value has none.
+
+    Every power of two is cut into ``SKETCH_PARTS`` equal parts, so a bucket is at most a
+    sixteenth as wide as its values are large, whatever their range.
+    """
+    size = f"abs({value})"
+    power = f"floor(log2({size}))"
+    # The logarithm may round across a power of two.
+    power = f"({power} + if({size} < pow(2D, {power}), -1, if({size} >= pow(2D, {power} + 1), 1, 0)))"
+    part = f"least({SKETCH_PARTS - 1}, floor(({size} / pow(2D, {power}) - 1) * {SKETCH_PARTS}))"
+    number = f"cast(({power} + {SKETCH_SHIFT}) * {SKETCH_PARTS} + {part} + 1 as int)"
+    return f"case when {value} is null or isnan({value}) then null when {value} = 0 then 0 when {value} > 0 then {number} else -{number} end"
+
+
+def sketch(values: DataFrame, by=("field",)) -> DataFrame:
+    """(by..., bucket, n): counts by bucket, in one pass and without ranges. Sketches are merged by ``merge_sketches``."""
+    bucket = F.expr(sketch_bucket("value")).alias("bucket")
+    return values.select(*by, bucket).where("bucket is not null").groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(*sketches: DataFrame, by=("field",)) -> DataFrame:
+    whole = reduce(DataFrame.unionByName, sketches)
+    return whole.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_ranges(counts: DataFrame) -> DataFrame:
+    """A sketch with the ``low`` and ``high`` end of every bucket."""
+    k = "(abs(bucket) - 1)"
+    unit = f"pow(2D, {k} div {SKETCH_PARTS} - {SKETCH_SHIFT})"
+    near, far = (f"{unit} * (1 + ({k} % {SKETCH_PARTS} + {i}) / {SKETCH_PARTS}D)" for i in (0, 1))
+    low = f"case when bucket = 0 then 0D when bucket > 0 then {near} else -({far}) end"
+    high = f"case when bucket = 0 then 0D when bucket > 0 then {far} else -({near}) end"
+    return counts.withColumns({"low": F.expr(low), "high": F.expr(high)})
+
+
+def sketch_quantiles(counts: DataFrame, shares, by=("field",)) -> DataFrame:
+    """(by..., share, low, high): the bucket that holds each share of the values; one row per bucket and group is ordered."""
+    group = Window.partitionBy(*by)
+    upto = F.sum("n").over(group.orderBy("bucket"))
+    placed = sketch_ranges(counts).select(*by, "low", "high", "n", upto.alias("upto"), F.sum("n").over(group).alias("total"))
+    asked = placed.withColumn("share", F.explode(F.lit([float(s) for s in shares])))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("total")))
+    return asked.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(*by, "share", "low", "high")
+
+
 def model_values(model: DataFrame) -> DataFrame:
     """(field, value) of all weights and biases, per layer."""
     one = F.concat(F.col("name"), F.lit("_"), F.col("layer").cast("string"))

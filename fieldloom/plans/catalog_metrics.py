@@ -171,6 +171,29 @@ def prediction_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(values, F.col("low"), F.col("high"), BUCKETS)
 
 
+_POWER = "(floor(log2(abs(value))) + case when abs(value) < pow(2, floor(log2(abs(value)))) then -1 when abs(value) >= pow(2, floor(log2(abs(value))) + 1) then 1 else 0 end)"
+
+
+@query(
+    "prediction_sketch",
+    sql(
+        f"""select field, bucket, count(*) as n from (
+            select field, case when value = 0 then 0 else (sign(value) * ((p + 1100) * 16 + least(15, floor((abs(value) / pow(2, p) - 1) * 16)) + 1))::int end as bucket
+            from (select field, value, case when value <> 0 then {_POWER} end as p from (
+                select rec_id, field, case any_value(handling) when 'one-hot' then (arg_max(j, (p, -j)) - min(j))::double
+                    when 'unary' then (count(*) filter (p > 0.5))::double
+                    else max(p) * any_value(sd) + any_value(mean) end as value
+                from probs join lay using (j) group by rec_id, field) a) b) c group by 1, 2""",
+        "probs", "lay",
+    ),
+)
+def prediction_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of every field in buckets that need no ranges: two halves of the records, merged."""
+    values = metrics.prediction_values(scored(spark, sf_dir).select("z", "rec_id").where("rec_id % 2 = 0"), DICTIONARY)
+    others = metrics.prediction_values(scored(spark, sf_dir).select("z", "rec_id").where("rec_id % 2 <> 0"), DICTIONARY)
+    return metrics.merge_sketches(metrics.sketch(values), metrics.sketch(others))
+
+
 @query(
     "eval_win",
     sql(

@@ -9,7 +9,9 @@ from fieldloom.operators import runs
 from fieldloom.plans.matches import table
 from fieldloom.plans.oracle import sql
 from fieldloom.plans.registry import query
-from fieldloom.session import stored
+from fieldloom.session import new_folder, stored
+from fieldloom.streaming.scoring import write_scores
+from fieldloom.streaming.stopping import stream_stops
 
 ORDER = ["ts", "event_id"]
 BATCH_SIZE = 2048
@@ -79,6 +81,32 @@ def stop_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.stop_any(numbered_log(spark, sf_dir), spec, BATCH_SIZE)
 
 
+PIECES = 3
+
+
+@query(
+    "stream_stop",
+    sql(
+        f"""select run, min(stop_step) as stop_step from (({MAX_SAMPLES_SQL}) union all ({STAGNATION_SQL})
+            union all ({ELAPSED_SQL})) q group by run""",
+        "log",
+    ),
+)
+def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stops of ``stop_any``, from a stream that gets the log in pieces by time."""
+    log = metric_log(spark, sf_dir).select("run", "ts", "event_id", "loss")
+    source, out, checkpoint = (new_folder(spark, f"log-{part}") for part in ("pieces", "stops", "checkpoint"))
+    cuts = [None, *log.agg(F.percentile_approx("ts", [k / PIECES for k in range(1, PIECES)])).first()[0], None]
+    for low, high in zip(cuts, cuts[1:]):
+        piece = log if low is None else log.where(F.col("ts") >= low)
+        piece = piece if high is None else piece.where(F.col("ts") < high)
+        piece.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(log.schema).parquet(source)
+        stops = stream_stops(arriving, f"samples{MAX_SAMPLES}:stagnant:seconds{SECONDS}", BATCH_SIZE, ORDER)
+        write_scores(stops, out, checkpoint)
+    return spark.read.schema(stops.schema).parquet(out)
+
+
 @query(
     "evaluation_cadence",
     sql(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom import jobs
@@ -16,7 +16,8 @@ from fieldloom.plans.registry import query
 from fieldloom.schema import ALL, KNOWN, WIN
 from fieldloom.session import new_folder
 from fieldloom.sources import tables
-from fieldloom.streaming.scoring import score_known, write_scores
+from fieldloom.sources.models import save_network
+from fieldloom.streaming.scoring import read_newest_scores, score_known, write_newest_scores, write_scores
 
 LOGIT_SUMS = "round(sum(z), 4) as logit_sum, round(sum(z * (j % 97)), 4) as logit_dot"
 
@@ -160,3 +161,31 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_scores(scores, out, new_folder(spark, "stream-checkpoint"))
     rows = spark.read.schema("rec_id bigint, win_probability double").parquet(out)
     return rows.select("rec_id", F.round("win_probability", 6).alias("win_probability"))
+
+
+SHIFT = 0.5
+
+
+@query(
+    "stream_newest",
+    sql(
+        f"""select rec_id, rec_id % 2 as piece, round(1 / (1 + exp(-(z + {SHIFT} * (rec_id % 2)))), 6) as win_probability from win_logits""",
+        "win_logits",
+    ),
+)
+def stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a stream that gets the records in two pieces, with a new win network in between."""
+    source, out, checkpoint, generator, win = (new_folder(spark, f"newest-{part}") for part in ("in", "out", "checkpoint", "generator", "win"))
+    save_network(spark, GENERATOR, generator)
+    *inner, (w, b) = WIN_NETWORK
+    columns = [DICTIONARY[p].column for p in DICTIONARY.known_order]
+    for piece in (0, 1):
+        save_network(spark, [*inner, (w, b + SHIFT * piece)], win)
+        rows = records(spark, sf_dir).where(F.col("rec_id") % 2 == piece)
+        rows.select("rec_id", *columns).write.mode("append").csv(source, nullValue="", emptyValue="")
+        arriving = tables.stream_known(spark, source, DICTIONARY, id_field="rec_id")
+        write_newest_scores(arriving, DICTIONARY, generator, win, out, checkpoint)
+    scores = read_newest_scores(spark, out)
+    piece = F.dense_rank().over(Window.orderBy("win")) - 1
+    versions = scores.select("win").distinct().withColumn("piece", piece.cast("bigint"))
+    return scores.join(versions, "win").select("rec_id", "piece", F.round("win_probability", 6).alias("win_probability"))

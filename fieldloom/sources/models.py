@@ -28,11 +28,15 @@ def save_network(spark: SparkSession, network, path: str) -> None:
     network_frame(spark, network).coalesce(1).write.parquet(f"{path}/version={time.time_ns()}")
 
 
-def network_table(spark: SparkSession, path: str) -> DataFrame:
-    """Layers of the newest version."""
+def newest_version(spark: SparkSession, path: str) -> int:
+    return spark.read.schema(f"{MODEL_SCHEMA}, version bigint").parquet(path).agg(F.max("version")).first()[0]
+
+
+def network_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Layers of a version, the newest by default."""
     table = spark.read.schema(f"{MODEL_SCHEMA}, version bigint").parquet(path)
-    newest = table.agg(F.max("version")).first()[0]
-    return table.where(F.col("version") == newest).drop("version")
+    version = newest_version(spark, path) if version is None else version
+    return table.where(F.col("version") == version).drop("version")
 
 
 def check_network(network, max_bytes: int = MAX_MODEL_BYTES) -> None:
@@ -46,9 +50,9 @@ def check_network(network, max_bytes: int = MAX_MODEL_BYTES) -> None:
             raise ValueError(f"layer {i} takes {w.shape[0]} inputs, layer {i - 1} gives another count")
 
 
-def load_network(spark: SparkSession, path: str, max_bytes: int = MAX_MODEL_BYTES):
+def load_network(spark: SparkSession, path: str, max_bytes: int = MAX_MODEL_BYTES, version: int | None = None):
     """Layers as (weights, biases); shapes are checked before the arrays travel."""
-    table = network_table(spark, path)
+    table = network_table(spark, path, version)
     shapes = table.selectExpr("layer", "n_in", "n_out", "size(w) w_len", "size(b) b_len").collect()
     if sum(8 * (r.w_len + r.b_len) for r in shapes) > max_bytes:
         raise ValueError("stored network is above the broadcast bound")

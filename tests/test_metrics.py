@@ -92,3 +92,26 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([("f", v) for v in (-1.0, 0.0, 0.9, 1.0, 9.99, 10.0, 11.0)], "field string, value double")
     got = {r["bucket"]: r["n"] for r in metrics.histogram(df, F.lit(0.0), F.lit(10.0), 10).collect()}
     assert got == {0: 1, 1: 2, 2: 1, 10: 1, 11: 2}
+
+
+def test_sketch_buckets_hold_their_values_in_order(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([
+        rng.normal(size=300) * 10.0 ** rng.integers(-30, 30, 300), [0.0, -0.0, 1.0, 2.0, 1024.0, 0.5, -4.0, 5e-324, 1.7e308, -1.7e308, 3.0],
+        np.nextafter(2.0 ** np.arange(-40, 40), 0), 2.0 ** np.arange(-40, 40),
+    ])
+    rows = [("a" if i % 2 else "b", float(v)) for i, v in enumerate(values)] + [("a", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "field string, value double").repartition(3)
+    got = metrics.sketch_ranges(df.selectExpr("value", f"{metrics.sketch_bucket('value')} as bucket").where("bucket is not null")).orderBy("value").collect()
+    assert len(got) == len(values) and [r.bucket for r in got] == sorted(r.bucket for r in got)
+    for r in got:
+        inside = r.low <= r.value < r.high if r.bucket > 0 else r.low < r.value <= r.high if r.bucket else r.value == 0
+        # The ends of a bucket of the very smallest numbers are rounded to each other.
+        assert abs(r.value) < 1e-300 or inside and abs(r.high / 2 - r.low / 2) <= abs(r.value / 2) / 16
+    whole = metrics.sketch(df)
+    parts = metrics.merge_sketches(metrics.sketch(df.where("value < 1")), metrics.sketch(df.where("value >= 1")))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.where("bucket is not null").collect()))
+    for r in metrics.sketch_quantiles(whole, (0.0, 0.25, 0.5, 1.0)).collect():
+        own = sorted(v for f, v in rows if f == r.field and v is not None and v == v)
+        exact = own[max(1, math.ceil(r.share * len(own))) - 1]
+        assert r.low <= exact <= r.high

@@ -1,3 +1,5 @@
+import random
+import statistics
 """A third of all rows on one supplier and one run: the chunked path."""
 
 import shutil
@@ -12,6 +14,7 @@ from fieldloom.operators import runs
 from fieldloom.plans.catalog_runs import ORDER, metric_log
 from fieldloom.plans.matches import DICTIONARY, build_records
 from fieldloom.plans.oracle import sql
+from fieldloom.operators import profile
 from fieldloom.operators.profile import field_levels, profile_fields
 from tests.conftest import SMALL
 
@@ -73,3 +76,26 @@ def test_no_level_is_lost(spark):
     assert ordered.where("rank <> place").count() == 0
     profile = {r["path"]: r for r in profile_fields(rows, fields).collect()}
     assert profile["t"]["n_levels"] == 100_001 and profile["t"]["mode_txt"] == "hot" and profile["b"]["n_levels"] == 2
+
+
+@pytest.mark.parametrize("few, ranges", [(10_000, 1024), (3, 8), (0, 2)])
+def test_medians_by_narrowing(spark, monkeypatch, few, ranges):
+    """Counted ranges, whatever is left over for the sort at the end."""
+    monkeypatch.setattr(profile, "FEW", few)
+    monkeypatch.setattr(profile, "RANGES", ranges)
+    rng = random.Random(3)
+    columns = {
+        "even": [rng.gauss(0, 1) for _ in range(500)],
+        "odd": [rng.gauss(0, 1) ** 5 for _ in range(501)],
+        "hot": [7.0] * 300 + [rng.random() for _ in range(199)],
+        "two": [1.0] * 50 + [2.0] * 50,
+        "one": [4.0],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(400)],
+        "ends": [-1.7e308, 1.7e308, 0.0],
+        "same": [5.0] * 9,
+    }
+    rows = [(path, v, columns[path].count(v)) for path in columns for v in set(columns[path])]
+    numeric = spark.createDataFrame(rows, "path string, num double, c bigint").repartition(3)
+    bounds = [(p, len(v), min(v), max(v)) for p, v in columns.items()] + [("none", 0, None, None)]
+    got = profile.exact_medians(numeric, bounds)
+    assert got == pytest.approx({p: statistics.median(v) for p, v in columns.items()})
