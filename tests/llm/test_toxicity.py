@@ -1,9 +1,11 @@
 import random
+import re
 import zlib
 
 import pyarrow as pa
+import pytest
 
-from fieldloom.llm.toxicity import fit, score_documents, swapped, toxicity_report
+from fieldloom.llm.toxicity import IDENTITY, Terms, fit, score_documents, toxicity_report
 from tests.llm.conftest import words
 
 
@@ -24,9 +26,38 @@ def corpus(spark, n=900, hidden=True):
 
 
 def test_swaps():
-    assert list(swapped("No terms here.")) == []
-    pairs = list(swapped("Hello. The Women left! Bye."))
+    terms = Terms()
+    assert list(terms.swaps("No terms here.")) == []
+    pairs = list(terms.swaps("Hello. The Women left! Bye."))
     assert {b.strip() for _, b in pairs} == {"the men left!", "the girls left!", "the boys left!"}
+    assert {b for _, b in terms.swaps("Die Männer.")} == {"die frauen.", "die mädchen.", "die jungen."}
+    assert [b for _, b in Terms(["zork vex"]).swaps("a zork women")] == ["a vex women"] and list(Terms([]).swaps("women")) == []
+
+
+def test_change_of_a_swap_against_scoring_the_swapped_text(spark):
+    docs, labels = corpus(spark)
+    model = fit(docs, labels, penalty=0.0)
+    terms = Terms()
+    texts = ["a muslim and muslims, Muslimah", "no term", "", "women, black or white", "the hindu muslim you vexling"] + [r.text for r in docs.limit(60).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in score_documents(rows, model).collect():
+        lower = texts[r.doc_id].lower()
+        tried = [re.sub(rf"\b{a}\b", b, lower) for a in set(terms.pattern.findall(lower)) for b in terms.others[a]]
+        own = model.score(pa.array([lower]))[0]
+        change = max(abs(model.score(pa.array(tried)) - own), default=0.0) if tried else 0.0
+        assert r.n_swaps == len(tried) and r.swap_change == pytest.approx(change, abs=1e-12) and r.score == own
+
+
+def test_fewer_neutral_mentions_are_called_toxic(spark):
+    """Clean texts that name a group which mostly stands in toxic ones, with and without the penalty."""
+    docs, labels = corpus(spark)
+    rng = random.Random(9)
+    neutral = pa.array([f"{words(rng, 6)}. muslim {words(rng, 3)}" for _ in range(200)])
+    plain, held = (fit(docs, labels, penalty=p).score(neutral) >= 0.5 for p in (0.0, 20.0))
+    assert plain.sum() >= 5 and held.sum() == 0
+    changes = [score_documents(docs, fit(docs, labels, penalty=p)).agg({"swap_change": "max"}).first()[0] for p in (0.0, 20.0)]
+    assert changes[1] < 0.5 * changes[0]
+    assert len(IDENTITY) == 30
 
 
 def test_held_out_accuracy_and_folds(spark):
