@@ -25,7 +25,7 @@ FIRST = 20
 #: Pairs of centroids are visited while their inner product with the query is above the threshold
 #: less this many standard deviations of what the residuals add.
 MARGIN = 3.0
-#: Queries of a visit that are scored at a time.
+#: Queries of a visit that are scored at a time, and the fewest of a lot that only keeps cores busy.
 SLICE = 256
 
 
@@ -239,7 +239,10 @@ def _visits(asked: DataFrame, index: Index, first: int, margin: float) -> DataFr
 
 def _score(index: Index, visits: DataFrame, keep: int) -> DataFrame:
     """(q, vec_id, score): for each visit the ``keep`` best ids in the block's cells."""
-    lots = visits.groupBy("dim", "block").agg(F.ceil(F.count("*") / LOT_ROWS).cast("int").alias("lots"))
+    cores = visits.sparkSession.sparkContext.defaultParallelism
+    blocks = sum(int((f[c > 0] + p[c > 0]).max(initial=0)) for c, f, p in zip(index.counts.values(), index.first.values(), index.parts.values()))
+    spare = -(-2 * cores // max(1, blocks))
+    lots = visits.groupBy("dim", "block").agg(F.expr(f"cast(greatest(ceil(count(*) / {LOT_ROWS}), least({spare}, ceil(count(*) / {SLICE}))) as int)").alias("lots"))
     left = index.rows.join(lots, ["dim", "block"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
     right = visits.join(lots, ["dim", "block"]).selectExpr(
         "dim as d", "block as b", "cast(pmod(xxhash64(q), lots) as int) as l", "q", "query", "cells"

@@ -140,7 +140,9 @@ def gram_index(words: DataFrame, longest: int) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in GRAM.split(", ")])
 
-    return materialize(words.select("id", "word").repartition("id").mapInArrow(run, GRAM), "variable-grams")
+    # As many tasks as the session shuffles into: the words are small, the work on them is not.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(words.select("id", "word").repartition(parts, "id").mapInArrow(run, GRAM), "variable-grams")
 
 
 def _list(chars: str, place: str, kind: int) -> str:
