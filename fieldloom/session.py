@@ -99,6 +99,9 @@ def clean(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     for key in [k for k in _STORED if k[0] == app]:
         del _STORED[key]
+    kept = {table_name(path) for path in _MADE.values()}
+    for name in [t.name for t in spark.catalog.listTables() if t.name in kept]:
+        spark.sql(f"drop table if exists {name}")
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/fieldloom/{app}")
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     _MADE.clear()
