@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +15,30 @@ def value_histogram(df: DataFrame, fields) -> DataFrame:
     """(path, num, txt, c): how often each field takes each value.
 
     ``fields`` are (path, column, kind).  Counting values first collapses the
-    long form map-side; everything after works on distinct values.
+    long form map-side; everything after works on distinct values.  Numbers and texts are
+    counted apart, each from plain arrays of their own columns.
     """
-    cells = []
-    for i, (_, column, kind) in enumerate(fields):
-        value = F.col(column)
-        if kind == "enum":
-            num, txt = F.lit(None).cast("double"), value
-        elif kind == "bool":
-            num, txt = value.cast("int").cast("double"), F.initcap(value.cast("string"))
-        else:
-            num, txt = value.cast("double"), F.lit(None).cast("string")
-        cells.append(F.struct(F.lit(i).alias("i"), num.alias("num"), txt.alias("txt")))
-    long = df.select(F.inline(F.array(*cells))).where("num is not null or txt is not null")
-    counted = long.groupBy("i", "num", "txt").agg(F.count(F.lit(1)).alias("c"))
+    numbers = [f for f in fields if f[2] not in ("enum", "bool")]
+    texts = [f for f in fields if f[2] in ("enum", "bool")]
+    none = {"num": F.lit(None).cast("double"), "txt": F.lit(None).cast("string")}
+    counted = []
+    if numbers:
+        rows = _counted(df, numbers, [F.col(c).cast("double") for _, c, _ in numbers], "num")
+        counted.append(rows.withColumn("txt", none["txt"]))
+    if texts:
+        values = [F.col(c) if kind == "enum" else F.initcap(F.col(c).cast("string")) for _, c, kind in texts]
+        rows = _counted(df, texts, values, "txt")
+        flags = [path for path, _, kind in texts if kind == "bool"]
+        flag = F.when(F.col("path").isin(flags), (F.col("txt") == "True").cast("double")) if flags else none["num"]
+        counted.append(rows.withColumn("num", flag))
+    return reduce(DataFrame.unionByName, counted).select("path", "num", "txt", "c")
+
+
+def _counted(df: DataFrame, fields, values: list, name: str) -> DataFrame:
+    """(path, value, c) of fields of one type."""
+    long = df.select(F.posexplode(F.array(*values)).alias("i", name)).where(F.col(name).isNotNull())
     path = F.get(F.lit([path for path, _, _ in fields]), F.col("i"))
-    return counted.select(path.alias("path"), "num", "txt", "c")
+    return long.groupBy("i", name).agg(F.count(F.lit(1)).alias("c")).select(path.alias("path"), name, "c")
 
 
 def field_levels(df: DataFrame, fields, partitions: int | None = None) -> DataFrame:
