@@ -233,7 +233,9 @@ def _visits(asked: DataFrame, index: Index, first: int, margin: float) -> DataFr
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
-    rows = asked.select("q", "dim", "vector", "threshold")
+    # As many tasks as the session shuffles into: queries are small, the work on them is not.
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = asked.select("q", "dim", "vector", "threshold").repartition(parts, "q")
     return materialize(rows.mapInArrow(visit, "q bigint, dim int, block int, query binary, cells binary"), "multi-index-visits")
 
 
