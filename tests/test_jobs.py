@@ -61,12 +61,9 @@ def test_corpus_is_encoded_once(spark, folder, fields, records, tmp_path):
 def test_small_steps_do_no_worse_in_a_pass_than_one_large(spark, records, fields):
     options = {"held_out": 60, "evaluation": 60, "batch_size": 64, "steps": 2, "hidden": (8,), "duration": "duration", "shortest": MIN_DURATION}
 
-    def losses(kind, **more):
-        log = jobs.train_generator(spark, records, ["rec_id"], fields, samples_per_evaluation=1, **options, **more).log
-        return [v for *_, split, metric, v in log if (split, metric) == (kind, "loss")]
-
+    logs = [jobs.train_generator(spark, records, ["rec_id"], fields, samples_per_evaluation=1, **options, **more).log for more in ({}, {"local_batch": None})]
     for kind in ("train", "evaluation"):
-        small, large = losses(kind), losses(kind, local_batch=None)
+        small, large = ([v for *_, split, metric, v in log if (split, metric) == (kind, "loss")] for log in logs)
         assert small[-1] < large[-1] and small[0] < large[0]
 
 
