@@ -37,35 +37,40 @@ def _key(number: str, edits: int, i: int, shift: int = 0) -> str:
     return f"xxhash64({part}, {number}, {i})"
 
 
-def _own_keys() -> str:
-    """SQL array of a line's own segments."""
-    parts = [f"if(edits = {e}, {_key('class', e, i)}, null)" for e in EDITS_FROM for i in range(e + 1)]
-    return f"array({', '.join(parts)})"
-
-
-def _probe_keys() -> str:
-    """SQL array of what to look up among lines as long or up to ``edits`` shorter.
-
-    Of a line and one within its edits, some segment i (from 0) stays whole with at most i
-    edits before it and ``edits - i`` after it. So the first is found in place, the last at
-    the end, and the one between at shifts of at most one that leave one edit for the
-    rest. Lengths of one class share look-ups; most lines need the next class not at all.
+def _segments() -> str:
+    """SQL array of what a line is found by and looks up, its ``edits + 1`` own segments first.
+
+    It looks for lines as long or up to ``edits`` shorter. Of a line and one within its edits,
+    some segment i (from 0) stays whole with at most i edits before it and ``edits - i``
+    after it. So the first is found in place, the last at the end, and the one between at
+    shifts of at most one that leave one edit for the rest. Lengths of one class share
+    look-ups, and those in place are the line's own segments; most lines need the next class
+    not at all. Plain arrays stay in generated code, which a filter with a lambda would leave.
     """
-    parts = []
+
+    def looked_up(number: str, e: int, least_gap: int) -> list[str]:
+        keys = []
+        for i in range(e + 1):
+            shifts = {0}
+            if 0 < i < e:
+                shifts = {s for g in range(least_gap, e + 1) for s in range(-i, i + 1) if abs(g - s) <= e - i}
+            keys += [_key(number, e, i, s) for s in sorted(shifts)]
+        return keys
+
+    # Differences in length that stay in the line's class, then those that leave it.
+    inside, below = [], []
     for e, least in EDITS_FROM.items():
-        # Differences in length that stay in the line's class, then those that leave it.
-        for number, lengths in (("class", [(0, f"length % {CLASS} >= 0")]), ("(class - 1)", [(d, f"length % {CLASS} = {d - 1}") for d in range(1, e + 1)])):
-            low = f"{number} * {CLASS} >= {least}"
-            high = f" and {number} * {CLASS} < {EDITS_FROM[e + 1]}" if e + 1 in EDITS_FROM else ""
-            for least_gap, when in lengths:
-                fits = f"{low}{high} and {when}"
-                for i in range(e + 1):
-                    shifts = [0]
-                    if 0 < i < e:
-                        gaps = range(least_gap, e + 1)
-                        shifts = sorted({s for g in gaps for s in range(-i, i + 1) if abs(g - s) <= e - i})
-                    parts += [f"if({fits}, {_key(number, e, i, s)}, null)" for s in shifts]
-    return f"array({', '.join(parts)})"
+        own = [_key("class", e, i) for i in range(e + 1)]
+        shifted = [key for key in looked_up("class", e, 0) if key not in own]
+        inside.append(f"when edits = {e} then array({', '.join(own + shifted)})")
+        number = "(class - 1)"
+        high = f" and {number} * {CLASS} < {EDITS_FROM[e + 1]}" if e + 1 in EDITS_FROM else ""
+        below += [
+            f"when {number} * {CLASS} >= {least}{high} and length % {CLASS} = {d - 1} then array({', '.join(looked_up(number, e, d))})"
+            for d in range(1, e + 1)
+        ]
+    none = "else cast(array() as array<bigint>) end"
+    return f"concat(case {' '.join(inside)} {none}, case {' '.join(below)} {none})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -177,6 +182,29 @@ def removed_lines(light: DataFrame, texts: DataFrame) -> DataFrame:
 LETTERS = "etnaohirs"
 
 
+def _met(texts: DataFrame) -> DataFrame:
+    """(key, segment, short, long) of the segments by which a line meets another one.
+
+    ``short``: it is the line's own and another line looks it up; ``long``: the line looks it
+    up and it is another's own. A line looks up all its own segments, so both follow from the
+    least and the largest key that a segment has among its own and among all. The segments
+    are made and moved once, and both the keys and the lines are read from that.
+    """
+    rows = texts.selectExpr("key", "edits", f"posexplode({_segments()}) as (place, segment)")
+    rows = rows.selectExpr("key", "segment", "place <= edits as own").repartition("segment")
+    ends = rows.groupBy("segment").agg(
+        F.expr("min(key) filter (where own)").alias("own_low"), F.expr("max(key) filter (where own)").alias("own_high"),
+        F.min("key").alias("low"), F.max("key").alias("high"),
+    )
+    # One row per segment, so a hot segment's rows run past it and are never held. Only under a
+    # merge join are both reads of the bucketed lines planned alike, so that one shuffle serves both.
+    ends = ends.where("own_low is not null and low < high").hint("merge")
+    found = rows.join(ends, "segment").selectExpr(
+        "key", "segment", "own and (low <> key or high <> key) as short", "own_low <> key or own_high <> key as long"
+    )
+    return found.where("short or long")
+
+
 def near_lines(texts: DataFrame) -> DataFrame:
     """(key, near = true) of the distinct lines within the edits of an earlier one.
 
@@ -184,14 +212,9 @@ def near_lines(texts: DataFrame) -> DataFrame:
     rest is compared segment by segment in semi joins: a line needs one earlier partner,
     so no pairs are made, however many lines share a segment.
     """
-    own = texts.select("key", F.explode(F.array_compact(F.expr(_own_keys()))).alias("segment"))
-    probe = texts.select("key", F.explode(F.array_compact(F.expr(_probe_keys()))).alias("segment"))
-    def met(rows, others, name):
-        partner = others.withColumnsRenamed({"key": "other", "segment": "there"})
-        return materialize(rows.join(partner, F.expr("segment = there and key <> other"), "left_semi"), name)
-
-    short, long = met(own, probe, "line-segments"), met(probe, own, "line-probes")
-    some = short.select("key").union(long.select("key")).distinct()
+    met = materialize(_met(texts), "line-segments")
+    short, long = (met.where(side).select("key", "segment") for side in ("short", "long"))
+    some = met.select("key").distinct()
     facts = materialize(texts.join(some, "key").select("key", "first", "line", "length", "edits"), "line-texts")
     counts = ", ".join(f"length - length(replace(line, '{c}', ''))" for c in LETTERS)
     facts = facts.selectExpr("*", f"array({counts}) as counts")

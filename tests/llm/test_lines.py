@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from fieldloom.llm import line_dedup
 from fieldloom.llm.line_dedup import MIN_CHARS, line_report, near_lines, within_edits, without_repeated_lines
 
 
@@ -118,3 +119,27 @@ def test_hot_line(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("the very same line in all of them\nnumber "), F.col("id")).alias("text"))
     got = line_report(docs).agg(F.sum("n_exact"), F.sum("n_near")).first()
     assert tuple(got) == (299, 0)
+
+
+def test_segments_are_made_once(spark, monkeypatch):
+    made, materialize = [], line_dedup.materialize
+
+    def watched(df, label="stage"):
+        df.collect()
+        made.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Generate "))
+        return materialize(df, label)
+
+    monkeypatch.setattr(line_dedup, "materialize", watched)
+    lines = [f"{'a line that is much like the next one, '[i % 2:] * (1 + i % 3)}{i // 7}" for i in range(200)]
+    docs = spark.createDataFrame([(0, 0, "\n".join(lines))], "row int, doc_id bigint, text string")
+    texts = line_dedup.distinct_lines(line_dedup._lines(docs))
+    assert near_lines(texts.where("edits > 0")).count() > 50
+    assert sum(made) == 1
+
+
+def test_segment_shared_by_all_lines(spark):
+    rng = random.Random(4)
+    ends = ["".join(rng.choice("abcdef") for _ in range(40)) for _ in range(40)]
+    lines = ["x" * 40 + e for e in ends + [e[:20] + "é" + e[21:] for e in ends[:12]]]
+    exact, near = check(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").coalesce(1))
+    assert not exact and near == {(i, 0) for i in range(40, 52)}
