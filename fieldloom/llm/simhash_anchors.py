@@ -164,7 +164,8 @@ def links(prints: DataFrame) -> DataFrame:
     shared = counts.where("members > 1 and homes > 0").selectExpr(
         "anchor", f"ceil(members / {BLOCK}) as member_blocks", f"ceil(homes / {BLOCK}) as home_blocks"
     )
-    placed = copies.join(shared, "anchor").withColumn("draw", F.xxhash64("fingerprint", F.lit(1)))
+    # Spark takes copies for as few as the fingerprints and would broadcast them.
+    placed = copies.join(shared.hint("merge"), "anchor").withColumn("draw", F.xxhash64("fingerprint", F.lit(1)))
     # A row is in its own column of cells as a member; a home is in its own row of cells too.
     cells = placed.selectExpr(
         "anchor", "fingerprint", "is_home", "member_blocks", "pmod(draw, member_blocks) as column",
@@ -184,7 +185,7 @@ def classes(rows: DataFrame) -> DataFrame:
     """
     distinct = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "fingerprints")
     stars = components(links(distinct)).select(F.col("u").alias("fingerprint"), F.col("v").alias("component"))
-    labelled = distinct.join(stars, "fingerprint", "left").selectExpr(
+    labelled = distinct.join(stars.hint("merge"), "fingerprint", "left").selectExpr(
         "fingerprint", "first", "coalesce(component, fingerprint) as component"
     )
     lowest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -201,7 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(fingerprints(rows).drop("text"), "documents")
-    return rows.join(classes(rows), "fingerprint").select(
+    # A left join, for which the rows, packed small in their file, are not broadcast.
+    return rows.join(classes(rows), "fingerprint", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -214,6 +216,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row, mark = fresh(docs, "row"), fresh(docs, "fingerprint")
     marked = materialize(fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text_col, mark), "marked")
     rows = marked.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(mark).alias("fingerprint"), F.col(row).alias("row"))
-    of_class = rows.join(classes(rows), "fingerprint").groupBy("component")
+    of_class = rows.join(classes(rows), "fingerprint", "left").groupBy("component")
     stay = of_class.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias(row))
     return marked.join(stay, row, "left_semi").select(*docs.columns)

@@ -80,6 +80,15 @@ def test_links_are_no_more_than_a_forest_per_cell(spark):
     assert n < 20 * len(prints) < pairs
 
 
+def test_copies_are_not_broadcast_by_their_estimated_size(spark):
+    """A fingerprint goes to some 30 anchors, so copies are many more rows than Spark takes them for."""
+    prints = clouds(random.Random(8), 100)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "doc_id bigint, fingerprint bigint")
+    plan = simhash_anchors.links(rows.select("fingerprint"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_documents_against_brute_force(documents):
     rows = {r.doc_id: r.text for r in documents.collect()}
     prints = {i: brute_print(t) for i, t in rows.items()}
