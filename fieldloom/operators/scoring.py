@@ -124,6 +124,8 @@ def score_chain(
     def run(known):
         first, second = shared.value
         logit = forward(known, first, activation)
+        if outputs == ["unknown_logit"]:
+            return [logit]
         if chain_input == "probability":
             unknown = apply_heads(logit, kinds)
         else:

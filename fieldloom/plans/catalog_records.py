@@ -218,7 +218,7 @@ def project_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def assign_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).select("rec_id", "known", "z")
+    rows = scored(spark, sf_dir, ("known", "z"))
     full = rec.assign_portions(DICTIONARY, {"known": F.col("known"), "unknown": F.col("z")})
     rows = rows.select("rec_id", full.alias("x"))
     kept = F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
@@ -249,17 +249,17 @@ def drop_remakes_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.drop_short_encoded(encoded(spark, sf_dir, ("unknown",)), DICTIONARY, above=MIN_DURATION).select("rec_id")
 
 
-def _decoded(spark: SparkSession, sf_dir: str, family: str, text: bool, digits: int | None = None) -> DataFrame:
-    """(rec_id, field, value) decoded from the generator's logits."""
+def _decoded(spark: SparkSession, sf_dir: str, families: tuple, text: bool, digits: int | None = None) -> DataFrame:
+    """(rec_id, field, value) of some families decoded from the generator's logits."""
     spans = {s.field.path: s for s in DICTIONARY.portion_spans(OUTCOME)}
     cells = []
-    for s in FAMILY_SPANS[family]:
+    for s in (s for family in families for s in FAMILY_SPANS[family]):
         value = F.expr(decode.field_value("z", spans[s.field.path]))
         value = value if text else value.cast("double")
         if digits is not None:
             value = F.round(value, digits)
         cells.append(F.struct(F.lit(s.field.path).alias("field"), value.alias("value")))
-    return scored(spark, sf_dir).select("rec_id", F.inline(F.array(*cells)))
+    return scored(spark, sf_dir, ("z",)).select("rec_id", F.inline(F.array(*cells)))
 
 
 def _decoded_sql(families: str, value: str) -> str:
@@ -268,22 +268,22 @@ def _decoded_sql(families: str, value: str) -> str:
 
 @query("decode_onehot", _decoded_sql("'returnflag'", "txt"))
 def decode_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(spark, sf_dir, "returnflag", text=True)
+    return _decoded(spark, sf_dir, ("returnflag",), text=True)
 
 
 @query("decode_thermometer", _decoded_sql("'quantity'", "num"))
 def decode_thermometer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(spark, sf_dir, "quantity", text=False)
+    return _decoded(spark, sf_dir, ("quantity",), text=False)
 
 
 @query("decode_bool_enum", _decoded_sql("'linestatus'", "txt"))
 def decode_bool_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(spark, sf_dir, "linestatus", text=True)
+    return _decoded(spark, sf_dir, ("linestatus",), text=True)
 
 
 @query("decode_bool_numeric", _decoded_sql("'psize'", "num"))
 def decode_bool_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(spark, sf_dir, "psize", text=False)
+    return _decoded(spark, sf_dir, ("psize",), text=False)
 
 
 @query(
@@ -298,8 +298,7 @@ def decode_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decode_zscore", _decoded_sql("'price', 'team_price', 'duration', 'discount'", "round(num, 3)"))
 def decode_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = [_decoded(spark, sf_dir, f, False, 3) for f in ("price", "duration", "discount")]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return _decoded(spark, sf_dir, ("price", "duration", "discount"), False, 3)
 
 
 def decoded_wide_sql(source: str = "decoded") -> str:
@@ -327,7 +326,7 @@ def plain_types(df: DataFrame) -> DataFrame:
 
 @query("decode_records", sql(decoded_wide_sql(), "decoded"))
 def decode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = rec.decode_records(scored(spark, sf_dir), DICTIONARY, {"unknown": "z"})
+    decoded = rec.decode_records(scored(spark, sf_dir, ("z",)), DICTIONARY, {"unknown": "z"})
     return plain_types(decoded)
 
 
@@ -344,7 +343,7 @@ def decode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = ":".join(f"participants.{i}.price" for i in range(SLOTS))
     ignored = expand_ignored(f"bans:{prices}", BAN_PATHS)
-    rows = scored(spark, sf_dir).select("rec_id", "known", "z")
+    rows = scored(spark, sf_dir, ("known", "z"))
     masked = rows.select(
         "rec_id",
         rec.mask_ignored("known", DICTIONARY, ignored, KNOWN).alias("known"),

@@ -72,7 +72,7 @@ def score_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql("select rec_id, round(sum(p), 4) as p_sum, round(sum(p * (j % 97)), 4) as p_dot from probs group by rec_id", "probs"),
 )
 def output_heads_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).select("rec_id", output_heads(F.col("z"), KINDS).alias("p"))
+    rows = scored(spark, sf_dir, ("z",)).select("rec_id", output_heads(F.col("z"), KINDS).alias("p"))
     return rows.select("rec_id", *checksum("p", "p"))
 
 

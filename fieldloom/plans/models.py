@@ -10,7 +10,6 @@ from fieldloom.operators.records import encode_records
 from fieldloom.operators.scoring import head_kinds, score_chain
 from fieldloom.plans.matches import DICTIONARY, records
 from fieldloom.schema import KNOWN, OUTCOME
-from fieldloom.session import stored
 
 HIDDEN = 8
 
@@ -38,17 +37,19 @@ def encoded(spark: SparkSession, sf_dir: str, portions=("known", "unknown", "win
     return encode_records(records(spark, sf_dir), DICTIONARY, portions)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, known, y (truth), z (generator logits), win, win_logit; kept as Parquet
-    because every evaluation reads it."""
+def scored(spark: SparkSession, sf_dir: str, columns=("y", "z"), when: str | None = None) -> DataFrame:
+    """rec_id and, of known, y (truth), z (generator logits), win and win_logit, the ``columns`` named.
 
-    def build():
-        rows = score_chain(
-            encoded(spark, sf_dir), GENERATOR, WIN_NETWORK, KINDS, outputs=("unknown_logit", "win_logit")
-        )
-        return rows.withColumnsRenamed({"unknown": "y", "unknown_logit": "z"})
-
-    return stored(spark, ("scored", sf_dir), build)
+    Records are encoded and scored as they are read: arrays of so many cells are some forty
+    times the records, so they are not stored. ``when`` keeps the records it holds for.
+    """
+    rows = records(spark, sf_dir) if when is None else records(spark, sf_dir).where(when)
+    portions = ["known", *["unknown"] * ("y" in columns), *["win"] * ("win" in columns)]
+    rows = encode_records(rows, DICTIONARY, portions)
+    outputs = [o for o, c in (("unknown_logit", "z"), ("win_logit", "win_logit")) if c in columns]
+    drop = () if "known" in columns else ("known",)
+    rows = score_chain(rows, GENERATOR, WIN_NETWORK, KINDS, outputs=outputs, drop=drop)
+    return rows.withColumnsRenamed({"unknown": "y", "unknown_logit": "z"}).select("rec_id", *columns)
 
 
 def checksum(array: str, name: str, digits: int = 4):
