@@ -10,6 +10,7 @@ from fieldloom.functions.objectives import LogisticObjective
 from fieldloom.functions.optimizers import Optimizer
 from fieldloom import jobs
 from fieldloom.operators import fitting, metrics
+from fieldloom.operators.records import encode_records
 from fieldloom.plans.matches import DICTIONARY, MIN_DURATION, records
 from fieldloom.plans.models import GENERATOR, N_KNOWN, N_UNKNOWN, encoded, formula_network
 from fieldloom.plans.oracle import draw, last_bias, sql, weight
@@ -264,7 +265,7 @@ def two_rounds(train: DataFrame, prepare) -> DataFrame:
     """Weights and losses of two rounds of a one-layer net.
 
     A chunk is one step, whose gradients add up to that of all rows: so the mean of the chunks'
-    networks is the network after one whole step.
+    networks is the network after one whole step. ``train`` is raw: ``prepare`` encodes as it reads.
     """
     result = fitting.fit(
         train, LINEAR, LogisticObjective(), ["known", "unknown"], "target", lambda network: (0.0, 0.0), steps=2, prepare=prepare,
@@ -278,14 +279,18 @@ def two_rounds(train: DataFrame, prepare) -> DataFrame:
 @query("fit_win_rounds", sql(_ROUND_ROWS, *_BASE, extra=_WIN_ROWS | _rounds("select count(*) from targets")))
 def fit_win_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of the win fit on all records, as they are."""
-    return two_rounds(encoded(spark, sf_dir), lambda rows, epoch: win_target(rows))
+    return two_rounds(records(spark, sf_dir), lambda rows, epoch: win_target(encode_records(rows, DICTIONARY, keep=("rec_id", *jobs.CHUNK))))
 
 
 @query("fit_two_sample_rounds", sql(_ROUND_ROWS, *_BASE, "probs", extra=_PAIR_ROWS | _rounds("select count(*) from targets")))
 def fit_two_sample_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of the discriminator fit: every record, real and generated."""
-    rows = encoded(spark, sf_dir, ("known", "unknown"))
-    return two_rounds(rows, lambda rows, epoch: jobs.real_and_generated(rows, DICTIONARY, GENERATOR))
+
+    def prepare(rows, epoch):
+        both = encode_records(rows, DICTIONARY, ("known", "unknown"), ("rec_id", *jobs.CHUNK))
+        return jobs.real_and_generated(both, DICTIONARY, GENERATOR)
+
+    return two_rounds(records(spark, sf_dir), prepare)
 
 
 @query(

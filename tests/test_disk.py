@@ -1,13 +1,33 @@
 """What stages leave on disk: raw rows rather than encoded ones, no spent stages, no spent shuffles."""
 
 import pytest
-from fieldloom.plans import catalog_metrics, catalog_records
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import types as T
+
+from fieldloom.plans import catalog_fitting, catalog_metrics, catalog_records
 from fieldloom.plans.models import scored
 from fieldloom.session import scratch
 
 from .conftest import SMALL
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """Schemas of all stages written as Parquet."""
+    schemas, parquet = [], DataFrameWriter.parquet
+
+    def run(self, *args, **options):
+        schemas.append(self._df.schema)
+        return parquet(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", run)
+    return schemas
+
+
+def arrays(schemas):
+    return [f.name for s in schemas for f in s.fields if isinstance(f.dataType, T.ArrayType)]
+
+
 def test_scored_records_are_not_stored(spark, records):
     with scratch() as made:
         rows = scored(spark, SMALL, ("known", "y", "z", "win", "win_logit"))
@@ -25,3 +45,9 @@ def test_parts_of_the_scored_records(spark):
     assert {r.rec_id: list(r.win_logit) for r in scored(spark, SMALL, ("win", "win_logit")).collect()} == {
         k: pytest.approx(r.win_logit) for k, r in whole.items()
     }
+
+
+@pytest.mark.parametrize("query", [catalog_fitting.fit_win_rounds, catalog_fitting.fit_two_sample_rounds])
+def test_rounds_lay_out_raw_rows(spark, records, written, query):
+    assert query(spark, SMALL).count()
+    assert written and not arrays(written)
