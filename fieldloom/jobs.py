@@ -143,7 +143,7 @@ def train_generator(
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
     train = corpus.train_rows(split, batch_size, column, shortest)
-    held = corpus.evaluation_rows(split, fields, seed, column, shortest, key)
+    held = corpus.evaluation_rows(_held(split), fields, seed, column, shortest, key)
 
     def prepare(rows, epoch):
         return corpus.augmented(rows, fields, seed, epoch, key, keep=CHUNK)
@@ -152,6 +152,11 @@ def train_generator(
     return fitting.fit_network(train, held, fields, prepare=prepare, seed=seed, key=key, **options)
 
 
+def _held(split: DataFrame) -> DataFrame:
+    """The rows to evaluate on, raw, so that they take little disk and an evaluation reads no others."""
+    return materialize(split.where(F.col("split") == "evaluation"), "evaluation")
+
+
 def with_generated(rows: DataFrame, fields: Dictionary, generator, ignored=()) -> DataFrame:
     """Encoded rows with generated instead of real unknown fields, and the win
     target of the first win field."""
@@ -169,7 +174,7 @@ def train_win(
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     train = corpus.train_rows(split, batch_size, duration=None)
-    held = with_generated(corpus.evaluation_rows(split, fields, seed, duration=None, key=key), fields, generator, ignored)
+    held = with_generated(corpus.evaluation_rows(_held(split), fields, seed, duration=None, key=key), fields, generator, ignored)
 
     def prepare(rows, epoch):
         return with_generated(corpus.augmented(rows, fields, seed, epoch, key, keep=CHUNK), fields, generator, ignored)
@@ -206,7 +211,7 @@ def train_two_sample(
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
     train = corpus.train_rows(split, batch_size, column, shortest)
-    held = corpus.evaluation_rows(split, fields, seed, column, shortest, key)
+    held = corpus.evaluation_rows(_held(split), fields, seed, column, shortest, key)
 
     def prepare(rows, epoch):
         return real_and_generated(corpus.augmented(rows, fields, seed, epoch, key, keep=CHUNK), fields, generator)
@@ -234,7 +239,7 @@ def search_generator(
     tune(spark)
     split = split_positional(records, order, held_out, evaluation)
     column = fields[duration].column
-    held = materialize(corpus.evaluation_rows(split, fields, seed, column, shortest, key).select("known", "unknown"), "evaluation")
+    held = corpus.evaluation_rows(_held(split), fields, seed, column, shortest, key).select("known", "unknown")
     data = fitting.local_groups(corpus.train_rows(split, batch_size, column, shortest), 1, seed, key)
     objective = fitting.mixed_objective(fields, ignored, extra_losses=1 if penalty else 0)
 

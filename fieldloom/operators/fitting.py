@@ -46,7 +46,7 @@ from fieldloom.operators.ordering import chunk_count
 from fieldloom.operators.runs import CriteriaSpec
 from fieldloom.operators.scoring import score_dense
 from fieldloom.schema import KNOWN, OUTCOME, Dictionary
-from fieldloom.session import drop_folders, materialize, new_folder, scratch, ship_package
+from fieldloom.session import drop_folders, new_folder, scratch, ship_package, write_stage
 from fieldloom.sources.models import check_network, load_network, network_frame, save_network
 
 BLOCK = 1 << 16
@@ -288,8 +288,7 @@ def step_groups(df: DataFrame, groups: int, seed=0, key: str = "rec_id") -> Data
     rows = df.withColumn("step_group", F.expr(f"cast(floor({draw} * {groups}) as int)"))
     spread = F.xxhash64(key)
     ordered = rows.repartitionByRange(chunk_count(df, rows.count()), "step_group", spread).sortWithinPartitions("step_group")
-    ordered.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return write_stage(ordered, path)
 
 
 def local_groups(df: DataFrame, groups: int = 1, seed=0, key: str = "rec_id", rows: int = CHUNK_ROWS * 3 // 4) -> DataFrame:
@@ -307,8 +306,7 @@ def local_groups(df: DataFrame, groups: int = 1, seed=0, key: str = "rec_id", ro
     table = df.withColumns({c: F.expr(e) for c, e in drawn.items()})
     files = max(chunk_count(df, count), min(groups * chunks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     order = ["step_group", "chunk", F.expr(draw("order")), F.col(key)]
-    table.repartitionByRange(files, "step_group", "chunk").sortWithinPartitions(*order).write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    return write_stage(table.repartitionByRange(files, "step_group", "chunk").sortWithinPartitions(*order), path)
 
 
 @dataclass
@@ -447,23 +445,22 @@ def fit_network(
     seed=0,
     **options,
 ) -> Fit:
-    """Fit the generator (known -> unknown) on encoded records."""
-    spark = evaluation.sparkSession
+    """Fit the generator (known -> unknown) on encoded records.
+
+    ``evaluation`` is read anew by every evaluation and never stored: encoded as it is read, it
+    takes no disk.
+    """
     objective = mixed_objective(dictionary, ignored, extra_losses=1 if penalty else 0)
     sizes = [dictionary.width(KNOWN), *hidden, dictionary.width(OUTCOME)]
-    with scratch() as made:
-        held = materialize(evaluation.select("known", "unknown"), "evaluation")
+    held = evaluation.select("known", "unknown")
 
     def evaluate(network):
         return evaluated(held, network, dictionary, activation, penalty, ignored)
 
-    try:
-        return fit(
-            train, initial_network(sizes, seed), objective, ["known"], "unknown", evaluate,
-            activation=activation, penalty=penalty, loss_parts=objective.parts, seed=seed, **options,
-        )
-    finally:
-        drop_folders(spark, made)
+    return fit(
+        train, initial_network(sizes, seed), objective, ["known"], "unknown", evaluate,
+        activation=activation, penalty=penalty, loss_parts=objective.parts, seed=seed, **options,
+    )
 
 
 def fit_binary(
@@ -478,23 +475,22 @@ def fit_binary(
     **options,
 ) -> Fit:
     """Fit one logit on the concatenated inputs: the win net (inputs known and
-    generated unknown) or the two-sample net (target 1 real, 0 generated)."""
+    generated unknown) or the two-sample net (target 1 real, 0 generated).
+
+    ``evaluation`` is read anew by every evaluation, as in ``fit_network``.
+    """
     sizes = [n_inputs, *hidden, 1]
-    with scratch() as made:
-        held = materialize(evaluation.select(*inputs, target), "evaluation")
+    held = evaluation.select(*inputs, target)
 
     def evaluate(network):
         scored = score_dense(held, network, inputs, "z", activation, drop=tuple(inputs))
         row = eval_win(scored.select(F.get("z", F.lit(0)).alias("z"), F.col(target).cast("double").alias("y"))).first()
         return row["loss"], row["accuracy"]
 
-    try:
-        return fit(
-            train, initial_network(sizes, seed), LogisticObjective(), inputs, target, evaluate,
-            activation=activation, summed=True, seed=seed, **options,
-        )
-    finally:
-        drop_folders(evaluation.sparkSession, made)
+    return fit(
+        train, initial_network(sizes, seed), LogisticObjective(), inputs, target, evaluate,
+        activation=activation, summed=True, seed=seed, **options,
+    )
 
 
 # The search space.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.ordering import Running, with_running
 from fieldloom.schema import KNOWN, OUTCOME, WIN, Dictionary, Field
-from fieldloom.session import stored, tune
+from fieldloom.session import settled, stored, tune
 
 SLOTS = 10
 TEAM = 5
@@ -80,17 +80,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def build_slots(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
-    """Long form: one row per filled slot."""
+    """Long form: one row per filled slot.
+
+    Lines go on from shuffle to shuffle through a written table, so that the disk holds one
+    shuffle of them at a time.
+    """
     lineitem = table(spark, sf_dir, "lineitem").drop("l_tax")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
-    lines = with_running(lineitem, ["l_suppkey"], order, {"rn": Running("number")}, partitions)
+
+    def lines():
+        return with_running(lineitem, ["l_suppkey"], order, {"rn": Running("number")}, partitions)
+
     # Both joins are on unique keys: they add no lines, and lines without a part or
     # an order stay.
-    numbered = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(
-        orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"
-    )
+    def parted():
+        return settled(spark, "lines", lines).join(part, F.col("l_partkey") == F.col("p_partkey"), "left").drop("l_partkey", "p_partkey")
+
+    def ordered():
+        whole = settled(spark, "lines", parted).join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        return whole.drop("l_orderkey", "o_orderkey", "l_linenumber")
+
+    numbered = settled(spark, "lines", ordered)
     return numbered.select(
         "l_suppkey",
         F.expr("(rn - 1) div 10").alias("block"),

@@ -53,6 +53,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 _MADE: dict[int, str] = {}
+_MAKERS: dict[int, int] = {}
 _NUMBERS = itertools.count()
 
 
@@ -60,18 +61,21 @@ def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder (not created)."""
     app = spark.sparkContext.applicationId
     path = f"{shared_root(spark)}/fieldloom/{app}/{label}-{uuid.uuid4().hex}"
-    _MADE[next(_NUMBERS)] = path
+    number = next(_NUMBERS)
+    _MAKERS[number] = threading.get_ident()
+    _MADE[number] = path
     return path
 
 
 @contextmanager
 def scratch():
-    """Gives a list that holds, after the block, the folders named inside it."""
+    """Gives a list that holds, after the block, the folders named inside it by this thread."""
     start, made = next(_NUMBERS), []
     try:
         yield made
     finally:
-        made.extend(path for number, path in list(_MADE.items()) if number > start)
+        own = threading.get_ident()
+        made.extend(path for number, path in list(_MADE.items()) if number > start and _MAKERS.get(number) == own)
 
 
 def table_name(path: str) -> str:
@@ -92,6 +96,7 @@ def drop_folders(spark: SparkSession, paths) -> None:
 def _forget(paths: set) -> None:
     for number in [n for n, path in list(_MADE.items()) if path in paths]:
         _MADE.pop(number, None)
+        _MAKERS.pop(number, None)
 
 
 def clean(spark: SparkSession) -> None:
@@ -105,6 +110,7 @@ def clean(spark: SparkSession) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/fieldloom/{app}")
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     _MADE.clear()
+    _MAKERS.clear()
 
 
 #: Files that a task writes side by side before Spark sorts the rest of its rows by folder.
@@ -124,16 +130,46 @@ def side_by_side(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside the block, what a query shuffles is deleted when it ends.
+
+    Else shuffle files stay until the driver happens to collect its garbage, so a chain of
+    written stages would hold all its shuffles at once.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write_stage(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read from there; its shuffles are deleted."""
+    spark = df.sparkSession
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage with a replicated table, so a lost executor costs a re-read and
     values that depend on partition ids stay as written.
     """
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_stage(df, new_folder(df.sparkSession, label))
+
+
+def settled(spark: SparkSession, label: str, build) -> DataFrame:
+    """``build()``, materialized; the folders that it made are deleted."""
+    with scratch() as made:
+        df = build()
+    out = materialize(df, label)
+    drop_folders(spark, made)
+    return out
 
 
 def _listing(spark: SparkSession, folder: str) -> tuple:
@@ -148,15 +184,19 @@ def _listing(spark: SparkSession, folder: str) -> tuple:
 def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
     """``build()`` once per application, key and state of the input folder, the key's last part.
 
-    Two threads may build the same stage; the first to finish is kept.
+    Two threads may build the same stage; the first to finish is kept. Folders that
+    ``build`` made are deleted, but not other stored stages.
     """
     full = (spark.sparkContext.applicationId, *key, _listing(spark, key[-1]))
     if full not in _STORED:
-        df = build()
+        with scratch() as made:
+            df = build()
         path = new_folder(spark, str(key[0]))
-        df.write.parquet(path)
+        write_stage(df, path)
         with _LOCK:
             _STORED.setdefault(full, (path, df.schema))
+            kept = {path for path, _ in _STORED.values()}
+        drop_folders(spark, set(made) - kept)
     path, schema = _STORED[full]
     return spark.read.schema(schema).parquet(path)
 
