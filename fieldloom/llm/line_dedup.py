@@ -215,10 +215,11 @@ def near_lines(texts: DataFrame) -> DataFrame:
     met = materialize(_met(texts), "line-segments")
     short, long = (met.where(side).select("key", "segment") for side in ("short", "long"))
     some = met.select("key").distinct()
-    facts = materialize(texts.join(some, "key").select("key", "first", "line", "length", "edits"), "line-texts")
+    facts = materialize(texts.join(some.hint("merge"), "key").select("key", "first", "line", "length", "edits"), "line-texts")
     counts = ", ".join(f"length - length(replace(line, '{c}', ''))" for c in LETTERS)
     facts = facts.selectExpr("*", f"array({counts}) as counts")
-    short, long = short.join(facts, "key"), long.join(facts, "key")
+    # By the size of a packed file Spark would broadcast far more rows than it takes them for.
+    short, long = (side.join(facts.hint("merge"), "key") for side in (short, long))
     apart = "aggregate(zip_with(s.counts, l.counts, (x, y) -> abs(x - y)), 0, (t, v) -> t + v) <= 2 * s.edits"
     linked = f"{apart} and {within_edits('s.line', 'l.line', 's.edits')}"
 

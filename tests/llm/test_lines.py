@@ -143,3 +143,9 @@ def test_segment_shared_by_all_lines(spark):
     lines = ["x" * 40 + e for e in ends + [e[:20] + "é" + e[21:] for e in ends[:12]]]
     exact, near = check(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").coalesce(1))
     assert not exact and near == {(i, 0) for i in range(40, 52)}
+
+
+def test_lines_are_not_broadcast_by_their_files_size(spark):
+    texts = line_dedup.distinct_lines(line_dedup._lines(spark.createDataFrame([(0, 0, "a" * 40 + "\n" + "a" * 39 + "b")], "row bigint, doc_id bigint, text string")))
+    plan = near_lines(texts)._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "SortMergeJoin [key#" in x]) >= 4
